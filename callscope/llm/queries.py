@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import mixing, shards, simhash, urls
+from callscope.llm import mixing, shards, simhash, syncmers, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
     "op3_simhash": simhash.op3_simhash,
     "op5_mixing": mixing.op5_mixing,
+    "op6_fingerprints": syncmers.op6_fingerprints,
     "op8_sharding": shards.op8_sharding,
 }
 
