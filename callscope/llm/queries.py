@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import mixing, shards, simhash, syncmers, urls
+from callscope.llm import mixing, secrets, shards, simhash, syncmers, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5_mixing,
     "op6_fingerprints": syncmers.op6_fingerprints,
     "op8_sharding": shards.op8_sharding,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": urls.SQL}
