@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import mixing, secrets, shards, simhash, syncmers, urls
+from callscope.llm import mixing, quality, secrets, shards, simhash, syncmers, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
+    "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_fingerprints": syncmers.op6_fingerprints,
