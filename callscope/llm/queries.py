@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import decontaminate, mixing, quality, secrets, shards, simhash, syncmers, urls
+from callscope.llm import decontaminate, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_fingerprints": syncmers.op6_fingerprints,
+    "op7_repeats": repeats.op7_repeats,
     "op8_sharding": shards.op8_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_secrets": secrets.op10_secrets,
