@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import decontaminate, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
+from callscope.llm import decontaminate, lm, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_mixing": mixing.op5_mixing,
     "op6_fingerprints": syncmers.op6_fingerprints,
     "op7_repeats": repeats.op7_repeats,
