@@ -60,22 +60,22 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def running_totals(df: DataFrame, order: Sequence[Column], size: Column, label: str) -> DataFrame:
+def running_totals(df: DataFrame, order: Sequence[Column], size: Column, label: str, rows: Column | None = None) -> DataFrame:
     """Add ``row_before`` and ``size_before`` (rows, and their sizes' sum, before each row in the order) and ``size_all``.
 
     Range partitions are totalled one by one, the few totals are summed up front, and each partition
     then counts on from its own offset; no task sees more than a partition. The order has to be total
-    (no ties but between equal rows) for reruns to agree.
+    (no ties but between equal rows) for reruns to agree. ``rows``: how many rows each one stands for.
     """
     spark = df.sparkSession
     names = [f"_o{i}" for i in range(len(order))]
-    keyed = df.withColumns(dict(zip(names, order, strict=True)) | {"_size": size.cast("long")})
+    keyed = df.withColumns(dict(zip(names, order, strict=True)) | {"_size": size.cast("long"), "_rows": (F.lit(1) if rows is None else rows).cast("long")})
     placed = materialize(
         keyed.repartitionByRange(shuffle_partitions(spark), *[F.col(n).asc_nulls_first() for n in names]).withColumn("_part", F.spark_partition_id()),
         label,
     )
     # One row for each range partition: the only place where all rows of something meet.
-    totals = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_s"))
+    totals = placed.groupBy("_part").agg(F.sum("_rows").alias("_n"), F.sum("_size").alias("_s"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_part",
@@ -89,9 +89,9 @@ def running_totals(df: DataFrame, order: Sequence[Column], size: Column, label:
         placed.join(F.broadcast(offsets), "_part")  # as many rows as there are partitions
         .withColumns(
             {
-                "row_before": F.col("_rows_off") + F.row_number().over(inside) - 1,
+                "row_before": F.col("_rows_off") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
                 "size_before": F.col("_size_off") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)),
             }
         )
-        .drop(*names, "_size", "_part", "_rows_off", "_size_off")
+        .drop(*names, "_size", "_rows", "_part", "_rows_off", "_size_off")
     )

@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_rows: bool = False) -> DataFrame:
     """One row per document: id, ``size`` (words), ``source``, ``source_size``, ``target`` and ``repeats``.
 
     A source's ratio of target to size gives each of its documents the same whole number of
@@ -54,6 +54,8 @@ def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
     the hash finds where the sum crosses the rest, so that no task sorts a source. Documents whose
     hashes share the first 24 bits go in or out together, as do repeated rows.
 
+    ``keep_rows``: the rows of ``docs`` themselves instead, each as often as it is taken.
+
     Null texts and texts without words have size 0; a null source is a source of its own; where all
     sizes are 0, so are the targets. Never more than ``max_epochs`` repetitions.
     """
@@ -93,6 +95,9 @@ def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
         "mix-plan",
     )
     repeats = F.col("whole") + F.when((F.col("cell") < F.col("cut")) & (F.col("whole") < max_epochs), 1).otherwise(0)
+    if keep_rows:
+        taken = docs.withColumn("_cell", cells).join(plan, docs[source_col].eqNullSafe(plan["p_source"])).withColumn("_times", F.col("whole") + F.when((F.col("_cell") < F.col("cut")) & (F.col("whole") < max_epochs), 1).otherwise(0))
+        return taken.filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[docs[c] for c in docs.columns])
     return sized.join(plan, sized["source"].eqNullSafe(plan["p_source"])).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import running_totals
+from callscope.llm.common import materialize, running_totals
+
+
+def _shard(shards: int, size: Column, before: Column) -> Column:
+    return F.least(F.lit(shards - 1), F.call_function("div", (before * 2 + size) * shards, F.col("size_all") * 2)).cast("int")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,11 +29,33 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         F.xxhash64(text).alias("tie"),
     )
     placed = running_totals(sized, [F.col("doc_id"), F.col("tie"), F.col("size")], F.col("size"), "shards")
-    cut = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"((size_before * 2 + size) * {shards}) div (size_all * 2)")).cast("int"))
+    cut = placed.withColumn("shard", _shard(shards, F.col("size"), F.col("size_before")))
     starts = cut.groupBy("shard").agg(F.min("row_before").alias("start"))
     return cut.join(F.broadcast(starts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row_before") - F.col("start")).alias("slot"))
 
 
+def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``shard`` and ``slot``, as :func:`shard_by_bytes` places them.
+
+    Sums run over ids, sizes and text hashes, repeated rows as one with their number; the rows
+    themselves move once, to meet their group's offset. Columns named shard or slot are replaced.
+    """
+    text = F.col(text_col)
+    least = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    own = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    groups = docs.select(least.alias("g_id"), F.xxhash64(text).alias("g_tie"), own.alias("g_size")).groupBy("g_id", "g_tie", "g_size").agg(F.count("*").alias("copies"))
+    placed = running_totals(groups, [F.col("g_id"), F.col("g_tie"), F.col("g_size")], F.col("g_size") * F.col("copies"), "shard-groups", F.col("copies"))
+    placed = materialize(placed, "shard-offsets")
+    each = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    size, before = F.col("g_size"), F.col("size_before") + F.col("k") * F.col("g_size")
+    starts = each.select(_shard(shards, size, before).alias("shard"), (F.col("row_before") + F.col("k")).alias("row")).groupBy("shard").agg(F.min("row").alias("start"))
+    keyed = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")], least.alias("_id"), F.xxhash64(text).alias("_tie"))
+    met = keyed.join(placed, (keyed["_id"] == placed["g_id"]) & (keyed["_tie"] == placed["g_tie"]))
+    met = met.withColumn("k", (F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_tie")) - 1).cast("long")).withColumn("shard", _shard(shards, size, before))
+    kept = [F.col(c) for c in keyed.columns if c not in ("_id", "_tie")]
+    return met.join(F.broadcast(starts), "shard").select(*kept, "shard", (F.col("row_before") + F.col("k") - F.col("start")).alias("slot"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` in 8 shards under the law ``bytes``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

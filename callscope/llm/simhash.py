@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from callscope.llm.common import materialize, small_batches
 from callscope.llm.components import components
 
-#: Buckets of up to this many fingerprints are compared pair by pair.
-SMALL_BUCKET = 64
+#: Buckets of up to this many fingerprints of one block are compared pair by pair inside a join, which costs
+#: less than 500 rows of midpoints for each member.
+SMALL_BUCKET = 2000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -87,10 +89,11 @@ def _signed(x: int) -> int:
 
 
 def buckets(prints: DataFrame, blocks: int, bits: int, radius: int) -> DataFrame:
-    """(bucket, id): each fingerprint under its kept bits, once for each block and mask."""
+    """(bucket, id, t): each fingerprint under its kept bits, once for each block and mask; t numbers these."""
     masks = covering_masks(bits, radius)
-    keys = [F.xxhash64(F.lit(b * len(masks) + t), F.col("f")[b].bitwiseAND(F.lit(_signed(m)))) for b in range(blocks) for t, m in enumerate(masks)]
-    return prints.select("id", F.explode(F.array(*keys)).alias("bucket")).select("bucket", "id")
+    tables = F.array(*[F.struct(F.lit(b * len(masks) + t).alias("t"), F.lit(b + 1).alias("b"), F.lit(_signed(m)).alias("m")) for b in range(blocks) for t, m in enumerate(masks)])
+    each = prints.select("id", "f", F.explode(tables).alias("k"))
+    return each.select(F.xxhash64(F.col("k.t"), F.expr("element_at(f, k.b) & k.m")).alias("bucket"), "id", F.col("k.t").alias("t"))
 
 
 def distance(a: Column, b: Column, blocks: int) -> Column:
@@ -115,67 +118,61 @@ def link(prints: DataFrame, blocks: int, bits: int, radius: int, limit: int) ->
     ``limit == radius`` no link is lost. Else the pairs compared are those within ``radius`` in some
     block (plus chance meetings).
 
-    Buckets of two give their pair at once, those of up to 64 all their pairs. In larger ones every
-    member meets the least member, and what that leaves in several components is then settled
-    exactly: for one block by midpoints (two fingerprints within 4 share a midpoint within 2 of
-    both, so members are grouped under all their midpoints in the masked-out bits: about 500 rows
-    for each member, whatever the bucket's size), else by comparing the members of different
-    components with each other.
+    Buckets of two give their pair at once, with one block those of up to 2000 all their links. In
+    the others every member meets the least member, and what that leaves in several components is
+    then settled exactly: with one block by midpoints (two fingerprints within 4 share a midpoint
+    within 2 of both, so members are grouped under all their midpoints in the masked-out bits: about
+    500 rows for each member, whatever the bucket's size), else by comparing members of different
+    components inside a join.
     """
     sizes = materialize(
-        buckets(prints, blocks, bits, radius).groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1"), "sim-sizes"
+        buckets(prints, blocks, bits, radius).groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("t").alias("t")).filter("n > 1"), "sim-sizes"
     )
-    counts = sizes.agg(F.count(F.when(F.col("n") > 2, 1)), F.count(F.when(F.col("n") > SMALL_BUCKET, 1))).first()
+    few = SMALL_BUCKET if blocks == 1 else 2
+    counts = sizes.agg(F.count(F.when(F.col("n") > 2, 1)), F.count(F.when(F.col("n") > few, 1))).first()
     found = sizes.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     members = None
     if counts[0]:
-        members = materialize(buckets(prints, blocks, bits, radius).join(sizes.filter("n > 2"), "bucket").select("bucket", "id", "n", "lo"), "sim-members")
-        small = members.filter(F.col("n") <= SMALL_BUCKET)
-        a, b = small.select("bucket", F.col("id").alias("a")), small.select("bucket", F.col("id").alias("b"))
-        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit if blocks == 1 else F.lit(True)  # for one block the id is the fingerprint
-        pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
-        found = found.union(pairs).union(members.select(F.col("lo").alias("a"), F.col("id").alias("b")))
+        members = materialize(buckets(prints, blocks, bits, radius).drop("t").join(sizes.filter("n > 2"), "bucket").select("bucket", "id", "t", "n", "lo"), "sim-members")
+        small = members.filter(F.col("n") <= few)
+        if blocks == 1:  # the id is the fingerprint
+            a, b = small.select("bucket", F.col("id").alias("a")), small.select("bucket", F.col("id").alias("b"))
+            near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit
+            found = found.union(a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & near).select("a", "b"))
+        found = found.union(members.select(F.col("lo").alias("a"), F.col("id").alias("b")))
     edges = materialize(_verified(_pairs(found), prints, blocks, limit), "sim-edges")
     if not counts[1]:
         return components(edges)
     labels = materialize(components(edges), "sim-labels")
-    big = members.filter(F.col("n") > SMALL_BUCKET).join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    big = members.filter(F.col("n") > few).join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", "t", F.coalesce("root", "id").alias("root"))
     big = materialize(big, "sim-big")
     split = big.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
     open_ = materialize(big.join(split, "bucket"), "sim-open")
     if blocks == 1:
         more = _midpoint_pairs(open_, covering_masks(bits, radius), bits, radius)
     else:
-        x, y = open_.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), open_.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-        more = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb"))).select("a", "b")
+        own = materialize(open_.join(prints, "id"), "sim-across")
+        x, y = (own.select("bucket", F.col("id").alias(i), F.col("root").alias(f"r{i}"), F.col("f").alias(f"f{i}")) for i in "ab")
+        more = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (distance(F.col("fa"), F.col("fb"), blocks) <= limit)).select("a", "b")
     return components(edges.union(_verified(_pairs(more), prints, blocks, limit)))
 
 
 def _midpoint_pairs(open_: DataFrame, masks: list[int], bits: int, radius: int) -> DataFrame:
     """Pairs (a, b) of members of a large bucket that share a midpoint; ids are the fingerprints.
 
-    A bucket's table is found again from its number, as the masked key gives the bucket.
+    The flips are those of up to half the radius in the bits that the bucket's mask leaves out: a
+    table whose size is fixed by bits and radius.
     """
-    half = radius // 2
-    flips = {}
+    flips = []
     for t, mask in enumerate(masks):
         free = [1 << i for i in range(bits) if not mask >> i & 1]
-        near = [0, *free] if half else [0]
-        if half > 1:
-            near += [p | q for i, p in enumerate(free) for q in free[i + 1 :]]
-        flips[t] = [_signed(x) for x in near]
-    parts = []
-    for t, mask in enumerate(masks):
-        own = open_.filter(F.col("bucket") == F.xxhash64(F.lit(t), F.col("id").bitwiseAND(F.lit(_signed(mask)))))
-        middle = F.explode(F.transform(F.array(*[F.lit(x) for x in flips[t]]), lambda x: F.col("id").bitwiseXOR(x)))
-        parts.append(own.select("bucket", "id", middle.alias("z")))
-    under = parts[0]
-    for p in parts[1:]:
-        under = under.union(p)
+        for k in range(radius // 2 + 1):
+            flips += [(t, _signed(sum(c))) for c in combinations(free, k)]
+    flipped = open_.sparkSession.createDataFrame(flips, "t int, flip long")
+    under = open_.join(F.broadcast(flipped), "t").select("bucket", "id", F.col("id").bitwiseXOR(F.col("flip")).alias("z"))
     # Under a midpoint all are within the radius of the least one; a minimum needs no group in one task.
-    least = materialize(under.groupBy("bucket", "z").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("n > 1"), "sim-middle")
-    joined = under.join(least.select("bucket", "z", "a"), ["bucket", "z"]).select("a", F.col("id").alias("b"))
-    return joined
+    least = materialize(under.groupBy("bucket", "z").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"), "sim-middle")
+    return under.join(least.select("bucket", "z", "a"), ["bucket", "z"]).select("a", F.col("id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, blocks: int = 1, bits: int = 64, radius: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,6 +194,27 @@ def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, blocks: in
     return printed.join(of, F.col("f") == F.col("_f"), "left").drop("_f")
 
 
+#: The settings for similar texts: five words, and five blocks of 48 bits. Two texts whose shingles have a
+#: similarity of 0.8 (Jaccard) differ in 15 of 100 bits; they meet in some table with probability 0.93, and 44
+#: of 240 bits is one standard deviation above their mean distance.
+SIMILAR = {"width": 5, "blocks": 5, "bits": 48, "radius": 4, "limit": 44}
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, with its columns as they are: the one of the smallest id (nulls last).
+
+    Copies and repeated rows are in one group; of several rows with the same id and text one stays.
+    """
+    tie = F.xxhash64(F.col(text_col))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_tie": tie})
+    grouped = near_duplicates(keyed, ["_id", "_tie"], **SIMILAR, id_col="_id", text_col=text_col)
+    first = materialize(grouped.filter(F.col("_id") == F.col("component_id")).groupBy("_id").agg(F.min("_tie").alias("_tie"), F.count("*").alias("n")), "sim-first")
+    kept = keyed.join(first.select("_id", "_tie"), ["_id", "_tie"], "left_semi")
+    if (first.agg(F.max("n")).first()[0] or 1) > 1:
+        kept = kept.dropDuplicates(["_id", "_tie"])
+    return kept.select(*docs.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs, ["doc_id"])
