@@ -1,4 +1,4 @@
-"""Registered queries of the call-inventory operators."""
+"""Registered queries of the call-inventory operators, by the survey's ids."""
 
 from __future__ import annotations
 
@@ -6,5 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and, where SQL can express it, its equivalent."""
+
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["slice_url_services"](spark, sf_dir)
+
+
+# Each module registers its queries.
+from callscope.plans import calls, pages, protocols, reports, texts  # noqa: E402, F401
