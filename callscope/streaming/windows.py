@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _late(events: DataFrame, delay: str) -> DataFrame:
-    return events.withWatermark("ts", delay) if events.isStreaming else events
+    # Watermarks need a timestamp with a time zone.
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) if events.isStreaming else events
 
 
 def hourly(events: DataFrame, delay: str = "2 hours") -> DataFrame:
