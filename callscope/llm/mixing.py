@@ -104,3 +104,29 @@ def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return sample_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+#: The same mix: the water level as the first of the clamping orders that fits, the cut from one running sum of cells.
+SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws(':', '42', doc_id, coalesce(text, ''))), 1, 6))::BIGINT AS cell FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS s FROM sized GROUP BY source),
+weighed AS (SELECT source, s, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS w, 3.0::DOUBLE * s AS cap FROM src),
+levels AS (
+  SELECT *, cap / w AS r,
+         ((SELECT sum(s) FROM src)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM weighed),
+lev AS (SELECT arg_min(lam, r) AS lam FROM levels WHERE lam <= r),
+targets AS (SELECT source, s, least(cap, w * coalesce((SELECT lam FROM lev), 0)) AS target FROM weighed),
+wanted AS (SELECT *, least(CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END, 3)::BIGINT AS whole FROM targets),
+rests AS (SELECT *, CASE WHEN whole >= 3 THEN 0 ELSE greatest(0, target - whole * s) END AS rest FROM wanted),
+cells AS (SELECT source, cell, sum(size)::BIGINT AS size FROM sized GROUP BY 1, 2),
+run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY cell) AS upto FROM cells),
+cuts AS (
+  SELECT run.source, cell + CASE WHEN (rest - (upto - size)) * 2 > size THEN 1 ELSE 0 END AS cut
+  FROM run JOIN rests ON run.source IS NOT DISTINCT FROM rests.source WHERE rest > 0 AND upto - size <= rest AND rest < upto)
+SELECT doc_id, size, s AS source_size, target,
+       (size * (whole + CASE WHEN whole < 3 AND rest > 0 AND cell < coalesce(cut, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized JOIN rests ON sized.source IS NOT DISTINCT FROM rests.source LEFT JOIN cuts ON sized.source IS NOT DISTINCT FROM cuts.source
+"""

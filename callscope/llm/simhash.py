@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialize, small_batches
+from callscope.llm.common import materialize, shuffle_partitions, small_batches
 from callscope.llm.components import components
 
 #: Buckets of up to this many fingerprints of one block are compared pair by pair inside a join, which costs
@@ -88,12 +88,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def buckets(prints: DataFrame, blocks: int, bits: int, radius: int) -> DataFrame:
-    """(bucket, id, t): each fingerprint under its kept bits, once for each block and mask; t numbers these."""
+def buckets(prints: DataFrame, blocks: range, bits: int, radius: int, *more: str) -> DataFrame:
+    """(bucket, id, t, more): each fingerprint under its kept bits, once for each block and mask; t numbers these."""
     masks = covering_masks(bits, radius)
-    tables = F.array(*[F.struct(F.lit(b * len(masks) + t).alias("t"), F.lit(b + 1).alias("b"), F.lit(_signed(m)).alias("m")) for b in range(blocks) for t, m in enumerate(masks)])
-    each = prints.select("id", "f", F.explode(tables).alias("k"))
-    return each.select(F.xxhash64(F.col("k.t"), F.expr("element_at(f, k.b) & k.m")).alias("bucket"), "id", F.col("k.t").alias("t"))
+    tables = F.array(*[F.struct(F.lit(b * len(masks) + t).alias("t"), F.lit(b + 1).alias("b"), F.lit(_signed(m)).alias("m")) for b in blocks for t, m in enumerate(masks)])
+    # Few rows become many: more tasks than the small input would have by itself.
+    spread = prints.repartition(shuffle_partitions(prints.sparkSession))
+    each = spread.select("id", "f", *more, F.explode(tables).alias("k"))
+    return each.select(F.xxhash64(F.col("k.t"), F.expr("element_at(f, k.b) & k.m")).alias("bucket"), "id", F.col("k.t").alias("t"), *more)
 
 
 def distance(a: Column, b: Column, blocks: int) -> Column:
@@ -110,51 +112,70 @@ def _verified(pairs: DataFrame, prints: DataFrame, blocks: int, limit: int) -> D
     return pairs.join(left, "a").join(right, "b").filter(distance(F.col("fa"), F.col("fb"), blocks) <= limit).select("a", "b")
 
 
-def link(prints: DataFrame, blocks: int, bits: int, radius: int, limit: int) -> DataFrame:
-    """(node, root): components of the fingerprints that are linked, by their ids.
+def link_within(prints: DataFrame, bits: int, radius: int) -> DataFrame:
+    """(node, root): components of fingerprints of one block that differ in at most ``radius`` bits. No link is lost.
 
-    ``prints``: (id, f), one row for each distinct fingerprint, already written. Two fingerprints are
-    linked if at most ``limit`` of their ``blocks * bits`` bits differ. For one block and
-    ``limit == radius`` no link is lost. Else the pairs compared are those within ``radius`` in some
-    block (plus chance meetings).
-
-    Buckets of two give their pair at once, with one block those of up to 2000 all their links. In
-    the others every member meets the least member, and what that leaves in several components is
-    then settled exactly: with one block by midpoints (two fingerprints within 4 share a midpoint
-    within 2 of both, so members are grouped under all their midpoints in the masked-out bits: about
-    500 rows for each member, whatever the bucket's size), else by comparing members of different
-    components inside a join.
+    ``prints``: (id, f), one row for each distinct fingerprint, ``id`` the fingerprint itself,
+    already written. Buckets of two give their pair at once, those of up to 2000 all their links. In
+    larger ones every member meets the least member, and what that leaves in several components is
+    settled by midpoints: two fingerprints within 4 share a midpoint within 2 of both, so members
+    are grouped under all their midpoints in the masked-out bits, about 500 rows for each member
+    whatever the bucket's size.
     """
-    sizes = materialize(
-        buckets(prints, blocks, bits, radius).groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("t").alias("t")).filter("n > 1"), "sim-sizes"
-    )
-    few = SMALL_BUCKET if blocks == 1 else 2
-    counts = sizes.agg(F.count(F.when(F.col("n") > 2, 1)), F.count(F.when(F.col("n") > few, 1))).first()
+    each = buckets(prints, range(1), bits, radius)
+    sizes = materialize(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("t").alias("t")).filter("n > 1"), "sim-sizes")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    counts = sizes.agg(F.count(F.when(F.col("n") > 2, 1)), F.count(F.when(F.col("n") > SMALL_BUCKET, 1))).first()
     found = sizes.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     members = None
     if counts[0]:
-        members = materialize(buckets(prints, blocks, bits, radius).drop("t").join(sizes.filter("n > 2"), "bucket").select("bucket", "id", "t", "n", "lo"), "sim-members")
-        small = members.filter(F.col("n") <= few)
-        if blocks == 1:  # the id is the fingerprint
-            a, b = small.select("bucket", F.col("id").alias("a")), small.select("bucket", F.col("id").alias("b"))
-            near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit
-            found = found.union(a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & near).select("a", "b"))
+        members = materialize(each.drop("t").join(sizes.filter("n > 2"), "bucket").select("bucket", "id", "t", "n", "lo"), "sim-members")
+        small = members.filter(F.col("n") <= SMALL_BUCKET)
+        a, b = small.select("bucket", F.col("id").alias("a")), small.select("bucket", F.col("id").alias("b"))
+        found = found.union(a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & near("a", "b")).select("a", "b"))
         found = found.union(members.select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    edges = materialize(_verified(_pairs(found), prints, blocks, limit), "sim-edges")
+    edges = materialize(_pairs(found).filter(near("a", "b")), "sim-edges")
     if not counts[1]:
         return components(edges)
     labels = materialize(components(edges), "sim-labels")
-    big = members.filter(F.col("n") > few).join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", "t", F.coalesce("root", "id").alias("root"))
-    big = materialize(big, "sim-big")
-    split = big.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    open_ = materialize(big.join(split, "bucket"), "sim-open")
-    if blocks == 1:
-        more = _midpoint_pairs(open_, covering_masks(bits, radius), bits, radius)
-    else:
-        own = materialize(open_.join(prints, "id"), "sim-across")
+    open_ = _open(members.filter(F.col("n") > SMALL_BUCKET), labels)
+    more = _midpoint_pairs(open_, covering_masks(bits, radius), bits, radius)
+    return components(edges.union(_pairs(more).filter(near("a", "b"))))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with their roots."""
+    rooted = members.drop("root").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", "t", F.coalesce("root", "id").alias("root"))
+    rooted = materialize(rooted, "sim-rooted")
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    return materialize(rooted.join(split, "bucket"), "sim-open")
+
+
+def link_similar(prints: DataFrame, blocks: int, bits: int, radius: int, limit: int) -> DataFrame:
+    """(node, root): components of fingerprints of which at most ``limit`` of the ``blocks * bits`` bits differ.
+
+    Compared are all that are within ``radius`` in some block, and chance meetings. The first block
+    goes first: most groups of copies are whole after it, and a bucket of the other blocks whose
+    members are in one component already has nothing to add. In the others every member meets the
+    least member, and members left in different components meet inside a join: no pair of
+    fingerprints that share a bucket stays undecided.
+    """
+    known, edges, labels = prints.withColumn("root", F.col("id")), None, None
+    for part in (range(1), range(1, blocks)):
+        each = buckets(known, part, bits, radius, "root")
+        ends = [F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1")]
+        sizes = materialize(each.groupBy("bucket").agg(*ends).filter("n > 1 and r0 <> r1"), "sim-sizes")
+        members = materialize(each.join(sizes.filter("n > 2").select("bucket", "lo"), "bucket"), "sim-members")
+        found = sizes.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.select(F.col("lo").alias("a"), F.col("id").alias("b")))
+        new = _verified(_pairs(found), prints, blocks, limit)
+        edges = materialize(new if edges is None else edges.union(new), "sim-edges")
+        own = materialize(_open(members, materialize(components(edges), "sim-labels")).join(prints, "id"), "sim-across")
         x, y = (own.select("bucket", F.col("id").alias(i), F.col("root").alias(f"r{i}"), F.col("f").alias(f"f{i}")) for i in "ab")
-        more = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (distance(F.col("fa"), F.col("fb"), blocks) <= limit)).select("a", "b")
-    return components(edges.union(_verified(_pairs(more), prints, blocks, limit)))
+        across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (distance(F.col("fa"), F.col("fb"), blocks) <= limit))
+        edges = materialize(edges.union(across.select("a", "b")), "sim-edges")
+        labels = materialize(components(edges), "sim-labels")
+        known = materialize(prints.join(labels, F.col("id") == F.col("node"), "left").select("id", "f", F.coalesce("root", "id").alias("root")), "sim-known")
+    return labels
 
 
 def _midpoint_pairs(open_: DataFrame, masks: list[int], bits: int, radius: int) -> DataFrame:
@@ -186,7 +207,8 @@ def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, blocks: in
     printed = materialize(simhash(docs, keep, width, blocks, bits, text_col), "sim-docs")
     node = F.col("f")[0] if blocks == 1 else F.xxhash64("f")
     nodes = materialize(printed.groupBy("f").agg(F.min(id_col).alias("least")).withColumn("id", node), "sim-nodes")
-    roots = materialize(link(nodes.select("id", "f"), blocks, bits, radius, limit), "sim-roots")
+    prints = nodes.select("id", "f")
+    roots = materialize(link_within(prints, bits, radius) if blocks == 1 else link_similar(prints, blocks, bits, radius, limit), "sim-roots")
     named = nodes.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     named = materialize(named.select("f", "root", "least"), "sim-named")
     firsts = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "sim-firsts")
