@@ -150,3 +150,41 @@ def inventory(rows: DataFrame) -> DataFrame:
 def first_files(files: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` files by path, a bound that the result depends on."""
     return files.orderBy("path").limit(limit)
+
+
+def typescript_scope(files: DataFrame) -> DataFrame:
+    """Files that the TypeScript front end reads: no tests, declarations, build output or minified text."""
+    path, body = F.col("path"), F.col("body")
+    name = path.rlike(r"\.(?:[mc]?[tj]sx?|html?|vue|svelte|astro)\z")
+    out = path.rlike(r"(?:^|/)(?:node_modules|dist|build|out|coverage|vendor|\.next|__tests__|__mocks__)/|\.(?:test|spec)\.|\.d\.[mc]?ts\z|\.min\.")
+    longest = F.array_max(F.transform(F.split(body, "\n"), lambda x: F.length(x)))
+    return files.filter(name & ~out & ~F.coalesce(longest > 5000, F.lit(False)))
+
+
+def is_mcp_config(path: Column) -> Column:
+    return path.rlike(r"(?:^|/)(?:\.mcp\.json|mcp\.json|mcp_config\.json|claude_desktop_config\.json|opencode\.jsonc?)\z")
+
+
+def loaded_values(reads: DataFrame, files: DataFrame) -> DataFrame:
+    """Values of configuration that code loads by a literal path. ``reads``: (src, literal, key as a JSON path); files up to 4 MB."""
+    joined = F.concat_ws("/", F.nullif(directory(F.col("src")), F.lit("")), F.col("literal"))
+    folded = F.aggregate(
+        F.filter(F.split(joined, "/"), lambda s: ~s.isin("", ".")),
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when((s == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    small = files.filter(F.octet_length("body") <= CONFIG_BYTES).select(F.col("path").alias("target"), "body")
+    met = reads.withColumn("target", F.array_join(folded, "/")).join(small, "target", "left")
+    return met.withColumn("value", F.expr("get_json_object(body, key)"))
+
+
+def spring_properties(files: DataFrame, profiles: list[str]) -> DataFrame:
+    """(key, value) of ``.properties`` files, keys relaxed (case and dashes do not matter); profiles override the plain file, later ones earlier ones."""
+    profile = F.regexp_extract("path", r"application-([\w-]+)\.properties\z", 1)
+    rank = F.when(profile == "", 0)
+    for i, p in enumerate(profiles):
+        rank = rank.when(profile == p, i + 1)
+    lines = files.filter(F.col("path").rlike(r"application(?:-[\w-]+)?\.properties\z")).select(rank.alias("rank"), F.posexplode(F.split("body", r"\r?\n", -1)).alias("n", "line")).filter("rank is not null")
+    pair = r"^\s*([^#!=:\s][^=:]*?)\s*[=:]\s*(.*?)\s*\z"
+    pairs = lines.filter(F.col("line").rlike(pair)).select("rank", "n", F.lower(F.regexp_replace(F.regexp_extract("line", pair, 1), "[-_]", "")).alias("key"), F.regexp_extract("line", pair, 2).alias("value"))
+    return pairs.groupBy("key").agg(F.max_by("value", F.struct("rank", "n")).alias("value"))
