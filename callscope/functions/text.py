@@ -137,3 +137,11 @@ def key_role(key: Column, siblings: Column) -> Column:
 
 def shell_quote(text: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def without_templates(code: Column) -> Column:
+    """Server-side template tags as names of the same length, line ends kept, so that what stands behind keeps its place."""
+    tag = r"(?s)\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|<\?(?:php|=).*?\?>"
+    plain = F.split(code, tag, -1)
+    names = F.transform(F.regexp_extract_all(code, F.lit(tag), F.lit(0)), lambda t: F.regexp_replace(t, r"[^\r\n]", "_"))
+    return F.array_join(F.transform(plain, lambda p, i: F.concat(p, F.coalesce(F.get(names, i), F.lit("")))), "")

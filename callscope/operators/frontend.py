@@ -222,6 +222,42 @@ def _command(client: str, words: list[str]) -> list[tuple]:
     return [(method, u + ("?" + "&".join(data) if get and data else ""), ",".join(dict.fromkeys(headers)), "" if get else ",".join(dict.fromkeys(keys))) for u in urls]
 
 
+def httpie_calls(path: str, body: str) -> list[tuple]:
+    """(line, client, method, url, headers, body_keys, problem) of HTTPie commands: items tell by their separator what they are."""
+    out = []
+    for number, text in enumerate(body.split("\n"), 1):
+        try:
+            words = shlex.split(re.sub(r"\$\{?(\w+)\}?", r"{env:\1}", text), comments=True)
+        except ValueError:
+            continue
+        at = next((i for i, w in enumerate(words) if w in ("http", "https", "xh")), None)
+        if at is None:
+            continue
+        scheme, form, given = "https" if words[at] == "https" else "http", False, []
+        for w in words[at + 1 :]:
+            if w in ("|", ">", "&&", "||", ";"):
+                break
+            form = form or w in ("-f", "--form", "--multipart")
+            if not w.startswith("-"):
+                given.append(w)
+        method = given.pop(0).upper() if given and re.fullmatch(r"[A-Za-z]+", given[0]) and len(given) > 1 else None
+        if not given:
+            continue
+        url = given.pop(0)
+        url = f"{scheme}://localhost{url}" if re.match(r":\d", url) else url if re.match(r"(?i)[a-z]+://|\{", url) else f"{scheme}://{url}"
+        query, headers, keys = [], [], []
+        for item in given:
+            if m := re.match(r"([^=:@]+)==(.*)", item):
+                query.append(f"{m[1]}={m[2]}")
+            elif m := re.match(r"([^=:@]+)(?::=|=|@)", item):
+                keys.append(m[1])
+            elif m := re.match(r"([^=:@]+):", item):
+                headers.append(m[1].lower())
+        url += ("&" if "?" in url else "?") + "&".join(query) if query else ""
+        out.append((number, "httpie", method or ("POST" if keys else "GET"), url, ",".join(headers), ",".join(keys), None))
+    return out
+
+
 _GRAPHQL = re.compile(r'#[^\n]*|"""(?s:.*?)"""|"(?:\\.|[^"\\\n])*"|\.\.\.|[A-Za-z_]\w*|-?\d+(?:\.\d+)?|[{}()\[\]:!=|@$&,]')
 #: Bounds of a document: characters, tokens, operations.
 GRAPHQL_CHARS, GRAPHQL_TOKENS, GRAPHQL_OPERATIONS = 100_000, 50_000, 50

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callscope.operators import detect, examples
+from callscope.functions import text
+from callscope.operators import detect, examples, frontend
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
 from callscope.sources import config
@@ -238,3 +239,36 @@ def sort02_front_end_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = spark.createDataFrame([(0, "typescript"), (1, "python"), (5, "shell"), (3, "php")], "ord int, language string")
     seen = spark.createDataFrame([("shell",), ("python",), ("typescript",), ("python",)], "language string").distinct()
     return order.join(seen, "language").select((F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("place"), "language")
+
+
+HTTPIE = Fixture("ht", "path string, body string", [("a.sh", "http POST api.acme.com/v1 name=x n:=1 X-Key:abc\nhttps a.io q==1\nhttp :3000/x\nls | grep http\n# http no.io")])
+
+
+@query("det16_httpie", golden("line, method, url, headers, body_keys", [(1, "POST", "http://api.acme.com/v1", "x-key", "name,n"), (2, "GET", "https://a.io?q=1", "", ""), (3, "GET", "http://localhost:3000/x", "", "")]))
+def det16_httpie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "line long, client string, method string, url string, headers string, body_keys string, problem string"
+    return frontend.scan_files(HTTPIE.df(spark), frontend.httpie_calls, schema).select("line", "method", "url", "headers", "body_keys")
+
+
+TAGGED = Fixture("tagged", "id bigint, code string", [(1, "var a = {{ user.id }};"), (2, "x(<%= y\nz %>, 1)"), (3, "plain"), (4, "{% if a %}f(){% endif %}")])
+
+
+@query("low10_template_tags", golden("id, code", [(1, "var a = " + "_" * 13 + ";"), (2, "x(_____\n____, 1)"), (3, "plain"), (4, "_" * 10 + "f()" + "_" * 11)]))
+def low10_template_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TAGGED.df(spark).select("id", text.without_templates(F.col("code")).alias("code"))
+
+
+ENVELOPES = Fixture("env", "path string, body string", [("1", '{"query": "query A { a { b } }", "variables": {}}'), ("2", '[{"query": "{ x }"}, {"query": "mutation M { y }"}]'), ("3", '{"operationName": "P", "extensions": {"persistedQuery": {"sha256Hash": "0"}}}'), ("4", '{"q": 1}')])
+
+
+@query("opn04_graphql_envelope", golden("path, type, name, fields", [("1", "query", "A", "a.b"), ("2", "query", "x", "x"), ("2", "mutation", "M", "y"), ("3", None, "P", None)]))
+def opn04_graphql_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of GraphQL bodies: one document, a batch, or a persisted query by its name."""
+    shape = "struct<query:string,operationName:string,extensions:struct<persistedQuery:string>>"
+    batch = F.ltrim("body").startswith("[")
+    many = F.coalesce(F.when(batch, F.from_json("body", f"array<{shape}>")), F.array(F.from_json("body", shape)))
+    each = ENVELOPES.df(spark).select("path", F.explode(many).alias("r"))
+    documents = each.filter("r.query is not null").select("path", F.col("r.query").alias("body"))
+    found = frontend.scan_files(documents, frontend.graphql_operations, "type string, name string, fields string, problem string").filter("problem is null").drop("problem")
+    named = each.filter("r.query is null and r.extensions.persistedQuery is not null").select("path", F.lit(None).cast("string").alias("type"), F.col("r.operationName").alias("name"), F.lit(None).cast("string").alias("fields"))
+    return found.union(named)
