@@ -193,10 +193,10 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
 
     ``docs``: (doc, tie, text); rows equal in doc and tie are repeated rows.
 
-    1. Every text is cut into stretches; anchors that occur once are done with.
-    2. Of the others, equal stretches are counted. One that occurs twice is covered whole, wherever
-       it stands; a group of copies is so settled by counting, with sums taken before rows move.
-    3. One text of each distinct stretch goes to its anchor's group, where a suffix array over the
+    1. Every text is cut into stretches.
+    2. Equal stretches are counted. One that occurs twice is covered whole, wherever it stands; a
+       group of copies is so settled by counting, with sums taken before rows move.
+    3. Of anchors with several distinct stretches, one text of each distinct stretch goes to its anchor's group, where a suffix array over the
        group compares it with the others. An anchor with over ``HOT`` distinct stretches sends its
        windows' digests to be counted instead, so that no task gathers it.
     """
@@ -218,10 +218,8 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
 
     kind = docs.schema["doc"].dataType.simpleString()
     runs = materialize(docs.mapInArrow(cut, f"doc {kind}, tie long, key long, digest long, start long, size int"), "repeats-runs")
-    shared = materialize(runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeats-keys")
-    among = runs.join(shared, "key")
-    # Which place of a stretch stands for it: the least.
-    each = materialize(among.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "start", "size")).alias("at")), "repeats-each")
+    # Which place of a stretch stands for it: the least. Copies are one row from here on.
+    each = materialize(runs.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "start", "size")).alias("at")), "repeats-each")
     copies = each.filter("n > 1").select("key", "digest")
     whole = runs.join(copies, ["key", "digest"]).select("doc", "tie", "start", (F.col("start") + F.col("size")).alias("end"))
     several = materialize(each.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "repeats-several")
