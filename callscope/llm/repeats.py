@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialize, small_batches
+from callscope.llm.common import materialize, release, small_batches
 
 #: Bytes of the substring that anchors a window.
 ANCHOR = 64
@@ -220,6 +220,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     runs = materialize(docs.mapInArrow(cut, f"doc {kind}, tie long, key long, digest long, start long, size int"), "repeats-runs")
     # Which place of a stretch stands for it: the least. Copies are one row from here on.
     each = materialize(runs.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "start", "size")).alias("at")), "repeats-each")
+    release(spark)
     copies = each.filter("n > 1").select("key", "digest")
     whole = runs.join(copies, ["key", "digest"]).select("doc", "tie", "start", (F.col("start") + F.col("size")).alias("end"))
     several = materialize(each.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "repeats-several")
@@ -245,6 +246,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
             )
 
     pieces = materialize(sent.mapInArrow(slices, f"doc {kind}, tie long, start long, key long, alone boolean, hot boolean, bytes binary"), "repeats-pieces")
+    release(spark)
     spans = f"doc {kind}, tie long, start long, end long"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +312,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 200, id_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), text).alias("tie"), text.alias("text"))
     found = materialize(repeated_spans(keyed.select("doc", "tie", "text"), window), "repeats-spans")
+    release(docs.sparkSession)
     joined = keyed.join(found, keyed["doc"].eqNullSafe(found["doc"]) & (keyed["tie"] == found["tie"]), "left").select(*[f"_k{i}" for i in range(len(keep))], "text", "spans")
     n = len(keep)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
