@@ -44,57 +44,65 @@ def segments(path: Column) -> Column:
     return F.when(parts[0] == "", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
-def url_shape(template: Column, via_const: Column) -> Column:
-    """Struct of host_kind, host, env_name, scheme, path, query (names), all from one template."""
-    text = F.ltrim(F.regexp_replace(template, r"(?i)^(\s*[a-z][a-z0-9+.-]*://)[^/?#@]*@", "$1"))
-    scheme = _none_if_empty(F.lower(F.regexp_extract(text, SCHEME, 1)))
-    behind = F.regexp_replace(text, SCHEME, "")
-    raw_host = F.regexp_extract(behind, r"^([^/?#]*)", 1)
-    rest = after(behind, raw_host)
-    prefix = F.lower(F.regexp_extract(raw_host, r"^([^{]*)", 1))
-    host = F.concat(prefix, after(raw_host, prefix))
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is worked out once a row: a generator keeps Catalyst from unfolding it into each of its uses."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_shape(rows: DataFrame, template: Column, via_const: Column, out: str = "u") -> DataFrame:
+    """Add a struct of host_kind, host, env_name, scheme, path and query (names), all from one URL template.
+
+    Null templates drop out, as they name no URL.
+    """
+    none = F.lit(None).cast("string")
+    text = F.ltrim(F.regexp_replace(template, r"(?i)^(\s*[a-z][a-z0-9+.-]*://)[^/?#]*@", "$1"))
+    rows = _once(rows.filter(template.isNotNull()), text, "_text")
+    t = F.col("_text")
+    raw_host = F.regexp_extract(t, r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    pieces = F.struct(
+        _none_if_empty(F.lower(F.regexp_extract(t, SCHEME, 1))).alias("scheme"),
+        raw_host.alias("host"),
+        F.regexp_extract(t, r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]*(.*)\z", 1).alias("rest"),
+        F.lower(F.regexp_extract(raw_host, r"^([^{]*)", 1)).alias("prefix"),
+        _none_if_empty(F.regexp_extract(t, r"^\{([^}]+)\}", 1)).alias("leading"),
+        F.regexp_replace(t, r"^\{[^}]+\}", "").alias("tail"),
+    )
+    rows = _once(rows, pieces, "_a")
+    scheme, prefix, tail, rest, leading = (F.col(f"_a.{c}") for c in ("scheme", "prefix", "tail", "rest", "leading"))
+    host = F.concat(prefix, after(F.col("_a.host"), prefix))
     env = _none_if_empty(F.regexp_extract(host, r"\{env:([^}]+)\}", 1))
     known = F.when(via_const, "const").otherwise("literal")
-    port_open = host.contains("{") & prefix.endswith(":")
-    path_open = host.contains("{") & (prefix.contains(".") | prefix.startswith("localhost")) & ~prefix.endswith(".")
-    leading = _none_if_empty(F.regexp_extract(text, r"^\{([^}]+)\}", 1))
-    tail = F.regexp_replace(text, r"^\{[^}]+\}", "")
+    path_open = (prefix.contains(".") | prefix.startswith("localhost")) & ~prefix.endswith(".")
     lead_env = _none_if_empty(F.regexp_extract(leading, r"^env:(.*)\z", 1))
-    own_path = lead_env.rlike(fixed.PATH_PREFIX_ENV) & tail.startswith("/")
     slashed = F.when((tail == "") | tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))
-    none = F.lit(None).cast("string")
 
     def found(kind: Column | str, host_: Column, env_: Column, rest_: Column) -> Column:
         return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), host_.alias("host"), env_.alias("env"), rest_.alias("rest"))
 
     place = (
         F.when(scheme.isNotNull() & env.isNotNull(), found("env", host, env, rest))
-        .when(scheme.isNotNull() & port_open, found(known, host, none, rest))
-        .when(scheme.isNotNull() & path_open, found(known, prefix, none, F.concat(F.lit("/"), after(host, prefix), rest)))
+        .when(scheme.isNotNull() & host.contains("{") & prefix.endswith(":"), found(known, host, none, rest))
+        .when(scheme.isNotNull() & host.contains("{") & path_open, found(known, prefix, none, F.concat(F.lit("/"), after(host, prefix), rest)))
         .when(scheme.isNotNull() & host.contains("{"), found("unknown", host, none, rest))
         .when(scheme.isNotNull(), found(known, host, none, rest))
-        .when(own_path, found("relative", none, none, tail))
+        .when(lead_env.rlike(fixed.PATH_PREFIX_ENV) & tail.startswith("/"), found("relative", none, none, tail))
         .when(lead_env.isNotNull(), found("env", none, lead_env, slashed))
         .when(leading.isNotNull(), found("unknown", none, none, slashed))
-        .otherwise(found("relative", none, none, text))
+        .otherwise(found("relative", none, none, F.col("_text")))
     )
-    plain = F.substring_index(place["rest"], "#", 1)
-    query = F.split_part(plain, F.lit("?"), F.lit(2))
-    names = F.transform(F.split(query, "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
+    rows = _once(rows, place, "_p")
+    plain = F.substring_index("_p.rest", "#", 1)
+    names = F.transform(F.split(F.split_part(plain, F.lit("?"), F.lit(2)), "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
     names = F.filter(names, lambda k: (k != "") & safe_key(k) & ~k.contains("{"))
-    return F.struct(
-        place["kind"].alias("host_kind"),
-        place["host"].alias("host"),
-        place["env"].alias("env_name"),
+    shape = F.struct(
+        F.col("_p.kind").alias("host_kind"),
+        F.col("_p.host").alias("host"),
+        F.col("_p.env").alias("env_name"),
         scheme.alias("scheme"),
         canonical_path(F.split_part(plain, F.lit("?"), F.lit(1))).alias("path"),
         names.alias("query"),
     )
-
-
-def with_shape(rows: DataFrame, template: Column, via_const: Column, out: str = "u") -> DataFrame:
-    """Add the shape as a struct that is worked out once a row: a generator keeps its fields from being unfolded into copies of the whole expression."""
-    return rows.select("*", F.explode(F.array(url_shape(template, via_const))).alias(out))
+    return _once(rows, shape, out).drop("_text", "_a", "_p")
 
 
 def dot_segments(path: Column) -> Column:

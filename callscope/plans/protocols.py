@@ -288,8 +288,8 @@ QUERY = Fixture("qy", "id bigint, url string, given array<string>", [(1, "https:
 
 @query("res17_query_names", golden("id, names", [(1, "a,b,c"), (2, "z"), (3, "q")]))
 def res17_query_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array_distinct(F.concat(urls.url_shape(F.col("url"), F.lit(False))["query"], F.col("given")))
-    return QUERY.df(spark).select("id", F.array_join(names, ",").alias("names"))
+    names = F.array_distinct(F.concat("u.query", "given"))
+    return urls.with_shape(QUERY.df(spark), F.col("url"), F.lit(False)).select("id", F.array_join(names, ",").alias("names"))
 
 
 CURL = Fixture("cu", "id bigint, method string, url string, body string", [(1, "GET", "https://a.io/x", None), (2, "POST", "https://a.io/it's", '{"q": "it\'s"}')])
