@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm.common import materialize, shuffle_partitions, small_batches
@@ -98,20 +99,10 @@ def buckets(prints: DataFrame, blocks: range, bits: int, radius: int, *more: str
     return each.select(F.xxhash64(F.col("k.t"), F.expr("element_at(f, k.b) & k.m")).alias("bucket"), "id", F.col("k.t").alias("t"), *more)
 
 
-def distance(a: Column, b: Column, blocks: int) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, blocks)), F.bit_count(a[0].bitwiseXOR(b[0])))
-
-
 def _pairs(found: DataFrame) -> DataFrame:
     return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, blocks: int, limit: int) -> DataFrame:
-    left = prints.select(F.col("id").alias("a"), F.col("f").alias("fa"))
-    right = prints.select(F.col("id").alias("b"), F.col("f").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").filter(distance(F.col("fa"), F.col("fb"), blocks) <= limit).select("a", "b")
-
-
 def link_within(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     """(node, root): components of fingerprints of one block that differ in at most ``radius`` bits. No link is lost.
 
@@ -138,14 +129,14 @@ def link_within(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     if not counts[1]:
         return components(edges)
     labels = materialize(components(edges), "sim-labels")
-    open_ = _open(members.filter(F.col("n") > SMALL_BUCKET), labels)
+    open_ = _open(members.filter(F.col("n") > SMALL_BUCKET).drop("n"), labels)
     more = _midpoint_pairs(open_, covering_masks(bits, radius), bits, radius)
     return components(edges.union(_pairs(more).filter(near("a", "b"))))
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that still hold several components, with their roots."""
-    kept = [c for c in ("bucket", "id", "t") if c in members.columns]
+    kept = [c for c in ("bucket", "id", "t", "n") if c in members.columns]
     rooted = members.drop("root").join(labels, F.col("id") == F.col("node"), "left").select(*kept, F.coalesce("root", "id").alias("root"))
     rooted = materialize(rooted, "sim-rooted")
     split = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
@@ -156,37 +147,6 @@ def _stars(labels: DataFrame) -> DataFrame:
     return labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def link_similar(prints: DataFrame, blocks: int, bits: int, radius: int, limit: int) -> DataFrame:
-    """(node, root): components of fingerprints of which at most ``limit`` of the ``blocks * bits`` bits differ.
-
-    Compared are all that are within ``radius`` in some block, and chance meetings. The first block
-    goes first: most groups of copies are whole after it, and a bucket of the other blocks whose
-    members are in one component already has nothing to add. In the others every member meets the
-    least member, and members left in different components meet inside a join: no pair of
-    fingerprints that share a bucket stays undecided.
-    """
-    known, labels = prints.withColumn("root", F.col("id")), None
-    for part in (range(1), range(1, blocks)):
-        # One shuffle for both: the bucket's ends and its members, which stream past them.
-        each = buckets(known, part, bits, radius, "root").drop("t").repartition("bucket")
-        ends = each.groupBy("bucket").agg(F.min("id").alias("lo"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket", "lo")
-        members = materialize(each.join(ends.hint("merge"), "bucket"), "sim-members")
-        found = members.select(F.col("lo").alias("a"), F.col("id").alias("b"))
-        new = _verified(_pairs(found), prints, blocks, limit)
-        # What is known goes on as one edge from each member to its root: the next round starts from there.
-        labels = materialize(components(new if labels is None else new.union(_stars(labels))), "sim-labels")
-        own = materialize(_open(members, labels).join(prints, "id"), "sim-across")
-        x, y = (own.select("bucket", F.col("id").alias(i), F.col("root").alias(f"r{i}"), F.col("f").alias(f"f{i}")) for i in "ab")
-        across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (distance(F.col("fa"), F.col("fb"), blocks) <= limit))
-        across = materialize(across.select("a", "b"), "sim-edges")
-        if not across.isEmpty():
-            labels = materialize(components(across.union(_stars(labels))), "sim-labels")
-        if part.stop == blocks:
-            return labels
-        known = materialize(prints.join(labels, F.col("id") == F.col("node"), "left").select("id", "f", F.coalesce("root", "id").alias("root")), "sim-known")
-    return labels
-
-
 def _midpoint_pairs(open_: DataFrame, masks: list[int], bits: int, radius: int) -> DataFrame:
     """Pairs (a, b) of members of a large bucket that share a midpoint; ids are the fingerprints.
 
@@ -205,7 +165,7 @@ def _midpoint_pairs(open_: DataFrame, masks: list[int], bits: int, radius: int)
     return under.join(least.select("bucket", "z", "a"), ["bucket", "z"]).select("a", F.col("id").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, blocks: int = 1, bits: int = 64, radius: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``keep``, ``f`` (its fingerprint blocks) and ``component_id``.
 
     ``component_id`` is the smallest id of all documents reachable over links, itself included.
@@ -213,11 +173,10 @@ def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, blocks: in
     Rows with a null id take part and do not lend their id; a component of null ids only has a null
     ``component_id``. Equal fingerprints are one node, so copies never become pairs.
     """
-    printed = materialize(simhash(docs, keep, width, blocks, bits, text_col), "sim-docs")
-    node = F.col("f")[0] if blocks == 1 else F.xxhash64("f")
-    nodes = materialize(printed.groupBy("f").agg(F.min(id_col).alias("least")).withColumn("id", node), "sim-nodes")
+    printed = materialize(simhash(docs, keep, width, 1, bits, text_col), "sim-docs")
+    nodes = materialize(printed.groupBy("f").agg(F.min(id_col).alias("least")).withColumn("id", F.col("f")[0]), "sim-nodes")
     prints = nodes.select("id", "f")
-    roots = materialize(link_within(prints, bits, radius) if blocks == 1 else link_similar(prints, blocks, bits, radius, limit), "sim-roots")
+    roots = materialize(link_within(prints, bits, radius), "sim-roots")
     named = nodes.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     named = materialize(named.select("f", "root", "least"), "sim-named")
     firsts = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "sim-firsts")
@@ -225,21 +184,107 @@ def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, blocks: in
     return printed.join(of, F.col("f") == F.col("_f"), "left").drop("_f")
 
 
-#: The settings for similar texts: five words, and six blocks of 56 bits, of which a mask keeps 29: few chance
-#: meetings. Two texts whose shingles have a similarity of 0.8 (Jaccard) differ in 15 of 100 bits; they meet in some
-#: table with probability 0.8, at 0.85 with 0.97; 61 of 336 bits is 1.5 standard deviations above the mean at 0.8.
-SIMILAR = {"width": 5, "blocks": 6, "bits": 56, "radius": 4, "limit": 61}
+#: Similar texts have this Jaccard similarity of their sets of five-word shingles, or more.
+SIMILARITY, WIDTH = 0.8, 5
+#: They are found under ``BANDS`` keys of ``ROWS`` least hashes each. Two texts of similarity j share some key with
+#: probability 1 - (1 - j^7)^32: 0.999 at 0.8, 0.22 at 0.5, 0.007 at 0.3.
+BANDS, ROWS = 32, 7
+
+_DRAWN = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS, ROWS, 1), dtype=np.uint64)
+_FACTORS, _SHIFTS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A key for each band from its least hashes; no keys of no shingles."""
+    if not len(shingles):
+        return []
+    least = [((shingles ^ _SHIFTS[b]) * _FACTORS[b]).min(axis=1) for b in range(BANDS)]
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least)]
+
+
+def shingle_sets(docs: DataFrame, keep: list[str], text_col: str, whole: bool = False) -> DataFrame:
+    """``keep``, ``id`` (a digest of the set of shingles), and ``n`` (its size) and ``bands``; if ``whole``, ``shingles`` instead: the sorted set."""
+    small_batches(docs.sparkSession)
+    source = docs.select(*keep, F.col(text_col).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py(), WIDTH)) for text in batch.column(len(keep))]
+            ids = pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sets], pa.int64())
+            if whole:
+                more = {"shingles": pa.array([x.tobytes() for x in sets], pa.binary())}
+            else:
+                more = {"n": pa.array(map(len, sets), pa.int64()), "bands": pa.array(map(band_keys, sets), pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids, *more.values()], names=[*keep, "id", *more])
+
+    fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
+    return source.mapInArrow(run, f"{fields}id long, {'shingles binary' if whole else 'n long, bands array<bigint>'}")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets have the similarity asked for, counted exactly. ``sets``: (id, shingles)."""
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(common >= SIMILARITY * (len(x) + len(y) - common))
+        return pd.Series(out, dtype=bool)
+
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("fa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("fb"))
+    return pairs.join(right, "b").join(left, "a").filter(alike("fa", "fb")).select("a", "b")
+
+
+def link_similar(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, root): components of sets of shingles with a similarity of ``SIMILARITY`` or more.
+
+    ``nodes``: (id, n, bands, least), one row for each distinct set, already written; ``keyed``: (_id,
+    _tie, _text), which holds the text of each under ``least``. Sets meet under equal keys and are linked only if their exact similarity is high
+    enough. First each one meets one of its least partners, then the least member of each bucket that
+    is still in several components, then in the buckets left all members of different components: no
+    pair that shares a key stays undecided.
+    """
+    each = nodes.select("id", "n", F.explode("bands").alias("bucket")).repartition("bucket")
+    ends = each.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket", "lo")
+    members = materialize(each.join(ends.hint("merge"), "bucket"), "near-members")
+    met = members.select("id").distinct()
+    texts = keyed.join(nodes.join(met, "id", "left_semi").select("least.*"), ["_id", "_tie"])
+    sets = materialize(shingle_sets(texts, [], "_text", whole=True).dropDuplicates(["id"]), "near-sets")
+    stars = members.filter("lo <> id").groupBy("id").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    labels = materialize(components(_similar(stars, sets)), "near-labels")
+
+    open_ = _open(members.select("bucket", "id", "n"), labels)
+    least = open_.groupBy("bucket").agg(F.min("id").alias("lo"))
+    found = open_.join(materialize(least, "near-least"), "bucket").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    labels = materialize(components(_similar(_pairs(found), sets).union(_stars(labels))), "near-labels")
+
+    own = _open(open_.select("bucket", "id", "n"), labels)
+    x, y = (own.select("bucket", F.col("id").alias(i), F.col("root").alias(f"r{i}"), F.col("n").alias(f"n{i}")) for i in "ab")
+    sizes = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")  # else their similarity is less, whatever they share
+    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & sizes)
+    links = materialize(_similar(_pairs(across.select("a", "b")), sets), "near-links")
+    return labels if links.isEmpty() else materialize(components(links.union(_stars(labels))), "near-labels")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, with its columns as they are: the one of the smallest id (nulls last).
 
-    Copies and repeated rows are in one group; of several rows with the same id and text one stays.
+    Copies and repeated rows are in one group, and so are texts without words; null texts are empty.
+    Of several rows with the same id and text one stays.
     """
     tie = F.xxhash64(F.col(text_col))
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_tie": tie})
-    grouped = near_duplicates(keyed, ["_id", "_tie"], **SIMILAR, id_col="_id", text_col=text_col)
-    first = materialize(grouped.filter(F.col("_id") == F.col("component_id")).groupBy("_id").agg(F.min("_tie").alias("_tie"), F.count("*").alias("n")), "sim-first")
+    printed = materialize(shingle_sets(keyed, ["_id", "_tie"], text_col), "near-docs")
+    nodes = materialize(printed.groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("_id", "_tie")).alias("least")), "near-nodes")
+    roots = link_similar(nodes, keyed.select("_id", "_tie", F.col(text_col).alias("_text")))
+    grouped = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+    of = materialize(grouped, "near-of")
+    rooted = printed.select("id", "_id", "_tie").join(of, "id")
+    least = materialize(rooted.groupBy("root").agg(F.min("_id").alias("_id")), "near-least")
+    first = materialize(rooted.join(least, ["root", "_id"]).groupBy("_id").agg(F.min("_tie").alias("_tie"), F.count("*").alias("n")), "near-first")
     kept = keyed.join(first.select("_id", "_tie"), ["_id", "_tie"], "left_semi")
     if (first.agg(F.max("n")).first()[0] or 1) > 1:
         kept = kept.dropDuplicates(["_id", "_tie"])

@@ -188,6 +188,25 @@ def test_near_copies_leave_one(spark, docs):
     assert set(range(24)) <= ids and sum(r.doc_id == 3 for r in rows) == 1
 
 
+def test_similar_texts_meet_and_are_counted(spark):
+    """Isolated pairs of similarity 0.80 to 0.82 lose one of the two, pairs of 0.70 to 0.79 none."""
+    rng = random.Random(12)
+    rows, near, far = [], [], []
+    for i in range(120):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(404)]
+        # A word changed at a distance from the others changes five of the 400 shingles.
+        changed = 8 if i < 60 else 10 + i % 4
+        other = list(words)
+        for k in range(changed):
+            other[10 + 20 * k] = f"new{rng.randrange(10**6)}"
+        a, b = (set(simhash.shingle_hashes(" ".join(w), 5).tolist()) for w in (words, other))
+        (near if len(a & b) / len(a | b) >= 0.8 else far).append(2 * i + 1)
+        rows += [(2 * i, " ".join(words), "s", 1), (2 * i + 1, " ".join(other), "s", 1)]
+    assert len(near) == len(far) == 60
+    ids = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DDL)).collect()}
+    assert sum(i in ids for i in near) <= 1 and all(i in ids for i in far) and all(2 * i in ids for i in range(120))
+
+
 def test_lm_scores(spark, docs, empty):
     rows = [r for r in docs.collect()]
     got = lm.score_documents(docs).collect()
