@@ -273,7 +273,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each group of near copies, with its columns as they are: the one of the smallest id (nulls last).
 
     Copies and repeated rows are in one group, and so are texts without words; null texts are empty.
-    Of several rows with the same id and text one stays.
+    Of several rows with the same id and text one stays; rows of one id, or of none, with unlike texts
+    are different documents.
     """
     tie = F.xxhash64(F.col(text_col))
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_tie": tie})
@@ -283,8 +284,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     grouped = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     of = materialize(grouped, "near-of")
     rooted = printed.select("id", "_id", "_tie").join(of, "id")
-    least = materialize(rooted.groupBy("root").agg(F.min("_id").alias("_id")), "near-least")
-    first = materialize(rooted.join(least, ["root", "_id"]).groupBy("_id").agg(F.min("_tie").alias("_tie"), F.count("*").alias("n")), "near-first")
+    first = rooted.groupBy("root", "_id", "_tie").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("_id", "_tie", "n")).alias("first"))
+    first = materialize(first.select("first.*"), "near-first")
     kept = keyed.join(first.select("_id", "_tie"), ["_id", "_tie"], "left_semi")
     if (first.agg(F.max("n")).first()[0] or 1) > 1:
         kept = kept.dropDuplicates(["_id", "_tie"])

@@ -188,6 +188,14 @@ def test_near_copies_leave_one(spark, docs):
     assert set(range(24)) <= ids and sum(r.doc_id == 3 for r in rows) == 1
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, 40) for _ in range(8)]
+    rows = [(None, t, "s", 1) for t in texts[:4]] + [(7, t, "s", 1) for t in texts[4:7]] + [(8, texts[7], "s", 1), (None, texts[7], "s", 1), (None, texts[0], "s", 1), (7, texts[4], "s", 1)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DDL)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(8, texts[7])])
+
+
 def test_similar_texts_meet_and_are_counted(spark):
     """Isolated pairs of similarity 0.80 to 0.82 lose one of the two, pairs of 0.70 to 0.79 none."""
     rng = random.Random(12)
