@@ -396,6 +396,34 @@ def test_leaks_are_found(spark, empty):
     assert decontaminate.find_leaks(empty, bench, ["doc_id"]).count() == 0 and decontaminate.find_leaks(d, bench.limit(0), ["doc_id"]).count() == 0
 
 
+def edited_bytes(rng, text, edits, kinds):
+    out = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out)), rng.choice(kinds)
+        out[at : at + (kind != "insert")] = [] if kind == "delete" else [rng.choice("abcdefghij")]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("size", [16, 24, 39, 40, 90, 240, 390])
+def test_leaks_against_brute_force(size):
+    """Items with 5 to 10% of their bytes edited, some behind punctuation: found as brute force over all items finds them."""
+    rng = random.Random(size)
+    items = [(i, prose(rng, 80)[:size].strip().ljust(size, "x")) for i in range(24)]
+    texts = []
+    for i, item in items:
+        k = max(1, int(size * (0.05, 0.08, 0.1)[i % 3]))
+        texts.append(prose(rng, 12) + (" ", " (", "-")[i % 3 - 1] + edited_bytes(rng, item, k, ["change"] if i % 2 else ["change", "insert", "delete"]) + ", " + prose(rng, 12))
+    index = decontaminate.WalkIndex(items, 3, 0.1, 7)
+    got = {(row, item): d for row, item, d, _ in index.matches(texts)}
+    brute = {}
+    for row, text in enumerate(texts):
+        for n, (_, item) in enumerate(items):
+            d = decontaminate.edit_distance_within(decontaminate.normalise(item), decontaminate.normalise(text))[0]
+            if d <= int(len(decontaminate.normalise(item)) * 0.1):
+                brute[row, n] = d
+    assert len(brute) >= 20 and got == brute
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "item_blocks", lambda items, i, t, block_bytes=10: iter([[(r[0], r[1])] for r in items.select(i, t).collect()]))
     text = prose(random.Random(1), 40)
