@@ -14,7 +14,7 @@ from callscope.llm.common import small_batches
 
 #: Bytes of item text that one pass over the documents holds; larger benchmarks take several passes.
 BLOCK_BYTES = 4 << 20
-#: Items with fewer normalised bytes cannot be told from chance and are never reported.
+#: Items with fewer normalised bytes are found as they are, between word bounds; edited ones cannot be told from chance.
 LEAST_BYTES = 16
 #: Window lengths; an item is searched by windows of the longest that fits.
 WINDOWS = (64, 32, 16)
@@ -122,6 +122,18 @@ class GramIndex:
                 yield n, first, first + 2 * width - 1
 
 
+def bounded_end(pattern: bytes, text: bytes) -> int:
+    """Where the first ``pattern`` in ``text`` ends that no letter or digit goes on with at either side; -1 if there is none."""
+    at = text.find(pattern)
+    while at >= 0:
+        end = at + len(pattern)
+        before, behind = text[max(0, at - 4) : at].decode("utf-8", "replace")[-1:], text[end : end + 4].decode("utf-8", "replace")[:1]
+        if not before.isalnum() and not behind.isalnum():
+            return end
+        at = text.find(pattern, at + 1)
+    return -1
+
+
 class WalkIndex:
     """Sampled bits of the items' windows, by window length and repetition.
 
@@ -133,13 +145,18 @@ class WalkIndex:
 
     def __init__(self, items: list[tuple[object, str | None]], repetitions: int, edits: float, seed: int):
         self.edits = edits
-        self.items = [(i, d) for i, t in items if len(d := normalise(t)) >= LEAST_BYTES]
+        every = [(i, d) for i, t in items if (d := normalise(t))]
+        self.items = [x for x in every if len(x[1]) >= LEAST_BYTES]
+        self.short: dict[bytes, list[int]] = defaultdict(list)
+        for n, (_, d) in enumerate(x for x in every if len(x[1]) < LEAST_BYTES):
+            self.short[d].append(len(self.items) + n)
         self.grams = GramIndex(self.items, edits)
         self.classes: list[tuple[int, list[tuple]]] = []
         for length in WINDOWS:
             windows = [w for n, (_, d) in enumerate(self.items) if next(x for x in WINDOWS if x <= len(d)) == length for w in self._windows(n, d, length)]
             if windows:
                 self.classes.append((length, [self._table(windows, length, np.random.default_rng([seed, length, r])) for r in range(repetitions)]))
+        self.items += [x for x in every if len(x[1]) < LEAST_BYTES]
 
     @staticmethod
     def _windows(n: int, data: bytes, length: int) -> list[tuple[int, int]]:
@@ -228,6 +245,10 @@ class WalkIndex:
             for item, first, last in self.grams.candidates(d):
                 size, allowed = len(self.items[item][1]), int(len(self.items[item][1]) * self.edits)
                 verify(row, item, max(0, first - allowed), max(0, last + size + 2 * allowed + 1))
+            for pattern, numbers in self.short.items():
+                end = bounded_end(pattern, d)
+                if end >= 0:
+                    best.update({(row, n): (0, end) for n in numbers})
         for (row, item), (distance, end) in sorted(best.items()):
             yield row, item, distance, end
 
@@ -255,7 +276,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], item_col:
     counts of common grams lead to the rest, so that no stretch within the distance is missed
     (``edits`` below 0.5).
 
-    Null and empty texts, and items under 16 bytes, have no matches; repeated items and rows each
+    Items under 16 bytes are found only as they are, between word bounds. Null and empty texts and
+    items have no matches; repeated items and rows each
     get their rows; benchmarks of over 4 MB are searched in several passes.
     """
     small_batches(docs.sparkSession, 256)

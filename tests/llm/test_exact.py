@@ -424,6 +424,14 @@ def test_leaks_against_brute_force(size):
     assert len(brute) >= 20 and got == brute
 
 
+def test_short_leaks(spark):
+    d = spark.createDataFrame([(1, "It is (Red  Stone), so", "s", 1), (2, "scarred stones", "s", 1), (3, "red stone", "s", 1), (4, None, "s", 1), (5, "a scarred stone, a red stone", "s", 1), (6, "éred stone", "s", 1)], DDL)
+    bench = spark.createDataFrame([(1, "red stone"), (2, "RED stone "), (3, ""), (4, None), (5, "it")], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.distance, r.end_byte) for r in decontaminate.find_leaks(d, bench, ["doc_id"]).collect()]
+    assert sorted(got) == [(1, 1, 0, 16), (1, 2, 0, 16), (1, 5, 0, 2), (3, 1, 0, 9), (3, 2, 0, 9), (5, 1, 0, 28), (5, 2, 0, 28)]
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, bench).collect()} == {2, 4, 6}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "item_blocks", lambda items, i, t, block_bytes=10: iter([[(r[0], r[1])] for r in items.select(i, t).collect()]))
     text = prose(random.Random(1), 40)
