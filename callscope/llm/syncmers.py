@@ -25,17 +25,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _whole(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(1, np.int64), np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), "<u8")
+
+
 def closed_syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Positions and 64-bit hashes of the closed syncmers of ``data``.
 
     A k-mer is one if the smallest hash among its s-mers is that of its first or last s-mer. Whether
     it is depends on its own bytes alone, so equal stretches of two texts have equal anchors wherever
-    they stand. Data shorter than a k-mer is one anchor at 0; empty data has none.
+    they stand. Data shorter than a k-mer, or without a closed syncmer (up to 38 bytes can be), is
+    one anchor at 0; empty data has none.
     """
     if not data:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(data) < K:
-        return np.zeros(1, np.int64), np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), "<u8")
+        return _whole(data)
     bytes_ = np.frombuffer(data, np.uint8)
     n = len(bytes_) - S + 1
     inner = np.zeros(n, np.uint64)
@@ -50,6 +55,8 @@ def closed_syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if width < span:
         least = np.minimum(least[: n - span + 1], least[span - width : span - width + n - span + 1])
     at = np.nonzero((h[: n - span + 1] == least) | (h[span - 1 :] == least))[0]
+    if not len(at):
+        return _whole(data)
     return at, _mix(h[at] + np.uint64(3) * h[at + S] + np.uint64(7) * h[at + 2 * S])
 
 

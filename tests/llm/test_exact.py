@@ -307,6 +307,13 @@ def test_syncmers(docs, empty):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_every_text_has_an_anchor():
+    rng = random.Random(4)
+    texts = [prose(rng, 12).encode()[:size] for size in range(1, 45) for _ in range(20)] + [b"Antion onertion inhash thon of."]
+    assert sum(not len(syncmers.closed_syncmers(t)[1]) for t in texts) == 0
+    assert syncmers.likeness(syncmers.sketch(texts[-1]), syncmers.sketch(b"other words, of equal length...")) < 1
+
+
 def brute_repeats(texts, window):
     data = [(t or "").encode() for t in texts]
     counts = Counter(d[p : p + window] for d in data for p in range(len(d) - window + 1))
