@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,8 @@ from callscope.llm.common import shuffle_partitions, small_batches
 
 #: Bytes of a k-mer, and of the inner substring whose minimum must lie at an edge.
 K, S = 24, 8
-#: Anchors kept in a fingerprint: the ones with the smallest hashes.
-SKETCH = 128
+#: Characters of fingerprints in one batch of results.
+BATCH_BYTES = 16 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,22 +62,64 @@ def closed_syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, _mix(h[at] + np.uint64(3) * h[at + S] + np.uint64(7) * h[at + 2 * S])
 
 
-def sketch(data: bytes, size: int = SKETCH) -> np.ndarray:
-    """The ``size`` smallest distinct anchor hashes, ascending: a uniform sample over the whole text."""
-    h = np.unique(closed_syncmers(data)[1])
-    return h[:size]
+@dataclass
+class Sketch:
+    """All anchors of a text in its order, and the order of their keys: equal hashes are numbered from the front."""
 
+    at: np.ndarray
+    hashes: np.ndarray
+    keys: np.ndarray  # sorted
+    order: np.ndarray  # the anchor of each key
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Estimated share of common anchors among all of both (Jaccard), 0 to 1, from two sketches; two empty ones are alike."""
-    union = np.union1d(a, b)[:size]
-    if not len(union):
+
+def sketch(data: bytes) -> Sketch:
+    at, hashes = closed_syncmers(data)
+    order = np.argsort(hashes, kind="stable")
+    keys = hashes[order]
+    repeats = np.arange(len(keys)) - np.searchsorted(keys, keys)
+    if repeats.any():
+        keys = np.where(repeats > 0, _mix(keys + repeats.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), keys)
+        again = np.argsort(keys, kind="stable")
+        keys, order = keys[again], order[again]
+    return Sketch(at, hashes, keys, order)
+
+
+def _rising(x: np.ndarray) -> int:
+    """Length of the longest rising subsequence."""
+    if (x[1:] > x[:-1]).all():
+        return len(x)
+    tails: list[int] = []
+    for v in x.tolist():
+        if not tails or v > tails[-1]:
+            tails.append(v)
+        else:
+            tails[bisect_left(tails, v)] = v
+    return len(tails)
+
+
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Share of anchors that match by position, among all of both (Jaccard), 0 to 1; two empty texts are alike.
+
+    The first anchor of a hash in one text meets the first in the other, the second the second, and
+    so on; of these meetings the most that stand in the same order in both texts count.
+    """
+    if not len(a.keys) and not len(b.keys):
         return 1.0
-    return float((np.isin(union, a) & np.isin(union, b)).sum() / len(union))
+    if not len(a.keys) or not len(b.keys):
+        return 0.0
+    place = np.minimum(np.searchsorted(b.keys, a.keys), len(b.keys) - 1)
+    met = b.keys[place] == a.keys
+    partner = np.full(len(a.keys), -1)
+    partner[a.order[met]] = b.order[place[met]]
+    common = _rising(partner[partner >= 0])
+    return common / (len(a.keys) + len(b.keys) - common)
 
 
-def _text(h: np.ndarray) -> str:
-    return h.astype(">u8").tobytes().hex()
+def _text(s: Sketch) -> str:
+    """Each anchor's hash and position, 16 and 8 hexadecimal digits, in the order of the text."""
+    out = np.empty(len(s.at), [("hash", ">u8"), ("at", ">u4")])
+    out["hash"], out["at"] = s.hashes, s.at
+    return out.tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -143,6 +187,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        written = 0
         held = None  # (part, id, text, sketch) of the document that waits for the next one
         for part, id_, text, tail in rows(batches):
             own = sketch(text.encode()) if not tail or held and held[0] == part else None
@@ -151,10 +196,11 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 changed = edited(held_text, text).encode()
                 other = sketch(changed)
                 out.append((None if held_id == _LAST else held_id, len(held_text), hashlib.sha256(changed).hexdigest(), _text(held_sketch), _text(other), likeness(held_sketch, other), likeness(held_sketch, own)))
+                written += len(out[-1][3]) + len(out[-1][4])
             held = None if tail else (part, id_, text, own)
-            if len(out) >= 500:
+            if len(out) >= 500 or written > BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                out = []
+                out, written = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 

@@ -307,6 +307,23 @@ def test_syncmers(docs, empty):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_long_texts_match_by_position():
+    """An edit in the middle of a long text shows, a shared passage shows, and so does order."""
+    rng = random.Random(5)
+    text, other, passage = (prose(rng, n).encode() for n in (12000, 12000, 40))
+    middle = len(text) // 2
+    changed = text[:middle] + prose(rng, 12).encode()[:80] + text[middle + 80 :]
+    one, two = syncmers.sketch(text), syncmers.sketch(changed)
+    assert syncmers._text(one) != syncmers._text(two) and 0.99 < syncmers.likeness(one, two) < 1
+    apart = syncmers.likeness(one, syncmers.sketch(other))
+    shared = syncmers.likeness(syncmers.sketch(text[:middle] + passage + text[middle:]), syncmers.sketch(other[:99] + passage + other[99:]))
+    assert shared > apart
+    swapped = syncmers.likeness(one, syncmers.sketch(text[middle:] + text[:middle]))
+    assert 0.3 < swapped < 0.4
+    at, hashes = syncmers.closed_syncmers(text)
+    assert len(syncmers._text(one)) == 24 * len(at) and syncmers._text(one)[-24:] == f"{hashes[-1]:016x}{at[-1]:08x}"
+
+
 def test_every_text_has_an_anchor():
     rng = random.Random(4)
     texts = [prose(rng, 12).encode()[:size] for size in range(1, 45) for _ in range(20)] + [b"Antion onertion inhash thon of."]
