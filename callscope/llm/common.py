@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,22 +33,60 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+#: While it is on, Spark deletes the shuffle files of a step when that step has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within the block, each finished step's shuffle files go at once; the session's setting is put back after it."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    with dropped_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: what is read again does not depend on shuffle files of lost executors,
-    and every later use sees the same rows. Tables stay until the folder is cleared.
+    and every later use sees the same rows. The table stays until the folder is cleared, so this is
+    for what a returned table reads; what only the steps of a function read goes through :class:`Scratch`.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/callscope/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(df.sparkSession)}/callscope/{label}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Written tables that are deleted when the block ends, or before: ``with Scratch(spark) as keep: t = keep(df, "label")``."""
 
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, {}
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now; it does so once the JVM finds their plans unused."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self._spark)}/callscope/{label}-{uuid.uuid4().hex}"
+        out = _write(df, path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for table in tables:
+            path = self._spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(table))[1])
+            path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[table for table, _ in list(self._paths.values())])
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -62,6 +100,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def others(columns: Sequence[str], own: Sequence[str]) -> list[str]:
+    """``columns`` without those named like one of an operator's ``own``, which replaces it; case does not matter."""
+    taken = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def named(column: str) -> Column:
+    """The column of that very name, whatever marks it holds."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets a working column's."""
+    return F.struct(*[named(c) for c in docs.columns])
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(column, UPPER, LOWER)

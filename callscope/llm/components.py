@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialize
+from callscope.llm.common import Scratch, materialize
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(pairs: DataFrame, smaller_only: bool) -> DataFrame:
+def _star(pairs: DataFrame, smaller_only: bool, keep: Scratch) -> DataFrame:
     """Link the neighbours of each node to its least neighbour. ``pairs``: (u, v), v a neighbour of u."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     # Written first, so that both sides of the join are plain exchanges whose hot keys Spark can split.
-    least = materialize(least, "cc-least")
+    least = keep(least, "cc-least")
     joined = pairs.join(least, "u")
     if smaller_only:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -32,12 +32,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round halves path lengths at least; a node's edges are never gathered in one task (the
     minimum is taken by partial aggregation). Rounds are written to the shared folder.
     """
-    now = materialize(edges.select("a", "b").filter("a <> b").distinct(), "cc-edges")
-    seen = None
-    while (mark := _fingerprint(now)) != seen and mark[0]:
-        seen = mark
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = materialize(_star(both, smaller_only=False), "cc-large")
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        now = materialize(_star(down, smaller_only=True), "cc-small")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    with Scratch(edges.sparkSession) as keep:
+        now = keep(edges.select("a", "b").filter("a <> b").distinct(), "cc-edges")
+        seen = None
+        while (mark := _fingerprint(now)) != seen and mark[0]:
+            seen = mark
+            both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            large = keep(_star(both, smaller_only=False, keep=keep), "cc-large")
+            keep.drop(now)
+            down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            now = keep(_star(down, smaller_only=True, keep=keep), "cc-small")
+            keep.drop(large)
+        nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")))
+        return materialize(nodes.distinct(), "cc-roots")

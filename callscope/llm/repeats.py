@@ -7,19 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialize, release, small_batches
+from callscope.llm.common import Scratch, materialize, small_batches
 
 #: Bytes of the substring that anchors a window.
 ANCHOR = 64
 #: Texts are anchored in pieces of this many bytes; positions in a piece fit 24 bits.
 PIECE = 1 << 20
-#: Bytes that one suffix array takes at a time (more if one anchor's stretches are longer).
-CHUNK = 1 << 20
+#: Bytes that one suffix array takes at a time, copies twice (more if one anchor's stretches are longer).
+CHUNK = 1 << 19
 #: An anchor with more distinct stretches than this is settled window by window instead.
-HOT = 4000
+HOT = 2000
 
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFF)
@@ -51,10 +52,11 @@ def stretches(data: bytes, window: int, factors: tuple[np.ndarray, np.ndarray])
 
     A window's anchor is its leftmost ``ANCHOR`` bytes of least hash, so equal windows have the same
     anchor at the same place in them. Consecutive windows with the anchor at one position make a
-    stretch; ``key`` is the anchor's hash, ``digest`` that of the stretch.
+    stretch; ``key`` is the anchor's hash, ``digest`` the XXH3 of the stretch, a hash unlike that of anchors.
     """
     keys, digests, starts, sizes = [], [], [], []
     up, down = factors
+    digest = xxhash.xxh3_64_intdigest
     for base in range(0, max(1, len(data)), PIECE):
         piece = data[base : base + PIECE + window - 1]
         if len(piece) < window:
@@ -66,7 +68,7 @@ def stretches(data: bytes, window: int, factors: tuple[np.ndarray, np.ndarray])
         at = np.nonzero(np.concatenate([[True], least[1:] != least[:-1]]))[0]
         size = np.diff(np.append(at, len(least))) + window - 1
         keys.append(h[(least[at] & _LOW).astype(np.int64)])
-        digests.append(_scramble((upto[at + size] - upto[at]) * down[at] + size.astype(np.uint64) * np.uint64(_BASE)))
+        digests.append(np.fromiter((digest(piece[a : a + n]) for a, n in zip(at.tolist(), size.tolist(), strict=True)), np.uint64, len(at)))
         starts.append(at + base)
         sizes.append(size)
     if not keys:
@@ -74,37 +76,25 @@ def stretches(data: bytes, window: int, factors: tuple[np.ndarray, np.ndarray])
     return tuple(map(np.concatenate, (keys, digests, starts, sizes)))
 
 
-def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Order of all suffixes by their first 512 codes, and ranks by 8, 16, ..., 256 codes (prefix doubling)."""
-    n = len(codes)
-    padded = np.concatenate([codes, np.zeros(8, codes.dtype)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    levels = []
-    width = 8
-    while True:
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        if width == 512:
-            return np.argsort(rank, kind="stable"), levels
-        levels.append(rank)
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
-        key = rank * np.int64(n + 1) + after
-        width *= 2
-
+def suffix_array(codes: np.ndarray, at: np.ndarray, classes: np.ndarray, least: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes ``at`` by class and then by the codes behind their first ``least``, and common prefixes of neighbours.
 
-def common_prefixes(i: np.ndarray, j: np.ndarray, levels: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes ``i`` and ``j``, below 512."""
-    n = len(codes)
-    off = np.zeros(len(i), np.int64)
-    for width, rank in zip((256, 128, 64, 32, 16, 8), reversed(levels), strict=True):
-        a, b = np.minimum(i + off, n - 1), np.minimum(j + off, n - 1)
-        off += width * ((rank[a] == rank[b]) & (i + off < n) & (j + off < n))
-    for _ in range(7):
-        a, b = np.minimum(i + off, n - 1), np.minimum(j + off, n - 1)
-        off += (codes[a] == codes[b]) & (i + off < n) & (j + off < n)
-    return off
+    Suffixes of one class agree in their first ``least`` codes, so those that share a longer prefix lie
+    together. Prefixes are compared code by code, up to ``longest``; neighbours of unlike classes get 0.
+    """
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([codes, np.zeros(longest, np.uint8)]), longest)
+    keys = np.empty((len(at), 4 + longest - least), np.uint8)
+    keys[:, :4] = classes.astype(">u4").view(np.uint8).reshape(-1, 4)
+    keys[:, 4:] = rows[at, least:]
+    order = np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
+    prefix = np.zeros(max(0, len(at) - 1), np.int64)
+    for i in range(0, len(prefix), 1 << 14):
+        pair = slice(i, i + (1 << 14))
+        one, two = order[:-1][pair], order[1:][pair]
+        same = (classes[one] == classes[two]).nonzero()[0]
+        equal = rows[at[one[same]]] == rows[at[two[same]]]
+        prefix[i + same] = np.where(equal.all(axis=1), longest, equal.argmin(axis=1))
+    return order, prefix
 
 
 def maximal_repeats(strings: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -113,96 +103,88 @@ def maximal_repeats(strings: list[bytes], least: int) -> Iterator[tuple[int, np.
     An interval of the suffix array whose suffixes share a prefix of ``least`` bytes or more is a
     right-maximal repeat. It is put out if its occurrences differ in the byte to their left, or one
     begins a string: otherwise the repeat that starts one byte earlier has the same occurrences and
-    covers it. Strings are below 512 bytes.
+    covers it. Suffixes whose first ``least`` bytes have a hash of their own are in no such interval
+    and are not sorted.
     """
-    codes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1  # UTF-8 has no byte above 0xF7
+    codes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8) + np.uint8(1)  # UTF-8 has no byte above 0xF7
     sizes = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(sizes)
-    starts = ends - sizes
     codes[ends - 1] = 0
-    room = np.repeat(ends - 1, ends - starts) - np.arange(len(codes))
-    order, levels = suffix_array(codes)
-    order = order[room[order] >= least]
-    if len(order) < 2:
+    up, down = powers(len(codes))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * up[: len(codes)])])
+    at = np.arange(max(0, len(codes) - least))
+    at = at[np.repeat(ends, sizes)[: len(at)] - 1 - at >= least]
+    _, classes, counts = np.unique(_scramble((upto[at + least] - upto[at]) * down[at]), return_inverse=True, return_counts=True)
+    several = counts[classes] > 1
+    at, classes = at[several], classes[several]
+    if not len(at):
         return
-    prefix = common_prefixes(order[:-1], order[1:], levels, codes)
+    room = ends[np.searchsorted(ends, at, "right")] - 1 - at
+    order, prefix = suffix_array(codes, at, classes, least, int(room.max()))
     prefix = np.minimum(prefix, np.minimum(room[order[:-1]], room[order[1:]]))
-    left = np.where(np.isin(order, starts), -1, codes[np.maximum(order - 1, 0)])
+    first = np.isin(at, ends - sizes)
+    left = np.where(first, -1, codes[np.maximum(at - 1, 0)].astype(np.int64))[order]
+    order = at[order]
     shared = np.concatenate([[False], prefix >= least, [False]])
     opens = np.nonzero(~shared[:-1] & shared[1:])[0]
     closes = np.nonzero(shared[:-1] & ~shared[1:])[0]
-    for lo, hi in zip(opens.tolist(), closes.tolist(), strict=True):
-        chars = left[lo : hi + 1]
-        if chars[0] >= 0 and (chars == chars[0]).all():
-            continue  # nothing within is diverse either
+    if not len(opens):
+        return
+    # Where all suffixes have the same byte to their left, nothing within is diverse either.
+    edges = np.stack([opens, closes + 1], axis=1).ravel()
+    padded = np.append(left, 0)
+    diverse = np.minimum.reduceat(padded, edges)[::2] != np.maximum.reduceat(padded, edges)[::2]
+    diverse |= left[opens] < 0
+    for lo, hi in zip(opens[diverse].tolist(), closes[diverse].tolist(), strict=True):
         # Stack scan. A node: depth, first suffix, the one byte to the left of all its suffixes or None.
-        chars = [c if c >= 0 else None for c in chars.tolist()]
+        chars = [c if c >= 0 else None for c in left[lo : hi + 1].tolist()]
         depths = [*prefix[lo:hi].tolist(), 0]
         stack: list[list] = []
         for k, depth in enumerate(depths):
-            first, seen = k, chars[k]
+            first_, seen = k, chars[k]
             while stack and stack[-1][0] > depth:
                 node = stack.pop()
                 if node[2] != seen:
                     node[2] = None
                 if node[2] is None:
                     yield node[0], order[lo + node[1] : lo + k + 1]
-                first, seen = node[1], node[2]
+                first_, seen = node[1], node[2]
             if depth and stack and stack[-1][0] == depth:
                 if stack[-1][2] != seen:
                     stack[-1][2] = None
             elif depth:
-                stack.append([depth, first, seen])
+                stack.append([depth, first_, seen])
 
 
 def covered(strings: list[bytes], window: int) -> list[list[tuple[int, int]]]:
     """For each string the maximal spans covered by substrings of ``window`` bytes that start twice or more among the strings."""
-    # Most windows are alone; strings without a window hash that occurs twice need no suffix array.
-    codes = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
-    sizes = np.array([len(s) for s in strings])
-    ends = np.cumsum(sizes)
-    up, down = powers(len(codes))
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)])])
-    at = np.arange(len(codes) - window + 1)
-    at = at[(np.repeat(ends, sizes)[: len(at)] - at) >= window]
-    _, same, counts = np.unique(_scramble((upto[at + window] - upto[at]) * down[at]), return_inverse=True, return_counts=True)
-    chosen = np.unique(np.searchsorted(ends, at[counts[same] > 1], "right"))
     found: list[list[tuple[int, int]]] = [[] for _ in strings]
-    if not len(chosen):
-        return found
-    picked = [strings[i] for i in chosen]
-    edges = np.zeros(sum(len(s) + 1 for s in picked) + 1, np.int64)
-    for length, places in maximal_repeats(picked, window):
-        np.add.at(edges, places, 1)
-        np.add.at(edges, places + length, -1)
+    firsts = np.cumsum([0, *(len(s) + 1 for s in strings)])
+    edges = np.zeros(firsts[-1] + 1, np.int64)
+    for length, places in maximal_repeats(strings, window):
+        edges[places] += 1  # a repeat's places are distinct
+        edges[places + length] -= 1
     on = np.concatenate([[False], np.cumsum(edges) > 0, [False]])
     opens, closes = np.nonzero(~on[:-1] & on[1:])[0], np.nonzero(on[:-1] & ~on[1:])[0]
-    firsts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in picked])])
     owner = np.searchsorted(firsts, opens, "right") - 1
     for a, b, o in zip(opens.tolist(), closes.tolist(), owner.tolist(), strict=True):
-        found[chosen[o]].append((a - int(firsts[o]), b - int(firsts[o])))
+        found[o].append((a - int(firsts[o]), b - int(firsts[o])))
     return found
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def doubled(strings: list[bytes], copied: list[bool]) -> list[bytes]:
+    """``strings``, and behind them those again that stand in the corpus more than once, so that the tree sees the copies."""
+    return strings + [s for s, c in zip(strings, copied, strict=True) if c]
 
 
-def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, tie, spans): the spans of each document's bytes covered by repeated windows; documents without any are left out.
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-    ``docs``: (doc, tie, text); rows equal in doc and tie are repeated rows.
 
-    1. Every text is cut into stretches.
-    2. Equal stretches are counted. One that occurs twice is covered whole, wherever it stands; a
-       group of copies is so settled by counting, with sums taken before rows move.
-    3. Of anchors with several distinct stretches, one text of each distinct stretch goes to its anchor's group, where a suffix array over the
-       group compares it with the others. An anchor with over ``HOT`` distinct stretches sends its
-       windows' digests to be counted instead, so that no task gathers it.
-    """
-    spark = docs.sparkSession
+def cut_stretches(docs: DataFrame, window: int) -> DataFrame:
+    """(doc, tie, key, digest, start, size): the stretches of all texts. ``docs``: (doc, tie, text)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = powers()
         for batch in batches:
             parts, rows = [], []
@@ -217,77 +199,168 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), _signed(key), _signed(digest), pa.array(start), pa.array(size.astype(np.int32))], names=["doc", "tie", "key", "digest", "start", "size"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    runs = materialize(docs.mapInArrow(cut, f"doc {kind}, tie long, key long, digest long, start long, size int"), "repeats-runs")
-    # Which place of a stretch stands for it: the least. Copies are one row from here on.
-    each = materialize(runs.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "start", "size")).alias("at")), "repeats-each")
-    release(spark)
-    copies = each.filter("n > 1").select("key", "digest")
-    whole = runs.join(copies, ["key", "digest"]).select("doc", "tie", "start", (F.col("start") + F.col("size")).alias("end"))
-    several = materialize(each.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "repeats-several")
-    wanted = each.join(several, "key").select("at.*", "key", (F.col("n") == 1).alias("alone"), (F.col("k") > HOT).alias("hot"))
-    wanted = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "size", "key", "alone", "hot")).alias("parts"))
-    sent = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"]) & (docs["tie"] == wanted["tie"])).select(docs["doc"], docs["tie"], "text", "parts")
-
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, values = [], {"start": [], "key": [], "alone": [], "hot": []}
-            strings = []
-            for i in range(batch.num_rows):
-                data = batch.column(2)[i].as_py().encode()
-                for p in batch.column(3)[i].as_py():
-                    rows.append(i)
-                    strings.append(data[p["start"] : p["start"] + p["size"]])
-                    for k, v in values.items():
-                        v.append(p[k])
-            own = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(own), batch.column(1).take(own), pa.array(values["start"], pa.int64()), pa.array(values["key"], pa.int64()), pa.array(values["alone"], pa.bool_()), pa.array(values["hot"], pa.bool_()), pa.array(strings, pa.binary())],
-                names=["doc", "tie", "start", "key", "alone", "hot", "bytes"],
-            )
+    return docs.mapInArrow(run, f"doc {kind}, tie long, key long, digest long, start long, size int")
+
+
+def repeated_places(docs: DataFrame, window: int, keep: Scratch) -> DataFrame:
+    """The stretches whose anchor stands at two places or more; no others can hold a repeated window.
+
+    Anchors are counted first, by partial sums of single longs, so most stretches are gone before
+    anything else is moved.
+    """
+    runs = keep(cut_stretches(docs, window), "repeats-runs")
+    anchors = keep(runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeats-anchors")
+    places = keep(runs.join(anchors, "key").select("doc", "tie", "key", "digest", "start", "size"), "repeats-places")
+    keep.drop(runs, anchors)
+    return places
+
+
+def distinct_pieces(docs: DataFrame, places: DataFrame, keep: Scratch) -> DataFrame:
+    """(key, digest, copied, hot, bytes): each distinct stretch once, with its bytes.
 
-    pieces = materialize(sent.mapInArrow(slices, f"doc {kind}, tie long, start long, key long, alone boolean, hot boolean, bytes binary"), "repeats-pieces")
-    release(spark)
-    spans = f"doc {kind}, tie long, start long, end long"
+    ``copied``: it stands at several places. ``hot``: its anchor has over ``HOT`` distinct stretches.
+    The least place of a stretch lends its bytes.
+    """
+    each = keep(places.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "start", "size")).alias("at")), "repeats-each")
+    many = each.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("key", F.lit(True).alias("many"))
+    wanted = each.join(many, "key", "left").select("at.*", "key", "digest", (F.col("n") > 1).alias("copied"), F.coalesce("many", F.lit(False)).alias("hot"))
+    wanted = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "size", "key", "digest", "copied", "hot")).alias("parts"))
+    sent = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"]) & (docs["tie"] == wanted["tie"])).select("text", "parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "digest", "copied", "hot"]
+        for batch in batches:
+            for text, parts in zip(batch.column(0), batch.column(1), strict=True):
+                data, fields = text.as_py().encode(), parts.values
+                strings = [data[a : a + n] for a, n in zip(fields.field("start").to_pylist(), fields.field("size").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(fields.field(k) for k in names), pa.array(strings, pa.binary())], names=[*names, "bytes"])
+
+    # A repeated row sends its stretches again; the group that they go to tells them apart by digest.
+    out = keep(sent.mapInArrow(run, "key long, digest long, copied boolean, hot boolean, bytes binary"), "repeats-pieces")
+    keep.drop(each)
+    return out
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by key: whole groups, a chunk at a time."""
 
-        def settle(rows: list[tuple]) -> pa.RecordBatch:
-            out = [(r[0], r[1], r[2] + a, r[2] + b) for r, found in zip(rows, covered([r[5] for r in rows], window), strict=True) if r[4] for a, b in found]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind_), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc", "tie", "start", "end"])
+def anchor_groups(pieces: DataFrame, settle, schema: str) -> DataFrame:
+    """``settle(keys, digests, copied, bytes)``, which yields batches, for whole anchors, at least ``CHUNK`` bytes of them at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held, kind_ = 0, None
+        held = 0
         for batch in batches:
-            kind_ = batch.column(0).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held >= CHUNK and row[3] != rows[-1][3]:
-                    yield settle(rows)
+                if rows and row[:2] == rows[-1][:2]:
+                    continue
+                if held >= CHUNK and row[0] != rows[-1][0]:
+                    yield from settle(*map(list, zip(*rows, strict=True)))
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[5])
+                held += len(row[3]) * (1 + row[2])
         if rows:
-            yield settle(rows)
+            yield from settle(*map(list, zip(*rows, strict=True)))
 
-    cold = pieces.filter(~F.col("hot")).select("doc", "tie", "start", "key", "alone", "bytes").repartition("key").sortWithinPartitions("key")
-    near = cold.mapInArrow(compare, spans)
+    cold = pieces.filter(~F.col("hot")).select("key", "digest", "copied", "bytes")
+    return cold.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(run, schema)
+
+
+def covered_pieces(pieces: DataFrame, window: int, keep: Scratch) -> DataFrame:
+    """(key, digest, from, to): the spans of each distinct stretch that repeated windows cover."""
+
+    def settle(keys: list[int], digests: list[int], copied: list[bool], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = covered(doubled(strings, copied), window)[: len(strings)]
+        out = [(k, d, a, b) for k, d, spans in zip(keys, digests, found, strict=True) for a, b in spans]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "digest", "from", "to"])
+
+    near = anchor_groups(pieces, settle, "key long, digest long, from long, to long")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, digests = [], [], []
-            for i, (start, data) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            rows, at, names = [], [], []
+            for i, data in enumerate(batch.column(3).to_pylist()):
                 for o in range(len(data) - window + 1):
                     rows.append(i)
-                    at.append(start + o)
-                    digests.append(hashlib.blake2b(data[o : o + window], digest_size=16).digest())
+                    at.append(o)
+                    names.append(hashlib.blake2b(data[o : o + window], digest_size=16).digest())
             own = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int64()), pa.array(digests, pa.binary())], names=["doc", "tie", "start", "digest"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(3)), pa.array(at, pa.int64()), pa.array(names, pa.binary())], names=["key", "digest", "copied", "from", "name"])
+
+    hot = pieces.filter("hot").select("key", "digest", "copied", "bytes").dropDuplicates(["key", "digest"])
+    single = keep(hot.mapInArrow(windows, "key long, digest long, copied boolean, from long, name binary"), "repeats-windows")
+    twice = single.groupBy("name").agg(F.count("*").alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("name")
+    far = single.join(twice, "name").select("key", "digest", "from", (F.col("from") + window).alias("to"))
+    return keep(near.union(far), "repeats-covered")
 
-    single = materialize(pieces.filter("hot").select("doc", "tie", "start", "bytes").mapInArrow(windows, f"doc {kind}, tie long, start long, digest binary"), "repeats-windows")
-    twice = single.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    far = single.join(twice, "digest").select("doc", "tie", "start", (F.col("start") + window).alias("end"))
-    return whole.union(near).union(far).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
+    """(doc, tie, spans): the spans of each document's bytes covered by repeated windows; documents without any are left out.
+
+    ``docs``: (doc, tie, text); rows equal in doc and tie are repeated rows.
+
+    1. Every text is cut into stretches; those whose anchor stands at one place only go.
+    2. One text of each distinct stretch goes to its anchor's group, where a suffix array over the
+       group finds the repeats; copies, counted before anything is moved, go in twice. An anchor
+       with over ``HOT`` distinct stretches sends its windows' digests to be counted instead, so
+       that no task gathers it.
+    3. What is covered of a stretch is covered wherever the stretch stands.
+    """
+    with Scratch(docs.sparkSession) as keep:
+        places = repeated_places(docs, window, keep)
+        pieces = distinct_pieces(docs, places, keep)
+        found = covered_pieces(pieces, window, keep)
+        keep.drop(pieces)
+        spans = places.join(found, ["key", "digest"]).select("doc", "tie", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
+        return materialize(spans.distinct().groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats-spans")
+
+
+def repeat_groups(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(group, length, doc, start): the maximal repeats of ``window`` bytes or more, with all their occurrences, a row each.
+
+    The left-diverse intervals of each anchor's suffix array, that is, repeats as far as the windows of
+    one anchor reach; longer ones go on in the groups of the next anchors. Offsets are bytes, ``group``
+    a digest of the repeated bytes. Anchors with over ``HOT`` distinct stretches give each repeated
+    window as a group. Null texts are empty; repeated rows are occurrences each; an empty table gives
+    no rows. An occurrence in many copies is that many rows and never one array.
+    """
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), text).alias("tie"), text.alias("text"))
+
+    def settle(keys: list[int], digests: list[int], copied: list[bool], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
+        every = doubled(strings, copied)
+        firsts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in every])])
+        out = []
+        for length, at in maximal_repeats(every, window):
+            owner = np.searchsorted(firsts, at, "right") - 1
+            for o, p in zip(owner.tolist(), (at - firsts[owner]).tolist(), strict=True):
+                if o < len(strings):  # the second copy has the same places
+                    out.append((hashlib.blake2b(strings[o][p : p + length], digest_size=16).hexdigest(), length, keys[o], digests[o], p))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.string(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["group", "length", "key", "digest", "from"])
+
+    with Scratch(docs.sparkSession) as keep:
+        places = repeated_places(keyed, window, keep)
+        pieces = distinct_pieces(keyed, places, keep)
+        near = anchor_groups(pieces, settle, "group string, length long, key long, digest long, from long")
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [
+                    (hashlib.blake2b(data[o : o + window], digest_size=16).hexdigest(), c, k, d, o)
+                    for k, d, c, data in zip(*(x.to_pylist() for x in batch.columns), strict=True)
+                    for o in range(len(data) - window + 1)
+                ]
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                kinds = (pa.string(), pa.bool_(), *[pa.int64()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["group", "copied", "key", "digest", "from"])
+
+        hot = pieces.filter("hot").select("key", "digest", "copied", "bytes").dropDuplicates(["key", "digest"])
+        single = keep(hot.mapInArrow(windows, "group string, copied boolean, key long, digest long, from long"), "repeats-windows")
+        twice = single.groupBy("group").agg(F.count("*").alias("n"), F.max("copied").alias("c")).filter("n > 1 or c").select("group")
+        far = single.join(twice, "group").select("group", F.lit(window).cast("long").alias("length"), "key", "digest", "from")
+        # A repeat's first window lies in one stretch only, so no place comes twice.
+        return materialize(places.join(near.union(far), ["key", "digest"]).select("group", "length", "doc", (F.col("start") + F.col("from")).alias("start")), "repeats-groups")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -304,15 +377,16 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 200, id_col:
     """One row per document: ``keep``, ``n_bytes``, ``spans`` (removed: start, end in bytes) and ``kept`` (the bytes left, in order).
 
     A byte is removed if a ``window``-byte string that covers it starts anywhere else too, in the
-    same document or another; all strings are judged on the input. Null texts are empty, texts below
-    the window are kept whole, repeated rows are copies of each other. Rows are told apart by id and
-    the text's 64-bit hash; null ids are fine.
+    same document or another; all strings are judged on the input. Null texts are empty and give
+    empty rows, texts below the window are kept whole, very long ones are cut in pieces of 1 MB that
+    overlap by a window. Repeated rows are copies of each other and each get their row. Rows are told
+    apart by id (of any type, null too) and the text's 64-bit hash, so ids may repeat. An empty table
+    gives no rows. Columns may have any names but those of the result.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), text).alias("tie"), text.alias("text"))
-    found = materialize(repeated_spans(keyed.select("doc", "tie", "text"), window), "repeats-spans")
-    release(docs.sparkSession)
+    found = repeated_spans(keyed.select("doc", "tie", "text"), window)
     joined = keyed.join(found, keyed["doc"].eqNullSafe(found["doc"]) & (keyed["tie"] == found["tie"]), "left").select(*[f"_k{i}" for i in range(len(keep))], "text", "spans")
     n = len(keep)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
