@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialize, shuffle_partitions, small_batches
+from callscope.llm.common import Scratch, materialize, named, others, shuffle_partitions, small_batches, whole_row
 from callscope.llm.components import components
 
 #: Buckets of up to this many fingerprints of one block are compared pair by pair inside a join, which costs
@@ -69,8 +69,8 @@ def simhash(docs: DataFrame, keep: list[str], width: int = 4, blocks: int = 1, b
                 out.append([x - (1 << 64) if x >> 63 else x for x in row])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.list_(pa.int64()))], names=[*keep, "f"])
 
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{fields}{', ' if keep else ''}f array<bigint>")
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return source.mapInArrow(run, f"{fields}f array<bigint>")
 
 
 def covering_masks(bits: int, radius: int) -> list[int]:
@@ -103,7 +103,7 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_within(prints: DataFrame, bits: int, radius: int) -> DataFrame:
+def link_within(prints: DataFrame, bits: int, radius: int, keep: Scratch) -> DataFrame:
     """(node, root): components of fingerprints of one block that differ in at most ``radius`` bits. No link is lost.
 
     ``prints``: (id, f), one row for each distinct fingerprint, ``id`` the fingerprint itself,
@@ -114,40 +114,38 @@ def link_within(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     whatever the bucket's size.
     """
     each = buckets(prints, range(1), bits, radius)
-    sizes = materialize(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("t").alias("t")).filter("n > 1"), "sim-sizes")
+    sizes = keep(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("t").alias("t")).filter("n > 1"), "sim-sizes")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
     counts = sizes.agg(F.count(F.when(F.col("n") > 2, 1)), F.count(F.when(F.col("n") > SMALL_BUCKET, 1))).first()
     found = sizes.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     members = None
     if counts[0]:
-        members = materialize(each.drop("t").join(sizes.filter("n > 2"), "bucket").select("bucket", "id", "t", "n", "lo"), "sim-members")
+        members = keep(each.drop("t").join(sizes.filter("n > 2"), "bucket").select("bucket", "id", "t", "n", "lo"), "sim-members")
         small = members.filter(F.col("n") <= SMALL_BUCKET)
         a, b = small.select("bucket", F.col("id").alias("a")), small.select("bucket", F.col("id").alias("b"))
         found = found.union(a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & near("a", "b")).select("a", "b"))
         found = found.union(members.select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    edges = materialize(_pairs(found).filter(near("a", "b")), "sim-edges")
+    edges = keep(_pairs(found).filter(near("a", "b")), "sim-edges")
     if not counts[1]:
         return components(edges)
-    labels = materialize(components(edges), "sim-labels")
-    open_ = _open(members.filter(F.col("n") > SMALL_BUCKET).drop("n"), labels)
-    more = _midpoint_pairs(open_, covering_masks(bits, radius), bits, radius)
+    labels = components(edges)
+    open_ = _open(members.filter(F.col("n") > SMALL_BUCKET).drop("n"), labels, keep)
+    more = _midpoint_pairs(open_, covering_masks(bits, radius), bits, radius, keep)
     return components(edges.union(_pairs(more).filter(near("a", "b"))))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, keep: Scratch) -> DataFrame:
     """Members of the buckets that still hold several components, with their roots."""
     kept = [c for c in ("bucket", "id", "t", "n") if c in members.columns]
     rooted = members.drop("root").join(labels, F.col("id") == F.col("node"), "left").select(*kept, F.coalesce("root", "id").alias("root"))
-    rooted = materialize(rooted, "sim-rooted")
+    rooted = keep(rooted, "sim-rooted")
     split = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    return materialize(rooted.join(split, "bucket"), "sim-open")
+    out = keep(rooted.join(split, "bucket"), "sim-open")
+    keep.drop(rooted)
+    return out
 
 
-def _stars(labels: DataFrame) -> DataFrame:
-    return labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
-def _midpoint_pairs(open_: DataFrame, masks: list[int], bits: int, radius: int) -> DataFrame:
+def _midpoint_pairs(open_: DataFrame, masks: list[int], bits: int, radius: int, keep: Scratch) -> DataFrame:
     """Pairs (a, b) of members of a large bucket that share a midpoint; ids are the fingerprints.
 
     The flips are those of up to half the radius in the bits that the bucket's mask leaves out: a
@@ -161,27 +159,32 @@ def _midpoint_pairs(open_: DataFrame, masks: list[int], bits: int, radius: int)
     flipped = open_.sparkSession.createDataFrame(flips, "t int, flip long")
     under = open_.join(F.broadcast(flipped), "t").select("bucket", "id", F.col("id").bitwiseXOR(F.col("flip")).alias("z"))
     # Under a midpoint all are within the radius of the least one; a minimum needs no group in one task.
-    least = materialize(under.groupBy("bucket", "z").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"), "sim-middle")
+    least = keep(under.groupBy("bucket", "z").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"), "sim-middle")
     return under.join(least.select("bucket", "z", "a"), ["bucket", "z"]).select("a", F.col("id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], width: int = 4, bits: int = 64, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``keep``, ``f`` (its fingerprint blocks) and ``component_id``.
+    """One row per document: ``keep``, ``f`` (its fingerprint, an array of one) and ``component_id``.
 
     ``component_id`` is the smallest id of all documents reachable over links, itself included.
-    Texts without words have fingerprint 0 and are linked like any others; null texts are empty.
-    Rows with a null id take part and do not lend their id; a component of null ids only has a null
-    ``component_id``. Equal fingerprints are one node, so copies never become pairs.
+    Texts without words, null ones too, have fingerprint 0 and are linked like any others; very long
+    texts give all their shingles. Rows with a null id take part and do not lend their id; a component
+    of null ids only has a null ``component_id``. Repeated rows each get their row, ids may repeat and
+    be of any ordered type, and an empty table gives no rows. Equal fingerprints are one node, so
+    copies never become pairs. Kept columns named ``f`` or ``component_id`` are replaced.
     """
-    printed = materialize(simhash(docs, keep, width, 1, bits, text_col), "sim-docs")
-    nodes = materialize(printed.groupBy("f").agg(F.min(id_col).alias("least")).withColumn("id", F.col("f")[0]), "sim-nodes")
-    prints = nodes.select("id", "f")
-    roots = materialize(link_within(prints, bits, radius), "sim-roots")
-    named = nodes.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    named = materialize(named.select("f", "root", "least"), "sim-named")
-    firsts = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "sim-firsts")
-    of = materialize(named.join(firsts, "root").select(F.col("f").alias("_f"), "component_id"), "sim-of")
-    return printed.join(of, F.col("f") == F.col("_f"), "left").drop("_f")
+    keep = others(keep, ("f", "component_id"))
+    spare = [f"_k{i}" for i in range(len(keep))]
+    own = docs.select(*[named(c).alias(s) for c, s in zip(keep, spare, strict=True)], named(id_col).alias("_id"), named(text_col).alias("_text"))
+    with Scratch(docs.sparkSession) as hold:
+        printed = materialize(simhash(own, [*spare, "_id"], width, 1, bits, "_text"), "sim-docs")
+        nodes = hold(printed.groupBy("f").agg(F.min("_id").alias("least")).withColumn("id", F.col("f")[0]), "sim-nodes")
+        roots = link_within(nodes.select("id", "f"), bits, radius, hold)
+        merged = nodes.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+        merged = hold(merged.select("f", "root", "least"), "sim-named")
+        firsts = hold(merged.groupBy("root").agg(F.min("least").alias("component_id")), "sim-firsts")
+        of = materialize(merged.join(firsts, "root").select(F.col("f").alias("_f"), "component_id"), "sim-of")
+    return printed.join(of, F.col("f") == F.col("_f"), "left").select(*[F.col(s).alias(c) for c, s in zip(keep, spare, strict=True)], "f", "component_id")
 
 
 #: Similar texts have this Jaccard similarity of their sets of five-word shingles, or more.
@@ -217,7 +220,7 @@ def shingle_sets(docs: DataFrame, keep: list[str], text_col: str, whole: bool =
                 more = {"n": pa.array(map(len, sets), pa.int64()), "bands": pa.array(map(band_keys, sets), pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids, *more.values()], names=[*keep, "id", *more])
 
-    fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return source.mapInArrow(run, f"{fields}id long, {'shingles binary' if whole else 'n long, bands array<bigint>'}")
 
 
@@ -238,61 +241,93 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(alike("fa", "fb")).select("a", "b")
 
 
-def link_similar(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+#: Once the pairs left are at most this many times the rows that they come from, all are compared.
+FEW = 4
+
+
+def _relabel(labels: DataFrame, links: DataFrame, keep: Scratch) -> DataFrame:
+    """``labels`` after more links. Only roots are linked anew, so a round costs what it finds."""
+    links = links.join(labels.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+    links = links.join(labels.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
+    moved = components(links).withColumnsRenamed({"node": "n2", "root": "r2"})
+    now = labels.join(moved, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root"))
+    fresh = moved.join(labels, F.col("n2") == F.col("node"), "left_anti").select(F.col("n2").alias("node"), F.col("r2").alias("root"))
+    return keep(now.union(fresh), "near-labels")
+
+
+def link_similar(nodes: DataFrame, keyed: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root): components of sets of shingles with a similarity of ``SIMILARITY`` or more.
 
     ``nodes``: (id, n, bands, least), one row for each distinct set, already written; ``keyed``: (_id,
-    _tie, _text), which holds the text of each under ``least``. Sets meet under equal keys and are linked only if their exact similarity is high
-    enough. First each one meets one of its least partners, then the least member of each bucket that
-    is still in several components, then in the buckets left all members of different components: no
-    pair that shares a key stays undecided.
+    _tie, _text), which holds the text of each under ``least``. Sets meet under equal keys and are
+    linked only if their exact similarity is high enough. First each one meets one of its least
+    partners. Then, in turns, the members of buckets that still hold several components meet another
+    member of their bucket, the same for all; a large group of near copies so falls together in a few
+    turns, at a row for each member. Last, in the buckets left, all members of different components
+    meet: no pair that shares a key stays undecided.
     """
-    each = nodes.select("id", "n", F.explode("bands").alias("bucket")).repartition("bucket")
+    each = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     ends = each.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket", "lo")
-    members = materialize(each.join(ends.hint("merge"), "bucket"), "near-members")
+    members = keep(each.join(ends.hint("merge"), "bucket"), "near-members")
     met = members.select("id").distinct()
     texts = keyed.join(nodes.join(met, "id", "left_semi").select("least.*"), ["_id", "_tie"])
-    sets = materialize(shingle_sets(texts, [], "_text", whole=True).dropDuplicates(["id"]), "near-sets")
+    sets = keep(shingle_sets(texts, [], "_text", whole=True).dropDuplicates(["id"]), "near-sets")
     stars = members.filter("lo <> id").groupBy("id").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    labels = materialize(components(_similar(stars, sets)), "near-labels")
-
-    open_ = _open(members.select("bucket", "id", "n"), labels)
-    least = open_.groupBy("bucket").agg(F.min("id").alias("lo"))
-    found = open_.join(materialize(least, "near-least"), "bucket").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    labels = materialize(components(_similar(_pairs(found), sets).union(_stars(labels))), "near-labels")
-
-    own = _open(open_.select("bucket", "id", "n"), labels)
-    x, y = (own.select("bucket", F.col("id").alias(i), F.col("root").alias(f"r{i}"), F.col("n").alias(f"n{i}")) for i in "ab")
-    sizes = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")  # else their similarity is less, whatever they share
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & sizes)
-    links = materialize(_similar(_pairs(across.select("a", "b")), sets), "near-links")
-    return labels if links.isEmpty() else materialize(components(links.union(_stars(labels))), "near-labels")
+    labels = components(_similar(stars, sets))
+    fits = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")  # else their similarity is less, whatever they share
+    idle, turn = 0, 0
+    while True:
+        members = _open(members.select("bucket", "id", "n"), labels, keep)
+        parts = members.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        rows, pairs = parts.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
+        if not rows:
+            return labels
+        # Turns that link nothing: what is left are texts that are not similar, and only comparing them all can tell.
+        if pairs <= FEW * rows or idle == 3:
+            break
+        chosen = members.groupBy("bucket").agg(F.min_by(F.struct("id", "root", "n"), F.xxhash64("id", F.lit(turn))).alias("p"))
+        met = members.join(chosen, "bucket").filter("root <> p.root").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
+        links = keep(_similar(_pairs(met.filter(fits)), sets), "near-links")
+        turn += 1
+        if links.isEmpty():
+            idle += 1
+        else:
+            idle, labels = 0, _relabel(labels, links, keep)
+    x, y = (members.select("bucket", F.col("id").alias(i), F.col("root").alias(f"r{i}"), F.col("n").alias(f"n{i}")) for i in "ab")
+    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & fits)
+    links = keep(_similar(_pairs(across.select("a", "b")), sets), "near-links")
+    return labels if links.isEmpty() else _relabel(labels, links, keep)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, with its columns as they are: the one of the smallest id (nulls last).
 
-    Copies and repeated rows are in one group, and so are texts without words; null texts are empty.
-    Of several rows with the same id and text one stays; rows of one id, or of none, with unlike texts
-    are different documents.
+    Copies and repeated rows are in one group, and so are texts without words; null texts are empty,
+    very long ones are compared whole. Of several rows with the same id and text one stays; rows of
+    one id, or of none, with unlike texts are different documents. Ids are of any ordered type. An
+    empty table stays empty; columns may have any names.
     """
-    tie = F.xxhash64(F.col(text_col))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_tie": tie})
-    printed = materialize(shingle_sets(keyed, ["_id", "_tie"], text_col), "near-docs")
-    nodes = materialize(printed.groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("_id", "_tie")).alias("least")), "near-nodes")
-    roots = link_similar(nodes, keyed.select("_id", "_tie", F.col(text_col).alias("_text")))
-    grouped = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    of = materialize(grouped, "near-of")
-    rooted = printed.select("id", "_id", "_tie").join(of, "id")
-    first = rooted.groupBy("root", "_id", "_tie").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("_id", "_tie", "n")).alias("first"))
-    first = materialize(first.select("first.*"), "near-first")
-    kept = keyed.join(first.select("_id", "_tie"), ["_id", "_tie"], "left_semi")
+    rows = docs.select(
+        whole_row(docs).alias("row"), F.struct(named(id_col).isNull().alias("none"), named(id_col).alias("id")).alias("_id"), F.xxhash64(named(text_col)).alias("_tie"), named(text_col).alias("_text")
+    )
+    keyed = rows.select("_id", "_tie", "_text")
+    with Scratch(docs.sparkSession) as keep:
+        printed = keep(shingle_sets(keyed, ["_id", "_tie"], "_text"), "near-docs")
+        nodes = keep(printed.groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("_id", "_tie")).alias("least")), "near-nodes")
+        roots = link_similar(nodes, keyed, keep)
+        grouped = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+        of = keep(grouped, "near-of")
+        rooted = printed.select("id", "_id", "_tie").join(of, "id")
+        first = rooted.groupBy("root", "_id", "_tie").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("_id", "_tie", "n")).alias("first"))
+        first = materialize(first.select("first.*"), "near-first")
+    kept = rows.drop("_text").join(first.select("_id", "_tie"), ["_id", "_tie"], "left_semi")
     if (first.agg(F.max("n")).first()[0] or 1) > 1:
-        kept = kept.dropDuplicates(["_id", "_tie"])
-    return kept.select(*docs.columns)
+        kept = kept.groupBy("_id", "_tie").agg(F.first("row").alias("row"))
+    return kept.select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by :func:`near_duplicates`; a null text counts as one without words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs, ["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("f")[0]), 16, "0")).alias("fingerprint"), "component_id")
