@@ -61,51 +61,73 @@ class OrdinalModel:
         return sum(get(f, 0.0) for f in features(text))
 
 
-def fit(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, levels: int, least_docs: int = 4, l1: float = 0.0003, l2: float = 0.0002, steps: int = 300) -> OrdinalModel:
+def fit(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, levels: int, least_docs: int = 4, l1: float = 0.0003, l2: float = 0.0002, steps: int = 1000) -> OrdinalModel:
     """Fit on hashed features by accelerated proximal gradient. ``flat``: the rows' features end to end, ``lengths`` of them each.
 
-    Each grade counts as two-sided evidence: the loss is the mean log loss of the ``levels - 1``
-    events "grade >= k", which share the weights (the all-threshold form of the cumulative-link
-    model). Features of fewer than ``least_docs`` rows are left out; the lasso term leaves weights
-    only on telling ones, so that long texts do not drift. Without rows, or with one grade only, all
-    weights are 0 and the thresholds state that grade.
+    The loss is the mean of -log P(grade) of the cumulative-link (proportional odds) model, where
+    P(grade k) = P(grade >= k) - P(grade >= k + 1): one score moves all grades. The first threshold
+    and the logarithms of the gaps above it are what is learned, so thresholds ascend by
+    construction. Rows count alike, so the chances are those of the labelled rows. Features of fewer
+    than ``least_docs`` rows are left out; the lasso term leaves weights only on telling ones, so
+    that long texts do not drift. Without rows all weights are 0 and every text has the top grade;
+    a grade that no row has keeps a chance of about one in a million.
     """
     y = np.asarray(grades, np.int64)
     if not len(y):
-        return OrdinalModel({}, tuple(-30.0 for _ in range(levels - 1)))
-    shares = np.array([np.mean(y >= k) for k in range(1, levels)])
-    theta = -np.log(np.clip(shares, 1e-6, 1 - 1e-6) / (1 - np.clip(shares, 1e-6, 1 - 1e-6)))
+        return OrdinalModel({}, tuple(-30.0 - 0.1 * k for k in range(levels - 1, 0, -1)))
+    shares = np.clip([np.mean(y >= k) for k in range(1, levels)], 1e-6, 1 - 1e-6)
+    theta = np.maximum.accumulate(-np.log(shares / (1 - shares)))
+    first, gaps = theta[0], np.log(np.maximum(np.diff(theta), 1e-3))
     owner = np.repeat(np.arange(len(y)), lengths)
     ids, columns, counts = np.unique(flat, return_inverse=True, return_counts=True) if len(flat) else (flat, flat, flat)
     kept = (counts >= least_docs) & (counts < len(y))
     ids, place = ids[kept], np.cumsum(kept) - 1
     mask = kept[columns] if len(columns) else columns.astype(bool)
     owner, columns = owner[mask], place[columns[mask]]
-    target = (y[:, None] >= np.arange(1, levels)[None, :]).astype(float)
-    # Rows weigh so that all grades count alike.
-    weight = (len(y) / (len(np.unique(y)) * np.bincount(y, minlength=levels)[y]))[:, None] / len(y)
     w, v, t = np.zeros(len(ids)), np.zeros(len(ids)), 1.0
     width = np.maximum(1, np.bincount(owner, minlength=len(y)))
-    step = 4.0 / (np.mean(width) * (levels - 1))
+    step = 2.0 / np.mean(width)
     scale = np.sqrt(np.maximum(1, counts[kept] / len(y) * 50))  # frequent features move less
     for _ in range(steps):
         score = np.bincount(owner, v[columns], minlength=len(y))
-        p = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -50, 50)))
-        error = (p - target) * weight
-        gradient = np.bincount(columns, error.sum(1)[owner], minlength=len(ids)) + l2 * v
+        theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+        error, slope = _slopes(score, theta, y)
+        gradient = np.bincount(columns, error[owner], minlength=len(ids)) / len(y) + l2 * v
         moved = v - step * gradient * len(y) / scale / 40
         new = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1 * len(y) / scale / 40)
-        theta = theta + 2.0 * error.sum(0)
+        first -= 2.0 * slope.sum()
+        gaps = np.clip(gaps - 2.0 * np.exp(gaps) * np.cumsum(slope[::-1])[::-1][1:], -7, 4)  # a gap moves all thresholds above it
         later = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / later * (new - w), new, later
-    theta = np.maximum.accumulate(theta)
+    theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
     return OrdinalModel({int(i): float(x) for i, x in zip(ids, w, strict=True) if x}, tuple(float(x) for x in theta))
 
 
+def _slopes(score: np.ndarray, theta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of -log P(grade): of each row by its score, and of their mean by each threshold."""
+    rows = np.arange(len(y))
+    tails = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -50, 50)))
+    padded = np.hstack([np.ones((len(y), 1)), tails, np.zeros((len(y), 1))])
+    lower, upper = padded[rows, y], padded[rows, y + 1]  # P(grade >= y), P(grade >= y + 1)
+    chance = np.maximum(lower - upper, 1e-12)
+    slope = np.zeros((len(y), len(theta) + 2))
+    slope[rows, y] = lower * (1 - lower) / chance
+    slope[rows, y + 1] -= upper * (1 - upper) / chance
+    return lower + upper - 1, slope[:, 1:-1].mean(0)
+
+
+def loss(model: OrdinalModel, scores: np.ndarray, grades: np.ndarray) -> float:
+    """Mean of -log P(grade) of rows with these scores."""
+    padded = np.hstack([np.ones((len(grades), 1)), model.tails(scores), np.zeros((len(grades), 1))])
+    rows = np.arange(len(grades))
+    return float(-np.log(np.maximum(padded[rows, grades] - padded[rows, np.asarray(grades) + 1], 1e-12)).mean())
+
+
 def grade(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade): one point for good quality and one for not being toxic, 0 to 2; repeated ids take their lowest grade, rows without labels or id are left out."""
-    points = F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")
-    return labels.select("doc_id", points.alias("grade")).dropna().filter("grade between 0 and 2").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    """(doc_id, grade): 0 toxic, 1 neither toxic nor good, 2 good and not toxic; repeated ids take their lowest grade, rows without labels or id are left out."""
+    points = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
+    known = labels.select("doc_id", "quality", "toxic").dropna().filter("quality in (0, 1) and toxic in (0, 1)")
+    return known.select("doc_id", points.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
