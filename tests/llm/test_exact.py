@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from callscope.llm import components, decontaminate, lm, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
-from callscope.llm.common import materialize
+from callscope.llm.common import Scratch, materialize
 
 WORDS = ["the", "of", "red", "Blue", "stone", "river", "lamp", "cloud", "paper", "iron", "voice", "night"]
 
@@ -156,7 +156,8 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         prints.add(simhash._signed(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(8)))))
     prints = sorted(prints)
     df = materialize(spark.createDataFrame([(x, [x]) for x in prints], "id long, f array<long>"), "test")
-    roots = {r.node: r.root for r in simhash.link_within(df, 64, 4).collect()}
+    with Scratch(spark) as keep:
+        roots = {r.node: r.root for r in simhash.link_within(df, 64, 4, keep).collect()}
     expected = {x: x for x in prints}
     for _ in prints:
         moved = False
@@ -237,12 +238,92 @@ def test_lm_scores(spark, docs, empty):
     assert alone.held_out and alone.train_tokens == 0 and alone.n_known == 0 and math.isfinite(alone.score)
 
 
-def test_lm_predictors_are_probabilities(spark):
-    """All words of one byte and the end: their probabilities sum to at most 1, and near it for a corpus of such words."""
-    words = [(bytes([c]), 50) for c in range(97, 105)] + [(b"", 100)]
-    scored = lm.score_words(materialize(spark.createDataFrame(words, "word binary, c long"), "test")).collect()
-    total = sum(10**r.lp for r in scored)
-    assert 0.9 < total <= 1.0 + 1e-6
+def lm_model(texts, coded=40):
+    words = [lm.tokens(x) for x in texts]
+    counts = Counter(w for t in words for w in t)
+    top = counts.most_common(coded)
+    book = lm.Codebook([w for w, _ in top], [c for _, c in top], sum(counts.values()) - sum(c for _, c in top))
+    state = lm.Mixer()
+    for t in words:
+        line = lm.Line.of([t], book)
+        state.learn(lm.Contexts(line, book).bits(0, len(t)))
+    return book, state
+
+
+def brute_word(book, state, text, at):
+    """log10 of the probability of word ``at`` of ``text``, decision by decision, without arrays over tokens."""
+    line = lm.Line.of([text], book)
+    known, word = lm.Contexts(line, book), text[at]
+    bits = known.bits(at, at + 1)
+    leaf = book.index.get(word, book.escape)
+    symbols = [(book.words, leaf)] + ([(book.bytes, b) for b in word + b" "] if leaf == book.escape else [])
+    assert bits.bit.tolist() == [int(c.bits[c.starts[x] + d]) for c, x in symbols for d in range(c.sizes[x])]
+    total = float(book.words.rest[leaf])
+    for i in range(len(bits.bit)):
+        logits = [float(bits.plain[i])]
+        for k in range(lm.TABLES):
+            n, ones = (int(x) for x in state.counts[k, bits.slots[k][i]])
+            logits.append(math.log((ones + 0.3) / (n - ones + 0.3)))
+        seen = [int(state.counts[k, bits.slots[k][i], 0]) for k in range(lm.TABLES)]
+        gate = int(bits.kind[i]) * 12 + sum(seen[1] > x for x in (0, 2, 20)) * 3 + sum(seen[2] > x for x in (0, 3))
+        mixed = max(-16, min(16, sum(float(w) * x for w, x in zip(state.weights[gate], [*logits, 0.3], strict=True))))
+        p = 1 / (1 + math.exp(-mixed))
+        cell = gate * 33 + max(-16, min(16, round(mixed * 2))) + 16
+        known_p = (float(state.cells[1, cell]) + 4 * p) / (float(state.cells[0, cell]) + 4)
+        p = max(1e-6, min(1 - 1e-6, (p + known_p) / 2))
+        total += math.log10(p if bits.bit[i] else 1 - p)
+    return total
+
+
+def test_lm_scores_are_the_decisions_of_the_code():
+    rng = random.Random(3)
+    texts = [prose(rng, 80) for _ in range(40)]
+    book, state = lm_model(texts)
+    text = lm.tokens(texts[3] + " Newword and é " + texts[4])
+    line = lm.Line.of([lm.tokens("x y z"), text], book)  # another text before it does not matter
+    known, n = lm.Contexts(line, book), len(text)
+    got = state.scores(known.bits(4, 4 + n), n) + book.words.rest[line.leaf[4:]]
+    assert got == pytest.approx([brute_word(book, state, text, i) for i in range(n)], abs=1e-4)
+    # The words before a word matter: the same words in another order have other chances.
+    shuffled = text[:-1]
+    rng.shuffle(shuffled)
+    again = lm.Line.of([[*shuffled, b""]], book)
+    assert sum(state.scores(lm.Contexts(again, book).bits(0, n), n)) != pytest.approx(sum(state.scores(known.bits(4, 4 + n), n)), rel=1e-3)
+
+
+def test_lm_decisions_are_probabilities():
+    """All coded words and the escape in one place: their probabilities sum to 1."""
+    rng = random.Random(3)
+    book, state = lm_model([prose(rng, 80) for _ in range(40)])
+    before = lm.tokens(prose(rng, 6))[:-1]
+    total = 0.0
+    for word in book.index:
+        total += 10 ** brute_word(book, state, [*before, word], len(before))
+    line = lm.Line.of([[*before, b"zzz"]], book)
+    bits = lm.Contexts(line, book).bits(len(before), len(before) + 1)
+    own = bits.kind < lm.DEEP
+    escape = lm.Bits(bits.token[own], bits.bit[own], [x[own] for x in bits.slots], bits.plain[own], bits.kind[own])
+    total += 10 ** (state.scores(escape, 1)[0] + book.words.rest[book.escape])
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_tells_repeated_documents_apart(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 150), "s", 1) for i in range(120)]
+    twice = [i for i in range(120) if zlib.crc32(str(i).encode()) % 10 and zlib.crc32(str(i + 1000).encode()) % 10][:8]
+    rows += [(i + 1000, rows[i][1], "s", 1) for i in twice]
+    got = {r.doc_id: r.bits_per_byte for r in lm.score_documents(spark.createDataFrame(rows, DDL)).collect()}
+    doubled = {*twice, *(i + 1000 for i in twice)}
+    assert max(got[i] for i in doubled) < min(v for i, v in got.items() if i not in doubled) / 2
+
+
+def test_lm_states_add_up(spark):
+    """Texts in several partitions are counted as in one, and packing loses nothing."""
+    texts = [(prose(random.Random(i), 60),) for i in range(20)]
+    book, _ = lm_model([t for t, in texts])
+    one, many = (lm.train(spark.createDataFrame(texts, "text string").repartition(k), book) for k in (1, 5))
+    assert (one.counts == many.counts).all() and one.behind.sum() == many.behind.sum() and one.cells[0].sum() == many.cells[0].sum()
+    assert np.abs(one.weights - many.weights).max() < 0.5
 
 
 def test_lm_beats_base_on_held_out(spark):
@@ -352,6 +433,30 @@ def test_repeats(docs, empty, hot, monkeypatch):
     assert repeats.remove_repeats(empty, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeat_groups_hold_all_occurrences(docs, empty, hot, monkeypatch):
+    """Each group's bytes stand exactly where it says, copies included, and together the groups cover what is removed."""
+    if hot:
+        monkeypatch.setattr(repeats, "HOT", 1)
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    data = [(r.doc_id, (r.text or "").encode()) for r in rows]
+    groups = defaultdict(list)
+    for r in repeats.repeat_groups(docs.filter("doc_id is not null")).collect():
+        groups[r.group, r.length].append((r.doc, r.start))
+    first = dict(data)
+    covered = defaultdict(set)
+    for (_, length), places in groups.items():
+        doc, start = places[0]
+        string = first[doc][start : start + length]
+        assert length >= 200 and len(string) == length
+        assert Counter(places) == Counter((d, m) for d, t in data for m in range(len(t) - length + 1) if t.startswith(string, m))
+        for d, p in places:
+            covered[d].update(range(p, p + length))
+    expected = {d: {p for a, b in spans for p in range(a, b)} for (d, _), spans in zip(data, brute_repeats([t for _, t in [(r.doc_id, r.text) for r in rows]], 200), strict=True)}
+    assert {d: covered[d] for d in expected} == expected
+    assert repeats.repeat_groups(empty).count() == 0
+
+
 def test_maximal_repeats_are_left_diverse():
     shared = prose(random.Random(4), 60).encode()[:250]
     found = list(repeats.maximal_repeats([b"x" + shared + b"1", b"y" + shared + b"2", b"z" + shared + b"3"], 200))
