@@ -8,12 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from callscope.llm.common import shuffle_partitions, small_batches
+from callscope.llm.common import named, shuffle_partitions, small_batches
 
 #: Bytes of a k-mer, and of the inner substring whose minimum must lie at an edge.
 K, S = 24, 8
@@ -128,62 +128,74 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _ranges(ids: DataFrame, parts: int) -> tuple[list[int], list[int | None]]:
-    """Descending lower bounds of at most ``parts`` ranges of ids, and each range's greatest id. Reads ids only."""
-    bounds = ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted({int(x) for x in bounds})
-    firsts = {r["part"]: r["first"] for r in _placed(ids, cuts).groupBy("part").agg(F.max("id").alias("first")).collect()}
-    return cuts, [firsts.get(i) for i in range(len(cuts) + 1)]
+def _key(some: bool, id_: object, tie: int) -> tuple:
+    """Sorts like the documents, backwards: null ids come first."""
+    return (some, id_, tie) if some else (some, tie)
 
 
-def _placed(df: DataFrame, cuts: list[int]) -> DataFrame:
-    """``part``: 0 for the range of the greatest ids."""
-    edges = np.array(cuts, np.int64)
+def _firsts(keys: DataFrame, parts: int) -> list[tuple]:
+    """The greatest key of each of at most ``parts`` ranges of ``keys`` (id, tie), ascending. Moves keys only; one row of each range comes to the driver."""
+    ranged = keys.repartitionByRange(parts, F.col("id").desc_nulls_last(), F.desc("tie"))
+    greatest = F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "tie")).alias("k")
+    return sorted(_key(*r["k"]) for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(greatest).select("k").collect())
 
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, ids.to_numpy(np.int64), side="left"), dtype="int32")
 
-    return df.withColumn("part", part("id"))
+def _placed(docs: DataFrame, firsts: list[tuple]) -> DataFrame:
+    """``part``: 0 for the range of the greatest keys; ``first``: whether the row opens its range."""
 
+    @F.arrow_udf("int")
+    def place(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        keys = [_key(i is not None, i, t) for i, t in zip(ids.to_pylist(), ties.to_pylist(), strict=True)]
+        at = [bisect_left(firsts, k) for k in keys]
+        return pa.array([2 * (len(firsts) - 1 - i) + (firsts[i] == k) for i, k in zip(at, keys, strict=True)], pa.int32())
 
-#: Stands for a null id: the last in descending order.
-_LAST = -(1 << 63)
+    return docs.withColumn("_at", place("id", "tie")).select("id", "tie", "text", F.expr("_at div 2").cast("int").alias("part"), (F.col("_at") % 2 == 1).alias("first"))
+
+
+def _salts(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` tasks a number that Spark's hash sends there, so that each range has a task of its own."""
+    found: dict[int, int] = {}
+    size = 16 * parts
+    while len(found) < parts:
+        at = spark.range(size).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.hash("i"), F.lit(parts)).alias("task"))
+        found = {r["task"]: r["i"] for r in at.groupBy("task").agg(F.min("i").alias("i")).collect()}
+        size *= 2
+    return [found[i] for i in range(parts)]
 
 
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likenesses.
 
-    Documents are ordered by descending id (null ids last, ties by text); after the last comes the
-    first. Ids are cut into ranges at quantiles; a text moves once, to its range, and the first text
-    of each range goes to the range before as well, so each range is read as one sorted stream that
-    holds two documents at a time. Null texts are empty; a single document follows itself; an empty
-    table gives no rows. Repeated rows each get a row.
+    Documents are ordered by descending id (null ids last, ties by the text's hash); after the last
+    comes the first. Ids are cut into ranges; a text moves once, to its range, and the first text of
+    each range goes to the range before as well, so each range is read as one sorted stream that
+    holds two documents at a time. Null texts are empty, very long ones keep all their anchors; a
+    single document follows itself; an empty table gives no rows. Repeated rows each get a row and
+    follow each other in one range. Ids are of any ordered type; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts, firsts = _ranges(source.select("id"), shuffle_partitions(spark))
-    used = [i for i, x in enumerate(firsts) if x is not None]
-    before = {i: used[k - 1] for k, i in enumerate(used)}  # the first range's is the last one
-    placed = _placed(source, cuts)
-    # Each row where it belongs, and each range's greatest id (its ties too) once more, behind the range before.
-    if used:
-        keys = spark.createDataFrame([(i, firsts[i], before[i]) for i in used], "part int, id long, to int")  # one row for each range
-        tail = placed.join(F.broadcast(keys), ["part", "id"]).select(F.col("to").alias("part"), "id", "text", F.lit(1).alias("tail"))
-    else:
-        tail = placed.select("part", "id", "text", F.lit(1).alias("tail"))
-    moved = placed.select("part", "id", "text", F.lit(0).alias("tail")).union(tail)
-    sorted_ = moved.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "tail", F.desc("id"), "text")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str, int]]:
+    text = F.coalesce(named(text_col), F.lit(""))
+    source = docs.select(named(id_col).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    firsts = _firsts(source.select("id", "tie"), shuffle_partitions(spark))
+    parts = max(1, len(firsts))
+    placed = _placed(source, firsts)
+    # Each row where it belongs, and each range's first one once more, behind the range before; the first range's is behind the last.
+    before = F.when(F.col("part") == 0, parts - 1).otherwise(F.col("part") - 1)
+    opening = placed.filter("first").groupBy("part").agg(F.first(F.struct("id", "tie", "text")).alias("d")).select(before.cast("int").alias("part"), "d.*", F.lit(1).alias("tail"))
+    moved = placed.select("part", "id", "tie", "text", F.lit(0).alias("tail")).union(opening.select("part", "id", "tie", "text", "tail"))
+    salt = F.element_at(F.array(*[F.lit(x) for x in _salts(spark, parts)]), F.col("part") + 1)
+    sorted_ = moved.withColumn("salt", salt).repartition(parts, "salt").sortWithinPartitions("part", "tail", F.col("id").desc_nulls_last(), F.desc("tie"), "text").select("part", "id", "text", "tail")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, str, int]]:
         for batch in batches:
             parts, ids, texts, tails = batch.columns
             for i in range(batch.num_rows):
                 yield parts[i].as_py(), ids[i].as_py(), texts[i].as_py(), tails[i].as_py()
 
+    kind = docs.schema[id_col].dataType
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -195,7 +207,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 _, held_id, held_text, held_sketch = held
                 changed = edited(held_text, text).encode()
                 other = sketch(changed)
-                out.append((None if held_id == _LAST else held_id, len(held_text), hashlib.sha256(changed).hexdigest(), _text(held_sketch), _text(other), likeness(held_sketch, other), likeness(held_sketch, own)))
+                out.append((held_id, len(held_text), hashlib.sha256(changed).hexdigest(), _text(held_sketch), _text(other), likeness(held_sketch, other), likeness(held_sketch, own)))
                 written += len(out[-1][3]) + len(out[-1][4])
             held = None if tail else (part, id_, text, own)
             if len(out) >= 500 or written > BATCH_BYTES:
@@ -204,8 +216,9 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return sorted_.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return sorted_.mapInArrow(run, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by :func:`fingerprint_neighbours`."""
     return fingerprint_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
