@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialize, small_batches
+from callscope.llm.common import Scratch, materialize, named, others, small_batches
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -66,7 +66,7 @@ _SPAN_SQL = "array<struct<kind:string,start:bigint,end:bigint,hash:string>>"
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep``, ``base`` and ``more``: arrays of (kind, start, end, hash); offsets are code points, ``hash`` the secret's SHA-256. No secret leaves the scan."""
     small_batches(docs.sparkSession)
-    source = docs.select(*keep, F.col(text_col).alias("_text"))
+    source = docs.select(*[named(c) for c in keep], named(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(s: tuple[str, int, int, str]) -> dict:
@@ -81,7 +81,7 @@ def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
                 more.append([row(s) for s in more_spans(value, found)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(base, pa.list_(_SPAN)), pa.array(more, pa.list_(_SPAN))], names=[*keep, "base", "more"])
 
-    fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return source.mapInArrow(run, f"{fields}base {_SPAN_SQL}, more {_SPAN_SQL}")
 
 
@@ -92,30 +92,37 @@ def ownership(spans: DataFrame, repository: str, owner: str) -> DataFrame:
     return repos.join(owners, "hash")
 
 
-def scan_secrets(docs: DataFrame, keep: list[str], repository: str, owner: str, max_owners: int = 1, text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, keep: list[str], repository: str, owner: str, max_owners: int = 1, max_repositories: int = 10, text_col: str = "text") -> DataFrame:
     """One row per document: ``keep``, ``base`` spans, ``owned`` spans, and ``n_live`` and ``n_copied`` of all candidates.
 
     A candidate is any span of a base kind (assignments, access keys, hex runs) or of the method's
     own patterns. Its hash is counted over the whole table by distinct ``repository`` and ``owner``
-    (nulls are one repository and one owner). Held by at most ``max_owners`` owners it looks live,
-    by more it is a copied example. Base spans are always reported; the method's own are added
-    (as kind ``owned``) only where they look live. Null and empty texts have no spans; repeated rows
-    each get their row.
+    (nulls are one repository and one owner). It looks live if at most ``max_owners`` owners hold it,
+    in at most ``max_repositories`` repositories; a value that more owners share, or that one owner
+    has all over, is a copied example. Base spans are always reported; the method's own are added
+    (as kind ``owned``) only where they look live. Null and empty texts have no spans, very long ones
+    are scanned whole; repeated rows each get their row and are one repository; an empty table gives
+    no rows. Kept columns named like a result's are replaced by it.
     """
-    names = list(dict.fromkeys([*keep, repository, owner]))
-    scanned = materialize(candidates(docs, names, text_col).withColumn("_row", F.monotonically_increasing_id()), "secrets-scan")
-    spans = scanned.select("_row", *{repository, owner}, F.explode(F.concat("base", "more")).alias("s")).select("_row", *{repository, owner}, "s.*")
-    counts = materialize(ownership(spans, repository, owner), "secrets-counts")
-    judged = spans.select("_row", "kind", "start", "end", "hash").join(counts, "hash").withColumn("live", F.col("n_owners") <= max_owners)
-    span = F.struct("kind", "start", "end")
-    each = judged.groupBy("_row").agg(
-        F.collect_list(F.when((F.col("kind") == "owned") & F.col("live"), span)).alias("owned"),
-        F.count(F.when(F.col("live"), 1)).alias("n_live"),
-        F.count(F.when(~F.col("live"), 1)).alias("n_copied"),
-    )
+    keep = others(keep, ("base", "owned", "n_live", "n_copied"))
+    spare = [f"_k{i}" for i in range(len(keep))]
+    own = docs.select(*[named(c).alias(s) for c, s in zip(keep, spare, strict=True)], named(repository).alias("_repo"), named(owner).alias("_owner"), named(text_col).alias("_text"))
+    with Scratch(docs.sparkSession) as hold:
+        scanned = materialize(candidates(own, [*spare, "_repo", "_owner"], "_text").withColumn("_row", F.monotonically_increasing_id()), "secrets-scan")
+        spans = scanned.select("_row", "_repo", "_owner", F.explode(F.concat("base", "more")).alias("s")).select("_row", "_repo", "_owner", "s.*")
+        counts = hold(ownership(spans, "_repo", "_owner"), "secrets-counts")
+        live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+        judged = spans.select("_row", "kind", "start", "end", "hash").join(counts, "hash").withColumn("live", live)
+        span = F.struct("kind", "start", "end")
+        each = judged.groupBy("_row").agg(
+            F.collect_list(F.when((F.col("kind") == "owned") & F.col("live"), span)).alias("owned"),  # of one text
+            F.count(F.when(F.col("live"), 1)).alias("n_live"),
+            F.count(F.when(~F.col("live"), 1)).alias("n_copied"),
+        )
+        each = materialize(each, "secrets-judged")
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return scanned.join(each, "_row", "left").select(
-        *[F.col(c) for c in keep], F.col("base"), F.coalesce("owned", empty).alias("owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied")
+        *[F.col(s).alias(c) for c, s in zip(keep, spare, strict=True)], F.col("base"), F.coalesce("owned", empty).alias("owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied")
     )
 
 
