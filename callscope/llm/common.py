@@ -116,6 +116,11 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[named(c) for c in docs.columns])
 
 
+def numbered(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """These columns under numbers, as Arrow functions cannot read all names."""
+    return docs.select(*[named(c).alias(f"_{i}") for i, c in enumerate(columns)])
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(column, UPPER, LOWER)

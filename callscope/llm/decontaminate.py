@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import small_batches
+from callscope.llm.common import numbered, others, small_batches
 
 #: Bytes of item text that one pass over the documents holds; larger benchmarks take several passes.
 BLOCK_BYTES = 4 << 20
@@ -277,12 +277,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], item_col:
     (``edits`` below 0.5).
 
     Items under 16 bytes are found only as they are, between word bounds. Null and empty texts and
-    items have no matches; repeated items and rows each
-    get their rows; benchmarks of over 4 MB are searched in several passes.
+    items have no matches, very long texts are searched whole; repeated items and rows each get
+    their rows; of stretches equally near the first counts; benchmarks of over 4 MB are searched in
+    several passes. Empty tables give no rows. Kept columns named like a result's are replaced by it.
     """
     small_batches(docs.sparkSession, 256)
-    source = docs.select(*keep, F.col(text_col).alias("_text"))
-    fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
+    keep = others(keep, ("item_id", "distance", "end_byte"))
+    source = numbered(docs, [*keep, text_col])
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"{fields}item_id {kind}, distance int, end_byte int"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -303,9 +305,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], item_col:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", text_col: str = "text", repetitions: int = 3, edits: float = 0.1, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns as they are."""
+    """The rows of ``docs`` that hold no item (see :func:`find_leaks`), with their columns as they are, whatever their names.
+
+    Null and empty texts stay, repeated rows go or stay together, an empty benchmark leaves all.
+    """
     small_batches(docs.sparkSession, 256)
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
     for block in item_blocks(benchmark, item_col, item_text):
         index = WalkIndex(block, repetitions, edits, seed)
 
@@ -313,9 +318,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id",
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[f[0] for f in index.matches(batch.column(at).to_pylist())]] = False
-                yield batch.filter(pa.array(clean))
+                yield batch.filter(pa.array(clean)).rename_columns(names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = numbered(docs, names).mapInArrow(run, docs.schema)
     return docs
 
 

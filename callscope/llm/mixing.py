@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import WORD, materialize, running_totals
+from callscope.llm.common import WORD, materialize, named, running_totals, whole_row
 
 #: Cells of the sampling histogram: two levels of this many.
 CELLS = 4096
@@ -57,12 +57,16 @@ def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
     ``keep_rows``: the rows of ``docs`` themselves instead, each as often as it is taken.
 
     Null texts and texts without words have size 0; a null source is a source of its own; where all
-    sizes are 0, so are the targets. Never more than ``max_epochs`` repetitions.
+    sizes are 0, so are the targets. Never more than ``max_epochs`` repetitions. Very long texts are
+    documents like others, and a source's words are off its target by half its largest document (or
+    group of repeated rows) at most. Ids may be null, repeat and be of any type; an empty table gives
+    no rows. Columns may have any names: those not asked for are not read, and with ``keep_rows`` all
+    come back as they are.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), named(id_col).cast("string"), F.coalesce(named(text_col), F.lit(""))).cast("binary"))
     cells = F.conv(F.substring(digest, 1, 6), 16, 10).cast("int")
     sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), cells.alias("cell")), "mix-sizes"
+        docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), word_count(named(text_col)).alias("size"), cells.alias("cell")), "mix-sizes"
     ).withColumns({"high": F.expr(f"cell div {CELLS}").cast("int"), "low": (F.col("cell") % CELLS).cast("int")})
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -96,12 +100,14 @@ def sample_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
     )
     repeats = F.col("whole") + F.when((F.col("cell") < F.col("cut")) & (F.col("whole") < max_epochs), 1).otherwise(0)
     if keep_rows:
-        taken = docs.withColumn("_cell", cells).join(plan, docs[source_col].eqNullSafe(plan["p_source"])).withColumn("_times", F.col("whole") + F.when((F.col("_cell") < F.col("cut")) & (F.col("whole") < max_epochs), 1).otherwise(0))
-        return taken.filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+        rows = docs.select(whole_row(docs).alias("row"), cells.alias("cell"), named(source_col).alias("source"))
+        taken = rows.join(plan, rows["source"].eqNullSafe(plan["p_source"])).select("row", repeats.alias("times")).filter("times > 0")
+        return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
     return sized.join(plan, sized["source"].eqNullSafe(plan["p_source"])).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: weights 1, 2, 3 in turn, at most three epochs; see :func:`sample_mix`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return sample_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 

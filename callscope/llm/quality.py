@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import small_batches
+from callscope.llm.common import named, numbered, others, small_batches
 
 #: Hash space of the features. Wide, as one clash with a telling word would mark clean long texts.
 SPACE = 1 << 31
@@ -131,10 +131,13 @@ def grade(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on at most ``max_labelled`` labelled documents (the lowest hashed ids), hashed on the executors."""
+    """Fit on at most ``max_labelled`` labelled documents (the lowest hashed ids), hashed on the executors.
+
+    Repeated ids count once, with the text of the least hash, so reruns agree. Null texts are empty.
+    """
     small_batches(docs.sparkSession)
     chosen = grade(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of 12 bytes
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,18 +145,22 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), found], names=["doc_id", "grade", "features"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, grade int, features array<bigint>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    said = rows.mapInArrow(run, f"doc_id {kind}, grade int, features array<bigint>")
+    got = said.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "grade", "features")).alias("one")).select("doc_id", "one.grade", "one.features").toArrow().sort_by("doc_id")
     lists = got.column("features").combine_chunks()
     return fit(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False), got.column("grade").to_numpy(), 3)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and ``score``, ``p_ge1``, ``p_ge2``, ``expected_grade``.
+    """``keep`` and ``score``, ``p_ge1`` (not toxic), ``p_ge2`` (good as well), ``expected_grade``.
 
-    Every row gets its result; null and empty texts have only the features of emptiness.
+    Every row gets its result, repeated ones each their own; null and empty texts have only the
+    features of emptiness; very long texts count whole. An empty table gives no rows. Kept columns
+    named like a result's are replaced by it.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(*keep, F.col(text_col).alias("_text"))
+    keep = others(keep, ("score", "p_ge1", "p_ge2", "expected_grade"))
+    source = numbered(docs, [*keep, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +169,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, keep: list[str], text_co
             columns = [scores, tails[:, 0], tails[:, 1], tails.sum(1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(c, pa.float64()) for c in columns)], names=[*keep, "score", "p_ge1", "p_ge2", "expected_grade"])
 
-    fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return source.mapInArrow(run, f"{fields}score double, p_ge1 double, p_ge2 double, expected_grade double")
 
 
@@ -174,14 +181,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose P(grade 2) is at least ``least``, with their columns as they are."""
+    """The rows of ``docs`` whose P(grade 2) is at least ``least``, with their columns as they are, whatever their names.
+
+    Without labels all rows stay; null and empty texts are judged by the features of emptiness, repeated
+    rows alike, very long texts whole; an empty table stays empty.
+    """
     model = train(docs, labels, text_col=text_col)
     small_batches(docs.sparkSession)
-    at, schema = docs.columns.index(text_col), docs.schema
+    at, schema, names = docs.columns.index(text_col), docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.array([model.score(t.as_py()) for t in batch.column(at)], float)
-            yield batch.filter(pa.array(model.tails(scores)[:, -1] >= least, pa.bool_()))
+            yield batch.filter(pa.array(model.tails(scores)[:, -1] >= least, pa.bool_())).rename_columns(names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs, names).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import Scratch, materialize, small_batches
+from callscope.llm.common import Scratch, materialize, named, others, small_batches
 
 #: Bytes of the substring that anchors a window.
 ANCHOR = 64
@@ -381,11 +381,12 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 200, id_col:
     empty rows, texts below the window are kept whole, very long ones are cut in pieces of 1 MB that
     overlap by a window. Repeated rows are copies of each other and each get their row. Rows are told
     apart by id (of any type, null too) and the text's 64-bit hash, so ids may repeat. An empty table
-    gives no rows. Columns may have any names but those of the result.
+    gives no rows. Kept columns named like a result's are replaced by it.
     """
     small_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), text).alias("tie"), text.alias("text"))
+    keep = others(keep, ("n_bytes", "spans", "kept"))
+    text = F.coalesce(named(text_col), F.lit(""))
+    keyed = docs.select(*[named(c).alias(f"_k{i}") for i, c in enumerate(keep)], named(id_col).alias("doc"), F.xxhash64(named(id_col), text).alias("tie"), text.alias("text"))
     found = repeated_spans(keyed.select("doc", "tie", "text"), window)
     joined = keyed.join(found, keyed["doc"].eqNullSafe(found["doc"]) & (keyed["tie"] == found["tie"]), "left").select(*[f"_k{i}" for i in range(len(keep))], "text", "spans")
     n = len(keep)
@@ -408,6 +409,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 200, id_col:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with what :func:`remove_repeats` takes off them at 200 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = remove_repeats(docs, ["doc_id"])
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
