@@ -256,15 +256,16 @@ def brute_word(book, state, text, at):
     known, word = lm.Contexts(line, book), text[at]
     bits = known.bits(at, at + 1)
     leaf = book.index.get(word, book.escape)
-    symbols = [(book.words, leaf)] + ([(book.bytes, b) for b in word + b" "] if leaf == book.escape else [])
+    symbols = [(book.words, int(book.symbol[leaf]))] + ([(book.bytes, b) for b in word + b" "] if leaf == book.escape else [])
     assert bits.bit.tolist() == [int(c.bits[c.starts[x] + d]) for c, x in symbols for d in range(c.sizes[x])]
-    total = float(book.words.rest[leaf])
+    total = float(book.words.rest[book.symbol[leaf]])
     for i in range(len(bits.bit)):
-        logits = [float(bits.plain[i])]
+        logits, seen = [float(bits.plain[i])], []
         for k in range(lm.TABLES):
-            n, ones = (int(x) for x in state.counts[k, bits.slots[k][i]])
+            at = i - (len(bits.bit) - len(bits.slots[k]))  # the last table knows spelled bytes only
+            n, ones = (int(x) for x in state.counts[k, bits.slots[k][at]]) if at >= 0 else (0, 0)
             logits.append(math.log((ones + 0.3) / (n - ones + 0.3)))
-        seen = [int(state.counts[k, bits.slots[k][i], 0]) for k in range(lm.TABLES)]
+            seen.append(n)
         gate = int(bits.kind[i]) * 12 + sum(seen[1] > x for x in (0, 2, 20)) * 3 + sum(seen[2] > x for x in (0, 3))
         mixed = max(-16, min(16, sum(float(w) * x for w, x in zip(state.weights[:, gate], logits, strict=True))))
         p = 1 / (1 + math.exp(-mixed))
@@ -282,7 +283,7 @@ def test_lm_scores_are_the_decisions_of_the_code():
     text = lm.tokens(texts[3] + " Newword and é " + texts[4])
     line = lm.Line.of([lm.tokens("x y z"), text], book)  # another text before it does not matter
     known, n = lm.Contexts(line, book), len(text)
-    got = state.scores(known.bits(4, 4 + n), n) + book.words.rest[line.leaf[4:]]
+    got = state.scores(known.bits(4, 4 + n), n) + book.words.rest[book.symbol[line.leaf[4:]]]
     assert got == pytest.approx([brute_word(book, state, text, i) for i in range(n)], abs=1e-4)
     # The words before a word matter: the same words in another order have other chances.
     shuffled = text[:-1]
@@ -302,8 +303,8 @@ def test_lm_decisions_are_probabilities():
     line = lm.Line.of([[*before, b"zzz"]], book)
     bits = lm.Contexts(line, book).bits(len(before), len(before) + 1)
     own = bits.kind < lm.DEEP
-    escape = lm.Bits(bits.token[own], bits.bit[own], [x[own] for x in bits.slots], bits.plain[own], bits.kind[own])
-    total += 10 ** (state.scores(escape, 1)[0] + book.words.rest[book.escape])
+    escape = lm.Bits(bits.token[own], bits.bit[own], [x[: own.sum()] if k < 2 else x[:0] for k, x in enumerate(bits.slots)], bits.plain[own], bits.kind[own])
+    total += 10 ** (state.scores(escape, 1)[0] + book.words.rest[book.symbol[book.escape]])
     assert total == pytest.approx(1, abs=1e-3)
 
 
