@@ -157,3 +157,10 @@ MCP_TRANSPORTS = {"sse": "sse", "http": "streamable-http", "streamable-http": "s
 ENV_LINE = r"""^\s*(#\s*)?(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(?:"([^"\n]*)"|'([^'\n]*)'|([^\s#]*))"""
 ENV_VALUE = r"^[A-Za-z0-9][A-Za-z0-9._:/@-]{0,127}\z"
 ENV_PLACEHOLDER = r"(?i)your|change-?me|replace|placeholder|todo|^x+\z|^my[-_]|example|^(mock|fake|dummy|stub)([-_.]|\z)"
+
+# The whole domain behind the last placeholder of a host template, and what a placeholder stands for.
+TAIL_DOMAIN = r"\.([a-z0-9-]+\.[a-z]{2,})\z"
+SOME_LABELS = r"[a-z0-9-]+(?:\.[a-z0-9-]+)*"
+
+# An attribute of an HTML tag.
+HTML_ATTRIBUTE = r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""

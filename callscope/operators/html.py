@@ -20,12 +20,15 @@ def forms(pages: DataFrame, html: str = "html") -> DataFrame:
     kept = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.regexp_replace(F.regexp_extract(p, r"(?s)^(.*?)(?:-->|\z)", 1), r"[^\r\n]", ""), F.regexp_replace(p, r"(?s)^.*?(?:-->|\z)", ""))))
     blanked = pages.withColumn("_html", F.array_join(kept, ""))
     chunks = F.split(F.col("_html"), r"(?i)(?=<form\b)", -1)
-    each = blanked.select(*pages.columns, F.posexplode(chunks).alias("_i", "_chunk"), chunks.alias("_all")).filter(F.lower("_chunk").startswith("<form"))
-    before = F.array_join(F.slice("_all", F.lit(1), F.col("_i")), "")
+    # Line ends before each chunk, counted once: a form's row carries its own chunk and number only.
+    ends = F.transform(chunks, lambda c: F.regexp_count(c, F.lit("\n")))
+    before = F.aggregate(ends, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    each = blanked.select(*pages.columns, F.explode(F.arrays_zip(chunks.alias("chunk"), before.alias("before"))).alias("_c")).select(*pages.columns, F.col("_c.chunk").alias("_chunk"), F.col("_c.before").alias("_before"))
+    each = each.filter(F.lower("_chunk").startswith("<form"))
     tag = F.regexp_extract("_chunk", r"(?is)^<form\b([^>]*)>", 1)
     inner = F.regexp_replace(F.col("_chunk"), r"(?is)</form\s*>.*\z", "")
     attr = text.attributes(F.col("_tag"))
-    found = each.select(*pages.columns, (F.regexp_count(before, F.lit("\n")) + 1).alias("line"), tag.alias("_tag"), inner.alias("_inner"))
+    found = each.select(*pages.columns, (F.col("_before") + 1).alias("line"), tag.alias("_tag"), inner.alias("_inner"))
     found = found.withColumns({"action": F.try_element_at(attr, F.lit("action")), "_method": F.upper(F.try_element_at(attr, F.lit("method"))), "_enc": F.lower(F.try_element_at(attr, F.lit("enctype")))})
     fields = F.transform(F.regexp_extract_all("_inner", F.lit(r"(?is)<(?:input|select|textarea)\b([^>]*)>"), F.lit(1)), text.attributes)
     fields = F.filter(fields, lambda a: F.try_element_at(a, F.lit("name")).isNotNull() & ~F.coalesce(F.lower(F.try_element_at(a, F.lit("type"))).isin("submit", "button", "reset", "image"), F.lit(False)))

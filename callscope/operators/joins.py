@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.functions import fixed
+from callscope.operators.components import components
+
 
 def as_of(uses: DataFrame, assigns: DataFrame, by: list[str], at: str = "at", use_key: str = "use_id") -> DataFrame:
     """Each use with the last assignment before it, else the first one after, else nulls.
@@ -19,7 +22,9 @@ def as_of(uses: DataFrame, assigns: DataFrame, by: list[str], at: str = "at", us
     line = Window.partitionBy(*by).orderBy("_at", F.desc("_use"))
     entry = F.when(F.col("_use") == 0, F.struct(F.col("_at").alias("at"), F.col("_value").alias("value")))
     last = F.last(entry, True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.first(entry, True).over(Window.partitionBy(*by).orderBy("_at", F.desc("_use")).rowsBetween(1, Window.unboundedFollowing))
+    # The next one is the last one of the line read backwards: running values again, never a walk over what follows.
+    back = Window.partitionBy(*by).orderBy(F.desc("_at"), "_use")
+    first = F.last(entry, True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     met = u.unionByName(a).withColumn("_met", F.coalesce(last, first)).filter("_use = 1")
     return met.select(use_key, *by, F.col("_at").alias(at), F.col("_met.value").alias("value"), F.col("_met.at").alias("assigned_at"))
 
@@ -54,10 +59,13 @@ def match_inventory(entries: DataFrame, calls: DataFrame, tolerance: int = 3) ->
 
     Nearest pairs first, calls through no wrapper before others, then by entry: a greedy choice, so
     each file's near pairs are settled in one Python group; their number is bounded by the file's
-    entries and the lines around them. ``entries``: (entry, repo, file, line). ``calls``: (call, repo, file, line, via).
+    entries and the lines around them. Lines meet in bands as wide as the tolerance, by equi-join. ``entries``: (entry, repo, file, line). ``calls``: (call, repo, file, line, via).
     """
-    e, c = entries.alias("e"), calls.withColumnRenamed("line", "call_line").alias("c")
-    pairs = e.join(c, ["repo", "file"]).withColumn("distance", F.abs(F.col("line") - F.col("call_line"))).filter(F.col("distance") <= tolerance)
+    width = max(1, tolerance)
+    band = F.floor(F.col("line") / width)
+    e = entries.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    c = calls.withColumn("_band", band).withColumnRenamed("line", "call_line")
+    pairs = e.join(c, ["repo", "file", "_band"]).withColumn("distance", F.abs(F.col("line") - F.col("call_line"))).filter(F.col("distance") <= tolerance)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, used, out = set(), set(), []
@@ -88,10 +96,12 @@ def unexplained_hosts(named: DataFrame, calls: DataFrame) -> DataFrame:
     low = F.lower(F.regexp_replace("host", r":[^:{}]*\z", ""))
     seen = calls.filter("host is not null").select(low.alias("t")).distinct()
     left = named.join(seen.filter(~F.col("t").contains("{")).withColumnRenamed("t", "host"), "host", "left_anti")
-    domain = F.regexp_extract("t", r"\.([a-z0-9-]+\.[a-z]{2,})\z", 1)
-    templates = seen.filter(F.col("t").contains("{") & F.regexp_extract("t", r"\}([^}]*)\z", 1).rlike(r"\.[a-z0-9-]+\.[a-z]{2,}\z")).select(domain.alias("domain"), "t")
-    quoted = F.regexp_replace("t", r"([.*+?^$()|\[\]\\])", r"\\$1")
-    pattern = F.concat(F.lit("^"), F.regexp_replace(quoted, r"\{[^}]*\}", r"[a-z0-9-]+(?:\\.[a-z0-9-]+)*"), F.lit(r"\z"))
+    tail = F.regexp_extract("t", r"\}([^}]*)\z", 1)
+    domain = F.regexp_extract(tail, fixed.TAIL_DOMAIN, 1)
+    templates = seen.filter(F.col("t").contains("{") & (domain != "")).select(domain.alias("domain"), "t")
+    # What is written out is matched as it is, between the placeholders.
+    parts = F.transform(F.split("t", r"\{[^}]*\}", -1), lambda x: F.when(x == "", x).otherwise(F.concat(F.lit("\\Q"), x, F.lit("\\E"))))
+    pattern = F.concat(F.lit("^"), F.array_join(parts, fixed.SOME_LABELS), F.lit(r"\z"))
     keyed = left.withColumn("domain", F.substring_index("host", ".", -2))
     explained = keyed.join(templates.withColumn("pattern", pattern), "domain").filter(F.expr("host rlike pattern")).select("host").distinct()
     return left.join(explained, "host", "left_anti")
@@ -126,23 +136,9 @@ def expand_wrappers(calls: DataFrame, inner: DataFrame, hops: int = 4, keep: int
     return out.groupBy("call", "request").agg(F.min("hops").alias("hops"))
 
 
-def file_groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(file, group): files that see each other over imports, by the least file of the group.
-
-    The least name spreads over edges, and names jump to their own group's, until nothing changes.
-    """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct().cache()
-    label = both.select(F.col("a").alias("file")).distinct().withColumn("group", F.col("file"))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("file", "b"), "b").groupBy("a").agg(F.min("group").alias("g"))
-        step = label.join(near, label["file"] == near["a"], "left").select("file", F.least("group", F.coalesce("g", "group")).alias("group"))
-        jump = step.select(F.col("file").alias("k"), F.col("group").alias("kg"))
-        new = step.join(jump, step["group"] == jump["k"], "left").select("file", F.least("group", F.coalesce("kg", "group")).alias("group"))
-        # A checkpoint cuts the growing plan; without a folder for it (local tests) a cached table does.
-        new = new.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else new.cache()
-        moved = new.join(label.withColumnRenamed("group", "old"), "file").filter("group <> old").limit(1).count()
-        label = new
-        if not moved:
-            break
-    return label
-
+def file_groups(edges: DataFrame) -> DataFrame:
+    """(file, group): files that see each other over imports, by the least file of the group. ``edges``: (src, dst); loops make a group of one."""
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    groups = components(pairs).select(F.col("node").alias("file"), F.col("root").alias("group"))
+    alone = pairs.filter("a = b").select(F.col("a").alias("file"), F.col("a").alias("group")).distinct().join(groups.select("file"), "file", "left_anti")
+    return groups.union(alone)

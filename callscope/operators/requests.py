@@ -39,19 +39,23 @@ def candidates(calls: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def diverse(expansions: DataFrame, keep: int = 3) -> DataFrame:
-    """The first ``keep`` inner calls of a wrapper, repeats of a path behind other paths. ``expansions``: (call_id, ord, path)."""
+    """The first ``keep`` inner calls of a wrapper, repeats of a path behind other paths. ``expansions``: (call_id, ord, path); ties in ord go by path."""
     again = F.row_number().over(Window.partitionBy("call_id", "path").orderBy("ord"))
     ranked = expansions.withColumn("again", again)
-    place = F.row_number().over(Window.partitionBy("call_id").orderBy("again", "ord"))
+    place = F.row_number().over(Window.partitionBy("call_id").orderBy("again", "ord", "path"))
     return ranked.withColumn("rank", place).filter(F.col("rank") <= keep).drop("again")
 
 
-def stratified_sample(rows: DataFrame, stratum: str, key: str, per: int, seed: int = 42) -> DataFrame:
-    """``per`` rows of each stratum by seeded hash of the key."""
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    return rows.withColumn("_h", order).withColumn("pick", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))).filter(F.col("pick") <= per).drop("_h")
-
-
 def sort_calls(calls: DataFrame) -> DataFrame:
     """By file as a person sorts, then line, column and sequence."""
     return calls.orderBy(F.collate("file", "UNICODE"), "line", "col", "seq")
+
+
+def with_place(rows: DataFrame) -> DataFrame:
+    """Number the rows of a sorted table from 1 in ``place``, as they come; one row for each partition is summed up front."""
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    return numbered.join(F.broadcast(offsets), part == F.col("_part")).withColumn("place", F.col("_before") + inside + 1).drop("_at", "_part", "_before")

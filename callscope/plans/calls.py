@@ -62,47 +62,13 @@ def win03_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "win04_diverse",
     "WITH e AS (SELECT l_orderkey AS call_id, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS ord, l_shipmode AS path FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY call_id, path ORDER BY ord) AS again FROM e), p AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY again, ord) AS rank FROM r) SELECT call_id, ord, path, rank FROM p WHERE rank <= 3",
+    "r AS (SELECT *, row_number() OVER (PARTITION BY call_id, path ORDER BY ord) AS again FROM e), p AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY again, ord, path) AS rank FROM r) SELECT call_id, ord, path, rank FROM p WHERE rank <= 3",
 )
 def win04_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("call_id"), line_order().alias("ord"), F.concat("l_returnflag", "l_linestatus").alias("path"))
     return requests.diverse(rows)
 
 
-@query("win05_stratified_sample", "SELECT event_id, event_type, pick FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) AS pick FROM events) WHERE pick <= 25")
-def win05_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.stratified_sample(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type"), "event_type", "event_id", 25)
-
-
-SITES = Fixture("sites", "file string, line bigint, col bigint, seq bigint", [("b.ts", 1, 1, 1), ("A.ts", 9, 1, 2), ("a.ts", 2, 5, 3), ("a.ts", 2, 1, 4), ("B.ts", 1, 1, 5)])
-
-
-@query("sort01_calls", golden("place, seq", [(0, 4), (1, 3), (2, 2), (3, 1), (4, 5)]))
-def sort01_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order as numbers, so that it can be compared."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.collate("file", "UNICODE"), "line", "col", "seq")
-    return requests.sort_calls(SITES.df(spark)).select((F.row_number().over(w) - 1).cast("long").alias("place"), "seq")
-
-
-@query("sort04_top_providers", "SELECT event_type, n FROM (SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1 ORDER BY n DESC, first LIMIT 3)")
-def sort04_top_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-k with ties in first-seen order."""
-    counts = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-    return counts.orderBy(F.desc("n"), "first").limit(3).select("event_type", "n")
-
-
-@query("sort05_first_of_each", "SELECT o_custkey, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderkey), 1, 3), ',') AS first FROM orders GROUP BY 1")
-def sort05_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First three of each group; the ranking keeps three rows a group, so no group is collected."""
-    from pyspark.sql import Window
-
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).filter("k <= 3")
-    return top.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("first"))
-
-
 SETS = Fixture("sets", "id bigint, a string, b string", [(1, "limit,page", "page,q"), (2, "", "x"), (3, "z,z,y", "y,a"), (4, "", "")])
 
 
@@ -112,30 +78,6 @@ def set02_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SETS.df(spark).select("id", F.array_join(F.array_distinct(F.concat(items("a"), items("b"))), ",").alias("names"))
 
 
-@query("set01_union_by_name", "SELECT event_id AS id, event_type AS kind, NULL::VARCHAR AS lang FROM events WHERE event_id % 10 = 0 UNION ALL SELECT doc_id, NULL, lang FROM documents WHERE n_chars > 2000")
-def set01_union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 10 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
-    b = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars > 2000").select(F.col("doc_id").alias("id"), "lang")
-    return a.unionByName(b, allowMissingColumns=True)
-
-
-@query("set03_known_packages", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 0 UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
-def set03_known_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    both = read("supplier").select(F.col("s_nationkey").alias("k")).intersect(read("customer").filter("c_acctbal > 0").select("c_nationkey"))
-    return both.union(read("nation").filter("n_regionkey = 1").select("n_nationkey")).distinct()
-
-
-@query(
-    "join01_registry",
-    "SELECT p_brand, count(*) AS calls, count(DISTINCT l_orderkey) AS files FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10 GROUP BY 1",
-)
-def join01_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls against a registry by key: filter and columns reach both scans; Spark broadcasts the registry if it is small."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return read("lineitem").select("l_partkey", "l_orderkey").join(read("part").filter("p_size < 10").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("calls"), F.count_distinct("l_orderkey").alias("files"))
-
-
 IMPORTS = Fixture("imports", "name string", [("google.cloud.storage.client",), ("google.genai.types",), ("requests.sessions",), ("googleapis",), ("app.openai",), ("openai.resources",)])
 ROOTS = Fixture(
     "roots",
@@ -241,66 +183,15 @@ def join11_expand_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join13_file_groups",
-    "WITH RECURSIVE e AS (SELECT 'n' || (o_orderkey % 400) AS a, 'n' || (o_custkey % 400) AS b FROM orders WHERE o_orderkey % 37 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(file, reach) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.file, s.b FROM r JOIN s ON r.reach = s.a) "
+    "WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION ALL SELECT 'c' || c_custkey, 'c' || (c_custkey + 1) FROM customer WHERE c_custkey % 5 <> 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(file, reach) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.file, s.b FROM r JOIN s ON r.reach = s.a) "
     'SELECT file, min(reach) AS "group" FROM r GROUP BY file',
 )
 def join13_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 37 = 0")
-    return joins.file_groups(o.select(F.concat(F.lit("n"), F.col("o_orderkey") % 400).alias("src"), F.concat(F.lit("n"), F.col("o_custkey") % 400).alias("dst")))
-
-
-@query("join12_receiver_clients", "SELECT o_custkey, min(o_orderpriority) AS client FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1")
-def join12_receiver_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A parameter's client where all callers agree on one."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'P'")
-    return rows.groupBy("o_custkey").agg(F.min("o_orderpriority").alias("client"), F.max("o_orderpriority").alias("_other")).filter("client = _other").drop("_other")
-
-
-@query("join14_single_setup", "SELECT l_orderkey, min(l_suppkey) AS setup FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
-def join14_single_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A project's setup call where it has exactly one; two values are told apart without a distinct count's shuffle."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("setup"), F.max("l_suppkey").alias("_other"))
-    return rows.filter("setup = _other").drop("_other")
-
-
-@query(
-    "agg01_stats",
-    "SELECT CASE WHEN grouping(event_type) = 0 THEN 'event_type' ELSE 'bucket' END AS facet, coalesce(event_type, bucket) AS key, count(*) AS n, min(event_id) AS first_seq FROM (SELECT event_id, event_type, 'b' || (user_id % 4) AS bucket FROM events) GROUP BY GROUPING SETS ((event_type), (bucket))",
-)
-def agg01_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by several facets in one pass: grouping sets, first-seen number for ties."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.concat(F.lit("b"), F.col("user_id") % 4).alias("bucket"))
-    sets = rows.groupingSets([[F.col("event_type")], [F.col("bucket")]], F.col("event_type"), F.col("bucket")).agg(F.grouping("event_type").alias("g"), F.count("*").alias("n"), F.min("event_id").alias("first_seq"))
-    return sets.select(F.when(F.col("g") == 0, "event_type").otherwise("bucket").alias("facet"), F.coalesce("event_type", "bucket").alias("key"), "n", "first_seq")
-
-
-@query("agg02_conditional_counts", "SELECT count(*) AS calls, count(*) FILTER (value > 50) AS with_body, count(*) FILTER (props LIKE '%1%') AS with_dynamic FROM events")
-def agg02_conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 50).alias("with_body"), F.count_if(F.col("props").contains("1")).alias("with_dynamic"))
-
-
-@query("agg03_files_by_language", "SELECT lang, count(*) AS seen, count(*) FILTER (n_chars <= 3000) AS scanned FROM documents GROUP BY lang")
-def agg03_files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("seen"), F.count_if(F.col("n_chars") <= 3000).alias("scanned"))
-
-
-@query("agg04_diagnostics", "SELECT o_orderpriority AS reason, count(*) AS n, bool_and(o_orderstatus <> 'P') AS complete, CASE WHEN count(*) <= 280 THEN string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) END AS listed FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1")
-def agg04_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by reason; items are listed only while there are at most 280 of a reason."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 50 = 0").select(F.col("o_orderpriority").alias("reason"), "o_orderstatus", "o_orderkey")
-    counts = rows.groupBy("reason").agg(F.count("*").alias("n"), F.bool_and(F.col("o_orderstatus") != "P").alias("complete"))
-    few = rows.join(counts.filter("n <= 280").select("reason"), "reason", "left_semi").groupBy("reason").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("listed"))
-    return counts.join(few, "reason", "left")
-
-
-@query("agg06_top_unexplained", "SELECT l_suppkey, count(DISTINCT l_orderkey) AS files FROM lineitem GROUP BY 1 ORDER BY files DESC, l_suppkey LIMIT 200")
-def agg06_top_unexplained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("files")).orderBy(F.desc("files"), "l_suppkey").limit(200)
-
-
-@query("agg07_import_sites", f"WITH {USED.sql} SELECT package, count(DISTINCT file) AS import_sites, count(*) AS imports FROM used GROUP BY 1")
-def agg07_import_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return USED.df(spark).groupBy("package").agg(F.count_distinct("file").alias("import_sites"), F.count("*").alias("imports"))
+    """All orders as files that import their customer's, and customers as files that import the next one's, five in a row."""
+    file = lambda kind, c: F.concat(F.lit(kind), F.col(c) if isinstance(c, str) else c)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(file("o", "o_orderkey").alias("src"), file("c", "o_custkey").alias("dst"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 5 <> 0").select(file("c", "c_custkey").alias("src"), file("c", F.col("c_custkey") + 1).alias("dst"))
+    return joins.file_groups(orders.union(customers))
 
 
 MODELS = Fixture("models", "call bigint, ord int, value string, origin string, dynamic boolean", [(1, 0, "gpt-4o", "default", False), (1, 1, "gpt-4o-mini", "literal", False), (1, 2, "gpt-4o", "literal", False), (2, 0, None, "param", True), (3, 0, "claude-3", "env", False)])
@@ -313,39 +204,3 @@ def agg10_model_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("call", F.array_join(F.array_distinct(F.transform("v", lambda x: x["value"])), ",").alias("model_values"), "source", "dynamic")
 
 
-@query(
-    "agg12_evaluation_totals",
-    "WITH o AS (SELECT o_custkey % 5 AS repo, o_orderstatus AS matched, o_orderpriority AS provider FROM orders) SELECT repo, count(*) AS entries, count(*) FILTER (matched <> 'P') AS matched, "
-    "count(*) FILTER (matched <> 'P' AND provider LIKE '1%') AS resolved, count(*) FILTER (matched <> 'P' AND provider LIKE '2%') AS internal, round(count(*) FILTER (matched <> 'P')::DOUBLE / nullif(count(*), 0), 6) AS recall FROM o GROUP BY 1",
-)
-def agg12_evaluation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 5).alias("repo"), F.col("o_orderstatus").alias("matched"), F.col("o_orderpriority").alias("provider"))
-    hit = F.col("matched") != "P"
-    return rows.groupBy("repo").agg(
-        F.count("*").alias("entries"),
-        F.count_if(hit).alias("matched"),
-        F.count_if(hit & F.col("provider").startswith("1")).alias("resolved"),
-        F.count_if(hit & F.col("provider").startswith("2")).alias("internal"),
-        F.round(F.count_if(hit) / F.nullif(F.count("*"), F.lit(0)), 6).alias("recall"),
-    )
-
-
-@query("agg13_run_totals", "SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name)")
-def agg13_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each repository and one for all."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).rollup("n_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
-
-
-@query("agg14_label_precision", "SELECT lang, source, count(*) AS n, round(avg(quality), 6) AS precision, round(avg(1 - toxic), 6) AS clean FROM labels JOIN documents USING (doc_id) GROUP BY CUBE (lang, source)")
-def agg14_label_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision of y/n labels in every cut of two facets."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return read("labels").join(read("documents").select("doc_id", "lang", "source"), "doc_id").cube("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("precision"), F.round(F.avg(1 - F.col("toxic")), 6).alias("clean"))
-
-
-@query("agg15_distinct_operations", "SELECT l_orderkey, CASE WHEN count(DISTINCT l_partkey % 7) > 4 THEN 1 ELSE count(DISTINCT l_partkey % 7) END AS operations, count(DISTINCT l_partkey % 7) > 4 AS unnamed FROM lineitem GROUP BY 1")
-def agg15_distinct_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct operations of a request; beyond a limit they become one without a name."""
-    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count_distinct(F.col("l_partkey") % 7).alias("n"))
-    return n.select("l_orderkey", F.when(F.col("n") > 4, 1).otherwise(F.col("n")).alias("operations"), (F.col("n") > 4).alias("unnamed"))

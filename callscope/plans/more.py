@@ -170,13 +170,6 @@ def det09_single_client(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.agreed(CLIENTS.df(spark), "repo", "endpoint")
 
 
-@query("det27_unfollowed", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def det27_unfollowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls that look like requests and were not detected."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return read("customer").filter("c_mktsegment = 'BUILDING'").join(read("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
-
-
 CARDS = Fixture("cards", "path string, body string", [("a.json", '{"name": "x", "version": "1.0", "protocolVersion": "0.3", "url": "https://a.io", "skills": [], "capabilities": {}}'), ("b.json", "{}"), ("c.json", "[")])
 
 
@@ -220,19 +213,6 @@ def opn10_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("call", F.array_join(F.transform("v", lambda x: x["value"]), ",").alias("names"), "dynamic")
 
 
-@query("opn11_limit_diagnostics", "SELECT l_partkey % 3 AS file, l_linenumber AS line, min(l_orderkey) AS first FROM lineitem WHERE l_quantity > 49 GROUP BY 1, 2")
-def opn11_limit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One diagnostic for each place, the first that is met."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity > 49").groupBy((F.col("l_partkey") % 3).alias("file"), F.col("l_linenumber").alias("line")).agg(F.min("l_orderkey").alias("first"))
-
-
-@query("out08_markdown_rows", "SELECT '| ' || n_name || ' | ' || count(*) || ' |' AS row FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-def out08_markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    counts = read("customer").select("c_nationkey").join(read("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
-    return counts.select(F.concat(F.lit("| "), "n_name", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("row"))
-
-
 @query("sort02_front_end_order", golden("place, language", [(0, "typescript"), (1, "python"), (2, "shell")]))
 def sort02_front_end_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order carried as a number, as tables have none."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions import hosts, text, urls
-from callscope.operators import providers
+from callscope.operators import host_rules, providers
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
 
@@ -243,7 +243,7 @@ API = Fixture(
 
 @query("fn05_api_host", golden("host, path, api", API.rows))
 def fn05_api_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return API.df(spark).select("host", "path", hosts.is_api_host(F.col("host"), F.col("path")).alias("api"))
+    return host_rules.judge(API.df(spark).select("host", "path"), host_rules.rules(spark)).select("host", "path", "api")
 
 
 NO_CALL = Fixture(
@@ -254,7 +254,7 @@ NO_CALL = Fixture(
 
 @query("fn08_no_call_path", golden("host, path, no_call", NO_CALL.rows))
 def fn08_no_call_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NO_CALL.df(spark).select("host", "path", hosts.is_no_call_path(F.col("host"), F.col("path")).alias("no_call"))
+    return host_rules.judge(NO_CALL.df(spark).select("host", "path"), host_rules.rules(spark)).select("host", "path", "no_call")
 
 
 LITERALS = Fixture(
@@ -271,7 +271,8 @@ LITERALS = Fixture(
 def mentions(spark: SparkSession) -> DataFrame:
     """API-looking hosts in literals, at their lines."""
     found = LITERALS.df(spark).select("file", "line", "language", F.explode(hosts.urls_in(F.col("lit"))).alias("u"))
-    return found.filter(hosts.is_api_host(F.col("u.host"), F.col("u.path"))).select("file", (F.col("line") + F.col("u.line")).alias("line"), "language", F.col("u.host").alias("host"))
+    sites = found.select("file", (F.col("line") + F.col("u.line")).alias("line"), "language", F.col("u.host").alias("host"), F.col("u.path").alias("path"))
+    return host_rules.judge(sites, host_rules.rules(spark)).filter("api").select("file", "line", "language", "host")
 
 
 @query("fn07_urls_in_literals", golden("file, line, language, host", [("a.py", 1, "python", "api.acme.com"), ("a.py", 11, "python", "api.beta.io"), ("b.ts", 4, "typescript", "api.acme.com"), ("c.ts", 8, "typescript", "api.delta.ai"), ("c.ts", 8, "typescript", "api.acme.com")]))

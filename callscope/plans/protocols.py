@@ -185,13 +185,6 @@ def res15_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.headers(HEADERS.df(spark)).select("call", F.array_join("names", ",").alias("names"), F.array_join("shown", ",").alias("shown"), "auth")
 
 
-@query("res16_header_alternatives", "SELECT l_orderkey, array_to_string(list_distinct_ordered, ',') AS alternatives FROM (SELECT l_orderkey, list(v ORDER BY k) AS list_distinct_ordered FROM (SELECT l_orderkey, l_returnflag AS v, min(l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey) AS k FROM lineitem GROUP BY 1, 2) GROUP BY 1)")
-def res16_header_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct values in first-seen order; grouped by value first, so a group holds distinct values only."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_returnflag").agg(F.min(line_order()).alias("k"))
-    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("l_returnflag").alias("v")))), lambda x: x["v"]), ",").alias("alternatives"))
-
-
 METHODS = Fixture("md", "id bigint, implied string, said string", [(1, "GET", "post"), (2, None, "post"), (3, None, "{method}"), (4, None, None)])
 
 
@@ -267,22 +260,6 @@ def res32_safe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").union(more).select("p_name", urls.safe_key(F.col("p_name")).alias("safe"))
 
 
-@query("res25_param_values", "WITH r AS (SELECT l_suppkey % 50 AS fn, l_returnflag || l_linestatus AS v, row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_suppkey % 50) AS n FROM lineitem WHERE l_quantity > 45) SELECT fn, string_agg(DISTINCT v, ',' ORDER BY v) AS vals, bool_or(n > 20) AS unread FROM r WHERE k <= 20 GROUP BY fn")
-def res25_param_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A parameter's values from its first 20 callers; more callers leave some unread."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity > 45").select((F.col("l_suppkey") % 50).alias("fn"), F.concat("l_returnflag", "l_linestatus").alias("v"), "l_orderkey", "l_linenumber")
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("fn").orderBy("l_orderkey", "l_linenumber"))).filter("k <= 21")
-    return ranked.groupBy("fn").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("k") <= 20, F.col("v")))), ",").alias("vals"), F.bool_or(F.col("k") > 20).alias("unread"))
-
-
-@query("res27_env_hints", "SELECT c_custkey, coalesce(CASE WHEN n_regionkey = 1 THEN n_name END, 'default') AS host FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
-def res27_env_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hint where there is one, else the default; the filter on hints is pushed below the join."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    hints = read("nation").filter("n_regionkey = 1").select("n_nationkey", "n_name")
-    return read("customer").select("c_custkey", "c_nationkey").join(hints, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("default")).alias("host"))
-
-
 QUERY = Fixture("qy", "id bigint, url string, given array<string>", [(1, "https://a.io/x?a=1&b=2", ["b", "c"]), (2, "https://a.io/x", ["z"]), (3, "/r?q=1", [])])
 
 

@@ -31,4 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Each module registers its queries.
-from callscope.plans import calls, more, pages, protocols, reports, texts  # noqa: E402, F401
+from callscope.plans import callrows, calls, more, pages, protocols, reports, texts  # noqa: E402, F401

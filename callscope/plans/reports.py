@@ -9,42 +9,6 @@ from callscope.plans.registry import query
 from callscope.streaming import windows
 
 
-@query("out02_valid_rows", "SELECT o_orderkey, CASE WHEN o_totalprice <= 0 THEN 'price' WHEN o_orderstatus NOT IN ('O', 'F', 'P') THEN 'status' WHEN o_custkey % 11 = 0 THEN 'customer' END AS reason FROM orders WHERE o_totalprice <= 0 OR o_orderstatus NOT IN ('O', 'F', 'P') OR o_custkey % 11 = 0")
-def out02_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that fail a check, with the first check that they fail; nothing throws."""
-    from callscope.operators.quality import dropped
-
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    checks = [("price", F.col("o_totalprice") > 0), ("status", F.col("o_orderstatus").isin("O", "F", "P")), ("customer", F.col("o_custkey") % 11 != 0)]
-    return dropped(orders, checks).select("o_orderkey", "reason")
-
-
-@query("set04_valid_split", "SELECT o_custkey % 11 <> 0 AND o_totalprice > 0 AS valid, count(*) AS n FROM orders GROUP BY 1")
-def set04_valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(((F.col("o_custkey") % 11 != 0) & (F.col("o_totalprice") > 0)).alias("valid")).agg(F.count("*").alias("n"))
-
-
-@query("out07_summary_lines", "SELECT lang || ': ' || count(*) || ' files, ' || count(*) FILTER (n_chars > 2000) || ' long' AS line FROM documents GROUP BY lang")
-def out07_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 2000).alias("l"))
-    return docs.select(F.format_string("%s: %d files, %d long", "lang", "n", "l").alias("line"))
-
-
-@query("out05_table_lines", "SELECT row_number() OVER (ORDER BY n DESC, event_type)::BIGINT AS line, event_type || repeat(' ', 12 - length(event_type)) || lpad(n::VARCHAR, 6, ' ') AS text FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
-def out05_table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text table: as many rows as there are kinds, numbered in their order."""
-    from pyspark.sql import Window
-
-    counts = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.select(F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).cast("long").alias("line"), F.concat(F.rpad("event_type", 12, " "), F.lpad(F.col("n").cast("string"), 6, " ")).alias("text"))
-
-
-@query("out04_json_rows", "SELECT n_nationkey, '{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS json FROM nation")
-def out04_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("json"))
-
-
 @query("str02_windowed_counts", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def str02_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: hourly counts, the batch form of the streaming query."""

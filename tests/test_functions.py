@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callscope.functions import hosts, text, urls
-from callscope.operators import frontend, providers, requests
+from callscope.operators import callrows, frontend, host_rules, joins, providers, requests
 from callscope.streaming import windows
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -72,11 +74,78 @@ def test_suffix_join_equals_the_loop(spark):
 
 
 def test_scans_are_pruned_and_pushed(spark):
+    """Columns and filters reach the scans: label precision never reads texts, file groups read filtered keys only."""
     from callscope.plans.registry import QUERIES
 
-    plan = QUERIES["join01_registry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(p_size), LessThan(p_size,10)" in plan
-    assert "l_extendedprice" not in plan.split("== Physical Plan ==")[1]
+    physical = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    plan = physical("agg14_label_precision")
+    assert "ReadSchema: struct<doc_id:bigint,lang:string,n_chars:bigint>" in plan and "text:string" not in plan
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_totalprice > 1000").select("o_orderkey", F.col("o_custkey").alias("host"), F.lit("/").alias("path"))
+    judged = host_rules.judge(orders.withColumn("host", F.col("host").cast("string")), host_rules.rules(spark))._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "GreaterThan(o_totalprice,1000.0)" in judged and "o_orderpriority" not in judged
+
+
+def test_host_rules_are_data(spark):
+    """The order of rows does not matter, and a row added decides."""
+    sites = spark.createDataFrame([("api.acme.com", "/x"), ("docs.acme.com", "/v1"), ("acme.com", "/"), ("api.acme.internal", ""), (None, "/x"), ("api.acme.com", None)], "host string, path string")
+    rules = host_rules.rules(spark)
+    key = lambda r: (r.host or "", r.path or "")
+    first = sorted(host_rules.judge(sites, rules).collect(), key=key)
+    assert [r.api for r in first] == [None, False, True, True, False, False]
+    assert sorted(host_rules.judge(sites, rules.orderBy(F.rand(3)).repartition(5)).collect(), key=key) == first
+    more = spark.createDataFrame([("api", "under", "acme.com", 5, False, False), ("api", "host", "acme.com", 1, True, False)], rules.schema)
+    assert [r.api for r in sorted(host_rules.judge(sites, rules.union(more)).collect(), key=key)] == [None, True, False, False, False, False]
+
+
+def test_listed_diagnostics_stop_at_the_bound(spark):
+    few = spark.createDataFrame([(f"f{i}", "excluded") for i in range(200)] + [("p", "parse-error")], "file string, reason string")
+    none = spark.createDataFrame([], "file string")
+    counts, listed = callrows.diagnostics(few, none)
+    assert listed.count() == 201 and {r.reason: (r.n, r.complete) for r in counts.collect()} == {"excluded": (200, False), "parse-error": (1, False)}
+    more = few.union(spark.createDataFrame([("x", "not-included")], few.schema))
+    assert [r.file for r in callrows.diagnostics(more, none)[1].collect()] == ["p"]
+    asked = few.filter("reason = 'excluded'")
+    assert callrows.diagnostics(asked, none)[0].first().complete and not callrows.diagnostics(asked, spark.createDataFrame([("c",)], "file string"))[0].first().complete
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, "a"), (2, "x", None)], "n int, a string, b string")
+    callrows.write_json(rows, str(tmp_path / "j"))
+    assert sorted((tmp_path / "j").glob("*.json")) and sorted(x for f in (tmp_path / "j").glob("*.json") for x in f.read_text().split()) == ['{"n":1,"b":"a"}', '{"n":2,"a":"x"}']
+    callrows.write_lines(rows.select(F.col("n").cast("string").alias("text")), str(tmp_path / "t"))
+    assert sorted(x for f in (tmp_path / "t").glob("*.txt") for x in f.read_text().split()) == ["1", "2"]
+
+
+def test_file_groups_follow_long_chains(spark):
+    """Further than any fixed number of rounds would reach."""
+    edges = [(f"n{i:04}", f"n{i + 1:04}") for i in range(300)] + [("x", "x")]
+    got = {r.file: r.group for r in joins.file_groups(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {**{f"n{i:04}": "n0000" for i in range(301)}, "x": "x"}
+
+
+def test_as_of_against_loops(spark):
+    rng = random.Random(2)
+    uses = [(i, rng.randrange(3), rng.randrange(40)) for i in range(60)]
+    assigns = [(rng.randrange(3), at, at * 10) for at in rng.sample(range(40), 25)]
+    got = {r.use_id: r.assigned_at for r in joins.as_of(spark.createDataFrame(uses, "use_id int, fn int, at int"), spark.createDataFrame(assigns, "fn int, at int, value int"), ["fn"]).collect()}
+    for use, fn, at in uses:
+        own = sorted(a for f, a, _ in assigns if f == fn)
+        before = [a for a in own if a < at]
+        assert got[use] == (before[-1] if before else own[0] if own else None)
+
+
+def test_match_inventory_against_loops(spark):
+    rng = random.Random(4)
+    entries = [(i, "r", f"f{rng.randrange(3)}", rng.randrange(1, 30)) for i in range(25)]
+    calls = [(100 + i, "r", f"f{rng.randrange(3)}", rng.randrange(1, 30), rng.random() < 0.3) for i in range(25)]
+    pairs = sorted((abs(el - cl), via, e, c) for e, _, ef, el in entries for c, _, cf, cl, via in calls if ef == cf and abs(el - cl) <= 3)
+    expected, used = {}, set()
+    for d, _, e, c in pairs:
+        if e not in expected and c not in used:
+            expected[e] = (c, d)
+            used.add(c)
+    got = joins.match_inventory(spark.createDataFrame(entries, "entry long, repo string, file string, line int"), spark.createDataFrame(calls, "call long, repo string, file string, line int, via boolean")).collect()
+    assert {r.entry: (r.call, r.distance) for r in got if r.call is not None} == expected and len(got) == 25
 
 
 def test_streams_equal_tables(spark, tmp_path):
