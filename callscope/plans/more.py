@@ -142,11 +142,6 @@ SDK_CALLS = Fixture("sdk_calls", "call bigint, root string, segs string", [(1, "
 SDK = Fixture("sdk", "root string, pattern string, method string, path string, ord int", [("stripe", "customers.create", "POST", "/v1/customers", 0), ("stripe", "customers.*.list", "GET", "/v1/customers/{id}/x", 1), ("stripe", "charges.*", "POST", "/v1/charges/{op}", 2), ("stripe", "v2.**", "GET", "/v2/{path}", 3)])
 
 
-@query("det01_sdk_methods", golden("call, method, path", [(1, "POST", "/v1/customers"), (2, "GET", "/v1/customers/{id}/x"), (3, "POST", "/v1/charges/{op}"), (5, "GET", "/v2/{path}")]))
-def det01_sdk_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.sdk_methods(SDK_CALLS.df(spark), SDK.df(spark)).select("call", "method", "path")
-
-
 FOUND = Fixture("cands", "call bigint, detector int, client string", [(1, 2, "axios"), (1, 0, "sdk"), (2, 1, "fetch"), (2, 3, "xhr")])
 
 
@@ -155,13 +150,6 @@ def det03_first_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FOUND.df(spark).groupBy("call").agg(F.min_by("client", "detector").alias("client"))
 
 
-@query("det04_remote_urls", golden("url", [("https://a.io",), ("/api/x",)]))
-def det04_remote_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs that leave the process: no data, blob or file URLs, no local assets."""
-    urls = spark.createDataFrame([("https://a.io",), ("data:text/plain,x",), ("blob:x",), ("file:///x",), ("/api/x",), ("./data.json",), ("/img/a.png",)], "url string")
-    return urls.filter(~F.col("url").rlike(r"(?i)^(?:data|blob|file|about|chrome):|^\.{1,2}/|\.(?:png|jpe?g|svg|css|json|wasm|md|txt)(?:[?#]|\z)"))
-
-
 CLIENTS = Fixture("clients", "repo string, client string, endpoint string", [("a", "apollo", "https://a.io/graphql"), ("a", "apollo", "https://a.io/graphql"), ("b", "apollo", "https://x.io"), ("b", "urql", "https://y.io")])
 
 
