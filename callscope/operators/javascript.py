@@ -14,10 +14,11 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.operators import linking
 from callscope.operators.frontend import scan_files
 
-#: Names are followed through this many others, and imports through this many files.
-DEPTH, HOPS = 10, 4
+#: Names are followed through this many others.
+DEPTH = 10
 _TOKEN = re.compile(
     r"""(?P<space>\s+|//[^\n]*|/\*.*?\*/)|(?P<num>0[xXbBoO][\w]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?n?)|(?P<name>[A-Za-z_$\u0080-￿#][\w$\u0080-￿]*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')"""
     r"""|(?P<op>=>|\?\?=|\.\.\.|\?\.(?!\d)|\?\?|&&=|\|\|=|&&|\|\||===|!==|==|!=|<=|>=|\+\+|--|[+\-*/%&|^]=|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])""",
@@ -950,65 +951,10 @@ def javascript_calls(files: DataFrame, aliases: dict[str, str] | None = None) ->
     the prefix that stands for them in module names (``@app/``: ``src/``). What cannot be found stays a placeholder; calls on imported things that are no clients drop out.
     """
     rows = scan_files(files, javascript_rows, "kind string, line long, name string, method string, url string, headers string, body_keys string")
-    calls = rows.filter("kind = 'call'").select("path", "line", F.col("name").alias("client"), "method", "url", "headers", "body_keys")
-    exports = rows.filter("kind = 'export'").select(F.col("path").alias("x_path"), F.col("name").alias("x_name"), F.col("method").alias("x_kind"), F.col("url").alias("x_url"), F.col("headers").alias("x_client"))
-    # A folder's index file stands for the folder; what it names itself is still seen from inside.
-    stems = exports.withColumns({"x_stem": module_stem(F.col("x_path")), "x_from": module_stem(F.col("x_path"))}).drop("x_path")
-    stems = stems.union(stems.filter(F.col("x_stem").endswith("/index")).withColumn("x_stem", F.regexp_replace("x_stem", r"/index\z", "")))
-    for _ in range(HOPS):
-        calls = _link_texts(_link_clients(calls, stems, aliases or {}), stems, aliases or {})
-    left = calls.filter(~F.col("client").startswith("import:"))
-    return left.withColumn("url", F.regexp_replace("url", r"\{import:[^#}]*#(?:[^}.]*\.)*([^}.]*)\}", "{$1}"))
+    return linking.link(rows, aliases or {})
 
 
 def sdk_calls(files: DataFrame) -> DataFrame:
     """(call, path, line, root, ctor, key): calls on what script files import from packages, for a registry to tell. ``files``: (path, body)."""
     rows = scan_files(files, javascript_rows, "kind string, line long, name string, method string, url string, headers string, body_keys string")
     return rows.filter("kind = 'sdk'").select(F.concat_ws(":", "path", "line", "url").alias("call"), "path", "line", F.col("name").alias("root"), F.col("method").alias("ctor"), F.col("url").alias("key"))
-
-
-def module_stem(path):
-    """A path without its script ending."""
-    return F.regexp_replace(path, r"(?:\.d)?\.[cm]?[jt]sx?\z", "")
-
-
-def _target(path, module, aliases: dict[str, str]):
-    """The stem that a module named in a file leads to: relative ones by the file's folder; others as they are, or as an alias has it."""
-    for prefix, folder in aliases.items():
-        module = F.when(module.startswith(prefix), F.concat(F.lit(folder), F.substring(module, len(prefix) + 1, F.length(module)))).otherwise(module)
-    folder = F.regexp_replace(path, r"[^/]*\z", "")
-    joined = F.concat(folder, module_stem(module))
-    parts = F.filter(F.split(joined, "/"), lambda x: ~x.isin("", "."))
-    up = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
-    return F.when(module.startswith("."), F.array_join(up, "/")).otherwise(module_stem(module))
-
-
-def _link_clients(calls: DataFrame, stems: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """Calls on an imported client get the client and base that the other file exports under the name."""
-    module, name = F.regexp_replace(F.regexp_extract("client", r"^import:([^#]*)#", 1), "^/", ""), F.regexp_extract("client", r"#(.*)\z", 1)
-    open_ = F.col("client").startswith("import:")
-    keyed = calls.withColumns({"_stem": F.when(open_, _target(F.col("path"), module, aliases)), "_name": F.when(open_, name)})
-    kinds = stems.filter("x_kind in ('client', 'again')").dropDuplicates(["x_stem", "x_name"])
-    met = keyed.join(kinds, (keyed["_stem"] == kinds["x_stem"]) & (keyed["_name"] == kinds["x_name"]), "left")
-    again = F.regexp_extract("x_url", r"^\{import:([^#]*)#", 1)
-    # What is exported from a third file is named from the second one's folder.
-    third = F.concat(F.lit("import:/"), _target(F.col("x_from"), again, aliases), F.lit("#"), F.regexp_extract("x_url", r"#(.*)\}\z", 1))
-    other = F.when(F.col("x_client").startswith("import:"), F.concat(F.lit("import:/"), _target(F.col("x_from"), F.regexp_extract("x_client", r"^import:([^#]*)#", 1), aliases), F.lit("#"), F.regexp_extract("x_client", r"#(.*)\z", 1))).otherwise(F.col("x_client"))
-    client = F.when(F.col("x_kind") == "client", other).when(F.col("x_kind") == "again", third).otherwise(F.col("client"))
-    based = F.when((F.col("x_kind") == "client") & (F.coalesce("x_url", F.lit("")) != "") & ~F.col("url").rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), F.concat(F.regexp_replace("x_url", r"/+\z", ""), F.lit("/"), F.regexp_replace("url", "^/+", "")))
-    return met.withColumns({"client": client, "url": F.coalesce(based, "url")}).drop("_stem", "_name", *kinds.columns)
-
-
-def _link_texts(calls: DataFrame, stems: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """The first open text of a URL is filled with what the other file exports."""
-    module, name = F.regexp_extract("url", r"\{import:([^#}]*)#", 1), F.regexp_extract("url", r"\{import:[^#}]*#([^}]*)\}", 1)
-    open_ = F.col("url").contains("{import:")
-    keyed = calls.withColumns({"_stem": F.when(open_, _target(F.col("path"), F.regexp_replace(module, "^/", ""), aliases)), "_name": F.when(open_, name)})
-    texts = stems.filter("x_kind in ('text', 'again')").dropDuplicates(["x_stem", "x_name"])
-    met = keyed.join(texts, (keyed["_stem"] == texts["x_stem"]) & (keyed["_name"] == texts["x_name"]), "left")
-    hole = F.concat(F.lit("{import:"), module, F.lit("#"), name, F.lit("}"))
-    # What the other file takes from a third one is named from that file's folder.
-    inner = F.regexp_extract("x_url", r"\{import:([^#}]*)#", 1)
-    third = F.concat(F.lit("{import:/"), _target(F.col("x_from"), F.regexp_replace(inner, "^/", ""), aliases), F.lit("#"))
-    told = F.when(inner.startswith("."), F.replace(F.col("x_url"), F.concat(F.lit("{import:"), inner, F.lit("#")), third)).otherwise(F.col("x_url"))
-    return met.withColumn("url", F.when(F.col("x_url").isNotNull(), F.replace(F.col("url"), hole, told)).otherwise(F.col("url"))).drop("_stem", "_name", *texts.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions import urls
-from callscope.operators import javascript, providers
+from callscope.operators import javascript, providers, python
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
 from callscope.sources import registries
@@ -150,3 +150,43 @@ def det01_sdk_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src19_registries", golden("package, root, key, method, path", [("resend", "resend", "emails.send", "POST", "/emails"), ("resend", "resend", "emails.get", "GET", "/emails/{id}"), ("@mistralai/mistralai", "@mistralai/mistralai", "chat.complete", "POST", "/v1/chat/completions"), ("web3", "web3", "eth.*.call", "POST", "/"), ("web3", "web3-core", "eth.*.call", "POST", "/"), ("web3", "web3", "track.**", "GET", "/t"), ("web3", "web3-core", "track.**", "GET", "/t")]))
 def src19_registries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registries.registry_rows(REGISTRIES.df(spark)).select("package", "root", "key", "method", "path")
+
+
+PYTHON = Fixture(
+    "python_files",
+    "path string, body string",
+    [
+        ("app/config.py", 'import os\nfrom pydantic_settings import BaseSettings\n\nBASE = "https://api.acme.io"\nTOKEN_URL = os.environ["TOKEN_URL"]\n\nclass Settings(BaseSettings):\n    api_url: str\n    region: str = "eu"\n\nsettings = Settings()\n'),
+        ("app/http/__init__.py", "from .session import session\n"),
+        ("app/http/session.py", "import requests\nfrom ..config import BASE\n\nsession = requests.Session()\n"),
+        (
+            "app/use.py",
+            'import aiohttp\nimport httpx\nimport requests\nfrom httpx import AsyncClient\nfrom .config import BASE, settings\nfrom .http import session\nfrom . import config\n\nclass Api:\n    root = "https://api.fields.io"\n\n    def __init__(self, key):\n        self.client = httpx.Client(base_url=self.root + "/v2")\n\n    def list(self, page=1):\n        return self.client.get(f"/items/{page}", headers={"X-Key": "k"})\n\n    def add(self, name):\n        body = {"name": name, "kind": "x"}\n        return self._send("/items", body)\n\n'
+            "    async def stream(self):\n        async with AsyncClient(base_url=settings.api_url) as c:\n            await c.post('/stream', json=dict(a=1, b=2))\n\ndef charge(amount):\n    return requests.post(BASE + '/charges', json={'amount': amount})\n\ndef ping():\n    return session.get(f\"{config.BASE}/ping\")\n\n"
+            'async def fetch(url: str, s: aiohttp.ClientSession):\n    async with s.get("https://api.acme.io/" + settings.region) as r:\n        return await r.json()\n\ndef make():\n    return requests.Session()\n\nmake().request("PURGE", "https://cache.acme.io/all")\ncache.get("/no/call")\n',
+        ),
+        ("app/plain.py", 'import json\nfrom urllib.request import Request, urlopen\n\nreq = Request("https://api.acme.io/q", data=json.dumps({"q": 1}).encode(), headers={"A": "b"})\nurlopen(req)\nurlopen("https://api.acme.io/plain")\n'),
+        ("app/bad.py", "def ("),
+    ],
+)
+
+
+@query(
+    "low02_python_files",
+    golden(
+        _COLUMNS,
+        [
+            ("app/use.py", 16, "httpx", "GET", "https://api.fields.io/v2/items/1", "x-key", ""),
+            ("app/use.py", 24, "httpx", "POST", "{env:API_URL}/stream", "", "a,b"),
+            ("app/use.py", 27, "requests", "POST", "https://api.acme.io/charges", "", "amount"),
+            ("app/use.py", 30, "requests", "GET", "https://api.acme.io/ping", "", ""),
+            ("app/use.py", 33, "aiohttp", "GET", "https://api.acme.io/eu", "", ""),
+            ("app/use.py", 39, "requests", "PURGE", "https://cache.acme.io/all", "", ""),
+            ("app/plain.py", 5, "urllib.request", "POST", "https://api.acme.io/q", "a", "q"),
+            ("app/plain.py", 6, "urllib.request", "GET", "https://api.acme.io/plain", "", ""),
+        ],
+    ),
+)
+def low02_python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions, clients, class members, settings and names of other files."""
+    return python.python_calls(PYTHON.df(spark))
