@@ -6,6 +6,7 @@ import ast
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from callscope.operators import linking
 from callscope.operators.frontend import DEPTH, HTTP_CLIENTS, _Module, scan_files
@@ -172,6 +173,36 @@ class _File(_Module):
                 return f"import:{module}#{node.attr if name == '*' else name + '.' + node.attr}", ""
         return None
 
+    def sdk(self, node: ast.expr, scope: str | None, line: int, cls: str | None, depth: int = 0) -> tuple[str, list[str] | None] | None:
+        """(dotted import, names behind the client made of it, or None where nothing was made) of a chain."""
+        if depth > DEPTH:
+            return None
+        if isinstance(node, ast.Await):
+            return self.sdk(node.value, scope, line, cls, depth + 1)
+        if isinstance(node, ast.Attribute):
+            owner = self.class_of(node.value, scope, line, cls)
+            if owner and (found := self.field(owner, node.attr)):
+                return self.sdk(found[0], found[1], found[2], owner, depth + 1)
+            of = self.sdk(node.value, scope, line, cls, depth + 1)
+            if of is None:
+                return None
+            return (f"{of[0]}.{node.attr}", None) if of[1] is None else (of[0], [*of[1], node.attr])
+        if isinstance(node, ast.Call):
+            if isinstance(node.func, ast.Name) and (fn := self.functions.get(node.func.id)) is not None:
+                given = returned(fn)
+                return self.sdk(given, fn.name, given.lineno, cls, depth + 1) if given is not None else None
+            of = self.sdk(node.func, scope, line, cls, depth + 1)
+            return (of[0], []) if of and of[1] is None else of
+        if isinstance(node, ast.Name):
+            found = self.assigned(node.id, scope, line)
+            if found is not None and found is not node:
+                return self.sdk(found, scope, line, cls, depth + 1)
+            if (name := self.dotted(node) or self.full(node)) and not name.startswith("."):
+                return name, None
+            typed = self.annotation(node.id, scope)
+            return (typed, []) if typed else None
+        return None
+
     def full(self, node: ast.expr) -> str | None:
         """The dotted name of something imported by ``from package import name``."""
         if isinstance(node, ast.Name) and node.id in self.others:
@@ -262,7 +293,11 @@ def _request(f: _File, call: ast.Call, scope: str | None, cls: str | None) -> tu
 
 
 def python_rows(path: str, body: str) -> list[tuple]:
-    """(kind, line, name, method, url, headers, body_keys): ``call`` and ``export`` rows as of script files; a file that does not parse gives a ``problem``."""
+    """(kind, line, name, method, url, headers, body_keys): ``call`` and ``export`` rows as of script files; a file that does not parse gives a ``problem``.
+
+    ``sdk`` rows have the dotted import as name, and as url the names behind the client that it makes;
+    ``method`` says whether it makes one or is a function itself.
+    """
     try:
         tree = ast.parse(body)
         f = _File(tree)
@@ -280,6 +315,9 @@ def python_rows(path: str, body: str) -> list[tuple]:
                 owner = child.name
             if isinstance(child, ast.Call) and id(child) not in done:
                 found = _request(f, child, inner, owner)
+                used = None if found else f.sdk(child.func, inner, child.lineno, owner)
+                if used and (used[1] or used[1] is None and "." in used[0]):
+                    out.append(("sdk", child.lineno, used[0], "function" if used[1] is None else "client", ".".join(used[1] or []), None, None))
                 if found:
                     out.append(("call", child.lineno, *found))
                     done.update(id(x) for x in ast.walk(child) if isinstance(x, ast.Call) and (f.dotted(x.func) or f.full(x.func)) == "urllib.request.Request")
@@ -324,3 +362,13 @@ def python_calls(files: DataFrame) -> DataFrame:
     """(path, line, client, method, url, headers, body_keys) of the requests in Python files, over file borders. ``files``: (path, body)."""
     rows = scan_files(files, python_rows, "kind string, line long, name string, method string, url string, headers string, body_keys string")
     return linking.link(rows, {})
+
+
+def sdk_calls(files: DataFrame) -> DataFrame:
+    """(call, path, line, root, ctor, key): calls on what Python files import, once for each import root that a registry may list. ``files``: (path, body)."""
+    rows = scan_files(files, python_rows, "kind string, line long, name string, method string, url string, headers string, body_keys string").filter("kind = 'sdk'")
+    names = F.split("name", r"\.")
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(names) - 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(names, F.lit(1), i), ".").alias("root"), F.array_join(F.slice(names, i + 1, F.size(names)), ".").alias("rest")))
+    each = rows.select(F.concat_ws(":", "path", "line", "name", "url").alias("call"), "path", "line", "method", "url", F.explode(cuts).alias("c"))
+    made = F.col("method") == "client"
+    return each.select("call", "path", "line", "c.root", F.when(made, F.col("c.rest")).otherwise("").alias("ctor"), F.when(made, F.col("url")).otherwise(F.col("c.rest")).alias("key")).filter("key <> ''")

@@ -190,3 +190,30 @@ PYTHON = Fixture(
 def low02_python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions, clients, class members, settings and names of other files."""
     return python.python_calls(PYTHON.df(spark))
+
+
+PYTHON_SDK = Fixture(
+    "python_sdk",
+    "path string, body string",
+    [
+        ("a.py", "from mistral import Mistral\nimport web3\nfrom web3.eth import track\n\nclass Bot:\n    def __init__(self):\n        self.llm = Mistral(api_key=k)\n\n    def ask(self):\n        return self.llm.chat.complete(model='m')\n\nweb3.eth.transfer.call()\ndef make():\n    return Mistral()\nmake().chat.complete()\n"),
+        ("b.py", "import google.genai as g\nc = g.Client()\nc.models.generate(1)\ng.other()\n"),
+    ],
+)
+PYTHON_REGISTRIES = Fixture(
+    "python_registries",
+    "path string, body string",
+    [
+        ("a.json", '{"package": "mistralai", "imports": ["mistral"], "provider": "mistral", "host": "api.mistral.ai", "auth": "bearer", "instance": {"names": ["Mistral"]}, "methods": {"chat.complete": {"method": "POST", "path": "/v1/chat"}}}'),
+        ("b.json", '{"package": "web3", "provider": "ethereum", "host": null, "auth": "none", "methods": {"eth.*.call": {"method": "POST", "path": "/"}}}'),
+        ("c.json", '{"package": "google-genai", "imports": ["google.genai"], "provider": "google-ai", "host": "g.io", "auth": "apikey", "instance": {"names": ["Client"]}, "methods": {"models.generate": {"method": "POST", "path": "/g"}}}'),
+    ],
+)
+
+
+@query("det01_python_sdk", golden("path, line, package, provider, method, api_path", [("a.py", 10, "mistralai", "mistral", "POST", "/v1/chat"), ("a.py", 12, "web3", "ethereum", "POST", "/"), ("a.py", 15, "mistralai", "mistral", "POST", "/v1/chat"), ("b.py", 3, "google-genai", "google-ai", "POST", "/g")]))
+def det01_python_sdk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients made in Python files, against registries by import root."""
+    calls = python.sdk_calls(PYTHON_SDK.df(spark)).withColumnRenamed("path", "file")
+    found = registries.match_sdk_calls(calls, registries.registry_rows(PYTHON_REGISTRIES.df(spark)))
+    return found.select(F.col("file").alias("path"), "line", "package", "provider", "method", F.col("path").alias("api_path"))

@@ -75,11 +75,13 @@ def match_sdk_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     more), earlier registries over later ones.
     """
     fits = (F.size("names") == 0) | F.array_contains("names", F.col("ctor")) | (F.col("ctor") == "")
-    said = ["entry", "package", "provider", "host", "auth", "method", "path"]
+    said = ["root", "entry", "package", "provider", "host", "auth", "method", "path"]
     exact = calls.join(methods.filter(~F.col("key").contains("*")), ["root", "key"]).filter(fits).select("call", F.lit(0).alias("rank"), F.col("key").alias("met"), *said)
     quoted = F.regexp_replace("pattern", r"([.+?^$(){}|\[\]\\])", r"\\$1")
     deep = F.replace(F.replace(F.replace(quoted, F.lit("**"), F.lit("\u0001")), F.lit("*"), F.lit("[^.]+")), F.lit("\u0001"), F.lit(".+"))
     wild = methods.filter(F.col("key").contains("*")).withColumnRenamed("key", "pattern").withColumn("regex", F.concat(F.lit("^"), deep, F.lit(r"\z")))
     loose = calls.join(wild, "root").filter(fits & F.expr("key rlike regex")).select("call", F.lit(1).alias("rank"), F.col("pattern").alias("met"), *said)
     best = exact.union(loose).groupBy("call").agg(F.min_by(F.struct(*said), F.struct("rank", "entry")).alias("m"))
-    return calls.join(best, "call").select(*calls.columns, *[f"m.{c}" for c in said if c != "entry"])
+    # A call may stand there with several roots; the one that met its registry stays.
+    met = best.select("call", F.col("m.root").alias("root"), *[f"m.{c}" for c in said if c not in ("root", "entry")])
+    return calls.join(met, ["call", "root"]).select(*calls.columns, "package", "provider", "host", "auth", "method", "path")
