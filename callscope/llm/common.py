@@ -1,94 +1,20 @@
-"""What the corpus operators share: the shared folder, written tables, global order."""
+"""What the corpus operators share: names, batches, global order; written tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callscope.operators.tables import Scratch, dropped_shuffles, materialize, shared_dir
+
+__all__ = ["Scratch", "dropped_shuffles", "materialize", "shared_dir"]
+
 #: A word: a maximal run of anything but space and U+0009 to U+000D (``bytes.split()`` cuts at the same six).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (``spark.checkpoint.dir``).
-
-    Where the setting is missing, a local master gets a temporary folder; a cluster is refused.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="callscope-")
-    return _local_dirs[context.applicationId]
-
-
-#: While it is on, Spark deletes the shuffle files of a step when that step has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within the block, each finished step's shuffle files go at once; the session's setting is put back after it."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
-def _write(df: DataFrame, path: str) -> DataFrame:
-    with dropped_shuffles(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: what is read again does not depend on shuffle files of lost executors,
-    and every later use sees the same rows. The table stays until the folder is cleared, so this is
-    for what a returned table reads; what only the steps of a function read goes through :class:`Scratch`.
-    """
-    return _write(df, f"{shared_dir(df.sparkSession)}/callscope/{label}-{uuid.uuid4().hex}")
-
-
-class Scratch:
-    """Written tables that are deleted when the block ends, or before: ``with Scratch(spark) as keep: t = keep(df, "label")``."""
-
-    def __init__(self, spark: SparkSession):
-        self._spark, self._paths = spark, {}
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __call__(self, df: DataFrame, label: str) -> DataFrame:
-        path = f"{shared_dir(self._spark)}/callscope/{label}-{uuid.uuid4().hex}"
-        out = _write(df, path)
-        self._paths[id(out)] = (out, path)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
-        for table in tables:
-            path = self._spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(table))[1])
-            path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def __exit__(self, *_: object) -> None:
-        self.drop(*[table for table, _ in list(self._paths.values())])
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hold Arrow batches of whole texts to ``rows`` rows, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -19,6 +19,10 @@ from callscope.llm.common import named, numbered, others, small_batches
 SPACE = 1 << 31
 #: Labelled rows that the fit may take: those with the lowest hashed ids.
 MAX_LABELLED = 16000
+#: Steps of the fit between two looks at the weights that are 0.
+ROUND = 25
+#: The fit ends when no weight and no threshold moves further than this in a round.
+SETTLED = 0.01
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -61,7 +65,7 @@ class OrdinalModel:
         return sum(get(f, 0.0) for f in features(text))
 
 
-def fit(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, levels: int, least_docs: int = 4, l1: float = 0.0003, l2: float = 0.0002, steps: int = 1000) -> OrdinalModel:
+def fit(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, levels: int, least_docs: int = 4, l1: float = 0.0003, l2: float = 0.0002, steps: int = 3000) -> OrdinalModel:
     """Fit on hashed features by accelerated proximal gradient. ``flat``: the rows' features end to end, ``lengths`` of them each.
 
     The loss is the mean of -log P(grade) of the cumulative-link (proportional odds) model, where
@@ -86,21 +90,33 @@ def fit(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, levels: int,
     owner, columns = owner[mask], place[columns[mask]]
     w, v, t = np.zeros(len(ids)), np.zeros(len(ids)), 1.0
     width = np.maximum(1, np.bincount(owner, minlength=len(y)))
-    step = 2.0 / np.mean(width)
+    step = 2.0 / np.mean(width) * len(y) / 40
     scale = np.sqrt(np.maximum(1, counts[kept] / len(y) * 50))  # frequent features move less
-    for _ in range(steps):
-        score = np.bincount(owner, v[columns], minlength=len(y))
-        theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        error, slope = _slopes(score, theta, y)
-        gradient = np.bincount(columns, error[owner], minlength=len(ids)) / len(y) + l2 * v
-        moved = v - step * gradient * len(y) / scale / 40
-        new = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1 * len(y) / scale / 40)
-        first -= 2.0 * slope.sum()
-        gaps = np.clip(gaps - 2.0 * np.exp(gaps) * np.cumsum(slope[::-1])[::-1][1:], -7, 4)  # a gap moves all thresholds above it
-        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / later * (new - w), new, later
-    theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    return OrdinalModel({int(i): float(x) for i, x in zip(ids, w, strict=True) if x}, tuple(float(x) for x in theta))
+    thresholds = lambda: first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+    for start in range(0, steps, ROUND):
+        # Weights that are 0 and whose slope the lasso outweighs stay so; a round moves the others only.
+        error = _slopes(np.bincount(owner, v[columns], minlength=len(y)), thresholds(), y)[0]
+        slope = np.bincount(columns, error[owner], minlength=len(ids)) / len(y)
+        active = (w != 0) | (v != 0) | (np.abs(slope) > l1)
+        some = active[columns]
+        at, number = owner[some], (np.cumsum(active) - 1)[columns[some]]
+        aw, av, ascale = w[active], v[active], scale[active]
+        before, stood = aw, thresholds()
+        for _ in range(min(ROUND, steps - start)):
+            score = np.bincount(at, av[number], minlength=len(y))
+            error, slopes = _slopes(score, thresholds(), y)
+            moved = av - step * (np.bincount(number, error[at], minlength=len(aw)) / len(y) + l2 * av) / ascale
+            new = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1 / ascale)
+            first -= 2.0 * slopes.sum()
+            gaps = np.clip(gaps - 2.0 * np.exp(gaps) * np.cumsum(slopes[::-1])[::-1][1:], -7, 4)  # a gap moves all thresholds above it
+            if np.dot(av - new, new - aw) > 0:  # the momentum works against the slope: begin anew
+                t = 1.0
+            later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            av, aw, t = new + (t - 1) / later * (new - aw), new, later
+        w[active], v[active] = aw, av
+        if np.abs(thresholds() - stood).max() < SETTLED and np.abs(aw - before).max(initial=0) < SETTLED:
+            break
+    return OrdinalModel({int(i): float(x) for i, x in zip(ids, w, strict=True) if x}, tuple(float(x) for x in thresholds()))
 
 
 def _slopes(score: np.ndarray, theta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

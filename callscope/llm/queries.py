@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": urls.SQL, "op5_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": urls.SQL, "op5_mixing": mixing.SQL, "op8_sharding": shards.SQL}

@@ -71,3 +71,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` in 8 shards under the law ``bytes``. The checksum of a null text is null; ``grown_shard`` is null under this law."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return shard_by_bytes(docs, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same law as one running sum; the checksum byte by byte, as SQL has none.
+SQL = r"""
+WITH tbl AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+sized AS (SELECT doc_id, text, hex(encode(text)) AS h, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size FROM documents),
+line AS (SELECT *, row_number() OVER o - 1 AS place, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM sized WINDOW o AS (ORDER BY doc_id NULLS FIRST)),
+cut AS (SELECT *, least(7, (before * 2 + size) * 8 // (total * 2))::INT AS shard FROM line)
+SELECT doc_id, size,
+       CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(size - 1), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::UBIGINT)),
+         lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT END AS text_crc32,
+       'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM cut, tbl
+"""

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from callscope.llm import components, decontaminate, lm, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
+from callscope.llm import decontaminate, lm, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
 from callscope.llm.common import Scratch, materialize
 
 WORDS = ["the", "of", "red", "Blue", "stone", "river", "lamp", "cloud", "paper", "iron", "voice", "night"]
@@ -171,13 +171,6 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert {x: roots.get(x, x) for x in prints} == expected
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (5, 5)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
 def test_near_copies_leave_one(spark, docs):
     kept = simhash.drop_near_duplicates(docs)
     rows = kept.collect()
@@ -711,6 +704,39 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "mix", "shard"]
 
 
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, odd names, an empty table, no labels and no benchmark, through all stages."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    odd = "`cut` int, `row` string, `a.b` int, `shard` int"
+    rows = [(i, prose(rng, 40), "en", f"s{i % 3}", 10, i, "r", 1, 9) for i in range(30)]
+    rows += [(None, None, None, None, None, None, None, None, None), (None, "", None, "s1", 0, 1, "x", 2, 9), (31, " \n", "en", None, 3, 1, "x", 2, 9), rows[4], rows[4], (32, prose(rng, 30000), "de", "s0", 1, 1, "x", 2, 9), (5, "another text of the same id", "en", "s1", 1, 1, "x", 2, 9)]
+    ddl = f"doc_id long, text string, lang string, source string, n_chars long, {odd}"
+    for name, data in (("full", rows), ("empty", [])):
+        root = tmp_path / name
+        spark.createDataFrame(data, ddl).write.parquet(str(root / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(root / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(root / "benchmark.parquet"))
+        docs = spark.read.parquet(str(root / "documents.parquet"))
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            assert function(spark, docs, str(root)).columns == docs.columns, stage
+        got = corpus_pipeline.run(spark, str(root))
+        assert got.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
+        out = got.collect()
+        if not data:
+            assert out == []
+            continue
+        kept = {r.text for r in out}
+        sized = {r[1] for r in rows if r[1] and r[1].split()}
+        # The first row of equal or wordless texts stays; texts without words have no size, so a mix of one epoch or more takes them as often as their source.
+        assert kept - {None, "", " \n"} <= sized and len(sized - kept) <= len(sized) / 2
+        slots = defaultdict(list)
+        for r in out:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 CLASHES = ["cut", "whole", "cell", "copies", "f", "score", "hash", "row", "id", "tie", "part", "_id", "_tie", "_text", "k", "times", "spans", "item_id", "base", "word", "a.b"]
 
 
