@@ -224,7 +224,7 @@ def yaml_documents(body: str) -> list[list[Value]]:
                 rest = inner
                 levels.append([indent - 1, base, None])
                 if not rest:
-                    levels[-1][0] = indent - len("- ")
+                    levels[-1][0] = indent - 0.5  # deeper than the list, above whatever follows
                     break
                 if not (rest.startswith("- ") or _KEY.match(rest)):
                     taken = say(base, rest, i + 1, indent - 2)

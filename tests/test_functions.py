@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 from hypothesis import HealthCheck, given, settings
@@ -7,7 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callscope.functions import hosts, text, urls
-from callscope.operators import callrows, frontend, host_rules, joins, providers, requests
+from callscope.operators.components import components
+from callscope.operators import callrows, frontend, host_rules, javascript, joins, providers, python, requests
+from callscope.sources import documents
 from callscope.streaming import windows
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -171,3 +174,32 @@ def test_urls_in_text_skip_links(spark):
     df = spark.createDataFrame([("[x](https://a.io/1) <https://b.io> https://c.io/2\nhttp://d.io:80/",)], "t string")
     found = df.select(F.explode(hosts.urls_in(F.col("t"))).alias("u")).select("u.*").collect()
     assert [(r.host, r.path, r.line) for r in found] == [("c.io", "/2", 0), ("d.io", "/", 1)]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (5, 5)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_front_ends_of_files_take_any_text():
+    for reader in (javascript.javascript_rows, python.python_rows, documents.values_of, documents.spring_rows, documents.manifest_rows):
+        for path in ("a.yaml", "b.toml", "c.json", "Cargo.toml", "pom.xml", "x.properties"):
+            for body in ("", "{", "(" * 50, "\x00", "é" * 100, '"', "`${", "fetch(", "fetch(`${a", "import {", "a: [", "- - -", "a:\n\t- b", "class A {", "/", "x = /[/", "<", "enum E {", "const {a: b} = ", "def f(", "a: |", "? x"):
+                assert isinstance(reader(path, body), list)
+
+
+@SLOW
+@given(st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-9, 99), st.text(alphabet="ab:# -'\"{}[],&*", max_size=6)), lambda x: st.one_of(st.lists(x, min_size=1, max_size=3), st.dictionaries(st.sampled_from(["a", "b-c", "d"]), x, min_size=1, max_size=3)), max_leaves=8))
+def test_yaml_round_trip(value):
+    """Values written as YAML are read back; strings are quoted where they have to be."""
+
+    def lines(v, pad):
+        if isinstance(v, dict):
+            return [x for k, w in v.items() for x in ([f"{pad}{k}: {json.dumps(w)}"] if not isinstance(w, dict | list) else [f"{pad}{k}:", *lines(w, pad + "  ")])]
+        return [x for w in v for x in ([f"{pad}- {json.dumps(w)}"] if not isinstance(w, dict | list) else [f"{pad}-", *lines(w, pad + "  ")])]
+
+    whole = {"top": value}
+    expected = [(k, *documents.scalar(v)) for k, v in documents.flat(whole)]
+    assert [(k, v, kind) for k, v, kind, _ in documents.yaml_documents("\n".join(lines(whole, "")))[0]] == expected
