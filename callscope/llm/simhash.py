@@ -242,7 +242,9 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 #: Once the pairs left are at most this many times the rows that they come from, all are compared.
-FEW = 4
+FEW = 8
+#: Members of a bucket that all others meet in a turn.
+PIVOTS = 4
 
 
 def _relabel(labels: DataFrame, links: DataFrame, keep: Scratch) -> DataFrame:
@@ -283,9 +285,10 @@ def link_similar(nodes: DataFrame, keyed: DataFrame, keep: Scratch) -> DataFrame
         if not rows:
             return labels
         # Turns that link nothing: what is left are texts that are not similar, and only comparing them all can tell.
-        if pairs <= FEW * rows or idle == 3:
+        if pairs <= FEW * rows or idle == 2:
             break
-        chosen = members.groupBy("bucket").agg(F.min_by(F.struct("id", "root", "n"), F.xxhash64("id", F.lit(turn))).alias("p"))
+        drawn = [F.min_by(F.struct("id", "root", "n"), F.xxhash64("id", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
+        chosen = members.groupBy("bucket").agg(*drawn).select("bucket", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
         met = members.join(chosen, "bucket").filter("root <> p.root").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
         links = keep(_similar(_pairs(met.filter(fits)), sets), "near-links")
         turn += 1
