@@ -31,4 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Each module registers its queries.
-from callscope.plans import callrows, calls, documents, more, pages, protocols, reports, scripts, texts  # noqa: E402, F401
+from callscope.plans import bodies, callrows, calls, documents, more, pages, protocols, reports, scripts, texts  # noqa: E402, F401
