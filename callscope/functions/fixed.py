@@ -164,3 +164,36 @@ SOME_LABELS = r"[a-z0-9-]+(?:\.[a-z0-9-]+)*"
 
 # An attribute of an HTML tag.
 HTML_ATTRIBUTE = r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""
+
+# Packages that serve agents, the text that shows one is used, and what is constructed.
+AGENT_SERVERS = [
+    ("a2a-sdk", r"\ba2a\.server\b|\bfrom a2a\b", ["A2AStarletteApplication", "A2AFastAPIApplication", "A2ARESTFastAPIApplication", "create_jsonrpc_routes", "create_rest_routes", "create_agent_card_routes", "add_a2a_routes_to_fastapi"]),
+    ("@a2a-js/sdk", r"@a2a-js/sdk/server", ["A2AExpressApp", "agentCardHandler", "jsonRpcHandler", "restHandler"]),
+    ("google-adk", r"\bgoogle\.adk\.a2a\b", ["to_a2a"]),
+    ("strands-agents", r"\bstrands\.multiagent\.a2a\b", ["A2AServer"]),
+    ("fasta2a", r"\bfasta2a\b", ["FastA2A"]),
+    ("pydantic-ai", r"\bpydantic_ai\b", ["to_a2a"]),
+    ("crewai", r"\bcrewai\.a2a\b", ["A2AServerConfig"]),
+    ("bedrock-agentcore", r"\bbedrock_agentcore\b", ["serve_a2a"]),
+    ("github.com/a2aproject/a2a-go", r"github\.com/a2aproject/a2a-go(?:/v\d+)?/a2asrv", ["a2asrv.NewHandler", "a2asrv.NewJSONRPCHandler", "a2asrv.NewRESTHandler", "a2asrv.NewStaticAgentCardHandler", "a2asrv.NewAgentCardHandler"]),
+]
+
+# Where agent cards lie, their fields that tell a version, and how code writes versions and bindings.
+CARD_FILE = r"(?:^|/)(\.well-known/agent(?:-card)?\.json)\z"
+CARD_FIELDS = ["supportedInterfaces", "preferredTransport", "additionalInterfaces", "supportsAuthenticatedExtendedCard"]
+CARD_VERSION = r"""\bprotocol_?[vV]ersion["']?\s*[:=]\s*["'](\d+(?:\.\d+)*)["']"""
+CARD_BINDING = r"""\b(?:protocol_?[bB]inding|preferred_?[tT]ransport|transport)["']?\s*[:=]\s*["'](JSONRPC|GRPC|HTTP\+JSON)["']"""
+CARD_TRANSPORT = r"\bTransportProtocol\.(JSONRPC|GRPC|HTTP_JSON|jsonrpc|grpc|http_json)\b"
+CARD_PATH = r"""["'](/?\.well-known/agent(?:-card)?\.json)["']"""
+
+# Helpers of frameworks that send what one options object says: framework, package (none: a member of
+# ``this``), chain, place of the options, method (none: an option), options of the URL, of the body.
+FRAMEWORKS = [
+    ("n8n", None, "helpers.httpRequest", 0, None, ["url", "uri"], ["body", "form", "formData"]), ("n8n", None, "helpers.request", 0, None, ["url", "uri"], ["body", "form", "formData"]),
+    ("n8n", None, "helpers.httpRequestWithAuthentication", 1, None, ["url", "uri"], ["body", "form", "formData"]), ("n8n", None, "helpers.requestWithAuthentication", 1, None, ["url", "uri"], ["body", "form", "formData"]),
+    ("n8n", None, "helpers.requestWithAuthenticationPaginated", 1, None, ["url", "uri"], ["body", "form", "formData"]), ("n8n", None, "helpers.requestOAuth2", 1, None, ["url", "uri"], ["body", "form", "formData"]),
+    ("n8n", None, "helpers.requestOAuth1", 1, None, ["url", "uri"], ["body", "form", "formData"]),
+    ("activepieces", "@activepieces/pieces-common", "httpClient.sendRequest", 0, None, ["url"], ["body"]),
+    ("ai-sdk", "@ai-sdk/provider-utils", "postJsonToApi", 0, "POST", ["url"], ["body"]), ("ai-sdk", "@ai-sdk/provider-utils", "postToApi", 0, "POST", ["url"], []),
+    ("ai-sdk", "@ai-sdk/provider-utils", "postFormDataToApi", 0, "POST", ["url"], ["formData"]), ("ai-sdk", "@ai-sdk/provider-utils", "getFromApi", 0, "GET", ["url"], []),
+]

@@ -14,6 +14,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.functions import fixed
 from callscope.operators import linking
 from callscope.operators.frontend import scan_files
 
@@ -791,6 +792,8 @@ def _request(f: _File, call: tuple, i: int) -> tuple | None:
     """(client, method, url, headers, body keys) of a call, or None. ``i``: the token of its bracket."""
     callee, args = call[1], call[2]
     arg = lambda k: args[k] if len(args) > k else None
+    if helped := _framework(f, callee, args, i):
+        return helped
     direct = f.client(callee, i)
     verb, client, base = None, None, ""
     if direct and not direct[0].startswith(("node-", "import:")):
@@ -858,6 +861,33 @@ def _request(f: _File, call: tuple, i: int) -> tuple | None:
     return client, "DYNAMIC" if "{" in method else method, _join(base, url), headers_of(options), ",".join(f.names(body, i))
 
 
+def _framework(f: _File, callee: tuple, args: list[tuple], i: int) -> tuple | None:
+    """A framework's helper that sends what one options object says."""
+    shift = 0
+    if callee[0] == "member" and callee[2] == "call" and args and args[0][:2] == ("name", "this"):
+        callee, shift = callee[1], 1
+    used = f.sdk(callee, i)
+    chain, of = [], callee
+    while of[0] == "member":
+        chain.insert(0, of[2])
+        of = of[1]
+    for name, package, said, place, method, urls, bodies in fixed.FRAMEWORKS:
+        if package:
+            if not used or used[0] != package or used[1] or ".".join(used[2]) != said:
+                continue
+        elif of[:2] != ("name", "this") or ".".join(chain) != said:
+            continue
+        options = f.options(args[place + shift], i) if len(args) > place + shift else {}
+        url = next((f.template(options[k], i) for k in urls if k in options), "{url}")
+        told = options.get("method")
+        if told and told[0] == "member":  # an enum of methods
+            told = ("text", told[2])
+        sent = method or (f.template(told, i).upper() if told else "GET")
+        body = next((options[k] for k in bodies if k in options), None)
+        return f"framework:{name}", "DYNAMIC" if "{" in sent else sent, url, ",".join(h.lower() for h in f.names(options.get("headers"), i)), ",".join(f.names(body, i))
+    return None
+
+
 def javascript_rows(path: str, body: str) -> list[tuple]:
     """(kind, line, name, method, url, headers, body_keys): ``call`` rows with their client as name, ``sdk`` rows with package, constructor and key as name, method and url, and ``export`` rows with a text or a client's base as url."""
     try:
