@@ -35,6 +35,8 @@ class _File(_Module):
         self._members(tree)
 
     def _walk(self, node: ast.AST, scope: str | None) -> None:
+        if isinstance(node, ast.ClassDef):  # names of a class body are no module's
+            scope = f"class {node.name}"
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.ImportFrom):
                 module = "/".join((child.module or "").split(".")) if child.module else ""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions import urls
-from callscope.operators import javascript, providers, python
+from callscope.operators import frontend, javascript, providers, python
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
 from callscope.sources import registries
@@ -217,3 +217,99 @@ def det01_python_sdk(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = python.sdk_calls(PYTHON_SDK.df(spark)).withColumnRenamed("path", "file")
     found = registries.match_sdk_calls(calls, registries.registry_rows(PYTHON_REGISTRIES.df(spark)))
     return found.select(F.col("file").alias("path"), "line", "package", "provider", "method", F.col("path").alias("api_path"))
+
+
+def _python(spark: SparkSession, fixture: Fixture) -> DataFrame:
+    return frontend.scan_files(fixture.df(spark), python.python_rows, "kind string, line long, name string, method string, url string, headers string, body_keys string")
+
+
+VALUES = Fixture(
+    "python_values",
+    "path string, body string",
+    [
+        ("pkg/names.py", "import os\nfrom os import environ, getenv\nBASE = 'https://a.io'\nV = 2\nLATE = BASE + '/late'\nBASE = 'https://b.io'\nNESTED = f'{BASE}/v{V}'\nENV = os.getenv('HOST', 'x')\nSUB = environ['SUB']\nEITHER = getenv('E') or BASE\nPICK = BASE if V else other\nPERCENT = '%s/%d' % (BASE, V)\nFORMAT = '{}/{name}'.format(BASE, name=V)\nJOINED = '/'.join([BASE, 'x'])\nSTRIPPED = (BASE + '/').rstrip('/')\nCALLED = make(V)\nINDEX = table['key']\nLIST = [1, 2]\n"),
+        ("pkg/scopes.py", "import requests\nU = 'https://outer.io'\ndef f(U='https://dflt.io'):\n    requests.get(U)\ndef g():\n    U = 'https://inner.io'\n    requests.get(U)\n    U = 'https://later.io'\ndef h():\n    requests.get(U + '/h')\ndef k(path):\n    for _ in x:\n        requests.get(path)\n"),
+        ("pkg/classes.py", "import requests\nclass Base:\n    root = 'https://base.io'\n    def get(self, p):\n        return requests.get(self.root + p)\nclass Child(Base):\n    def __init__(self):\n        self.own = self.root + '/child'\n    def go(self):\n        return requests.post(self.own)\nc = Child()\nrequests.put(c.root)\n"),
+    ],
+)
+
+
+@query(
+    "res05_evaluate",
+    golden(
+        "name, text",
+        [
+            ("BASE", "https://b.io"), ("V", "2"), ("LATE", "https://a.io/late"), ("NESTED", "https://b.io/v2"), ("ENV", "{env:HOST}"), ("SUB", "{env:SUB}"), ("EITHER", "{env:E}"), ("PICK", "https://b.io"),
+            ("PERCENT", "https://b.io/2"), ("FORMAT", "https://b.io/2"), ("JOINED", "https://b.io/x"), ("STRIPPED", "https://b.io"), ("INDEX", "{key}"),
+        ],
+    ),
+)
+def res05_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the expressions of a module come to: the last assignment before a use, formats, variables, fallbacks; calls of unknown functions come to nothing."""
+    rows = _python(spark, VALUES).filter("path = 'pkg/names.py' and kind = 'export'")
+    return rows.select("name", F.col("url").alias("text"))
+
+
+@query("res09_formats", golden("name, text", [("NESTED", "https://b.io/v2"), ("PERCENT", "https://b.io/2"), ("FORMAT", "https://b.io/2"), ("JOINED", "https://b.io/x")]))
+def res09_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format strings of four kinds."""
+    rows = _python(spark, VALUES).filter("kind = 'export' and name in ('NESTED', 'PERCENT', 'FORMAT', 'JOINED')")
+    return rows.select("name", F.col("url").alias("text"))
+
+
+@query("res02_scopes", golden("line, url", [(4, "https://dflt.io"), (7, "https://inner.io"), (10, "https://outer.io/h"), (13, "{path}")]))
+def res02_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by their scope: a parameter's default, a local before its use, the module's, a parameter."""
+    return _python(spark, VALUES).filter("path = 'pkg/scopes.py' and kind = 'call'").select("line", "url")
+
+
+@query("res04_members", golden("line, method, url", [(5, "GET", "https://base.io{p}"), (10, "POST", "https://base.io/child"), (12, "PUT", "https://base.io")]))
+def res04_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of classes, of their bases and of instances."""
+    return _python(spark, VALUES).filter("path = 'pkg/classes.py' and kind = 'call'").select("line", "method", "url")
+
+
+@query(
+    "res01_project_names",
+    golden("path, name, kind, text", [("app/config.py", "BASE", "text", "https://api.acme.io"), ("app/config.py", "TOKEN_URL", "text", "{env:TOKEN_URL}"), ("app/config.py", "settings.api_url", "text", "{env:API_URL}"), ("app/config.py", "settings.region", "text", "eu"), ("app/config.py", "Settings.api_url", "text", "{env:API_URL}"), ("app/config.py", "Settings.region", "text", "eu"), ("app/http/__init__.py", "session", "again", "{import:./session#session}"), ("app/http/session.py", "session", "client", "")]),
+)
+def res01_project_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of a project offer each other: constants, settings, clients, and what a package passes on."""
+    rows = _python(spark, PYTHON).filter("kind = 'export' and (path like 'app/config%' or path like 'app/http%')")
+    return rows.select("path", "name", F.col("method").alias("kind"), F.col("url").alias("text"))
+
+
+@query("res28_settings", golden("name, text", [("settings.api_url", "{env:API_URL}"), ("settings.region", "eu")]))
+def res28_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a settings class: their default, else the variable of their name."""
+    return _python(spark, PYTHON).filter("kind = 'export' and name like 'settings.%'").select("name", F.col("url").alias("text"))
+
+
+CLIENTS = Fixture(
+    "python_clients",
+    "path string, body string",
+    [
+        (
+            "c.py",
+            "import requests, httpx, aiohttp, urllib3\nfrom urllib.request import urlopen, Request\nfrom requests import post as p\nrequests.request('patch', 'https://a.io/1', data={'k': 1})\nhttpx.stream('GET', 'https://a.io/2')\np('https://a.io/3', {'b': 1}, headers=dict(Accept='x'))\nhttp = urllib3.PoolManager()\nhttp.request('PUT', 'https://a.io/4', fields={'f': 1})\nwith requests.Session() as s:\n    s.delete('https://a.io/5')\nurlopen(Request('https://a.io/6', method='HEAD'))\n"
+            "async def go():\n    async with aiohttp.ClientSession('https://b.io') as c:\n        await c.get('/7')\nclient = httpx.Client(base_url='https://c.io/')\nclient.request(verb, 'x8')\nrequests.codes.ok()\nsession.get('https://unknown.io')\n",
+        )
+    ],
+)
+_CLIENT_ROWS = [
+    (4, "requests", "PATCH", "https://a.io/1", "", "k"), (5, "httpx", "GET", "https://a.io/2", "", ""), (6, "requests", "POST", "https://a.io/3", "accept", "b"), (8, "urllib3", "PUT", "https://a.io/4", "", "f"), (10, "requests", "DELETE", "https://a.io/5", "", ""),
+    (11, "urllib.request", "HEAD", "https://a.io/6", "", ""), (14, "aiohttp", "GET", "https://b.io/7", "", ""), (16, "httpx", "DYNAMIC", "https://c.io/x8", "", ""),
+]
+
+
+@query("det02_http_clients", golden("line, client, method, url, headers, body_keys", _CLIENT_ROWS))
+def det02_http_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP clients by their tables: functions, instances, options; an unknown object's methods are no calls."""
+    return python.python_calls(CLIENTS.df(spark)).drop("path")
+
+
+@query("det18_urllib", golden("path, line, method, url", [("app/plain.py", 5, "POST", "https://api.acme.io/q"), ("app/plain.py", 6, "GET", "https://api.acme.io/plain"), ("c.py", 11, "HEAD", "https://a.io/6")]))
+def det18_urllib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the standard library, built before or where they are opened."""
+    found = python.python_calls(PYTHON.df(spark).union(CLIENTS.df(spark)))
+    return found.filter("client = 'urllib.request'").select("path", "line", "method", "url")
