@@ -197,3 +197,55 @@ FRAMEWORKS = [
     ("ai-sdk", "@ai-sdk/provider-utils", "postJsonToApi", 0, "POST", ["url"], ["body"]), ("ai-sdk", "@ai-sdk/provider-utils", "postToApi", 0, "POST", ["url"], []),
     ("ai-sdk", "@ai-sdk/provider-utils", "postFormDataToApi", 0, "POST", ["url"], ["formData"]), ("ai-sdk", "@ai-sdk/provider-utils", "getFromApi", 0, "GET", ["url"], []),
 ]
+
+# Words, names and cities that example values are made of.
+EXAMPLE_WORDS = [
+    "amber", "harbor", "quiet", "maple", "river", "copper", "meadow", "lantern", "summit", "willow",
+    "orbit", "velvet", "canyon", "ember", "falcon", "garden", "horizon", "island", "jasper", "kestrel",
+    "lagoon", "marble", "nectar", "onyx", "pebble", "quartz", "ridge", "saffron", "timber", "umber",
+    "valley", "walnut", "yarrow", "zephyr", "atlas", "birch", "cedar", "delta", "echo", "fable",
+    "glacier", "hollow", "indigo", "juniper", "koala", "linen", "mosaic", "nimbus", "opal", "prairie",
+    "quill", "raven", "sable", "tundra", "ultra", "verdant", "wander", "xenon", "yonder", "zenith",
+    "anchor", "beacon", "compass", "dune", "estuary", "fjord", "grove", "haven", "inlet", "jetty",
+]
+EXAMPLE_FIRST = ["Ada", "Bruno", "Chloe", "Dario", "Elena", "Felix", "Greta", "Hugo", "Iris", "Jonas", "Kira", "Leo", "Maya", "Nils", "Olga", "Pablo"]
+EXAMPLE_LAST = ["Alder", "Brook", "Castel", "Dumont", "Ekwall", "Ferrer", "Galli", "Hoshi", "Ibarra", "Jansen", "Kovac", "Lindqvist", "Moreau", "Nakamura", "Okafor", "Petrov"]
+EXAMPLE_CITIES = ["Lisbon", "Porto", "Lyon", "Bologna", "Ghent", "Bergen", "Tallinn", "Valencia", "Graz", "Utrecht"]
+
+# What a key's name says of its value, the first pattern that fits: pattern, text, number (none: not told).
+# In texts {first}, {last}, {word}, {city}, {uuid}, {date} stand for drawn ones, {words 2 /} for words with a separator,
+# {Words 2} for capital ones, {int 1 9} for a number between two, {hex 6} and {alnum 8} for characters, {a|b} for one of several.
+EXAMPLE_RULES = [
+    (r"(?i)e[-_]?mail|^(to|from|cc|bcc|reply[-_]?to|recipient|sender)$", "{lower first}.{lower last}@example.com", None),
+    (r"(?i:^(url|uri|href|link|website|homepage|callback|redirect[-_]?uri|redirect|webhook|endpoint)$)|(Url|Uri|Link|Href)$|_(url|uri|link)$", "https://example.com/{words 2 /}", None),
+    (r"(?i)uuid|guid", "{uuid}", None),
+    (r"(?i)(^|_)(id|ids)$|[a-z]Id$|[a-z]Ids$|^id$", "{alnum 8}", "1 9999"),
+    (r"(?i)phone|mobile|^tel$|telephone", "+1415555{int 100 999}{int 0 9}", None),
+    (r"(?i)timestamp|_ts$|epoch", "{date}", "1700000000 1760000000"),
+    (r"(^|_)(date|time|datetime)($|_)|_at$|(At|Date|Time)$|^(created|updated|deleted|expires|start|end)$", "{date}", "1700000000 1760000000"),
+    (r"(?i)^(first[-_]?name|given[-_]?name|firstname)$", "{first}", None),
+    (r"(?i)^(last[-_]?name|family[-_]?name|surname|lastname)$", "{last}", None),
+    (r"(?i)^(user[-_]?name|username|handle|nickname|login)$", "{lower first}{int 10 99}", None),
+    (r"(?i:^(full[-_]?name|display[-_]?name|name|title|subject|label|heading|caption)$)|(Name|Title|Label)$", "{Words 2}", None),
+    (r"(?i)description|message|content|text|body|comment|note|summary|bio|reason|prompt|question|answer", "{Words 1} {words 5}.", None),
+    (r"(?i)slug|permalink", "{words 2 -}", None), (r"(?i)currency", "usd", None), (r"(?i)country", "US", None),
+    (r"(?i)^(lang|language|locale)$", "en-US", None), (r"(?i)timezone|time_zone|^tz$", "Europe/Paris", None),
+    (r"(?i)^(city|town)$", "{city}", None), (r"(?i)^(zip|zipcode|postal[-_]?code|postcode)$", "{int 10000 99999}", None),
+    (r"(?i)(^|_)(street|address|line1|address1)($|_)", "{int 1 200} {Words 1} Street", None),
+    (r"(?i)^(limit|per[-_]?page|perpage|page[-_]?size|pagesize|top|max[-_]?results|count|size|batch[-_]?size)$", "{int 10 100}", "10 100"),
+    (r"(?i)^(page|page[-_]?number|offset|skip|start[-_]?index)$", "{int 0 5}", "0 5"),
+    (r"(?i)amount|price|total|cost|balance|fee|subtotal|budget", "{int 100 9999}", "100 9999"),
+    (r"(?i)quantity|^qty$|^num[-_]|^number[-_]?of", "{int 1 9}", "1 9"), (r"(?i)^(age)$", "{int 20 80}", "20 80"),
+    (r"(?i)^(exp[-_]?)?month$", "{int 1 12}", "1 12"), (r"(?i)^(exp[-_]?)?year$", "{int 2027 2030}", "2027 2030"),
+    (r"(?i)^(day|day[-_]?of[-_]?month)$", "{int 1 28}", "1 28"), (r"(?i)^(hour|hours)$", "{int 0 23}", "0 23"), (r"(?i)^(minute|minutes|second|seconds)$", "{int 0 59}", "0 59"),
+    (r"(?i)^(iban)$", "DE89{int 1000000000 9999999999}{int 10000000 99999999}", None), (r"(?i)^(bic|swift)$", "DEUTDEFF", None),
+    (r"(?i)^(card[-_]?number|pan)$", "4242424242424242", None), (r"(?i)^(cvc|cvv)$", "{int 100 999}", None),
+    (r"(?i)^(version|api[-_]?version)$", "v{int 1 3}", None), (r"(?i)^(status|state)$", "active", None),
+    (r"(?i)^(sort|order|order[-_]?by|direction)$", "{asc|desc}", None), (r"(?i)^(q|query|search|term|keyword|filter)$", "{word}", None),
+    (r"(?i)colou?r", "#{hex 6}", None), (r"(?i)^(ip|ip[-_]?address|client[-_]?ip)$", "192.0.2.{int 1 254}", None),
+    (r"(?i)mime|content[-_]?type|media[-_]?type", "application/json", None), (r"(?i)file[-_]?name|^filename$", "{word}.pdf", None),
+    (r"(?i)^(path|file|file[-_]?path|key|object[-_]?key)$", "{words 2 /}.pdf", None), (r"(?i)domain|hostname|^host$", "{word}.example.org", None),
+    (r"(?i)^(sha|hash|digest|checksum|etag)$", "{hex 16}", None), (r"(?i)^(cursor|next|after|before|page[-_]?token|continuation)$", "{alnum 12}", None),
+    (r"(?i)^(model)$", "gpt-4o", None), (r"(?i)^(role)$", "user", None), (r"(?i)^(tags?|labels?|categories|category)$", "{word}", None),
+    (r"(?i)^(code|coupon|promo[-_]?code|voucher)$", "{upper alnum 6}", None),
+]

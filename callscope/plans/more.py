@@ -240,3 +240,18 @@ def opn04_graphql_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frontend.scan_files(documents, frontend.graphql_operations, "type string, name string, fields string, problem string").filter("problem is null").drop("problem")
     named = each.filter("r.query is null and r.extensions.persistedQuery is not null").select("path", F.lit(None).cast("string").alias("type"), F.col("r.operationName").alias("name"), F.lit(None).cast("string").alias("fields"))
     return found.union(named)
+
+
+KEYS = Fixture(
+    "example_keys", "seed string, key string, kind string",
+    [("a", k, kind) for k, kind in [("currency", "string"), ("apiKey", "string"), ("api_key", "number"), ("model", "string"), ("role", "string"), ("country_code", "string"), ("active", "boolean"), ("shape", "string"), ("locale", "string"), ("cardNumber", "string"), ("status", "string"), ("contentType", "string")]],
+)
+
+
+@query(
+    "fn20_by_name",
+    golden("key, kind, value", [("currency", "string", "usd"), ("apiKey", "string", "<apiKey>"), ("api_key", "number", None), ("model", "string", "gpt-4o"), ("role", "string", "user"), ("country_code", "string", "US"), ("active", "boolean", None), ("shape", "string", None), ("locale", "string", "en-US"), ("cardNumber", "string", "4242424242424242"), ("status", "string", "active")]),
+)
+def fn20_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that a name settles without drawing; ``contentType`` is drawn, as its name holds ``content``."""
+    return examples.named_values(KEYS.df(spark)).filter("key <> 'contentType'").select("key", "kind", "value")

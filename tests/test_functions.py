@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import hosts, text, urls
 from callscope.operators.components import components
-from callscope.operators import callrows, frontend, host_rules, javascript, joins, providers, python, requests
+from callscope.operators import callrows, examples, frontend, host_rules, javascript, joins, providers, python, requests
 from callscope.sources import documents
 from callscope.streaming import windows
 
@@ -203,3 +204,13 @@ def test_yaml_round_trip(value):
     whole = {"top": value}
     expected = [(k, *documents.scalar(v)) for k, v in documents.flat(whole)]
     assert [(k, v, kind) for k, v, kind, _ in documents.yaml_documents("\n".join(lines(whole, "")))[0]] == expected
+
+
+def test_example_values_by_name():
+    """Drawn values have the form that the rule says, the same in every run."""
+    forms = {"email": r"[a-z]+\.[a-z]+@example\.com", "userId": r"[a-z0-9]{8}", "created_at": r"202[45]-\d\d-\d\dT\d\d:\d\d:\d\dZ", "uuid": r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}", "color": r"#[0-9a-f]{6}", "title": r"[A-Z][a-z]+ [A-Z][a-z]+", "slug": r"[a-z]+-[a-z]+", "sort": "asc|desc", "coupon": "[A-Z0-9]{6}"}
+    for key, form in forms.items():
+        for seed in ("a", "b", ""):
+            value = examples.by_name(key, "string", examples.Draw(seed))
+            assert re.fullmatch(form, value) and value == examples.by_name(key, "string", examples.Draw(seed))
+    assert all(10 <= examples.by_name("limit", "number", examples.Draw(str(i))) <= 100 for i in range(50))
