@@ -263,9 +263,9 @@ def link_similar(nodes: DataFrame, keyed: DataFrame, keep: Scratch) -> DataFrame
     ``nodes``: (id, n, bands, least), one row for each distinct set, already written; ``keyed``: (_id,
     _tie, _text), which holds the text of each under ``least``. Sets meet under equal keys and are
     linked only if their exact similarity is high enough. First each one meets one of its least
-    partners. Then, in turns, the members of buckets that still hold several components meet another
-    member of their bucket, the same for all; a large group of near copies so falls together in a few
-    turns, at a row for each member. Last, in the buckets left, all members of different components
+    partners. Then, in turns, the members of buckets that still hold several components meet four
+    members of their bucket, the same for all; a large group of near copies so falls together in a few
+    turns, at four rows for each member. Last, in the buckets left, all members of different components
     meet: no pair that shares a key stays undecided.
     """
     each = nodes.select("id", "n", F.explode("bands").alias("bucket"))
