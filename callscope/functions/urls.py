@@ -45,8 +45,8 @@ def segments(path: Column) -> Column:
 
 
 def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add a column that is worked out once a row: a generator keeps Catalyst from unfolding it into each of its uses."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
+    """Add a column that later ones use several times: Catalyst keeps projections apart where merging would repeat costly work."""
+    return rows.withColumn(name, value)
 
 
 def with_shape(rows: DataFrame, template: Column, via_const: Column, out: str = "u") -> DataFrame:
