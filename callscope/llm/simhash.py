@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm.common import Scratch, materialize, named, others, shuffle_partitions, small_batches, whole_row
@@ -136,7 +136,7 @@ def link_within(prints: DataFrame, bits: int, radius: int, keep: Scratch) -> Dat
 
 def _open(members: DataFrame, labels: DataFrame, keep: Scratch) -> DataFrame:
     """Members of the buckets that still hold several components, with their roots."""
-    kept = [c for c in ("bucket", "id", "t", "n") if c in members.columns]
+    kept = [c for c in ("bucket", "id", "t", "n", "bits") if c in members.columns]
     rooted = members.drop("root").join(labels, F.col("id") == F.col("node"), "left").select(*kept, F.coalesce("root", "id").alias("root"))
     rooted = keep(rooted, "sim-rooted")
     split = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
@@ -205,8 +205,15 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least)]
 
 
+def touched(shingles: np.ndarray) -> list[int]:
+    """A bit for each of ``CELLS`` cells of the hash that some shingle lies in."""
+    cells = np.zeros(CELLS, np.uint8)
+    cells[(shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(cells).view(np.int64).tolist()
+
+
 def shingle_sets(docs: DataFrame, keep: list[str], text_col: str, whole: bool = False) -> DataFrame:
-    """``keep``, ``id`` (a digest of the set of shingles), and ``n`` (its size) and ``bands``; if ``whole``, ``shingles`` instead: the sorted set."""
+    """``keep``, ``id`` (a digest of the set of shingles), and ``n`` (its size) and ``bands``; if ``whole``, ``shingles`` (the sorted set) and ``bits`` (see :func:`touched`) instead."""
     small_batches(docs.sparkSession)
     source = docs.select(*keep, F.col(text_col).alias("_text"))
 
@@ -215,13 +222,24 @@ def shingle_sets(docs: DataFrame, keep: list[str], text_col: str, whole: bool =
             sets = [np.unique(shingle_hashes(text.as_py(), WIDTH)) for text in batch.column(len(keep))]
             ids = pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sets], pa.int64())
             if whole:
-                more = {"shingles": pa.array([x.tobytes() for x in sets], pa.binary())}
+                more = {"shingles": pa.array([x.tobytes() for x in sets], pa.binary()), "bits": pa.array(map(touched, sets), pa.list_(pa.int64()))}
             else:
                 more = {"n": pa.array(map(len, sets), pa.int64()), "bands": pa.array(map(band_keys, sets), pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids, *more.values()], names=[*keep, "id", *more])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return source.mapInArrow(run, f"{fields}id long, {'shingles binary' if whole else 'n long, bands array<bigint>'}")
+    return source.mapInArrow(run, f"{fields}id long, {'shingles binary, bits array<bigint>' if whole else 'n long, bands array<bigint>'}")
+
+
+def _may_fit(a: str, b: str, na: str, nb: str) -> Column:
+    """Whether two sets can have the similarity asked for: a cell that one touches and the other does not holds a shingle that is not common.
+
+    An upper bound of what they share, so no pair is lost; it rules out most pairs of short texts
+    before their sets meet, and fewer of long ones, which touch nearly all cells.
+    """
+    only = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(CELLS // 64)), F.lit(0))
+    common = F.least(F.col(na) - only(a, b), F.col(nb) - only(b, a))
+    return common * (1 + SIMILARITY) >= SIMILARITY * (F.col(na) + F.col(nb)) - 1e-6
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,6 +259,8 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(alike("fa", "fb")).select("a", "b")
 
 
+#: Cells of the shingles' hashes that rule pairs out.
+CELLS = 1024
 #: Once the pairs left are at most this many times the rows that they come from, all are compared.
 FEW = 8
 #: Members of a bucket that all others meet in a turn.
@@ -266,7 +286,8 @@ def link_similar(nodes: DataFrame, keyed: DataFrame, keep: Scratch) -> DataFrame
     partners. Then, in turns, the members of buckets that still hold several components meet four
     members of their bucket, the same for all; a large group of near copies so falls together in a few
     turns, at four rows for each member. Last, in the buckets left, all members of different components
-    meet: no pair that shares a key stays undecided.
+    meet: no pair that shares a key stays undecided. Before their sets are compared, a bound from the
+    cells that they touch rules out pairs that cannot be similar enough.
     """
     each = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     ends = each.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket", "lo")
@@ -276,29 +297,32 @@ def link_similar(nodes: DataFrame, keyed: DataFrame, keep: Scratch) -> DataFrame
     sets = keep(shingle_sets(texts, [], "_text", whole=True).dropDuplicates(["id"]), "near-sets")
     stars = members.filter("lo <> id").groupBy("id").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"))
     labels = components(_similar(stars, sets))
-    fits = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")  # else their similarity is less, whatever they share
-    idle, turn = 0, 0
+    members = _open(members.select("bucket", "id", "n").join(sets.select("id", "bits"), "id"), labels, keep)
+    before, turn = None, 0
     while True:
-        members = _open(members.select("bucket", "id", "n"), labels, keep)
         parts = members.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         rows, pairs = parts.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
         if not rows:
             return labels
-        # Turns that link nothing: what is left are texts that are not similar, and only comparing them all can tell.
-        if pairs <= FEW * rows or idle == 2:
+        # A turn that leaves nearly all pairs: these texts are not similar, and only comparing them all can tell.
+        if pairs <= FEW * rows or before is not None and pairs > 0.9 * before:
             break
-        drawn = [F.min_by(F.struct("id", "root", "n"), F.xxhash64("id", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
+        drawn = [F.min_by(F.struct("id", "root", "n", "bits"), F.xxhash64("id", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
         chosen = members.groupBy("bucket").agg(*drawn).select("bucket", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
-        met = members.join(chosen, "bucket").filter("root <> p.root").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        links = keep(_similar(_pairs(met.filter(fits)), sets), "near-links")
-        turn += 1
-        if links.isEmpty():
-            idle += 1
-        else:
-            idle, labels = 0, _relabel(labels, links, keep)
-    x, y = (members.select("bucket", F.col("id").alias(i), F.col("root").alias(f"r{i}"), F.col("n").alias(f"n{i}")) for i in "ab")
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & fits)
-    links = keep(_similar(_pairs(across.select("a", "b")), sets), "near-links")
+        chosen = chosen.select("bucket", *[F.col(f"p.{c}").alias(f"{c}a") for c in ("id", "root", "n", "bits")])
+        met = members.join(chosen, "bucket").filter((F.col("root") != F.col("roota")) & _may_fit("bitsa", "bits", "na", "n"))
+        links = keep(_similar(_pairs(met.select(F.col("ida").alias("a"), F.col("id").alias("b"))), sets), "near-links")
+        before, turn = pairs, turn + 1
+        if not links.isEmpty():
+            labels = _relabel(labels, links, keep)
+            members = _open(members.select("bucket", "id", "n", "bits"), labels, keep)
+    # Within a bucket's largest component no one has to meet; the others meet it and each other.
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
+    x, y = (members.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("id", "root", "n", "bits")]) for i in "ab")
+    x, y = x.join(sizes, "bucket").filter("roota <> most"), y.join(sizes.withColumnRenamed("most", "mostb"), "bucket")
+    other = (F.col("rootb") == F.col("mostb")) | (F.col("roota") < F.col("rootb"))
+    across = x.join(y, (x["bucket"] == y["bucket"]) & other & (F.col("roota") != F.col("rootb")) & _may_fit("bitsa", "bitsb", "na", "nb"))
+    links = keep(_similar(_pairs(across.select(F.col("ida").alias("a"), F.col("idb").alias("b"))), sets), "near-links")
     return labels if links.isEmpty() else _relabel(labels, links, keep)
 
 

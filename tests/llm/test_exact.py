@@ -209,6 +209,24 @@ def test_similar_texts_meet_and_are_counted(spark):
     assert sum(i in ids for i in near) <= 1 and all(i in ids for i in far) and all(2 * i in ids for i in range(120))
 
 
+def test_cells_rule_out_no_similar_pair(spark):
+    """The bound from touched cells holds for every pair whose sets are similar enough, and rules out most others."""
+    rng = random.Random(23)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    sets = []
+    for _ in range(60):
+        other = list(words)
+        for k in rng.sample(range(150), rng.randrange(0, 12)):
+            other[k] = f"n{rng.randrange(10**6)}"
+        sets.append(np.unique(simhash.shingle_hashes(" ".join(other[: rng.randrange(100, 151)]), 5)))
+    rows = [(i, len(x), simhash.touched(x)) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id int, n long, bits array<long>")
+    a, b = (df.select(*[F.col(c).alias(f"{c}{i}") for c in df.columns]) for i in "ab")
+    kept = {(r.ida, r.idb) for r in a.join(b, (F.col("ida") < F.col("idb")) & simhash._may_fit("bitsa", "bitsb", "na", "nb")).collect()}
+    near = {(i, j) for j in range(60) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert near and near <= kept and len(kept) < len(near) + 0.2 * (1770 - len(near))
+
+
 def test_lm_scores(spark, docs, empty):
     rows = [r for r in docs.collect()]
     got = lm.score_documents(docs).collect()
