@@ -79,12 +79,12 @@ def agg04_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callrows.diagnostics(skipped(spark, sf_dir), spark.createDataFrame([], "file string"))[1].groupBy("file", "reason").agg(F.count("*").alias("n"))
 
 
-_HOSTS = "gone AS (SELECT DISTINCT host FROM calls WHERE host NOT IN (SELECT host FROM calls WHERE client = 'sdk')), seen AS (SELECT host, count(DISTINCT file) AS files, count(*) AS literals, arg_min(language, (file, line)) AS language FROM calls GROUP BY host)"
+_HOSTS = "gone AS (SELECT DISTINCT host FROM calls WHERE host NOT IN (SELECT host FROM calls WHERE body_type IS NOT NULL)), seen AS (SELECT host, count(DISTINCT file) AS files, count(*) AS literals, arg_min(language, (file, line)) AS language FROM calls GROUP BY host)"
 
 
 @query("agg06_host_coverage", f"WITH {_CALLS}, {_HOSTS} SELECT language, count(*) AS named, count(*) FILTER (host NOT IN (SELECT host FROM gone)) AS explained FROM seen GROUP BY 1")
 def agg06_host_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hosts that pages name; those of SDK calls are explained."""
+    """The hosts that pages name; those that some call sends a query to are explained."""
     return _host_coverage(spark, sf_dir)[0]
 
 
@@ -94,8 +94,8 @@ def agg06_top_unexplained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _host_coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    calls = page_calls(spark, sf_dir).select("host", "file", "line", "language", "client")
-    unexplained = calls.select("host").distinct().join(calls.filter("client = 'sdk'").select("host").distinct(), "host", "left_anti")
+    calls = page_calls(spark, sf_dir).select("host", "file", "line", "language", "body_type")
+    unexplained = calls.select("host").distinct().join(calls.filter("body_type is not null").select("host").distinct(), "host", "left_anti")
     return callrows.host_coverage(calls, unexplained)
 
 
