@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 import random
 import re
@@ -214,3 +215,44 @@ def test_example_values_by_name():
             value = examples.by_name(key, "string", examples.Draw(seed))
             assert re.fullmatch(form, value) and value == examples.by_name(key, "string", examples.Draw(seed))
     assert all(10 <= examples.by_name("limit", "number", examples.Draw(str(i))) <= 100 for i in range(50))
+
+
+def test_arriving_files_run_the_batch_plan(spark, tmp_path):
+    """Files that arrive are read whole and go through the same front end as a table of files."""
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.js").write_text('fetch("https://a.io/1");\nfetch("https://a.io/2");\n')
+    found: list = []
+
+    def batch(files, _):
+        found.extend((r.path.rsplit("/", 1)[-1], r.line, r.url) for r in javascript.javascript_calls(files).collect())
+
+    stream = windows.arriving_files(spark, str(tmp_path / "in"))
+    for name in (None, "b.js"):
+        if name:
+            (tmp_path / "in" / "sub" / name).write_text('axios;\nfetch("https://b.io");\n')
+        query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    assert sorted(found) == [("a.js", 1, "https://a.io/1"), ("a.js", 2, "https://a.io/2"), ("b.js", 2, "https://b.io")]
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """What comes more than the delay behind the watermark does not count."""
+    rows = lambda *ts: spark.createDataFrame([(datetime.datetime(2024, 1, 1, h, m), "t", 1.0) for h, m in ts], "ts timestamp_ntz, event_type string, value double")
+    rows((10, 0), (10, 30)).write.parquet(str(tmp_path / "in"))
+    schema = rows((1, 0)).schema
+    out: dict = {}
+
+    def keep(df, _):
+        out.update({(r.start.hour, r.event_type): r.n for r in df.collect()})
+
+    def run():
+        stream = windows.hourly(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 hour")
+        query = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    run()
+    rows((20, 0)).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    rows((10, 45), (23, 0)).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert out[10, "t"] == 2 and (20, "t") in out
