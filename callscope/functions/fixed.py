@@ -249,3 +249,6 @@ EXAMPLE_RULES = [
     (r"(?i)^(model)$", "gpt-4o", None), (r"(?i)^(role)$", "user", None), (r"(?i)^(tags?|labels?|categories|category)$", "{word}", None),
     (r"(?i)^(code|coupon|promo[-_]?code|voucher)$", "{upper alnum 6}", None),
 ]
+
+# Folders out of scope for every language.
+SHARED_EXCLUDES = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**"]

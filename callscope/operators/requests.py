@@ -38,6 +38,17 @@ def candidates(calls: DataFrame, limit: int = 20) -> DataFrame:
     return ranked.filter((F.col("hosts") <= limit) | (F.col("k") == 1)).select("raw_id", "host", "ord", ((F.col("hosts") >= 2) & (F.col("hosts") <= limit)).alias("candidate"), (F.col("hosts") > limit).alias("limited"))
 
 
+def merge_models(calls: DataFrame) -> DataFrame:
+    """Calls that differ by their model only as one, at the first one's place, with every model in the order of the calls.
+
+    ``calls``: (ord, request, model); calls without a model add none.
+    """
+    first = calls.filter("model is not null").groupBy("request", "model").agg(F.min("ord").alias("ord"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "model"))), lambda x: x["model"])  # of one request
+    models = first.groupBy("request").agg(listed.alias("models"))
+    return calls.groupBy("request").agg(F.min("ord").alias("ord")).join(models, "request", "left").select("ord", "request", F.coalesce("models", F.array().cast("array<string>")).alias("models"))
+
+
 def diverse(expansions: DataFrame, keep: int = 3) -> DataFrame:
     """The first ``keep`` inner calls of a wrapper, repeats of a path behind other paths. ``expansions``: (call_id, ord, path); ties in ord go by path."""
     again = F.row_number().over(Window.partitionBy("call_id", "path").orderBy("ord"))

@@ -415,3 +415,11 @@ def opn11_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win05_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred calls to label, an equal part of each client. The published sampler shuffles with a random comparison, so its picks cannot be met; a seeded hash stands for it."""
     return callrows.sample_for_labels(page_calls(spark, sf_dir), "client", "seq", 100).select("seq", "client", "pick")
+
+
+MODEL_CALLS = Fixture("model_calls", "ord bigint, request string, model string", [(0, "a", "gpt"), (1, "b", None), (2, "a", "claude"), (3, "a", "gpt"), (4, "c", None), (5, "c", "gemini")])
+
+
+@query("win03_merged_models", f"WITH {MODEL_CALLS.sql}, f AS (SELECT request, model, min(ord) AS ord FROM model_calls WHERE model IS NOT NULL GROUP BY 1, 2) SELECT min(c.ord) AS ord, request, coalesce((SELECT string_agg(model, ',' ORDER BY ord) FROM f WHERE f.request = c.request), '') AS models FROM model_calls c GROUP BY request")
+def win03_merged_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.merge_models(MODEL_CALLS.df(spark)).withColumn("models", F.array_join("models", ","))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
-from callscope.sources import documents
+from callscope.sources import config, documents
 
 DOCUMENTS = Fixture(
     "documents_",
@@ -106,3 +106,15 @@ DIFF = Fixture("diff", "line string", [("M\ta.ts",), ("A\tb/c.ts",), ("D\told.ts
 @query("src21_changed_files", golden("path, status", [("a.ts", "M"), ("b/c.ts", "A"), ("old.ts", "D"), ("from.ts", "D"), ("to.ts", "A"), ("copy.ts", "A")]))
 def src21_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.changed_files(DIFF.df(spark))
+
+
+TREE = Fixture(
+    "tree", "path string, real string",
+    [("src/a.ts", None), ("src/b.py", None), ("node_modules/x/i.ts", None), ("dist/o.ts", None), ("pkg/build/o.ts", None), ("link.ts", "/repo/src/a.ts"), ("out.ts", "/etc/passwd"), ("src/skip/c.tsx", None), ("src/d.tsx", None), ("README.md", None)],
+)
+
+
+@query("src01_language_files", golden("path", [("src/a.ts",), ("link.ts",), ("src/d.tsx",)]))
+def src01_language_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a language without dependencies, build output, what is excluded and links that lead out."""
+    return config.language_files(config.inside(TREE.df(spark), "/repo"), [".ts", ".tsx"], exclude=["src/skip/**"]).select("path")

@@ -49,6 +49,17 @@ def select_files(files: DataFrame, include: list[str] | None = None, exclude: li
     return files.filter(keep & ~_any(F.col("path"), exclude or []))
 
 
+def inside(files: DataFrame, root: str) -> DataFrame:
+    """Files that still lie below ``root`` where their links lead; ``real`` is the resolved path, null for plain files."""
+    return files.filter(F.col("real").isNull() | F.col("real").startswith(root.rstrip("/") + "/"))
+
+
+def language_files(files: DataFrame, extensions: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """The files of a language: those with its endings, minus dependencies, build output and what is excluded; include globs never add other endings."""
+    ends = F.col("path").rlike("(?:" + "|".join(re.escape(e) for e in extensions) + r")\z")
+    return select_files(files.filter(ends), include, [*fixed.SHARED_EXCLUDES, *(exclude or [])])
+
+
 def left_out(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Files that the selection leaves out, and why."""
     excluded = _any(F.col("path"), exclude or [])
@@ -147,7 +158,11 @@ def inventory(rows: DataFrame) -> DataFrame:
     return rows.select("entry", "repo", file.alias("file"), line.cast("long").alias("line"), says.alias("says")).filter("line is not null")
 
 
-def first_files(files: DataFrame, limit: int) -> DataFrame:
+#: Text files that are read for names.
+MAX_FILES = 100_000
+
+
+def first_files(files: DataFrame, limit: int = MAX_FILES) -> DataFrame:
     """The first ``limit`` files by path, a bound that the result depends on."""
     return files.orderBy("path").limit(limit)
 
