@@ -252,3 +252,7 @@ EXAMPLE_RULES = [
 
 # Folders out of scope for every language.
 SHARED_EXCLUDES = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**"]
+
+# What connects to an MCP server by URL, and the package of the script ones.
+MCP_PACKAGE = "@modelcontextprotocol/sdk"
+MCP_CONSTRUCTORS = {"StreamableHTTPClientTransport": "streamable-http", "SSEClientTransport": "sse", "streamablehttp_client": "streamable-http", "streamable_http_client": "streamable-http", "sse_client": "sse"}

@@ -861,6 +861,16 @@ def _request(f: _File, call: tuple, i: int) -> tuple | None:
     return client, "DYNAMIC" if "{" in method else method, _join(base, url), headers_of(options), ",".join(f.names(body, i))
 
 
+def _mcp_transport(f: _File, start: int, i: int) -> tuple | None:
+    """A transport that connects to an MCP server by its URL."""
+    node, _ = f.p._unary(start, 0)
+    if node[0] != "new" or node[3] != i or node[1][0] != "name" or not node[2]:
+        return None
+    module, name = f.imports.get(node[1][1], ("", ""))
+    kind = fixed.MCP_CONSTRUCTORS.get(name) if module.startswith(fixed.MCP_PACKAGE) else None
+    return (f"mcp:{kind}", "POST", f.template(node[2][0], i), "", "") if kind else None
+
+
 def _framework(f: _File, callee: tuple, args: list[tuple], i: int) -> tuple | None:
     """A framework's helper that sends what one options object says."""
     shift = 0
@@ -901,6 +911,10 @@ def javascript_rows(path: str, body: str) -> list[tuple]:
                 continue
             node = _call_at(f, start, i)
             if node is None:
+                served = _mcp_transport(f, start, i)
+                if served and (start, i) not in seen:
+                    seen.add((start, i))
+                    out.append(("call", f.line(start), *served))
                 continue
             seen.add((start, i))
             found = _request(f, node, i)

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.functions import fixed
 from callscope.operators import linking
 from callscope.operators.frontend import DEPTH, HTTP_CLIENTS, _Module, scan_files
 
@@ -257,6 +258,9 @@ def _request(f: _File, call: ast.Call, scope: str | None, cls: str | None) -> tu
     say = lambda node: f.text(node, scope, line, cls)
     name = f.dotted(call.func) or f.full(call.func)
     client, base, verb = None, "", None
+    if name and name.startswith("mcp.client.") and (kind := fixed.MCP_CONSTRUCTORS.get(name.rpartition(".")[2])):
+        url = named.get("url") or arg(0)
+        return (f"mcp:{kind}", "POST", say(url), _keys(f, named.get("headers"), scope, line, True), "") if url is not None else None
     if name:
         package, _, function = name.rpartition(".")
         if name == "urllib.request.urlopen" or name == "urllib.request.Request":
@@ -294,6 +298,24 @@ def _request(f: _File, call: ast.Call, scope: str | None, cls: str | None) -> tu
     return client, method, join(base, say(url)) if url is not None else "{url}", _keys(f, named.get("headers"), scope, line, True), _keys(f, body, scope, line)
 
 
+def _mcp_servers(f: _File, call: ast.Call, scope: str | None, cls: str | None) -> list[tuple]:
+    """One call for each HTTP server that a client of several MCP servers is given; commands are none."""
+    name = f.dotted(call.func) or f.full(call.func) or ""
+    given = call.args[0] if call.args else next((k.value for k in call.keywords if k.arg == "connections"), None)
+    if name.rpartition(".")[2] != "MultiServerMCPClient" or given is None:
+        return []
+    if isinstance(given, ast.Name):
+        given = f.assigned(given.id, scope, call.lineno)
+    out = []
+    for server in given.values if isinstance(given, ast.Dict) else []:
+        parts = {k.value: v for k, v in zip(server.keys, server.values, strict=True) if isinstance(k, ast.Constant)} if isinstance(server, ast.Dict) else {}
+        if "url" in parts:
+            url = f.text(parts["url"], scope, call.lineno, cls)
+            said = f.text(parts["transport"], scope, call.lineno, cls) if "transport" in parts else ""
+            out.append((f"mcp:{fixed.MCP_TRANSPORTS.get(said, 'sse' if re.search(r'/sse(?:/|$)', url) else 'streamable-http')}", "POST", url, _keys(f, parts.get("headers"), scope, call.lineno, True), ""))
+    return out
+
+
 def python_rows(path: str, body: str) -> list[tuple]:
     """(kind, line, name, method, url, headers, body_keys): ``call`` and ``export`` rows as of script files; a file that does not parse gives a ``problem``.
 
@@ -317,6 +339,7 @@ def python_rows(path: str, body: str) -> list[tuple]:
                 owner = child.name
             if isinstance(child, ast.Call) and id(child) not in done:
                 found = _request(f, child, inner, owner)
+                out.extend(("call", child.lineno, *r) for r in _mcp_servers(f, child, inner, owner))
                 used = None if found else f.sdk(child.func, inner, child.lineno, owner)
                 if used and (used[1] or used[1] is None and "." in used[0]):
                     out.append(("sdk", child.lineno, used[0], "function" if used[1] is None else "client", ".".join(used[1] or []), None, None))

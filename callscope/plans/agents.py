@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.operators import agents, javascript
+from callscope.operators import agents, javascript, python
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
 
@@ -64,3 +64,33 @@ HELPERS = Fixture(
 )
 def det07_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return javascript.javascript_calls(HELPERS.df(spark))
+
+
+MCP = Fixture(
+    "mcp_files",
+    "path string, body string",
+    [
+        ("a.ts", 'import { StreamableHTTPClientTransport } from "@modelcontextprotocol/sdk/client/streamableHttp.js";\nimport { SSEClientTransport as Sse } from "@modelcontextprotocol/sdk/client/sse.js";\nconst BASE = process.env.MCP_URL;\nawait client.connect(new StreamableHTTPClientTransport(new URL("https://mcp.acme.com/v1")));\nconst t = new Sse(new URL(`${BASE}/sse`));\nnew Other(new URL("https://no.io"));\n'),
+        ("b.py", "from mcp.client.streamable_http import streamablehttp_client\nfrom langchain_mcp_adapters.client import MultiServerMCPClient\nasync def go():\n    async with streamablehttp_client('https://mcp.acme.com/mcp', headers={'A': 'b'}) as (r, w, _):\n        pass\nservers = {'local': {'command': 'x'}, 'one': {'url': 'https://one.io/sse', 'transport': 'sse'}, 'two': {'url': 'https://two.io/mcp'}}\nclient = MultiServerMCPClient(servers)\n"),
+    ],
+)
+
+
+@query(
+    "det11_mcp_clients",
+    golden(
+        "path, line, client, method, url, headers",
+        [
+            ("a.ts", 4, "mcp:streamable-http", "POST", "https://mcp.acme.com/v1", ""),
+            ("a.ts", 5, "mcp:sse", "POST", "{env:MCP_URL}/sse", ""),
+            ("b.py", 4, "mcp:streamable-http", "POST", "https://mcp.acme.com/mcp", "a"),
+            ("b.py", 7, "mcp:sse", "POST", "https://one.io/sse", ""),
+            ("b.py", 7, "mcp:streamable-http", "POST", "https://two.io/mcp", ""),
+        ],
+    ),
+)
+def det11_mcp_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients of MCP servers in scripts and Python: one call for each HTTP server."""
+    files = MCP.df(spark)
+    found = javascript.javascript_calls(files.filter("path like '%.ts'")).union(python.python_calls(files.filter("path like '%.py'")))
+    return found.select("path", "line", "client", "method", "url", "headers")
