@@ -256,3 +256,12 @@ SHARED_EXCLUDES = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/*
 # What connects to an MCP server by URL, and the package of the script ones.
 MCP_PACKAGE = "@modelcontextprotocol/sdk"
 MCP_CONSTRUCTORS = {"StreamableHTTPClientTransport": "streamable-http", "SSEClientTransport": "sse", "streamablehttp_client": "streamable-http", "streamable_http_client": "streamable-http", "sse_client": "sse"}
+
+# GraphQL clients by package: what makes one, and where its endpoint is given (a place, or an option of the
+# first argument); functions that take the endpoint first; methods that send.
+GRAPHQL_CLIENTS = {
+    "graphql-request": {"GraphQLClient": 0}, "@apollo/client": {"ApolloClient": "uri", "HttpLink": "uri", "createHttpLink": "uri"}, "@apollo/client/core": {"ApolloClient": "uri"},
+    "urql": {"Client": "url", "createClient": "url"}, "@urql/core": {"Client": "url", "createClient": "url"},
+}
+GRAPHQL_FUNCTIONS = {"graphql-request": ["request", "rawRequest", "gqlRequest"]}
+GRAPHQL_METHODS = ["request", "rawRequest", "batchRequests", "query", "mutate", "mutation", "readQuery"]

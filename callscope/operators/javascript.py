@@ -350,6 +350,8 @@ class _Parser:
                 i += 1
             elif text == "<" and (end := self.generic_end(i)) and self.text(end) == "(":
                 i = end
+            elif self.items[i][0] == "tmpl" and node[0] in ("name", "member"):  # a tagged template is its text
+                node, i = self._primary(i, depth)
             else:
                 break
         return node, i
@@ -748,6 +750,15 @@ class _File:
         return (f"import:{module}#{name}", "") if module.startswith((".", "@", "~")) else None
 
 
+    def made(self, node: tuple, i: int, depth: int = 0) -> tuple[str, str, list[tuple]] | None:
+        """(package, constructor or factory, arguments) of what an expression was made by."""
+        if depth > DEPTH:
+            return None
+        if node[0] in ("new", "call") and node[1][0] == "name" and node[1][1] in self.imports:
+            return (*self.imports[node[1][1]], node[2])
+        found = self.value(node, i) if node[0] in ("name", "member") else node
+        return self.made(found, i, depth + 1) if found != node and found[0] in ("new", "call", "name", "member") else None
+
     def sdk(self, node: tuple, i: int, depth: int = 0) -> tuple[str, str, list[str]] | None:
         """(package, constructor, names behind it) of a chain that begins at something imported from a package."""
         if depth > DEPTH:
@@ -794,6 +805,8 @@ def _request(f: _File, call: tuple, i: int) -> tuple | None:
     arg = lambda k: args[k] if len(args) > k else None
     if helped := _framework(f, callee, args, i):
         return helped
+    if sent := _graphql(f, callee, args, i):
+        return sent
     direct = f.client(callee, i)
     verb, client, base = None, None, ""
     if direct and not direct[0].startswith(("node-", "import:")):
@@ -871,6 +884,27 @@ def _mcp_transport(f: _File, start: int, i: int) -> tuple | None:
     return (f"mcp:{kind}", "POST", f.template(node[2][0], i), "", "") if kind else None
 
 
+def _graphql(f: _File, callee: tuple, args: list[tuple], i: int) -> tuple | None:
+    """A request of a GraphQL client, at the endpoint that the client was made with."""
+    if callee[0] == "name" and callee[1] in f.imports and args:
+        module, name = f.imports[callee[1]]
+        if name in fixed.GRAPHQL_FUNCTIONS.get(module, ()):
+            whole = f.options(args[0], i)
+            return "graphql", "POST", f.template(whole["url"] if "url" in whole else args[0], i), "", "query"
+    if callee[0] != "member" or callee[2] not in fixed.GRAPHQL_METHODS or not (made := f.made(callee[1], i)):
+        return None
+    module, name, given = made
+    where = fixed.GRAPHQL_CLIENTS.get(module, {}).get(name)
+    if where is None or not given:
+        return None
+    if where == 0:
+        return "graphql", "POST", f.template(given[0], i), "", "query"
+    options = f.options(given[0], i)
+    if where not in options and "link" in options and (link := f.made(options["link"], i)) and link[2]:  # Apollo's endpoint may be its link's
+        options = f.options(link[2][0], i)
+    return "graphql", "POST", f.template(options[where], i) if where in options else "{url}", ",".join(h.lower() for h in f.names(options.get("headers"), i)), "query"
+
+
 def _framework(f: _File, callee: tuple, args: list[tuple], i: int) -> tuple | None:
     """A framework's helper that sends what one options object says."""
     shift = 0

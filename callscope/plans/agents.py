@@ -94,3 +94,29 @@ def det11_mcp_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = MCP.df(spark)
     found = javascript.javascript_calls(files.filter("path like '%.ts'")).union(python.python_calls(files.filter("path like '%.py'")))
     return found.select("path", "line", "client", "method", "url", "headers")
+
+
+GRAPHQL = Fixture(
+    "graphql_files",
+    "path string, body string",
+    [
+        ("r.ts", 'import { GraphQLClient, request, gql } from "graphql-request";\nconst API = "https://api.shop.io/graphql";\nconst Q = gql`query Q { a }`;\nconst client = new GraphQLClient(API, { headers: {} });\nexport const q = () => client.request(Q);\nrequest("https://b.io/graphql", Q);\nrequest({ url: `${API}/v2`, document: Q });\ncache.request(Q);\n'),
+        ("a.ts", 'import { ApolloClient, HttpLink } from "@apollo/client";\nconst link = new HttpLink({ uri: process.env.GQL, headers: { Authorization: t } });\nconst apollo = new ApolloClient({ link, cache });\napollo.query({ query: Q });\nnew ApolloClient({ uri: "https://c.io/graphql" }).mutate({ mutation: M });\n'),
+        ("u.ts", 'import { createClient } from "@urql/core";\nclass S {\n  c = createClient({ url: "https://u.io/graphql" });\n  go() { return this.c.query(Q, {}); }\n}\n'),
+    ],
+)
+
+
+@query(
+    "det09_graphql_clients",
+    golden(
+        "path, line, client, url, headers",
+        [
+            ("r.ts", 5, "graphql", "https://api.shop.io/graphql", ""), ("r.ts", 6, "graphql", "https://b.io/graphql", ""), ("r.ts", 7, "graphql", "https://api.shop.io/graphql/v2", ""),
+            ("a.ts", 4, "graphql", "{env:GQL}", "authorization"), ("a.ts", 5, "graphql", "https://c.io/graphql", ""), ("u.ts", 4, "graphql", "https://u.io/graphql", ""),
+        ],
+    ),
+)
+def det09_graphql_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of GraphQL clients, at the endpoints that they were made with."""
+    return javascript.javascript_calls(GRAPHQL.df(spark)).select("path", "line", "client", "url", "headers")
