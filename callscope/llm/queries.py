@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import decontaminate, lm, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
+from callscope.llm import decontaminate, divergence, lm, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": shards.op8_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_secrets": secrets.op10_secrets,
+    "op11_divergence": divergence.op11_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": urls.SQL, "op5_mixing": mixing.SQL, "op8_sharding": shards.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": urls.SQL, "op5_mixing": mixing.SQL, "op8_sharding": shards.SQL, "op11_divergence": divergence.SQL}
