@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import decontaminate, divergence, lm, mixing, quality, repeats, secrets, shards, simhash, syncmers, urls
+from callscope.llm import decontaminate, divergence, lm, mixing, pii, quality, repeats, secrets, shards, simhash, syncmers, tries, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_secrets": secrets.op10_secrets,
     "op11_divergence": divergence.op11_divergence,
+    "op12_pii": pii.op12_pii,
+    "op13_prefix_trie": tries.op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": urls.SQL, "op5_mixing": mixing.SQL, "op8_sharding": shards.SQL, "op11_divergence": divergence.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": urls.SQL, "op5_mixing": mixing.SQL, "op8_sharding": shards.SQL, "op11_divergence": divergence.SQL, "op13_prefix_trie": tries.SQL}
