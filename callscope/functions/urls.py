@@ -45,8 +45,12 @@ def segments(path: Column) -> Column:
 
 
 def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add a column that later ones use several times: Catalyst keeps projections apart where merging would repeat costly work."""
-    return rows.withColumn(name, value)
+    """Add a column that later ones use several times.
+
+    It goes through a generator of one row, as Catalyst moves filters and projections into a plain
+    column's expression and then repeats it, but never into what a generator makes.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def with_shape(rows: DataFrame, template: Column, via_const: Column, out: str = "u") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.operators.ordered import numbered, range_placed
+
 
 def call_id(place: Column, n: Column, name: Column) -> Column:
     """First 12 hex digits of the SHA-1 of ``file:line:col``, ``#n`` unless n is 0, and the operation's name."""
@@ -57,16 +61,15 @@ def diverse(expansions: DataFrame, keep: int = 3) -> DataFrame:
     return ranked.withColumn("rank", place).filter(F.col("rank") <= keep).drop("again")
 
 
-def sort_calls(calls: DataFrame) -> DataFrame:
+def call_order() -> list[Column]:
     """By file as a person sorts, then line, column and sequence."""
-    return calls.orderBy(F.collate("file", "UNICODE"), "line", "col", "seq")
+    return [F.collate("file", "UNICODE"), F.col("line"), F.col("col"), F.col("seq")]
 
 
-def with_place(rows: DataFrame) -> DataFrame:
-    """Number the rows of a sorted table from 1 in ``place``, as they come; one row for each partition is summed up front."""
-    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
-    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return numbered.join(F.broadcast(offsets), part == F.col("_part")).withColumn("place", F.col("_before") + inside + 1).drop("_at", "_part", "_before")
+def with_place(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Number the rows in an order from 1 in ``place``, gapless; equal rows in any order.
+
+    The rows are written in range partitions once, so that sizes and rows are those of the same parts
+    whatever a later plan reads of them; one row for each part is summed up front.
+    """
+    return numbered(range_placed(rows, order, "places"))

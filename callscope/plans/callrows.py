@@ -237,8 +237,7 @@ def join14_single_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sort01_calls", f"WITH {_CALLS} SELECT seq, row_number() OVER (ORDER BY file, line, col, seq)::BIGINT AS place FROM calls")
 def sort01_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows are numbered as they come, so that the order is the operator's."""
-    return requests.with_place(requests.sort_calls(page_calls(spark, sf_dir))).select("seq", "place")
+    return requests.with_place(page_calls(spark, sf_dir), requests.call_order()).select("seq", "place")
 
 
 SITES = Fixture("sites", "file string, line bigint, col bigint, seq bigint", [("b.ts", 1, 1, 1), ("A.ts", 9, 1, 2), ("a.ts", 2, 5, 3), ("a.ts", 2, 1, 4), ("B.ts", 1, 1, 5)])
@@ -247,7 +246,7 @@ SITES = Fixture("sites", "file string, line bigint, col bigint, seq bigint", [("
 @query("sort01_names", golden("place, seq", [(0, 4), (1, 3), (2, 2), (3, 1), (4, 5)]))
 def sort01_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as a person sorts them: ``a`` before ``A`` before ``b``."""
-    return requests.with_place(requests.sort_calls(SITES.df(spark))).select((F.col("place") - 1).alias("place"), "seq")
+    return requests.with_place(SITES.df(spark), requests.call_order()).select((F.col("place") - 1).alias("place"), "seq")
 
 
 _TOP = "k AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, first_seq) AS k FROM s)"
