@@ -26,8 +26,7 @@ def safe_key(key: Column) -> Column:
 def canonical_path(path: Column) -> Column:
     """Single slashes, a leading one, no trailing one; ``{env:X}`` shortened to ``{X}``."""
     single = F.regexp_replace(F.regexp_replace(path, r"\{env:([^}]+)\}", "{$1}"), "/{2,}", "/")
-    led = F.when(single.startswith("/"), single).otherwise(F.concat(F.lit("/"), single))
-    return F.when((F.length(led) > 1) & led.endswith("/"), F.regexp_replace(led, r"/\z", "")).otherwise(led)
+    return F.regexp_replace(F.regexp_replace(single, r"\A(?!/)", "/"), r"(?s)(?<=.)/\z", "")
 
 
 def looks_like_id(segment: Column) -> Column:
@@ -44,7 +43,7 @@ def segments(path: Column) -> Column:
     return F.when(parts[0] == "", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
-def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+def once(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """Add a column that later ones use several times.
 
     It goes through a generator of one row, as Catalyst moves filters and projections into a plain
@@ -60,24 +59,28 @@ def with_shape(rows: DataFrame, template: Column, via_const: Column, out: str =
     """
     none = F.lit(None).cast("string")
     text = F.ltrim(F.regexp_replace(template, r"(?i)^(\s*[a-z][a-z0-9+.-]*://)[^/?#]*@", "$1"))
-    rows = _once(rows.filter(template.isNotNull()), text, "_text")
+    rows = once(rows.filter(template.isNotNull()), text, "_text")
     t = F.col("_text")
-    raw_host = F.regexp_extract(t, r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     pieces = F.struct(
-        _none_if_empty(F.lower(F.regexp_extract(t, SCHEME, 1))).alias("scheme"),
-        raw_host.alias("host"),
+        F.lower(F.regexp_extract(t, SCHEME, 1)).alias("scheme"),
+        F.regexp_extract(t, r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1).alias("host"),
         F.regexp_extract(t, r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]*(.*)\z", 1).alias("rest"),
-        F.lower(F.regexp_extract(raw_host, r"^([^{]*)", 1)).alias("prefix"),
-        _none_if_empty(F.regexp_extract(t, r"^\{([^}]+)\}", 1)).alias("leading"),
+        F.regexp_extract(t, r"^\{([^}]+)\}", 1).alias("leading"),
         F.regexp_replace(t, r"^\{[^}]+\}", "").alias("tail"),
     )
-    rows = _once(rows, pieces, "_a")
-    scheme, prefix, tail, rest, leading = (F.col(f"_a.{c}") for c in ("scheme", "prefix", "tail", "rest", "leading"))
+    rows = once(rows, pieces, "_a")
+    scheme, leading = _none_if_empty(F.col("_a.scheme")), _none_if_empty(F.col("_a.leading"))
+    tail, rest = F.col("_a.tail"), F.col("_a.rest")
+    prefix = F.lower(F.substring_index("_a.host", "{", 1))
     host = F.concat(prefix, after(F.col("_a.host"), prefix))
-    env = _none_if_empty(F.regexp_extract(host, r"\{env:([^}]+)\}", 1))
+    names = F.struct(
+        prefix.alias("prefix"), host.alias("host"), F.regexp_extract(host, r"\{env:([^}]+)\}", 1).alias("env"), F.regexp_extract("_a.leading", r"^env:(.*)\z", 1).alias("leading")
+    )
+    rows = once(rows, names, "_b")
+    prefix, host = F.col("_b.prefix"), F.col("_b.host")
+    env, lead_env = _none_if_empty(F.col("_b.env")), _none_if_empty(F.col("_b.leading"))
     known = F.when(via_const, "const").otherwise("literal")
     path_open = (prefix.contains(".") | prefix.startswith("localhost")) & ~prefix.endswith(".")
-    lead_env = _none_if_empty(F.regexp_extract(leading, r"^env:(.*)\z", 1))
     slashed = F.when((tail == "") | tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))
 
     def found(kind: Column | str, host_: Column, env_: Column, rest_: Column) -> Column:
@@ -94,7 +97,7 @@ def with_shape(rows: DataFrame, template: Column, via_const: Column, out: str =
         .when(leading.isNotNull(), found("unknown", none, none, slashed))
         .otherwise(found("relative", none, none, F.col("_text")))
     )
-    rows = _once(rows, place, "_p")
+    rows = once(rows, place, "_p")
     plain = F.substring_index("_p.rest", "#", 1)
     names = F.transform(F.split(F.split_part(plain, F.lit("?"), F.lit(2)), "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
     names = F.filter(names, lambda k: (k != "") & safe_key(k) & ~k.contains("{"))
@@ -106,7 +109,7 @@ def with_shape(rows: DataFrame, template: Column, via_const: Column, out: str =
         canonical_path(F.split_part(plain, F.lit("?"), F.lit(1))).alias("path"),
         names.alias("query"),
     )
-    return _once(rows, shape, out).drop("_text", "_a", "_p")
+    return once(rows, shape, out).drop("_text", "_a", "_b", "_p")
 
 
 def dot_segments(path: Column) -> Column:

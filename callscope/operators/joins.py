@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import fixed
 from callscope.operators.components import components
+from callscope.operators.ordered import Running, range_placed, run_on
+from callscope.operators.tables import Scratch, materialize
 
 
 def as_of(uses: DataFrame, assigns: DataFrame, by: list[str], at: str = "at", use_key: str = "use_id") -> DataFrame:
     """Each use with the last assignment before it, else the first one after, else nulls.
 
-    ``uses``: by, ``at``, the key. ``assigns``: by, ``at``, ``value``. Both are put in one line by
-    place and read once with running values, so a use never meets all assignments of its name.
+    ``uses``: by, ``at``, the key. ``assigns``: by, ``at``, ``value``; of several at one place the
+    greatest value counts. Both lie in one line of range partitions, and what the partitions before
+    one hold of its first name is carried on, so a name with most of the rows is no single task. A use
+    that nothing comes before gets its name's first assignment.
     """
     u = uses.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_use"), F.lit(None).cast(assigns.schema["value"].dataType).alias("_value"), F.col(use_key))
     a = assigns.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_use"), F.col("value").alias("_value"), F.lit(None).cast(uses.schema[use_key].dataType).alias(use_key))
-    # At one place an assignment follows the use: it is not before it.
-    line = Window.partitionBy(*by).orderBy("_at", F.desc("_use"))
-    entry = F.when(F.col("_use") == 0, F.struct(F.col("_at").alias("at"), F.col("_value").alias("value")))
-    last = F.last(entry, True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    # The next one is the last one of the line read backwards: running values again, never a walk over what follows.
-    back = Window.partitionBy(*by).orderBy(F.desc("_at"), "_use")
-    first = F.last(entry, True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    met = u.unionByName(a).withColumn("_met", F.coalesce(last, first)).filter("_use = 1")
-    return met.select(use_key, *by, F.col("_at").alias(at), F.col("_met.value").alias("value"), F.col("_met.at").alias("assigned_at"))
+    entry = F.struct(F.col("_at").alias("at"), F.col("_value").alias("value"))
+    with Scratch(uses.sparkSession) as hold:
+        # At one place an assignment follows the use: it is not before it.
+        line = range_placed(u.unionByName(a), [*[F.col(c) for c in by], F.col("_at"), -F.col("_use"), F.col("_value"), F.col(use_key)], "as-of", hold)
+        met = run_on(line, len(by), {"_last": Running(F.when(F.col("_use") == 0, entry), "last")}).filter("_use = 1").select(use_key, *by, "_at", "_last")
+        first = a.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min(entry).alias("_first"))
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        met = met.join(first, reduce(lambda x, y: x & y, same), "left").withColumn("_met", F.coalesce("_last", "_first"))
+        return materialize(met.select(use_key, *by, F.col("_at").alias(at), F.col("_met.value").alias("value"), F.col("_met.at").alias("assigned_at")), "as-of")
 
 
 def longest_prefix(names: DataFrame, roots: DataFrame, name: str = "name", separator: str = ".") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions import fixed, hosts
+from callscope.functions.urls import once
 
 
 def provider_hosts(spark: SparkSession) -> DataFrame:
@@ -22,11 +23,10 @@ def join_providers(calls: DataFrame, dimension: DataFrame, host_col: str = "host
     host meets suffixes only, by the labels behind its last placeholder.
     """
     one_each = calls.select(F.col(host_col).alias("_host")).filter("_host is not null and _host <> ''").distinct()
-    clean = F.regexp_replace(F.lower(F.col("_host")), r":\d+\z", "")
-    tail = F.regexp_extract(clean, r"\}\.([^}]*)\z", 1)
-    plain = ~clean.contains("{")
-    name = F.when(plain, clean).otherwise(tail)
-    domains = one_each.select("_host", clean.alias("_clean"), plain.alias("_plain"), F.explode(hosts.suffixes(name)).alias("listed"))
+    one_each = once(one_each, F.regexp_replace(F.lower(F.col("_host")), r":\d+\z", ""), "_clean")
+    plain = ~F.col("_clean").contains("{")
+    one_each = once(one_each, F.when(plain, F.col("_clean")).otherwise(F.regexp_extract("_clean", r"\}\.([^}]*)\z", 1)), "_name")
+    domains = one_each.select("_host", "_clean", plain.alias("_plain"), F.explode(hosts.suffixes(F.col("_name"))).alias("listed"))
     # A suffix needs a label before it, unless that is a placeholder.
     fits = F.when(F.col("is_suffix"), (F.col("listed") != F.col("_clean")) | ~F.col("_plain")).otherwise(F.col("_plain") & (F.col("listed") == F.col("_clean")))
     found = domains.join(dimension, "listed").filter(fits).groupBy("_host").agg(F.max_by("provider", F.struct(~F.col("is_suffix"), F.length("listed"), "provider")).alias(out))
