@@ -39,7 +39,7 @@ def read_maps(steps: DataFrame, reads: DataFrame) -> DataFrame:
         met = run_on(by_key, 2, {"entry": Running(entry, "last")}).filter("read is not null")
         fresh = F.col("entry").isNotNull() & (F.col("all_keys").isNull() | (F.col("entry.at") > F.col("all_keys.at")))
         state = F.when(fresh, F.when(F.col("entry.op") == "set", "set").otherwise("absent")).otherwise(F.when(F.col("all_keys.op") == "unknown", "unknown").otherwise("absent"))
-        return materialize(met.select("read", state.alias("state"), F.when(fresh, F.col("entry.value")).alias("value"), F.when(fresh, F.col("entry.at")).alias("set_at")), "maps-read")
+        return materialize(met.select("read", state.alias("state"), F.when(fresh & (F.col("entry.op") == "set"), F.col("entry.value")).alias("value"), F.when(fresh, F.col("entry.at")).alias("set_at")), "maps-read")
 
 
 def final_entries(steps: DataFrame) -> DataFrame:
