@@ -42,8 +42,10 @@ HELD = 600_000
 OWN_SHARE, OWN_HALF = 0.2, 20
 #: About one token in this many ends a passage.
 PASSAGE = 32
-#: Training tokens behind each state, about; small corpora have a state for each core, twice.
-TASK_TOKENS = 32_000_000
+#: Training tokens that the first state learns, and those that each of the others learns from there on, about.
+FIRST_TOKENS, PART_TOKENS = 1_000_000, 8_000_000
+#: Texts that are read at once.
+GROUP = 500
 
 _INPUTS, _KINDS, _CELLS = TABLES + 1, 2 * DEEP, 33
 _GATES = _KINDS * 12
@@ -429,21 +431,57 @@ def _first_row(half: int) -> int:
     return (2 * TaskContext.get().partitionId() + half) << 40
 
 
-def learn_and_score(docs: DataFrame, book: Codebook, logs: np.ndarray) -> DataFrame:
-    """Scores of training texts, and the states learned from them. ``docs``: (doc_id, text).
-
-    Every partition reads its texts in order: each step is predicted from what has been learned so
-    far, which gives its scores, and then learned from. Rows with a ``block`` hold the partition's
-    state at its end, some 5 MB whatever its texts.
+def _groups(batches: Iterator[pa.RecordBatch], size: int = GROUP) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(part, rows): up to ``size`` neighbouring rows of a part (the third column), whatever batches they come in."""
+    held, n, at = [], 0, None
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        parts = batch.column(2).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b and at is not None and parts[a] != at and held:
+                yield at, whole()
+                held, n = [], 0
+            while a < b:
+                at, take = parts[a], min(b - a, size - n)
+                held.append(batch.slice(a, take))
+                a, n = a + take, n + take
+                if n == size:
+                    yield at, whole()
+                    held, n = [], 0
+    if held:
+        yield at, whole()
+
+
+def learn_and_score(docs: DataFrame, book: Codebook, logs: np.ndarray, first: Mixer | None = None) -> DataFrame:
+    """Scores of training texts, and the states learned from them. ``docs``: (doc_id, text, part), the parts sorted and whole.
+
+    Every part reads its texts in order, from the ``first`` state on: each step is predicted from what
+    has been learned so far, which gives its scores, and then learned from. Rows with a ``block`` hold
+    a part's state at its end, some 5 MB whatever its texts, and the part as ``row``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((book.parts(), logs))  # CODED words at most
+    shared = docs.sparkSession.sparkContext.broadcast((book.parts(), logs, first and vars(first)))  # CODED words at most, and a state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, logs = shared.value
-        state, book, row = Mixer(), Codebook.of_parts(parts), _first_row(0)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        parts, logs, begun = shared.value
+        state, at, book, row = None, None, Codebook.of_parts(parts), _first_row(0)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            for held in _packed(state):
+                columns = [pa.nulls(1, t) for t in types]
+                columns[1] = pa.array([at], pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, *held.columns], names=[*_NAMES, "block", "data"])
+
+        for part, batch in _groups(batches):
+            if state is None or part != at:
+                if state is not None:
+                    yield from ended()
+                state, at = Mixer(), int(part)
+                if begun:
+                    vars(state).update({k: v.copy() for k, v in begun.items()})
             line = Line.of([tokens(t.as_py()) for t in batch.column(1)], book)
             known = Contexts(line, book)
             lp = book.words.rest.take(book.symbol.take(line.leaf))
@@ -454,8 +492,8 @@ def learn_and_score(docs: DataFrame, book: Codebook, logs: np.ndarray) -> DataFr
             row += batch.num_rows
             empty = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
             yield pa.RecordBatch.from_arrays([*out.columns, *empty], names=[*_NAMES, "block", "data"])
-        for held in _packed(state):
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), *held.columns], names=[*_NAMES, "block", "data"])
+        if state is not None:
+            yield from ended()
 
     kind = docs.schema["doc_id"].dataType
     schema = _ROW.format(kind.simpleString())
@@ -464,8 +502,12 @@ def learn_and_score(docs: DataFrame, book: Codebook, logs: np.ndarray) -> DataFr
     return docs.mapInArrow(run, f"{schema}, block int, data binary")
 
 
-def merged(states: DataFrame) -> Mixer:
-    """One state of many, (block, data): counts and what came true add up, weights are averaged by the decisions that they learned from."""
+def merged(states: DataFrame, first: Mixer | None = None) -> Mixer:
+    """One state of many, (block, data, row): counts and what came true add up, weights are averaged by the decisions that they learned from.
+
+    ``first``: the state that all of them began from, which so counts once. Sums run in the order of
+    parts, so they are the same in every layout.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by block: one block's sum is held at a time."""
@@ -483,17 +525,26 @@ def merged(states: DataFrame) -> Mixer:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "data"])
 
     with dropped_shuffles(states.sparkSession):
-        got = states.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, data binary").toArrow()
+        many = states.select("row").distinct().count()
+        got = states.repartition("block").sortWithinPartitions("block", "row").select("block", "data").mapInArrow(add, "block int, data binary").toArrow()
+    if not many:
+        return first or Mixer()
     out = Mixer()
     sizes = [out.counts.size, out.weights.size, out.behind.size, out.cells.size]
     line = np.zeros(sum(sizes))
     for block, data in zip(got.column(0).to_pylist(), got.column(1), strict=True):
         line[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(data.as_py())
     counts, weights, behind, cells = np.split(line, np.cumsum(sizes)[:-1])
-    out.counts = np.minimum(counts, (1 << 31) - 1).astype(np.int32).reshape(out.counts.shape)
+    counts = counts.reshape(out.counts.shape)
+    if first is not None:
+        counts = counts - (many - 1) * first.counts.astype(np.float64)
+    out.counts = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
     learned = behind > 0
     out.weights[:, learned] = (weights.reshape(out.weights.shape)[:, learned] / behind[learned]).astype(np.float32)
     out.behind, out.cells = behind, cells.astype(np.float32).reshape(out.cells.shape)
+    if first is not None:
+        out.cells -= np.float32(many - 1) * first.cells
+        out.behind = out.behind - (many - 1) * first.behind
     return out
 
 
@@ -557,15 +608,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``bits_per_byte``.
 
     ``score`` is the log10 probability of the text's tokens, its end being one, under a model that
-    learned from training documents alone. Those are predicted before they are learned from, each by
-    what its part of the corpus taught so far, so the first texts of a part score a little worse; held-out
-    ones by the merged state of all parts. Within a text the words so far get a growing share of the
+    learned from training documents alone. Those are predicted before they are learned from: some
+    million tokens first, then parts of some eight million, each going on from the state that those
+    left; held-out ones by the merged state of all parts. Parts are made by hashes of ids and texts, so
+    scores do not hang on files, partitions or cores. Within a text the words so far get a growing share of the
     next word's probability. Passages that follow the same three words in other training documents
     get a share as well, so a text that the corpus holds twice scores far better than one that it
     holds once.
 
     Null and empty texts are their end alone. Without any training document, words are spelled by
-    bytes of equal chance. Very long texts are read in steps of 3000 tokens and keep their contexts
+    bytes of equal chance. Very long texts are read in steps of 4000 tokens and keep their contexts
     across them. Repeated rows count as often as they stand and each get their row; a document that
     stands twice is a copy of itself. Ids may be of any type, and null; an empty table gives no rows.
     Other columns are not read.
@@ -582,10 +634,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         book = Codebook(coded, counts, n - sum(counts))
         below = n + 0.1 * (v + 1)
         logs = np.log10([*((np.array(counts) + 0.1) / below), 1.0])
-        parts = max(2 * spark.sparkContext.defaultParallelism, n // TASK_TOKENS)  # few, as each reads the code and gives a state
-        passed = keep(learn_and_score(training.coalesce(parts), book, logs), "lm-pass")
-        state = merged(passed.filter("block is not null").select("block", "data"))
-        apart = keep(score_texts(source.filter("held_out").select("doc_id", "text").coalesce(parts), book, state, logs), "lm-apart")
+        # Parts hang on ids, texts and the corpus's size alone, so scores do not change with cores or files.
+        parts, some = max(1, n // PART_TOKENS), max(2, n // FIRST_TOKENS)
+        key = F.xxhash64("doc_id", "text")
+        placed = training.withColumn("key", key).withColumn("part", F.when(F.pmod("key", F.lit(some)) == 0, -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(parts))).cast("long"))
+        inside = ["part", "key", "doc_id", "text"]
+        begun = placed.filter("part = -1").repartition(1, "part").sortWithinPartitions(*inside).select("doc_id", "text", "part")  # FIRST_TOKENS, about
+        opened = keep(learn_and_score(begun, book, logs), "lm-first")
+        first = merged(opened.filter("block is not null").select("block", "data", "row"))
+        others_ = placed.filter("part >= 0").repartition(parts, "part").sortWithinPartitions(*inside).select("doc_id", "text", "part")
+        passed = keep(learn_and_score(others_, book, logs, first), "lm-pass")
+        state = merged(passed.filter("block is not null").select("block", "data", "row"), first)
+        apart = keep(score_texts(source.filter("held_out").select("doc_id", "text"), book, state, logs), "lm-apart")
+        passed = passed.unionByName(opened.withColumn("row", F.col("row") + F.lit(1 << 61)))
         rows = passed.filter("block is null").select(F.lit(False).alias("held_out"), *_NAMES).union(apart.select(F.lit(True), *_NAMES))
         # A spelled word is too rare to be a hot key.
         counted = words.filter((F.col("c") <= (counts[-1] if counts else 1))).select(F.xxhash64("word").alias("word"), "c")  # the others have a code

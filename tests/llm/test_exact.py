@@ -333,17 +333,41 @@ def test_lm_states_add_up(spark):
     """Texts in several partitions are counted as in one, and packing loses nothing."""
     texts = [(prose(random.Random(i), 60),) for i in range(20)]
     book, _ = lm_model([t for t, in texts])
-    passes = [lm.learn_and_score(spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts)], "doc_id int, text string").repartition(k), book, np.zeros(41)).cache() for k in (1, 5)]
-    one, many = (lm.merged(p.filter("block is not null").select("block", "data")) for p in passes)
+    passes = [lm.learn_and_score(spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts)], "doc_id int, text string").repartition(k).withColumn("part", F.spark_partition_id().cast("long")), book, np.zeros(41)).cache() for k in (1, 5)]
+    one, many = (lm.merged(p.filter("block is not null").select("block", "data", "row")) for p in passes)
     assert all(p.filter("block is null").count() == len(texts) for p in passes)
     assert (one.counts == many.counts).all() and one.behind.sum() == many.behind.sum() and one.cells[0].sum() == many.cells[0].sum()
     assert np.abs(one.weights - many.weights).max() < 0.5
 
 
 def test_lm_beats_base_on_held_out(spark):
-    rows = [(i, prose(random.Random(i), 200), "s", 1) for i in range(150)]
+    """Words that follow each other by rules: held-out documents that have no copy score above the base, nine in ten at least."""
+    rng = random.Random(5)
+    follow = {w: rng.sample(WORDS, 3) for w in WORDS}
+    rows = []
+    for i in range(400):
+        words = [rng.choice(WORDS)]
+        while len(words) < 150:
+            words.append(rng.choice(follow[words[-1]]))
+        rows.append((i, " ".join(words), "s", 1))
     got = [r for r in lm.score_documents(spark.createDataFrame(rows, DDL)).collect() if r.held_out]
-    assert sum(r.score for r in got) > 1.02 * sum(r.base_score for r in got)
+    assert np.mean([r.score > r.base_score for r in got]) >= 0.9 and sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
+
+
+def test_lm_scores_do_not_hang_on_the_layout(spark, docs, monkeypatch):
+    """Other partitions, batches and shuffles give the same scores, over several parts as well."""
+    monkeypatch.setattr(lm, "PART_TOKENS", 2_000)
+    monkeypatch.setattr(lm, "FIRST_TOKENS", 900)
+    score = lambda d: sorted((r.doc_id is None, r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm.score_documents(d).collect())
+    one = score(docs.coalesce(1))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        other = score(docs.repartition(6))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    assert [x[1:] for x in one] == [x[1:] for x in other]
 
 
 def test_mixing(spark, docs, empty):
