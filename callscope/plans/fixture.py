@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,24 @@ class Fixture:
 def golden(columns: str, rows: list[tuple]) -> str:
     """SQL that states the expected rows."""
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") t({columns})"
+
+
+_TABLES = re.compile(r"\b(?:FROM|JOIN) (customer|orders|lineitem|nation|region|supplier|part|events|pages|documents)\b")
+
+
+@dataclass(frozen=True)
+class Made:
+    """A relation made of whole tables, by a select that both engines read alike; operators and their SQL start from it."""
+
+    name: str
+    select: str
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = sorted(set(_TABLES.findall(self.select)))
+        text = _TABLES.sub(lambda m: m[0].replace(m[1], "{" + m[1] + "}"), self.select.replace("{", "{{").replace("}", "}}"))
+        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+    @property
+    def sql(self) -> str:
+        """For a WITH list."""
+        return f"{self.name} AS ({self.select})"

@@ -31,4 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Each module registers its queries.
-from callscope.plans import agents, bodies, callrows, calls, documents, flows, more, pages, protocols, reports, scripts, texts, trees  # noqa: E402, F401
+from callscope.plans import agents, bodies, callrows, calls, documents, flows, more, pages, protocols, reports, scripts, texts, trees, whole  # noqa: E402, F401
