@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions import hosts
-from callscope.operators import callrows, javascript, joins, requests
+from callscope.operators import callrows, examples, javascript, joins, requests
 from callscope.plans.fixture import Made
 from callscope.plans.registry import query
 
@@ -294,3 +294,18 @@ def low09_scripts_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('import axios from "axios";\nfetch("'), "url", F.lit('");\n'), post, F.lit('const BASE = "https://api.acme.io";\nfetch(`${BASE}/v1/'), F.col("page_id").cast("string"), F.lit('`, { method: "PUT" });\n')
     )
     return javascript.javascript_calls(made.select("path", body.alias("body"))).select("path", "line", "client", "method", "url")
+
+
+EXAMPLE_KEYS = Made(
+    "example_keys",
+    "SELECT 's' || o_orderkey AS seed, CASE o_orderkey % 9 WHEN 0 THEN 'currency' WHEN 1 THEN 'apiKey' WHEN 2 THEN 'model' WHEN 3 THEN 'country_code' WHEN 4 THEN 'status' WHEN 5 THEN 'access_token' WHEN 6 THEN 'active' WHEN 7 THEN 'zzz' ELSE 'cardNumber' END AS key, CASE WHEN o_orderkey % 9 = 6 THEN 'boolean' WHEN o_custkey % 5 = 0 THEN 'number' ELSE 'string' END AS kind FROM orders",
+)
+
+
+@query(
+    "fn20_names_of_orders",
+    f"WITH {EXAMPLE_KEYS.sql} SELECT seed, key, kind, CASE WHEN kind = 'string' THEN CASE key WHEN 'currency' THEN 'usd' WHEN 'apiKey' THEN '<apiKey>' WHEN 'model' THEN 'gpt-4o' WHEN 'country_code' THEN 'US' WHEN 'status' THEN 'active' WHEN 'access_token' THEN '<access_token>' WHEN 'cardNumber' THEN '4242424242424242' END END AS value FROM example_keys",
+)
+def fn20_names_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that settle a value without a draw."""
+    return examples.named_values(EXAMPLE_KEYS.df(spark, sf_dir))

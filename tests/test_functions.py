@@ -207,14 +207,29 @@ def test_yaml_round_trip(value):
     assert [(k, v, kind) for k, v, kind, _ in documents.yaml_documents("\n".join(lines(whole, "")))[0]] == expected
 
 
-def test_example_values_by_name():
-    """Drawn values have the form that the rule says, the same in every run."""
-    forms = {"email": r"[a-z]+\.[a-z]+@example\.com", "userId": r"[a-z0-9]{8}", "created_at": r"202[45]-\d\d-\d\dT\d\d:\d\d:\d\dZ", "uuid": r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}", "color": r"#[0-9a-f]{6}", "title": r"[A-Z][a-z]+ [A-Z][a-z]+", "slug": r"[a-z]+-[a-z]+", "sort": "asc|desc", "coupon": "[A-Z0-9]{6}"}
+def test_example_values_by_name(spark):
+    """Drawn values have the form that the rule says, the same in every run and layout."""
+    forms = {
+        "email": r"[a-z]+\.[a-z]+@example\.com", "userId": r"[a-z0-9]{8}", "created_at": r"202[456]-\d\d-\d\dT\d\d:\d\d:\d\dZ", "uuid": r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}",
+        "color": r"#[0-9a-f]{6}", "title": r"[A-Z][a-z]+ [A-Z][a-z]+", "slug": r"[a-z]+-[a-z]+", "sort": "asc|desc", "coupon": "[A-Z0-9]{6}", "iban": r"DE89\d{18}", "phone": r"\+1415555\d{4}", "note": r"[A-Z][a-z]+( [a-z]+){5}\.",
+    }
+    keys = spark.createDataFrame([(s, k, "string") for k in forms for s in ("a", "b", "")] + [(str(i), "limit", "number") for i in range(50)] + [("s", "apiKey", "string"), ("s", "x", "boolean"), ("s", "title", "number")], "seed string, key string, kind string")
+    got = {(r.seed, r.key, r.kind): r.value for r in examples.named_values(keys).collect()}
     for key, form in forms.items():
-        for seed in ("a", "b", ""):
-            value = examples.by_name(key, "string", examples.Draw(seed))
-            assert re.fullmatch(form, value) and value == examples.by_name(key, "string", examples.Draw(seed))
-    assert all(10 <= examples.by_name("limit", "number", examples.Draw(str(i))) <= 100 for i in range(50))
+        assert all(re.fullmatch(form, got[s, key, "string"]) for s in ("a", "b", ""))
+    assert len({got[s, "userId", "string"] for s in ("a", "b", "")}) == 3
+    limits = [int(got[str(i), "limit", "number"]) for i in range(50)]
+    assert all(10 <= x <= 100 for x in limits) and len(set(limits)) > 10
+    assert got["s", "apiKey", "string"] == "<apiKey>" and got["s", "x", "boolean"] is None and got["s", "title", "number"] is None
+    assert {(r.seed, r.key, r.kind): r.value for r in examples.named_values(keys.repartition(7)).collect()} == got
+
+
+def test_example_bodies(spark):
+    fields = spark.createDataFrame([("c", "email", "string", True), ("c", "n", "integer", True), ("c", "it's \"q\"", "string", False), ("c", "on", "boolean", False), ("d", "x", "string", False)], "call string, path string, kind string, required boolean")
+    got = {r.call: (json.loads(r.minimal), json.loads(r.full)) for r in examples.bodies(fields).collect()}
+    minimal, full = got["c"]
+    assert set(minimal) == {"email", "n"} and set(full) == {"email", "n", 'it\'s "q"', "on"} and full["on"] is True and 1 <= full["n"] <= 100 and minimal["email"] == full["email"]
+    assert got["d"][0] == {} and set(got["d"][1]) == {"x"}
 
 
 def test_arriving_files_run_the_batch_plan(spark, tmp_path):
