@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.operators import joins, requests
+from callscope.operators import facts, joins, requests
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
 
@@ -200,7 +200,4 @@ MODELS = Fixture("models", "call bigint, ord int, value string, origin string, d
 @query("agg10_model_fact", golden("call, model_values, source, dynamic", [(1, "gpt-4o,gpt-4o-mini", "literal", False), (2, "", "param", True), (3, "claude-3", "env", False)]))
 def agg10_model_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct model names in first-seen order; a literal source beats others."""
-    rows = MODELS.df(spark).groupBy("call").agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("ord", "value")))).alias("v"), F.min_by("origin", F.struct(F.col("origin") != "literal", "ord")).alias("source"), F.bool_or("dynamic").alias("dynamic"))
-    return rows.select("call", F.array_join(F.array_distinct(F.transform("v", lambda x: x["value"])), ",").alias("model_values"), "source", "dynamic")
-
-
+    return facts.model_facts(MODELS.df(spark)).select("call", F.array_join("values", ",").alias("model_values"), "source", "dynamic")

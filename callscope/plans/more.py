@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import text
-from callscope.operators import detect, examples, frontend
+from callscope.operators import detect, examples, facts, frontend, shapes
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
 from callscope.sources import config
@@ -102,10 +102,8 @@ SHAPES = Fixture("shapes", "call bigint, branch int, path string, kind string",
 @query("res20_union_shapes", golden("call, path, kinds, required", [(1, "$.a", "number|string", True), (1, "$.b", "string", False), (1, "$.c.d", "string", False), (2, "$.a", "string", True)]))
 def res20_union_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of a body's alternatives: kinds of each path, required where every branch has it."""
-    rows = SHAPES.df(spark)
-    branches = rows.groupBy("call").agg(F.count_distinct("branch").alias("n"))
-    paths = rows.groupBy("call", "path").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"), F.count_distinct("branch").alias("k"))
-    return paths.join(branches, "call").select("call", "path", "kinds", (F.col("k") == F.col("n")).alias("required"))
+    rows = SHAPES.df(spark).withColumnRenamed("branch", "alt").withColumn("value", F.lit(None).cast("string"))
+    return shapes.union(rows, "call").select("call", "path", F.array_join("kinds", "|").alias("kinds"), "required")
 
 
 XML = Fixture("xml", "id bigint, body string", [(1, "<a><b>1</b><c/></a>"), (2, "<!DOCTYPE html><html/>"), (3, "plain"), (4, "<svg></svg>"), (5, " <ns:Order id='1'/>")])
@@ -114,8 +112,7 @@ XML = Fixture("xml", "id bigint, body string", [(1, "<a><b>1</b><c/></a>"), (2,
 @query("res23_xml_root", golden("id, root", [(1, "a"), (5, "ns:Order")]))
 def res23_xml_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root element of XML bodies; HTML and SVG are none."""
-    root = F.regexp_extract("body", r"^\s*(?:<\?xml[^>]*\?>\s*)?<([A-Za-z_][\w.:-]*)", 1)
-    return XML.df(spark).select("id", root.alias("root")).filter(~F.lower("root").isin("", "html", "svg"))
+    return XML.df(spark).select("id", facts.xml_root(F.col("body")).alias("root")).filter("root is not null")
 
 
 TABLE = Fixture("tbl", "call bigint, key string, ord int, name string, host string", [(1, None, 0, "openai", "api.openai.com"), (1, None, 1, "groq", "api.groq.com"), (2, "groq", 0, "openai", "api.openai.com"), (2, "groq", 1, "groq", "api.groq.com")])
@@ -124,7 +121,8 @@ TABLE = Fixture("tbl", "call bigint, key string, ord int, name string, host stri
 @query("res26_table_read", golden("call, host", [(1, "api.openai.com"), (1, "api.groq.com"), (2, "api.groq.com")]))
 def res26_table_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read with a known key takes its entry, one with an unknown key all of them."""
-    return TABLE.df(spark).filter("key is null or key = name").select("call", "host")
+    rows = TABLE.df(spark).withColumn("table", F.col("call"))
+    return facts.table_reads(rows.select("call", "table", "key").distinct(), rows.select("table", "name", "host"))
 
 
 POINTS = Fixture("points", "id bigint, type string, qualifier string", [(1, "Api", None), (2, "Api", "b"), (3, "Db", None), (4, "No", None)])
@@ -133,9 +131,8 @@ PROVIDED = Fixture("provided", "type string, qualifier string, value string", [(
 
 @query("res30_injection", golden("id, value", [(2, "https://b.io"), (3, "https://d.io")]))
 def res30_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An injection point's value where exactly one provider fits its type and qualifier."""
-    met = POINTS.df(spark).withColumnRenamed("qualifier", "q").join(PROVIDED.df(spark), "type").filter("q is null or q = qualifier")
-    return met.groupBy("id").agg(F.min("value").alias("value"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    """The one value provided for a type, or for a type under a qualifier; several leave a point open."""
+    return facts.injected(POINTS.df(spark), PROVIDED.df(spark))
 
 
 SDK_CALLS = Fixture("sdk_calls", "call bigint, root string, segs string", [(1, "stripe", "customers.create"), (2, "stripe", "customers.x.list"), (3, "stripe", "charges.capture"), (4, "axios", "get"), (5, "stripe", "v2.core.events.list")])
@@ -147,7 +144,7 @@ FOUND = Fixture("cands", "call bigint, detector int, client string", [(1, 2, "ax
 
 @query("det03_first_detector", f"WITH {FOUND.sql} SELECT call, arg_min(client, detector) AS client FROM cands GROUP BY call")
 def det03_first_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FOUND.df(spark).groupBy("call").agg(F.min_by("client", "detector").alias("client"))
+    return facts.first_detector(FOUND.df(spark))
 
 
 CLIENTS = Fixture("clients", "repo string, client string, endpoint string", [("a", "apollo", "https://a.io/graphql"), ("a", "apollo", "https://a.io/graphql"), ("b", "apollo", "https://x.io"), ("b", "urql", "https://y.io")])
@@ -188,8 +185,7 @@ OPS = Fixture("ops", "call bigint, rpc string, graphql string, soap string, acti
 @query("opn01_dispatch", f"WITH {OPS.sql} SELECT call, coalesce(rpc, graphql, soap, action) AS name, CASE WHEN rpc IS NOT NULL THEN 'json-rpc' WHEN graphql IS NOT NULL THEN 'graphql' WHEN soap IS NOT NULL THEN 'soap' ELSE 'action' END AS protocol FROM ops WHERE NOT sdk AND coalesce(rpc, graphql, soap, action) IS NOT NULL")
 def opn01_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first protocol that names an operation; SDK calls have their own."""
-    protocol = F.when(F.col("rpc").isNotNull(), "json-rpc").when(F.col("graphql").isNotNull(), "graphql").when(F.col("soap").isNotNull(), "soap").otherwise("action")
-    return OPS.df(spark).filter("not sdk").select("call", F.coalesce("rpc", "graphql", "soap", "action").alias("name"), protocol.alias("protocol")).filter("name is not null")
+    return facts.dispatch(OPS.df(spark))
 
 
 NAMES = Fixture("shp", "call bigint, ord int, value string, kind string", [(1, 0, "getSlot", "enum"), (1, 1, "getBalance", "enum"), (2, 0, "get{kind}Info", "template"), (3, 0, None, "dynamic")])

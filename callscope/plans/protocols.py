@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import fixed, text, urls
-from callscope.operators import frontend, operations
+from callscope.operators import facts, frontend, operations
 from callscope.plans.calls import line_order
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
@@ -190,7 +190,7 @@ METHODS = Fixture("md", "id bigint, implied string, said string", [(1, "GET", "p
 
 @query("res14_method", f"WITH {METHODS.sql} SELECT id, coalesce(implied, CASE WHEN said NOT LIKE '%{{%' THEN upper(said) END, 'DYNAMIC') AS method FROM md")
 def res14_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return METHODS.df(spark).select("id", F.coalesce("implied", F.when(~F.col("said").contains("{"), F.upper("said")), F.lit("DYNAMIC")).alias("method"))
+    return METHODS.df(spark).select("id", facts.method(F.col("implied"), F.col("said")).alias("method"))
 
 
 PARTS = Fixture("pt", "id bigint, ord int, kind string, text string", [(1, 0, "static", "https://a.io/"), (1, 1, "dynamic", "id"), (2, 0, "env", "BASE"), (2, 1, "static", "/x"), (3, 0, "static", "a"), (3, 1, "static", "b")])
@@ -206,12 +206,7 @@ BRANCHES = Fixture("br", "id bigint, a string, b string", [(1, "https://a.io", "
 
 @query("res07_pick_branch", golden("id, picked", [(1, "https://a.io"), (2, "https://b.io/q"), (3, "{env:BASE}/p"), (4, None)]))
 def res07_pick_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both static: the first; else the one with a written host; else the one led by a base; else none."""
-    a, b = F.col("a"), F.col("b")
-    host = lambda c: c.rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^{/]+")
-    base = lambda c: c.rlike(r"^\{env:")
-    picked = F.when(~a.contains("{") & ~b.contains("{"), a).when(host(a), a).when(host(b), b).when(base(a), a).when(base(b), b)
-    return BRANCHES.df(spark).select("id", picked.alias("picked"))
+    return BRANCHES.df(spark).select("id", facts.pick_branch(F.col("a"), F.col("b")).alias("picked"))
 
 
 FORM = Fixture("fm", "id bigint, body string", [(1, "a=1&b={x}&c"), (2, "=2&d=4=5"), (3, "")])
@@ -219,9 +214,7 @@ FORM = Fixture("fm", "id bigint, body string", [(1, "a=1&b={x}&c"), (2, "=2&d=4=
 
 @query("res22_form_string", golden("id, keys, static", [(1, "a,b,c", "a=1"), (2, "d", "d=4=5"), (3, "", "")]))
 def res22_form_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.filter(F.split("body", "&"), lambda p: (p != "") & ~p.startswith("="))
-    keys = F.array_distinct(F.transform(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1))))
-    return FORM.df(spark).select("id", F.array_join(keys, ",").alias("keys"), F.array_join(F.filter(pairs, lambda p: p.contains("=") & ~p.contains("{")), ",").alias("static"))
+    return FORM.df(spark).select("id", F.array_join(facts.form_keys(F.col("body")), ",").alias("keys"), F.array_join(facts.form_static(F.col("body")), ",").alias("static"))
 
 
 @query("res21_json_props", "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AS is_integer FROM events")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import fixed, text
+from callscope.operators import facts
 from callscope.plans.fixture import Fixture, golden
 from callscope.plans.registry import query
 from callscope.sources import config
@@ -190,9 +191,7 @@ FILLS = Fixture("fills", "path string, ks string, vs string", [("/v1/{a}/x/{b}",
 
 @query("fn24_fill_template", golden("path, filled", [("/v1/{a}/x/{b}", "/v1/1/x/two"), ("/v1/{a}", "/v1/{a}"), ("/p", "/p")]))
 def fn24_fill_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.arrays_zip(F.split("ks", ",").alias("k"), F.split("vs", ",").alias("v"))
-    filled = F.aggregate(pairs, F.col("path"), lambda p, e: F.replace(p, F.concat(F.lit("{"), e["k"], F.lit("}")), e["v"]))
-    return FILLS.df(spark).select("path", filled.alias("filled"))
+    return FILLS.df(spark).select("path", facts.fill_template(F.col("path"), F.split("ks", ","), F.split("vs", ",")).alias("filled"))
 
 
 ROLES = Fixture("roles", "id bigint, k string, siblings array<string>", [(1, "homepage", None), (2, "url", ["name"]), (3, "url", ["method", "name"]), (4, "url", None), (5, "redirect-uri", []), (6, '"docsUrl"', []), (7, "endpoint", [])])

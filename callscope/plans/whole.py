@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.functions import hosts
-from callscope.operators import callrows, examples, javascript, joins, requests
+from callscope.functions import hosts, text, urls
+from callscope.operators import callrows, detect, examples, facts, javascript, joins, operations, requests, shapes
 from callscope.plans.fixture import Made
 from callscope.plans.registry import query
 
@@ -309,3 +309,170 @@ EXAMPLE_KEYS = Made(
 def fn20_names_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that settle a value without a draw."""
     return examples.named_values(EXAMPLE_KEYS.df(spark, sf_dir))
+
+
+SAID = Made("said_methods", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'GET' END AS implied, CASE o_orderkey % 4 WHEN 0 THEN 'post' WHEN 1 THEN '{method}' WHEN 2 THEN o_orderpriority END AS said FROM orders")
+
+
+@query("res14_methods_of_orders", f"WITH {SAID.sql} SELECT id, coalesce(implied, CASE WHEN said NOT LIKE '%{{%' THEN upper(said) END, 'DYNAMIC') AS method FROM said_methods")
+def res14_methods_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SAID.df(spark, sf_dir).select("id", facts.method(F.col("implied"), F.col("said")).alias("method"))
+
+
+PARTS = Made("made_parts", "SELECT l_orderkey AS id, l_partkey * 100000 + l_suppkey AS ord, min(CASE l_linenumber % 3 WHEN 0 THEN 'static' WHEN 1 THEN 'env' ELSE CASE WHEN l_orderkey % 5 = 0 THEN 'static' ELSE 'dynamic' END END) AS kind, 't' || l_partkey AS text FROM lineitem GROUP BY 1, 2, 4")
+
+
+@query("res08_templates_of_lines", f"WITH {PARTS.sql} SELECT id, string_agg(CASE kind WHEN 'static' THEN text WHEN 'env' THEN '{{env:' || text || '}}' ELSE '{{' || text || '}}' END, '' ORDER BY ord) AS template, CASE WHEN bool_and(kind = 'static') THEN string_agg(text, '' ORDER BY ord) END AS static FROM made_parts GROUP BY id")
+def res08_templates_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operations.templates(PARTS.df(spark, sf_dir))
+
+
+BRANCHES = Made(
+    "made_branches",
+    "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'https://a.io/' || o_custkey WHEN 1 THEN '{x}/p' WHEN 2 THEN '{env:BASE}/p' WHEN 3 THEN '{a}' ELSE 'https://{h}/x' END AS a, CASE o_custkey % 4 WHEN 0 THEN 'https://b.io/' || o_orderkey WHEN 1 THEN '/q' WHEN 2 THEN '{env:B}/q' ELSE '{b}' END AS b FROM orders",
+)
+
+
+@query(
+    "res07_branches_of_orders",
+    f"WITH {BRANCHES.sql} SELECT id, CASE WHEN NOT contains(a, '{{') AND NOT contains(b, '{{') THEN a WHEN regexp_matches(a, '^[a-z]+://[^{{/]') THEN a WHEN regexp_matches(b, '^[a-z]+://[^{{/]') THEN b WHEN starts_with(a, '{{env:') THEN a WHEN starts_with(b, '{{env:') THEN b END AS picked FROM made_branches",
+)
+def res07_branches_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BRANCHES.df(spark, sf_dir).select("id", facts.pick_branch(F.col("a"), F.col("b")).alias("picked"))
+
+
+FORMS = Made("made_forms", "SELECT event_id AS id, 'a=' || event_id || '&' || event_type || '={x}&=lost&b' || (event_id % 3) || '&a=2&' || event_type || '=4=5' AS body FROM events")
+
+
+@query(
+    "res22_forms_of_events",
+    f"WITH {FORMS.sql}, p AS (SELECT id, unnest(string_split(body, '&')) AS pair, unnest(range(len(string_split(body, '&')))) AS i FROM made_forms), k AS (SELECT id, split_part(pair, '=', 1) AS name, min(i) AS i FROM p WHERE pair <> '' AND NOT starts_with(pair, '=') GROUP BY 1, 2) "
+    "SELECT k.id, any_value(s.static) AS static, string_agg(name, ',' ORDER BY i) AS keys FROM k JOIN (SELECT id, coalesce(string_agg(pair, ',' ORDER BY i) FILTER (contains(pair, '=') AND NOT contains(pair, '{') AND NOT starts_with(pair, '=')), '') AS static FROM p GROUP BY id) s ON s.id = k.id GROUP BY k.id",
+)
+def res22_forms_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FORMS.df(spark, sf_dir).select("id", F.array_join(facts.form_keys(F.col("body")), ",").alias("keys"), F.array_join(facts.form_static(F.col("body")), ",").alias("static"))
+
+
+READS = Made("made_reads", "SELECT o_orderkey AS call, 't' || (o_custkey % 5) AS table, CASE WHEN o_orderkey % 3 <> 0 THEN 'n' || (o_custkey % 30) END AS key FROM orders")
+ENTRIES = Made("made_entries", "SELECT 't' || n_regionkey AS table, 'n' || n_nationkey AS name, n_name || '.io' AS host FROM nation")
+
+
+@query("res26_tables_of_nations", f"WITH {READS.sql}, {ENTRIES.sql} SELECT call, host FROM made_reads r JOIN made_entries e ON r.table = e.table AND (key IS NULL OR key = name)")
+def res26_tables_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as tables of their nations' hosts, read by orders with a known or an unknown key."""
+    return facts.table_reads(READS.df(spark, sf_dir), ENTRIES.df(spark, sf_dir))
+
+
+POINTS = Made("made_points", "SELECT o_orderkey AS id, 'T' || (o_custkey % 120) AS type, CASE WHEN o_orderkey % 2 = 0 THEN 'q' || (o_orderkey % 7) END AS qualifier FROM orders")
+PROVIDED = Made("made_provided", "SELECT 'T' || (s_suppkey % 70) AS type, 'q' || (s_suppkey % 7) AS qualifier, s_name AS value FROM supplier UNION ALL SELECT 'T' || (n_nationkey + 60), NULL, n_name FROM nation")
+
+
+@query("res30_injection_of_suppliers", f"WITH {POINTS.sql}, {PROVIDED.sql} SELECT id, min(value) AS value FROM made_points p JOIN made_provided v ON p.type = v.type AND (p.qualifier IS NULL OR p.qualifier = v.qualifier) GROUP BY id HAVING count(*) = 1")
+def res30_injection_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.injected(POINTS.df(spark, sf_dir), PROVIDED.df(spark, sf_dir))
+
+
+MODELS = Made(
+    "made_models",
+    "SELECT l_orderkey AS call, l_partkey * 100000 + l_suppkey AS ord, CASE WHEN l_partkey % 5 <> 0 THEN 'm' || (l_suppkey % 4) END AS value, min(CASE l_returnflag WHEN 'A' THEN 'literal' WHEN 'R' THEN 'env' ELSE 'param' END) AS origin, max(l_linestatus) = 'O' AS dynamic FROM lineitem GROUP BY 1, 2, 3",
+)
+
+
+@query(
+    "agg10_models_of_lines",
+    f"WITH {MODELS.sql}, f AS (SELECT call, value, min(ord) AS ord FROM made_models WHERE value IS NOT NULL GROUP BY 1, 2), n AS (SELECT call, string_agg(value, ',' ORDER BY ord) AS names FROM f GROUP BY 1), "
+    "s AS (SELECT call, origin, row_number() OVER (PARTITION BY call ORDER BY origin <> 'literal', ord) AS k, bool_or(dynamic) OVER (PARTITION BY call) AS dynamic FROM made_models) SELECT s.call, coalesce(names, '') AS model_values, origin AS source, dynamic FROM s LEFT JOIN n ON n.call = s.call WHERE k = 1",
+)
+def agg10_models_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.model_facts(MODELS.df(spark, sf_dir)).select("call", F.array_join("values", ",").alias("model_values"), "source", "dynamic")
+
+
+FOUND = Made("made_found", "SELECT DISTINCT l_orderkey AS call, l_suppkey AS detector, 'c' || l_suppkey AS client FROM lineitem")
+
+
+@query("det03_detectors_of_lines", f"WITH {FOUND.sql} SELECT call, arg_min(client, detector) AS client FROM made_found GROUP BY call")
+def det03_detectors_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.first_detector(FOUND.df(spark, sf_dir))
+
+
+CLIENTS = Made("made_clients", "SELECT 'r' || o_custkey AS repo, 'apollo' AS client, 'https://e' || (o_orderkey * o_custkey % 3) || '.io' AS endpoint FROM orders")
+
+
+@query("det09_endpoints_of_orders", f"WITH {CLIENTS.sql} SELECT repo, min(endpoint) AS endpoint FROM made_clients GROUP BY repo HAVING count(DISTINCT endpoint) = 1")
+def det09_endpoints_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.agreed(CLIENTS.df(spark, sf_dir), "repo", "endpoint")
+
+
+OPS = Made("made_ops", "SELECT o_orderkey AS call, CASE WHEN o_orderkey % 2 = 0 THEN 'm' || o_custkey END AS rpc, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS graphql, CASE WHEN o_orderkey % 5 = 0 THEN 's' END AS soap, CASE WHEN o_orderkey % 7 = 0 THEN 'Describe' END AS action, o_custkey % 4 = 0 AS sdk FROM orders")
+
+
+@query("opn01_dispatch_of_orders", f"WITH {OPS.sql} SELECT call, coalesce(rpc, graphql, soap, action) AS name, CASE WHEN rpc IS NOT NULL THEN 'json-rpc' WHEN graphql IS NOT NULL THEN 'graphql' WHEN soap IS NOT NULL THEN 'soap' ELSE 'action' END AS protocol FROM made_ops WHERE NOT sdk AND coalesce(rpc, graphql, soap, action) IS NOT NULL")
+def opn01_dispatch_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.dispatch(OPS.df(spark, sf_dir))
+
+
+PACKAGES = Made("made_packages", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'pypi' WHEN 1 THEN 'crates' WHEN 2 THEN 'go' ELSE 'maven' END AS ecosystem, p_brand || '_.-' || p_type AS name FROM part")
+
+
+@query("fn15_packages_of_parts", f"WITH {PACKAGES.sql} SELECT id, CASE ecosystem WHEN 'pypi' THEN regexp_replace(lower(name), '[-_.]+', '-', 'g') WHEN 'crates' THEN replace(lower(name), '_', '-') WHEN 'go' THEN name ELSE lower(name) END AS normal FROM made_packages")
+def fn15_packages_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PACKAGES.df(spark, sf_dir).select("id", text.normalise_package(F.col("ecosystem"), F.col("name")).alias("normal"))
+
+
+CASED = Made("made_cased", "SELECT p_partkey AS id, lower(p_brand) || p_name || CASE WHEN p_size % 2 = 0 THEN 'URLId' ELSE 'a1B' END AS k FROM part")
+
+
+@query("fn23_keys_of_parts", f"WITH {CASED.sql} SELECT id, lower(regexp_replace(k, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS wire FROM made_cased")
+def fn23_keys_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CASED.df(spark, sf_dir).select("id", text.snake_case(F.col("k")).alias("wire"))
+
+
+FILLS = Made("made_fills", "SELECT o_orderkey AS id, '/v1/{a}/x/{b}/{c}' AS path, CASE WHEN o_custkey % 2 = 0 THEN 'a,b' ELSE 'z,c' END AS ks, o_orderkey || ',' || o_orderstatus AS vs FROM orders")
+
+
+@query("fn24_templates_of_orders", f"WITH {FILLS.sql} SELECT id, replace(replace(path, '{{' || split_part(ks, ',', 1) || '}}', split_part(vs, ',', 1)), '{{' || split_part(ks, ',', 2) || '}}', split_part(vs, ',', 2)) AS filled FROM made_fills")
+def fn24_templates_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FILLS.df(spark, sf_dir).select("id", facts.fill_template(F.col("path"), F.split("ks", ","), F.split("vs", ",")).alias("filled"))
+
+
+PATHS = Made("made_paths", "SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '//x//{env:T}/' WHEN 2 THEN regexp_replace(url, '^[A-Za-z]+://', '') || '/' ELSE '' END AS p FROM pages")
+
+
+@query(
+    "res12_paths_of_pages",
+    f"WITH {PATHS.sql}, a AS (SELECT id, regexp_replace(regexp_replace(p, '\\{{env:([^}}]+)\\}}', '{{\\1}}', 'g'), '/+', '/', 'g') AS q FROM made_paths), b AS (SELECT id, CASE WHEN starts_with(q, '/') THEN q ELSE '/' || q END AS q FROM a) "
+    "SELECT id, CASE WHEN length(q) > 1 AND ends_with(q, '/') THEN left(q, length(q) - 1) ELSE q END AS path FROM b",
+)
+def res12_paths_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PATHS.df(spark, sf_dir).select("id", urls.canonical_path(F.col("p")).alias("path"))
+
+
+JOINED = Made("made_joins", "SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN url ELSE url || '/' END AS base, CASE page_id % 5 WHEN 0 THEN 'v1/x' WHEN 1 THEN '/v1' WHEN 2 THEN '?q=1' WHEN 3 THEN 'https://b.io/z' ELSE '' END AS p FROM pages")
+
+
+@query("res10_bases_of_pages", f"WITH {JOINED.sql} SELECT id, CASE WHEN regexp_matches(p, '^[a-z]+://') OR base = '' THEN p WHEN right(base, 1) <> '/' AND left(p, 1) NOT IN ('/', '?', '') THEN base || '/' || p ELSE base || p END AS url FROM made_joins")
+def res10_bases_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return JOINED.df(spark, sf_dir).select("id", urls.join_url(F.col("base"), F.col("p")).alias("url"))
+
+
+HOLED = Made("made_holes", "SELECT c_custkey AS id, '/{a' || c_nationkey || '}/x{env:' || c_mktsegment || '}/{}/}{b' AS template FROM customer")
+
+
+@query("res13_placeholders_of_customers", f"WITH {HOLED.sql} SELECT id, array_to_string(regexp_extract_all(template, '\\{{([^}}]+)\\}}', 1), ',') AS names FROM made_holes")
+def res13_placeholders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HOLED.df(spark, sf_dir).select("id", F.array_join(urls.placeholders(F.col("template")), ",").alias("names"))
+
+
+SHAPED = Made(
+    "made_shapes",
+    "SELECT DISTINCT l_suppkey AS id, l_orderkey AS alt, '$.f' || (l_partkey % 9) AS path, CASE l_linenumber % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 2 THEN 'null' ELSE 'string' END AS kind, CASE WHEN l_linenumber % 4 = 0 THEN l_returnflag END AS value FROM lineitem",
+)
+
+
+@query(
+    "res20_unions_of_lines",
+    f"WITH {SHAPED.sql}, n AS (SELECT id, count(DISTINCT alt) AS n FROM made_shapes GROUP BY id) SELECT s.id, path, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (kind <> 'null'), '') AS kinds, bool_or(kind = 'null') AS nullable, "
+    "CASE WHEN bool_and(value IS NOT NULL OR kind = 'null') THEN string_agg(DISTINCT value, ',' ORDER BY value) END AS enum, count(DISTINCT alt) = any_value(n.n) AS required FROM made_shapes s JOIN n ON s.id = n.id GROUP BY s.id, path",
+)
+def res20_unions_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.union(SHAPED.df(spark, sf_dir)).withColumns({"kinds": F.array_join("kinds", ","), "enum": F.array_join("enum", ",")})
