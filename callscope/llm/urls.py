@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import lower_ascii
+from callscope.llm.common import lower_ascii, named, others
 
 #: The rules of the query: host, path, verdict.
 RULES = [
@@ -39,11 +39,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     host, then ``block``. No rule: ``rule`` is null and ``verdict`` is ``default``.
 
     Rows are never dropped: null and broken URLs have an empty host and path, repeated URLs are
-    judged once and each row gets the result, an empty rule table leaves all at ``default``.
-    Columns of ``pages`` named like the four results are replaced.
+    judged once and each row gets the result, very long URLs are hashed whole at the few lengths that
+    rules have, an empty rule table leaves all at ``default``. Columns of ``pages`` named like the four
+    results are replaced; all others may have any names.
     """
-    host, path = url_parts(F.col(url_col))
-    parted = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
+    host, path = url_parts(named(url_col))
+    kept = others(pages.columns, ("host", "path", "rule", "verdict"))
+    # Under numbers until the end, so that no column's name meets a working one.
+    parted = pages.select(*[named(c).alias(f"_{i}") for i, c in enumerate(kept)], host.alias("host"), path.alias("path"))
     ruled = rules.select(
         F.coalesce(lower_ascii(F.col("host")), F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")
     ).withColumns({"rule": F.concat("r_host", "r_path"), "labels": F.size(F.split("r_host", r"\.")), "chars": F.length("r_path")})
@@ -66,7 +69,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("rule", F.col("r_verdict").alias("verdict")), rank).alias("best"))
     )
-    return parted.join(best, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
+    met = parted.join(best, ["host", "path"], "left")
+    return met.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,11 @@ def test_urls(spark):
     got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(df, urls.rule_table(spark, rules)).collect()]
     assert sorted(got, key=repr) == sorted(((i, *brute(u)) for i, u, _ in pages), key=repr)
     assert urls.judge_urls(df.limit(0), urls.rule_table(spark, rules)).count() == 0
+    odd = df.withColumnsRenamed({"page_id": "best", "url": "a.b"}).withColumns({"HOST": F.lit(1), "short": F.lit(2), "_0": F.lit(3), "r_host": F.lit(4)})
+    again = urls.judge_urls(odd, urls.rule_table(spark, rules), url_col="a.b")
+    assert again.columns == ["best", "a.b", "short", "_0", "r_host", "host", "path", "rule", "verdict"] and sorted(((r.best, r.host, r.path, r.rule, r.verdict) for r in again.collect()), key=repr) == sorted(got, key=repr)
+    long = spark.createDataFrame([(1, "http://a.org/" + "x" * 200_000), (2, "http://" + "a." * 50_000 + "com/de/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge_urls(long, urls.rule_table(spark, rules)).collect()} == {1: "allow", 2: "block"}
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r.verdict for r in urls.judge_urls(df, none).collect()} == {"allow"}
 
