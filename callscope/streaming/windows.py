@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _late(events: DataFrame, delay: str) -> DataFrame:
@@ -33,12 +29,10 @@ def arriving_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
-def first_seen(hosts: DataFrame) -> DataFrame:
-    """(repo, host) the first time a repository names a host. ``hosts``: a stream of (repo, host)."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not state.exists:
-            state.update((True,))
-            yield pd.DataFrame({"repo": [key[0]], "host": [key[1]]})
+def first_seen(hosts: DataFrame, forget: str = "30 days") -> DataFrame:
+    """(repo, host) the first time a repository names a host. ``hosts``: a stream of (repo, host, ts).
 
-    return hosts.groupBy("repo", "host").applyInPandasWithState(update, "repo string, host string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    A pair leaves the state once event time is ``forget`` past the row that brought it, and counts as
+    new when it comes again; so the state holds what was named lately and not all that ever was.
+    """
+    return _late(hosts, forget).dropDuplicatesWithinWatermark(["repo", "host"]).select("repo", "host")

@@ -164,7 +164,8 @@ def test_streams_equal_tables(spark, tmp_path):
 
 
 def test_first_seen_hosts(spark, tmp_path):
-    rows = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "b"), ("q", "a")], "repo string, host string")
+    at = datetime.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("r", "a", at), ("r", "a", at), ("r", "b", at), ("q", "a", at)], "repo string, host string, ts timestamp_ntz")
     rows.write.parquet(str(tmp_path / "in"))
     stream = windows.first_seen(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
@@ -172,6 +173,25 @@ def test_first_seen_hosts(spark, tmp_path):
     assert sorted((r.repo, r.host) for r in spark.table("seen").collect()) == [("q", "a"), ("r", "a"), ("r", "b")]
 
 
+def test_hosts_are_forgotten(spark, tmp_path):
+    """A pair leaves the state when event time has gone on for long, and is new when it comes again."""
+    ddl = "repo string, host string, ts timestamp_ntz"
+    out: list = []
+
+    def run(day, *hosts):
+        at = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day)
+        spark.createDataFrame([("r", h, at) for h in hosts], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = windows.first_seen(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.foreachBatch(lambda df, _: out.append(sorted(r.host for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    run(0, "a", "b", "a")
+    run(20, "b", "c")
+    run(100, "d")
+    run(101, "a", "d")
+    assert [x for x in out if x] == [["a", "b"], ["c"], ["d"], ["a"]]
+
+
 def test_urls_in_text_skip_links(spark):
     df = spark.createDataFrame([("[x](https://a.io/1) <https://b.io> https://c.io/2\nhttp://d.io:80/",)], "t string")
     found = df.select(F.explode(hosts.urls_in(F.col("t"))).alias("u")).select("u.*").collect()
