@@ -638,14 +638,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts, some = max(1, n // PART_TOKENS), max(2, n // FIRST_TOKENS)
         key = F.xxhash64("doc_id", "text")
         placed = training.withColumn("key", key).withColumn("part", F.when(F.pmod("key", F.lit(some)) == 0, -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(parts))).cast("long"))
-        inside = ["part", "key", "doc_id", "text"]
+        inside = ["part", "key"]  # rows of one hash are equal
         begun = placed.filter("part = -1").repartition(1, "part").sortWithinPartitions(*inside).select("doc_id", "text", "part")  # FIRST_TOKENS, about
         opened = keep(learn_and_score(begun, book, logs), "lm-first")
         first = merged(opened.filter("block is not null").select("block", "data", "row"))
         others_ = placed.filter("part >= 0").repartition(parts, "part").sortWithinPartitions(*inside).select("doc_id", "text", "part")
         passed = keep(learn_and_score(others_, book, logs, first), "lm-pass")
         state = merged(passed.filter("block is not null").select("block", "data", "row"), first)
-        apart = keep(score_texts(source.filter("held_out").select("doc_id", "text"), book, state, logs), "lm-apart")
+        few = max(spark.sparkContext.defaultParallelism, parts // 4)  # each task reads the code; where a text is scored does not matter
+        apart = keep(score_texts(source.filter("held_out").select("doc_id", "text").coalesce(few), book, state, logs), "lm-apart")
         passed = passed.unionByName(opened.withColumn("row", F.col("row") + F.lit(1 << 61)))
         rows = passed.filter("block is null").select(F.lit(False).alias("held_out"), *_NAMES).union(apart.select(F.lit(True), *_NAMES))
         # A spelled word is too rare to be a hot key.
