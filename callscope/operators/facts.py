@@ -86,3 +86,62 @@ def xml_root(body: Column) -> Column:
     """Name of the root element of an XML text; null for HTML, SVG and anything else."""
     root = F.regexp_extract(body, r"^\s*(?:<\?xml[^>]*\?>\s*)?<([A-Za-z_][\w.:-]*)", 1)
     return F.when(~F.lower(root).isin("", "html", "svg"), root)
+
+
+# Methods that a SOAP client has itself, whatever its service declares.
+CLIENT_METHODS = [
+    "addBodyAttribute", "addHttpHeader", "addListener", "addSoapHeader", "changeSoapHeader", "clearBodyAttributes", "clearHttpHeaders", "clearSoapHeaders", "describe", "emit",
+    "getBodyAttributes", "getHttpHeaders", "getSoapHeaders", "off", "on", "once", "removeAllListeners", "removeListener", "setEndpoint", "setSOAPAction", "setSecurity",
+]
+
+
+def soap_client_calls(calls: DataFrame, clients: DataFrame, services: DataFrame) -> DataFrame:
+    """(call, operation, declared, url): calls on SOAP clients, joined to what their service's description declares.
+
+    ``calls``: (call, client, chain), the members called through; ``clients``: (client, path, endpoint),
+    the description a client was made from and the address it was given, if any; ``services``: (path,
+    operation, address) as ``config.wsdl`` gives them. An operation is called as ``client.Op``,
+    ``client.OpAsync`` or ``client.Service.Port.Op``; a client's own methods are none. The given address
+    counts before the declared one; without a readable description nothing is declared.
+    """
+    members = F.split("chain", r"\.")
+    last, n = F.element_at(members, -1), F.size(members)
+    op = F.regexp_replace(last, r"(?<=.)Async\z", "")
+    named = ((n == 3) | ((n == 1) & ~last.isin(CLIENT_METHODS))) & op.rlike(r"^[A-Za-z_][\w.-]*\z")
+    made = calls.filter(named).select("call", "client", op.alias("operation")).join(clients, "client")
+    addresses = services.groupBy("path").agg(F.min("address").alias("address"))
+    declared = services.select("path", "operation").distinct().withColumn("declared", F.lit(True))
+    met = made.join(declared, ["path", "operation"], "left").join(addresses, "path", "left")
+    return met.select("call", "operation", F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("endpoint", "address").alias("url"))
+
+
+def model_calls(calls: DataFrame, models: DataFrame, entries: DataFrame) -> DataFrame:
+    """(call, ord, provider, host, path, model): one request for each model that a call of an AI toolkit may pick.
+
+    ``calls``: (call, agent); ``models``: (call, ord, package, member, model), the candidates in order,
+    the package null for a plain string; ``entries``: (package, member, provider, host, path), member ''
+    for all others of a package. A string of an agent goes through a router that picks the provider, any
+    other through the gateway (the entry of package ''); a call whose model cannot be traced is one
+    request to an unknown provider.
+    """
+    keyed = calls.join(models, "call", "left").withColumns({"ord": F.coalesce("ord", F.lit(0)), "traced": F.col("model").isNotNull() | F.col("package").isNotNull()})
+    keyed = keyed.withColumn("key", F.when(F.col("traced"), F.coalesce("package", F.lit(""))))
+    exact = entries.filter("member <> ''").withColumnsRenamed({"package": "key", "provider": "p1", "host": "h1", "path": "u1"})
+    rest = entries.filter("member = ''").select(F.col("package").alias("key"), F.col("provider").alias("p0"), F.col("host").alias("h0"), F.col("path").alias("u0"))
+    met = keyed.join(exact, ["key", "member"], "left").join(rest, "key", "left")
+    router = F.col("agent") & (F.col("key") == "")
+    provider = F.when(router, "llm-router").otherwise(F.coalesce("p1", "p0", F.lit("unknown")))
+    return met.select("call", "ord", provider.alias("provider"), F.when(~F.coalesce(router, F.lit(False)), F.coalesce("h1", "h0")).alias("host"), F.coalesce("u1", "u0", F.lit("/")).alias("path"), "model")
+
+
+def component_calls(elements: DataFrame, components: DataFrame) -> DataFrame:
+    """(element, provider, method, path): requests that components of SDKs send when they are shown.
+
+    ``elements``: (element, package, name, props), where the name was imported from and the literal
+    properties as a map; ``components``: (package, name, provider, method, path). Placeholders of a path
+    are filled by the properties of their name; others stay.
+    """
+    met = elements.join(components, ["package", "name"])
+    names = F.map_keys("props")
+    filled = fill_template(F.col("path"), names, F.map_values("props"))
+    return met.select("element", "provider", "method", filled.alias("path"))

@@ -476,3 +476,53 @@ SHAPED = Made(
 )
 def res20_unions_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.union(SHAPED.df(spark, sf_dir)).withColumns({"kinds": F.array_join("kinds", ","), "enum": F.array_join("enum", ",")})
+
+
+SOAP_CALLS = Made("soap_calls", "SELECT l_orderkey * 1000000000 + l_partkey * 1000 + l_suppkey AS call, 's' || l_suppkey AS client, min(CASE l_linenumber % 4 WHEN 0 THEN 'Op' || (l_partkey % 9) || 'Async' WHEN 1 THEN 'Op' || (l_partkey % 9) WHEN 2 THEN 'Svc.Port.Op' || (l_partkey % 9) ELSE 'setSecurity' END) AS chain FROM lineitem GROUP BY 1, 2")
+SOAP_CLIENTS = Made("soap_clients", "SELECT 's' || s_suppkey AS client, 'n' || s_nationkey || '.wsdl' AS path, CASE WHEN s_suppkey % 3 = 0 THEN 'https://own.io/' || s_suppkey END AS endpoint FROM supplier")
+SERVICES = Made("soap_services", "SELECT 'n' || n_nationkey || '.wsdl' AS path, 'Op' || r_regionkey AS operation, 'https://' || n_nationkey || '.io/svc' AS address FROM nation JOIN region ON n_nationkey % 4 <> r_regionkey")
+
+
+@query(
+    "det26_soap_clients_of_suppliers",
+    f"WITH {SOAP_CALLS.sql}, {SOAP_CLIENTS.sql}, {SERVICES.sql}, o AS (SELECT call, client, regexp_replace(regexp_replace(chain, '^.*[.]', ''), 'Async$', '') AS operation FROM soap_calls WHERE chain <> 'setSecurity') "
+    "SELECT call, operation, EXISTS (SELECT 1 FROM soap_services v WHERE v.path = c.path AND v.operation = o.operation) AS declared, coalesce(endpoint, (SELECT min(address) FROM soap_services v WHERE v.path = c.path)) AS url FROM o JOIN soap_clients c ON c.client = o.client",
+)
+def det26_soap_clients_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines call operations of suppliers' services, which nations describe."""
+    return facts.soap_client_calls(*[m.df(spark, sf_dir) for m in (SOAP_CALLS, SOAP_CLIENTS, SERVICES)])
+
+
+TOOLKIT = Made("toolkit_calls", "SELECT o_orderkey AS call, o_orderkey % 4 = 0 AS agent FROM orders")
+PICKED = Made(
+    "picked_models",
+    "SELECT l_orderkey AS call, l_partkey * 100000 + l_suppkey AS ord, CASE WHEN max(l_suppkey) % 3 <> 0 THEN '@sdk/' || (max(l_suppkey) % 30) END AS package, CASE WHEN max(l_linenumber) % 2 = 0 THEN 'chat' ELSE 'other' END AS member, 'm' || (max(l_partkey) % 20) AS model FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2",
+)
+MODEL_ENTRIES = Made(
+    "model_entries",
+    "SELECT '@sdk/' || n_nationkey AS package, 'chat' AS member, n_name AS provider, n_nationkey || '.io' AS host, '/chat' AS path FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT '@sdk/' || n_nationkey, '', n_name, n_nationkey || '.io', '/v1' FROM nation UNION ALL SELECT '', '', r_name, 'gateway.io', '/v1/ai' FROM region WHERE r_regionkey = 0",
+)
+
+
+@query(
+    "det06_models_of_lines",
+    f"WITH {TOOLKIT.sql}, {PICKED.sql}, {MODEL_ENTRIES.sql}, k AS (SELECT t.call, agent, coalesce(ord, 0) AS ord, CASE WHEN m.call IS NOT NULL THEN coalesce(package, '') END AS key, member, model FROM toolkit_calls t LEFT JOIN picked_models m ON m.call = t.call) "
+    "SELECT call, ord, CASE WHEN agent AND key = '' THEN 'llm-router' ELSE coalesce(x.provider, r.provider, 'unknown') END AS provider, CASE WHEN NOT (agent AND key IS NOT NULL AND key = '') THEN coalesce(x.host, r.host) END AS host, coalesce(x.path, r.path, '/') AS path, model "
+    "FROM k LEFT JOIN model_entries x ON x.package = key AND x.member = k.member AND x.member <> '' LEFT JOIN model_entries r ON r.package = key AND r.member = ''",
+)
+def det06_models_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders call an AI toolkit, their lines are the models it may pick, nations the packages that name them."""
+    return facts.model_calls(*[m.df(spark, sf_dir) for m in (TOOLKIT, PICKED, MODEL_ENTRIES)])
+
+
+SHOWN = Made("shown", "SELECT o_orderkey AS element, '@ui/' || (o_custkey % 30) AS package, CASE o_orderkey % 3 WHEN 0 THEN 'Upload' WHEN 1 THEN 'Map' ELSE 'Button' END AS name, o_orderpriority AS style, CAST(o_custkey AS STRING) AS place FROM orders")
+COMPONENTS = Made("components", "SELECT '@ui/' || n_nationkey AS package, 'Upload' AS name, n_name AS provider, 'POST' AS method, '/up/{style}/{rest}' AS path FROM nation UNION ALL SELECT '@ui/' || n_nationkey, 'Map', n_name, 'GET', '/tiles/{place}' FROM nation WHERE n_regionkey < 3")
+
+
+@query(
+    "det08_components_of_orders",
+    f"WITH {SHOWN.sql}, {COMPONENTS.sql} SELECT element, provider, method, replace(replace(path, '{{style}}', style), '{{place}}', place) AS path FROM shown JOIN components USING (package, name)",
+)
+def det08_components_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.create_map(F.lit("style"), F.col("style"), F.lit("place"), F.col("place"))
+    return facts.component_calls(SHOWN.df(spark, sf_dir).select("element", "package", "name", props.alias("props")), COMPONENTS.df(spark, sf_dir))
