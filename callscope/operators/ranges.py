@@ -1,7 +1,9 @@
-"""Which ranges a place lies in, by equi-joins on dyadic blocks, and what edits inside branches leave of a dict."""
+"""Which ranges a place lies in, by equi-joins on bins as long as the ranges, and what edits inside branches leave of a dict."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,45 +35,72 @@ def blocks(start: Column, end: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(2 * BITS)), F.struct(start.cast("long").alias("at"), none.alias("out")), grow, lambda a: a["out"])
 
 
+#: Ranges of one class are up to 2 to this power times as long as its shortest.
+STEP = 6
+
+
+def _binned(ranges: DataFrame, by: list[str]) -> tuple[DataFrame, list[int]]:
+    """Ranges under the bins that they lie in (``level``, ``bin``), two at most, and the levels in use: a bin of a level is as long as the longest range of its class."""
+    cut = ranges.filter(F.col("start").between(0, F.col("end"))).withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+    bits = F.length(F.bin(F.col("end") - F.col("start")))  # a range is at most 2 to this power long
+    cut = cut.withColumn("level", (F.ceil(bits / STEP) * STEP).cast("int"))
+    levels = sorted(r.level for r in cut.select("level").distinct().collect())  # BITS / STEP + 1 numbers at most
+    first, last = (F.call_function("shiftright", F.col(c), F.col("level")) for c in ("start", "end"))
+    return cut.withColumn("bin", F.explode(F.sequence(first, last))), levels
+
+
+def _asked(points: DataFrame, levels: list[int]) -> DataFrame:
+    """Each point in its one bin of each level."""
+    rows = points.withColumn("level", F.explode(F.array([F.lit(x) for x in levels]).cast("array<int>")) if len(levels) != 1 else F.lit(levels[0]))
+    return rows.withColumn("bin", F.call_function("shiftright", F.col("at").cast("long"), F.col("level")))
+
+
 def stabbed(points: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
     """Each point (``by``, point, at) with each range (``by``, range, start, end) of its group that holds it, ends included.
 
-    A range is cut into aligned blocks, at most two for each power of two, and a point lies in one
-    block of each size that some range uses: the sizes are few, so points meet ranges by equal keys
-    alone. A pair meets once, as the blocks of a range do not overlap. Ranges that end before they
-    start, or begin below 0, hold nothing.
+    Ranges are classed by length. A range lies in two of its class's bins at most and a point in one
+    bin of each class that some range is in, so points meet ranges by equal keys alone, and the lengths
+    64 times apart are few. A pair meets once, as a point has one bin of the range's class. Ranges that
+    end before they start, or begin below 0, hold nothing.
     """
-    cut = ranges.filter(F.col("start").between(0, F.col("end"))).select(*by, "range", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    cut = cut.withColumn("_b", F.explode(blocks(F.col("start"), F.col("end")))).select(*by, "range", "start", "end", "_b.*")
-    levels = sorted(r.level for r in cut.select("level").distinct().collect())  # BITS + 1 numbers at most
-    sizes = F.explode(F.array([F.lit(x) for x in levels]).cast("array<int>"))
-    asked = points.filter("at >= 0").select(*by, "point", F.col("at").cast("long").alias("at"), sizes.alias("level"))
-    asked = asked.withColumn("block", F.call_function("shiftright", F.col("at"), F.col("level")))
-    return asked.join(cut, [*by, "level", "block"]).select(*by, "point", "at", "range", "start", "end")
+    cut, levels = _binned(ranges.select(*by, "range", "start", "end"), by)
+    met = _asked(points.select(*by, "point", F.col("at").cast("long").alias("at")), levels).join(cut, [*by, "level", "bin"])
+    return met.filter(F.col("at").between(F.col("start"), F.col("end"))).select(*by, "point", "at", "range", "start", "end")
+
+
+def _held(points: DataFrame, ranges: DataFrame, by: list[str], merged: dict[str, Column], counted: str) -> DataFrame:
+    """Points, each once, with maxima (``merged``) and the number (``counted``) of the ranges that hold it. Points of one bin are where their ranges are, so with one class of lengths nothing moves after the join."""
+    cut, levels = _binned(ranges, by)
+    cut = cut.withColumns({f"_x_{n}": c for n, c in merged.items()}).select(*by, "level", "bin", "start", "end", *[f"_x_{n}" for n in merged])
+    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in cut.columns])
+    asked = _asked(points, levels or [0])
+    same = [F.col(c) == F.col(f"_{c}") for c in (*by, "level", "bin")]
+    met = asked.join(cut, reduce(lambda x, y: x & y, same) & F.col("at").between(F.col("_start"), F.col("_end")), "left")
+    held = met.groupBy(*points.columns, "level", "bin").agg(*[F.max(f"__x_{n}").alias(n) for n in merged], F.count("_bin").alias(counted))
+    if len(levels) > 1:
+        return held.groupBy(*points.columns).agg(*[F.max(n).alias(n) for n in merged], F.sum(counted).alias(counted))
+    return held.drop("level", "bin")
 
 
 def innermost(points: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Each point with the range that holds it and begins last, the shorter of two and then the lesser, and how many hold it (``depth``); null and 0 where none does."""
-    held = stabbed(points, ranges, by).groupBy(*by, "point").agg(F.max_by("range", F.struct("start", -F.col("end"), "range")).alias("range"), F.count("*").alias("depth"))
-    return points.join(held, [*by, "point"], "left").fillna(0, ["depth"])
+    """Each point with the range that holds it and begins last, the shorter of two and then the lesser, and how many hold it (``depth``); null and 0 where none does. Points are distinct."""
+    met = _held(points, ranges, by, {"_in": F.struct("start", (-F.col("end")).alias("end"), "range")}, "depth")
+    return met.withColumn("range", F.col("_in.range")).drop("_in").select(*points.columns, "range", "depth")
 
 
 def reach_of(edits: DataFrame, branches: DataFrame, uses: DataFrame) -> DataFrame:
     """Add ``reach`` (always, group or maybe), ``group_id``, ``branch`` and ``group_size`` to edits.
 
-    ``edits``: (fn, edit, at); ``branches``: (fn, branch, start, end, group_id, group_size), the group
+    ``edits``: (fn, edit, at), distinct; ``branches``: (fn, branch, start, end, group_id, group_size), the group
     null where a block is not part of an exhaustive chain; ``uses``: (fn, use_at), one row each, where
     the edited value is read. Branches that hold the use as well are open: what is in them runs before
     it. An edit in no other branch always runs; in one of an exhaustive chain it is part of a group.
     """
-    held = stabbed(edits.select("fn", F.col("edit").alias("point"), "at"), branches.withColumnRenamed("branch", "range"), ["fn"])
-    used = stabbed(uses.select("fn", F.lit(0).alias("point"), F.col("use_at").alias("at")), branches.withColumnRenamed("branch", "range"), ["fn"]).select("fn", "range")
-    shut = held.join(used, ["fn", "range"], "left_anti").withColumnRenamed("range", "branch")
-    groups = branches.select("fn", "branch", "group_id", "group_size")
-    of_edit = shut.join(groups, ["fn", "branch"]).groupBy("fn", F.col("point").alias("edit")).agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in ("branch", "group_id", "group_size")])
-    met = edits.join(of_edit, ["fn", "edit"], "left")
+    holds = F.coalesce(F.col("use_at").between(F.col("start"), F.col("end")), F.lit(False))
+    shut = branches.join(uses.select("fn", "use_at"), "fn", "left").filter(~holds).drop("use_at")
+    met = _held(edits, shut, ["fn"], {c: F.col(c) for c in ("branch", "group_id", "group_size")}, "_n")
     grouped = (F.col("_n") == 1) & F.col("group_id").isNotNull()
-    reach = F.when(F.col("_n").isNull(), "always").when(grouped, "group").otherwise("maybe")
+    reach = F.when(F.col("_n") == 0, "always").when(grouped, "group").otherwise("maybe")
     return met.withColumns({"reach": reach, **{c: F.when(grouped, F.col(c)) for c in ("branch", "group_id", "group_size")}}).drop("_n")
 
 
@@ -88,8 +117,9 @@ def edited_entries(edits: DataFrame, by: list[str]) -> DataFrame:
     """
     key = [*by, "key"]
     resets = F.col("op").isin("set", "remove") & (F.col("reach") == "always")
-    last = edits.filter(resets).groupBy(*key).agg(F.max_by(F.struct("at", "op"), "at").alias("_r")).select(*key, F.col("_r.at").alias("_from"), F.col("_r.op").alias("_op"))
     with Scratch(edits.sparkSession) as hold:
+        edits = hold(edits, "edits-reached")
+        last = edits.filter(resets).groupBy(*key).agg(F.max_by(F.struct("at", "op"), "at").alias("_r")).select(*key, F.col("_r.at").alias("_from"), F.col("_r.op").alias("_op"))
         rows = edits.join(last, key, "left").filter("_from is null or at >= _from").withColumn("_starts", F.coalesce(F.col("_op") == "set", F.lit(False)))
         rows = hold(rows, "edits")
         adds = F.col("op").isin("set", "default")

@@ -99,6 +99,25 @@ def test_ranges_hold_points_without_comparing_all(spark):
     assert ranges.innermost(p, b.limit(0), ["fn"]).filter("depth = 0 and range is null").count() == len(points)
 
 
+def test_points_meet_short_ranges_in_one_bin(spark):
+    """Ranges of all lengths up to 64 are one class: a point is asked once for all, and the matches stay where they met."""
+    points = spark.range(2000).selectExpr("id % 5 fn", "id point", "id % 400 at")
+    spans = spark.range(640).selectExpr("id % 5 fn", "id range", "id % 400 start", "id % 400 + id % 64 end")
+    found = ranges.innermost(points, spans, ["fn"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("Join") == 1
+    want = brute_innermost([tuple(r) for r in points.collect()], [tuple(r) for r in spans.collect()])
+    assert {(r.fn, r.point): (r.range, r.depth) for r in found.collect()} == want
+
+
+def test_edits_meet_shut_branches_once(spark):
+    edits = spark.createDataFrame([(1, 5, 5), (1, 20, 20), (1, 300, 300), (2, 7, 7)], "fn long, edit long, at long")
+    branches = spark.createDataFrame([(1, 1, 0, 9, 4, 2), (1, 2, 15, 400, None, None), (1, 3, 18, 22, None, None), (2, 4, 0, 9, None, None)], "fn long, branch long, start long, end long, group_id long, group_size long")
+    found = ranges.reach_of(edits, branches, spark.createDataFrame([(1, 350), (2, 8)], "fn long, use_at long"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    assert {(r.edit, r.reach, r.branch) for r in found.collect()} == {(5, "group", 1), (20, "maybe", None), (300, "always", None), (7, "always", None)}
+
+
 def test_blocks_cover_a_range_once(spark):
     spans = [(0, 0), (0, 15), (3, 3), (3, 12), (5, 1000), (1, (1 << 39) - 2)]
     for r in spark.createDataFrame(spans, "s long, e long").withColumn("b", ranges.blocks(F.col("s"), F.col("e"))).collect():
