@@ -78,6 +78,17 @@ def test_assembly_keeps_first_use(spark):
     assert pieces["r", 0] == "<r>\n<a>" and pieces["r", 1] == "<c>\n<d>" and pieces["r", 2] == "<e>\n<b>"
 
 
+def test_assembly_follows_single_uses_in_few_rounds(spark, monkeypatch):
+    """A chain of 40 documents behind a fork takes a round for eight of them, with its circle and an earlier way found later."""
+    uses = [("r", 1, "n0"), ("r", 2, "n9"), ("n40", 3, "r")] + [(f"n{i}", 1, f"n{i + 1}") for i in range(40)]
+    made = []
+    monkeypatch.setattr(flows.Scratch, "__call__", lambda self, df, label, f=flows.Scratch.__call__: made.append(label) or f(self, df, label))
+    order = flows.assembly_order(spark.createDataFrame([("r",), ("n40",)], "root string"), spark.createDataFrame(uses, "doc string, ord long, used string"))
+    found = {(r.root, r.doc): (r.place, r.path) for r in order.collect()}
+    assert found == {("r", "r"): (0, []), **{("r", f"n{i}"): (i + 1, [1] * (i + 1)) for i in range(41)}, ("n40", "n40"): (0, []), ("n40", "r"): (1, [3]), **{("n40", f"n{i}"): (i + 2, [3] + [1] * (i + 1)) for i in range(40)}}
+    assert made.count("known") <= 10
+
+
 def brute_innermost(points, blocks):
     out = {}
     for fn, point, at in points:
