@@ -20,7 +20,8 @@ def link(rows: DataFrame, aliases: dict[str, str]) -> DataFrame:
     settled first, however many files it goes through: names that are passed on point at what they name
     in log rounds, texts and clients made of others' are filled in from the inside out. Calls then meet
     settled names once for each that they hold. What cannot be found, or runs in a circle, stays a
-    placeholder; calls on imported things that are no clients drop out.
+    placeholder; calls on imported things that are no clients drop out. Exports grow with the files, so
+    the joins merge: none is sent to the driver to be broadcast.
     """
     with Scratch(rows.sparkSession) as hold:
         rows = hold(rows, "front-end")
@@ -75,14 +76,14 @@ def _passed_on(stems: DataFrame, most: int, hold: Scratch) -> DataFrame:
     jumps = hold(stems.filter("x_kind = 'again'").select("x_stem", "x_name", first[0].alias("to_stem"), first[1].alias("to_name")).dropDuplicates(["x_stem", "x_name"]), "passed-on")
     for _ in range(max(1, most.bit_length())):
         further = jumps.select(F.col("x_stem").alias("to_stem"), F.col("x_name").alias("to_name"), F.col("to_stem").alias("_stem"), F.col("to_name").alias("_name"))
-        met = jumps.join(further, ["to_stem", "to_name"], "left")
+        met = jumps.join(further.hint("merge"), ["to_stem", "to_name"], "left")
         new = hold(met.select("x_stem", "x_name", F.coalesce("_stem", "to_stem").alias("to_stem"), F.coalesce("_name", "to_name").alias("to_name"), F.col("_stem").isNotNull().alias("moved")), "passed-on")
         hold.drop(jumps)
         jumps = new
         if jumps.filter("moved").isEmpty():
             break
     ends = stems.filter("x_kind <> 'again'").select(F.col("x_stem").alias("to_stem"), F.col("x_name").alias("to_name"), "x_kind", "x_url", "x_client", "x_from")
-    found = jumps.join(ends, ["to_stem", "to_name"]).select(*stems.columns)
+    found = jumps.join(ends.hint("merge"), ["to_stem", "to_name"]).select(*stems.columns)
     return stems.filter("x_kind <> 'again'").unionByName(found)
 
 
@@ -103,7 +104,7 @@ def _fill_texts(stems: DataFrame) -> DataFrame:
     at = (F.regexp_extract("x_url", r"\{import:/?([^#}]*)#", 1), F.regexp_extract("x_url", r"\{import:[^#]*#([^}]*)\}", 1))
     keyed = stems.withColumns({"_stem": F.when(F.col("x_url").contains("{import:"), at[0]), "_name": at[1]})
     texts = stems.filter("x_kind = 'text'").dropDuplicates(["x_stem", "x_name"]).select(F.col("x_stem").alias("_stem"), F.col("x_name").alias("_name"), F.col("x_url").alias("_text"))
-    met = keyed.join(texts, ["_stem", "_name"], "left")
+    met = keyed.join(texts.hint("merge"), ["_stem", "_name"], "left")
     waits = F.coalesce(F.col("_text").contains("{import:"), F.lit(False))
     hole = F.concat(F.lit("{import:/"), F.col("_stem"), F.lit("#"), F.col("_name"), F.lit("}"))
     told = F.coalesce("_text", F.concat(F.lit("{"), F.regexp_extract("_name", r"([^.]*)\z", 1), F.lit("}")))
@@ -124,7 +125,7 @@ def _base_clients(stems: DataFrame) -> DataFrame:
     at = (F.regexp_extract("x_client", r"^import:/?([^#]*)#", 1), F.regexp_extract("x_client", r"#(.*)\z", 1))
     keyed = stems.withColumns({"_stem": F.when(F.col("x_client").startswith("import:"), at[0]), "_name": at[1]})
     clients = stems.filter("x_kind = 'client' and not x_client like 'import:%'").dropDuplicates(["x_stem", "x_name"]).select(F.col("x_stem").alias("_stem"), F.col("x_name").alias("_name"), F.col("x_url").alias("_base"), F.col("x_client").alias("_client"))
-    met = keyed.join(clients, ["_stem", "_name"], "left")
+    met = keyed.join(clients.hint("merge"), ["_stem", "_name"], "left")
     url = F.when(F.coalesce("x_url", F.lit("")) == "", F.col("_base")).otherwise(_joined(F.col("_base"), F.col("x_url")))
     return met.withColumns({"x_client": F.coalesce("_client", "x_client"), "x_url": F.when(F.col("_client").isNotNull(), url).otherwise(F.col("x_url"))}).select(*stems.columns)
 
@@ -151,7 +152,7 @@ def _link_clients(calls: DataFrame, stems: DataFrame, aliases: dict[str, str]) -
     open_ = F.col("client").startswith("import:")
     keyed = calls.withColumns({"_stem": F.when(open_, _target(F.col("path"), module, aliases)), "_name": F.when(open_, name)})
     kinds = stems.filter("x_kind = 'client'").dropDuplicates(["x_stem", "x_name"]).select(F.col("x_stem").alias("_stem"), F.col("x_name").alias("_name"), F.col("x_url").alias("_base"), F.col("x_client").alias("_client"))
-    met = keyed.join(kinds, ["_stem", "_name"], "left")
+    met = keyed.join(kinds.hint("merge"), ["_stem", "_name"], "left")
     return met.withColumns({"client": F.coalesce("_client", "client"), "url": _joined(F.col("_base"), F.col("url"))}).select(*calls.columns)
 
 
@@ -161,7 +162,7 @@ def _fill(calls: DataFrame, column: str, path: Column, stems: DataFrame, aliases
     open_ = F.col(column).contains("{import:")
     keyed = calls.withColumns({"_module": module, "_stem": F.when(open_, _target(path, F.regexp_replace(module, "^/", ""), aliases)), "_name": name})
     texts = stems.filter("x_kind = 'text'").dropDuplicates(["x_stem", "x_name"]).select(F.col("x_stem").alias("_stem"), F.col("x_name").alias("_name"), F.col("x_url").alias("_text"))
-    met = keyed.join(texts, ["_stem", "_name"], "left")
+    met = keyed.join(texts.hint("merge"), ["_stem", "_name"], "left")
     hole = F.concat(F.lit("{import:"), F.col("_module"), F.lit("#"), F.col("_name"), F.lit("}"))
     told = F.coalesce("_text", F.concat(F.lit("{"), F.regexp_extract("_name", r"([^.]*)\z", 1), F.lit("}")))
     filled = F.replace(F.col(column), hole, told)

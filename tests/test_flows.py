@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import builders, flows, joins, ranges
+from callscope.operators import builders, flows, joins, linking, ranges
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -56,6 +56,20 @@ def test_inherited_steps_of_long_chains_and_circles(spark):
     assert got == want
 
 
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """Small as they are, the tables of a round merge: what grows with clients and files does not pass through the driver."""
+    plans = []
+    monkeypatch.setattr(flows.Scratch, "__call__", lambda self, df, label, f=flows.Scratch.__call__: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or f(self, df, label))
+    clients = spark.createDataFrame([(i, i - 1 if i else None) for i in range(9)], "client long, parent long")
+    flows.inherited_steps(clients, clients.selectExpr("client", "'n' name", "'v' value", "true optional")).count()
+    row = lambda path, kind, name, method, url: (path, kind, 1, name, method, url, "", "")
+    rows = [row("f0.ts", "export", "N", "text", "https://a.io")] + [row(f"f{i}.ts", "export", "N", "again", f"{{import:./f{i - 1}#N}}") for i in range(1, 9)] + [row("c.ts", "call", "fetch", "GET", "{import:./f8#N}")]
+    ddl = "path string, kind string, line int, name string, method string, url string, headers string, body_keys string"
+    assert [r.url for r in linking.link(spark.createDataFrame(rows, ddl), {}).collect()] == ["https://a.io"]
+    assert {"client-steps", "passed-on", "linked"} <= {label for label, _ in plans}
+    assert not [label for label, plan in plans if "Broadcast" in plan]
+
+
 def test_assembly_keeps_first_use(spark):
     uses = [("r", 1, "a"), ("r", 2, "b"), ("a", 1, "c"), ("a", 2, "d"), ("b", 1, "d"), ("d", 5, "e"), ("c", 1, "a"), ("e", 1, "r"), ("q", 9, "b"), ("q", 3, "e"), ("x", 1, "x"), ("y", 1, None)]
     uses += [(f"n{i}", 1, f"n{i + 1}") for i in range(40)] + [("a", 9, "c")]
