@@ -205,6 +205,17 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least)]
 
 
+_MASKS = np.array(covering_masks(64, 4), np.uint64)
+
+
+def simhash_keys(shingles: np.ndarray) -> list[int]:
+    """A key for each covering mask from the set's SimHash fingerprint: two sets whose fingerprints differ in four bits or fewer share one for certain; no keys of no shingles."""
+    if not len(shingles):
+        return []
+    kept = np.uint64(_majority(shingles)) & _MASKS
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), BANDS + t)) for t, x in enumerate(kept)]
+
+
 def touched(shingles: np.ndarray) -> list[int]:
     """A bit for each of ``CELLS`` cells of the hash that some shingle lies in."""
     cells = np.zeros(CELLS, np.uint8)
@@ -224,7 +235,7 @@ def shingle_sets(docs: DataFrame, keep: list[str], text_col: str, whole: bool =
             if whole:
                 more = {"shingles": pa.array([x.tobytes() for x in sets], pa.binary()), "bits": pa.array(map(touched, sets), pa.list_(pa.int64()))}
             else:
-                more = {"n": pa.array(map(len, sets), pa.int64()), "bands": pa.array(map(band_keys, sets), pa.list_(pa.int64()))}
+                more = {"n": pa.array(map(len, sets), pa.int64()), "bands": pa.array([simhash_keys(x) + band_keys(x) for x in sets], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids, *more.values()], names=[*keep, "id", *more])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
@@ -281,7 +292,9 @@ def link_similar(nodes: DataFrame, keyed: DataFrame, keep: Scratch) -> DataFrame
     """(node, root): components of sets of shingles with a similarity of ``SIMILARITY`` or more.
 
     ``nodes``: (id, n, bands, least), one row for each distinct set, already written; ``keyed``: (_id,
-    _tie, _text), which holds the text of each under ``least``. Sets meet under equal keys and are
+    _tie, _text), which holds the text of each under ``least``. Sets meet under equal keys, those of
+    SimHash fingerprints within four bits for certain (covering masks, as in :func:`link_within`) and
+    those that differ in more under keys of least hashes, and are
     linked only if their exact similarity is high enough. First each one meets one of its least
     partners. Then, in turns, the members of buckets that still hold several components meet four
     members of their bucket, the same for all; a large group of near copies so falls together in a few

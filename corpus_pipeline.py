@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity of 0.8 or more.
+    """One document of each group of near copies: SimHash fingerprints within four bits or equal keys of least hashes, then shingles of five words with a similarity of 0.8 or more.
 
     The one of the smallest id stays, nulls last, ties by text hash. Null, empty and wordless texts are
     one group; of repeated rows one stays; rows of one id, or of none, with unlike texts are different

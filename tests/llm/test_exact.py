@@ -214,6 +214,23 @@ def test_similar_texts_meet_and_are_counted(spark):
     assert sum(i in ids for i in near) <= 1 and all(i in ids for i in far) and all(2 * i in ids for i in range(120))
 
 
+def test_near_fingerprints_meet_under_covering_masks(spark):
+    """Similar texts whose SimHash fingerprints differ in four bits or fewer are found by their covering masks alone."""
+    rng = random.Random(29)
+    rows, near = [], []
+    for i in range(40):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(300)]
+        other = [*words[:-1], f"new{i}"]
+        a, b = (np.unique(simhash.shingle_hashes(" ".join(w), 5)) for w in (words, other))
+        if (simhash._majority(a) ^ simhash._majority(b)).bit_count() <= 4:
+            near.append(2 * i + 1)
+            assert set(simhash.simhash_keys(a)) & set(simhash.simhash_keys(b))
+        rows += [(2 * i, " ".join(words), "s", 1), (2 * i + 1, " ".join(other), "s", 1)]
+    sets = {r.doc_id: set(r.bands) for r in simhash.shingle_sets(spark.createDataFrame(rows, DDL), ["doc_id"], "text").collect()}
+    keys = {i: set(simhash.simhash_keys(np.unique(simhash.shingle_hashes(t, 5)))) for i, t, *_ in rows}
+    assert len(near) >= 30 and all(keys[i] <= sets[i] for i in sets) and all(sets[i] & sets[i - 1] & keys[i] for i in near)
+
+
 def test_cells_rule_out_no_similar_pair(spark):
     """The bound from touched cells holds for every pair whose sets are similar enough, and rules out most others."""
     rng = random.Random(23)
