@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.operators.tables import Scratch, materialize
+from callscope.operators.tables import materialize
 
 #: A tag with its attributes; no part is read twice, however long.
 TAG = r"""</?[A-Za-z_][\w:.-]*+(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
@@ -63,19 +65,17 @@ def expand_types(fields: DataFrame, depth: int = DEPTH) -> DataFrame:
     kind ``circle``, one that would pass ``depth`` fields as ``deep``; neither goes on. A ref that no
     row declares is an object without fields.
     """
-    with Scratch(fields.sparkSession) as hold:
-        own = fields.select("type", F.col("field").alias("path"), "kind", "ref", F.col("ref").isNotNull().alias("open"), F.array("type").alias("way"), F.lit(1).alias("level"))
-        nodes = hold(_cut(own, depth), "types")
-        while not nodes.filter("open").isEmpty():
-            below = nodes.select(F.col("type").alias("ref"), *[F.col(c).alias(f"_{c}") for c in ("path", "kind", "ref", "open", "way", "level")])
-            grafted = nodes.filter("open").join(below, "ref").filter((F.col("level") + F.col("_level") <= depth) & ~F.arrays_overlap("way", "_way"))
-            grafted = grafted.select(
-                "type", F.concat("path", F.lit("."), "_path").alias("path"), F.col("_kind").alias("kind"), F.col("_ref").alias("ref"), F.col("_open").alias("open"), F.concat("way", "_way").alias("way"), (F.col("level") + F.col("_level")).alias("level")
-            )
-            new = hold(nodes.withColumn("open", F.lit(False)).unionByName(_cut(grafted, depth)), "types")
-            hold.drop(nodes)
-            nodes = new
-        return materialize(nodes.select("type", "path", "kind", "level"), "type-shapes")
+    own = fields.select("type", F.col("field").alias("path"), "kind", "ref", F.col("ref").isNotNull().alias("open"), F.array("type").alias("way"), F.lit(1).alias("level"))
+    made = [materialize(_cut(own, depth), "type-shapes")]  # what each round adds, written once
+    while not made[-1].filter("open").isEmpty():
+        nodes = reduce(DataFrame.unionByName, [t.withColumn("open", F.lit(False)) for t in made[:-1]], made[-1])
+        below = nodes.select(F.col("type").alias("ref"), *[F.col(c).alias(f"_{c}") for c in ("path", "kind", "ref", "open", "way", "level")])
+        grafted = made[-1].filter("open").join(below, "ref").filter((F.col("level") + F.col("_level") <= depth) & ~F.arrays_overlap("way", "_way"))
+        grafted = grafted.select(
+            "type", F.concat("path", F.lit("."), "_path").alias("path"), F.col("_kind").alias("kind"), F.col("_ref").alias("ref"), F.col("_open").alias("open"), F.concat("way", "_way").alias("way"), (F.col("level") + F.col("_level")).alias("level")
+        )
+        made.append(materialize(_cut(grafted, depth), "type-shapes"))
+    return reduce(DataFrame.unionByName, [t.select("type", "path", "kind", "level") for t in made])
 
 
 def _cut(nodes: DataFrame, depth: int) -> DataFrame:

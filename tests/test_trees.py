@@ -97,3 +97,21 @@ def test_abi_methods_of_odd_files(spark):
     bodies = [json.dumps([{"type": "function", "name": "a", "stateMutability": "view"}, {"type": "function", "name": "b"}, {"type": "event", "name": "c"}, {"type": "function"}]), "{", "null", None, '{"type": "function", "name": "x"}', "[1, 2]"]
     got = trees.abi_methods(spark.createDataFrame(list(enumerate(bodies)), "path int, body string")).filter(F.col("path") == 0).collect()
     assert sorted((r.method, r.reads) for r in got) == [("a", True), ("b", False)]
+
+
+def test_shapes_are_written_once(spark, monkeypatch):
+    """What a round adds is written once, whatever the number of rounds."""
+    from callscope.operators import tables
+
+    sizes = []
+
+    def counted(df, path, write=tables._write):
+        out = write(df, path)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables, "_write", counted)
+    fields = [(f"t{i}", "x", "object", f"t{i + 1}") for i in range(9)] + [("t9", "y", "string", None)]
+    found = trees.expand_types(spark.createDataFrame(fields, "type string, field string, kind string, ref string"))
+    assert {r.kind for r in found.filter("type = 't0' and level = 6").collect()} == {"deep"}
+    assert len(sizes) > 2 and sum(sizes) == found.count()
