@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ MAX_LABELLED = 16000
 ROUND = 25
 #: The fit ends when no weight and no threshold moves further than this in a round.
 SETTLED = 0.01
+#: Features of the fit that are widened to sums at once.
+CHUNK = 1 << 18
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -82,30 +85,25 @@ def fit(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, levels: int,
     shares = np.clip([np.mean(y >= k) for k in range(1, levels)], 1e-6, 1 - 1e-6)
     theta = np.maximum.accumulate(-np.log(shares / (1 - shares)))
     first, gaps = theta[0], np.log(np.maximum(np.diff(theta), 1e-3))
-    owner = np.repeat(np.arange(len(y)), lengths)
-    ids, columns, counts = np.unique(flat, return_inverse=True, return_counts=True) if len(flat) else (flat, flat, flat)
-    kept = (counts >= least_docs) & (counts < len(y))
-    ids, place = ids[kept], np.cumsum(kept) - 1
-    mask = kept[columns] if len(columns) else columns.astype(bool)
-    owner, columns = owner[mask], place[columns[mask]]
+    ids, counts, owner, columns = _told(np.asarray(flat), np.asarray(lengths), least_docs)
     w, v, t = np.zeros(len(ids)), np.zeros(len(ids)), 1.0
     width = np.maximum(1, np.bincount(owner, minlength=len(y)))
     step = 2.0 / np.mean(width) * len(y) / 40
-    scale = np.sqrt(np.maximum(1, counts[kept] / len(y) * 50))  # frequent features move less
+    scale = np.sqrt(np.maximum(1, counts / len(y) * 50))  # frequent features move less
     thresholds = lambda: first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
     for start in range(0, steps, ROUND):
         # Weights that are 0 and whose slope the lasso outweighs stay so; a round moves the others only.
-        error = _slopes(np.bincount(owner, v[columns], minlength=len(y)), thresholds(), y)[0]
-        slope = np.bincount(columns, error[owner], minlength=len(ids)) / len(y)
+        error = _slopes(_summed(owner, columns, v, len(y)), thresholds(), y)[0]
+        slope = _summed(columns, owner, error, len(ids)) / len(y)
         active = (w != 0) | (v != 0) | (np.abs(slope) > l1)
         some = active[columns]
-        at, number = owner[some], (np.cumsum(active) - 1)[columns[some]]
+        at, number = owner[some], (np.cumsum(active, dtype=np.int32) - 1)[columns[some]]
         aw, av, ascale = w[active], v[active], scale[active]
         before, stood = aw, thresholds()
         for _ in range(min(ROUND, steps - start)):
-            score = np.bincount(at, av[number], minlength=len(y))
+            score = _summed(at, number, av, len(y))
             error, slopes = _slopes(score, thresholds(), y)
-            moved = av - step * (np.bincount(number, error[at], minlength=len(aw)) / len(y) + l2 * av) / ascale
+            moved = av - step * (_summed(number, at, error, len(aw)) / len(y) + l2 * av) / ascale
             new = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1 / ascale)
             first -= 2.0 * slopes.sum()
             gaps = np.clip(gaps - 2.0 * np.exp(gaps) * np.cumsum(slopes[::-1])[::-1][1:], -7, 4)  # a gap moves all thresholds above it
@@ -119,6 +117,34 @@ def fit(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, levels: int,
     return OrdinalModel({int(i): float(x) for i, x in zip(ids, w, strict=True) if x}, tuple(float(x) for x in thresholds()))
 
 
+def _told(flat: np.ndarray, lengths: np.ndarray, least_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of ``least_docs`` rows or more, but not of all, and their counts; whose each occurrence is, and its feature's place.
+
+    Small numbers, made a chunk at a time: the driver holds some ten bytes for each occurrence.
+    """
+    ids, counts = np.unique(flat, return_counts=True)
+    kept = (counts >= least_docs) & (counts < len(lengths))
+    ids, counts = ids[kept], counts[kept]
+    ends, n, at = np.cumsum(lengths), int(counts.sum()), 0
+    owner, columns = np.empty(n, np.int32), np.empty(n, np.int32)
+    for a in range(0, len(flat) if len(ids) else 0, CHUNK):
+        part = flat[a : a + CHUNK]
+        place = np.searchsorted(ids, part)
+        mask = ids[np.minimum(place, len(ids) - 1)] == part
+        b = at + np.count_nonzero(mask)
+        owner[at:b], columns[at:b] = np.searchsorted(ends, np.flatnonzero(mask) + a, side="right"), place[mask]
+        at = b
+    return ids, counts, owner, columns
+
+
+def _summed(to: np.ndarray, of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values[of]`` by ``to``, in order, a chunk at a time."""
+    out = np.zeros(n)
+    for a in range(0, len(to), CHUNK):
+        np.add.at(out, to[a : a + CHUNK].astype(np.intp), values[of[a : a + CHUNK]])
+    return out
+
+
 def _slopes(score: np.ndarray, theta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slopes of -log P(grade): of each row by its score, and of their mean by each threshold."""
     rows = np.arange(len(y))
@@ -157,14 +183,28 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.int64()))
+            found = pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), found], names=["doc_id", "grade", "features"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    said = rows.mapInArrow(run, f"doc_id {kind}, grade int, features array<bigint>")
-    got = said.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "grade", "features")).alias("one")).select("doc_id", "one.grade", "one.features").toArrow().sort_by("doc_id")
-    lists = got.column("features").combine_chunks()
-    return fit(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False), got.column("grade").to_numpy(), 3)
+    said = rows.mapInArrow(run, f"doc_id {kind}, grade int, features array<int>")
+    hashed = F.xxhash64(F.col("features").cast("array<bigint>"))
+    one = said.groupBy("doc_id").agg(F.min(F.struct(hashed, "grade", "features")).alias("one"))
+    return fit(*_collected(one.select("doc_id", "one.grade", "one.features")), 3)
+
+
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features end to end, how many each row has, and grades, by id; four bytes a feature, and no copy of the table stays."""
+    got = rows.toArrow()
+    order = pc.sort_indices(got.column("doc_id"))
+    grades, lengths = got.column("grade").take(order).to_numpy(), pc.list_value_length(got.column("features")).take(order).to_numpy()
+    lists, flat, at = got.column("features").combine_chunks(), np.empty(int(lengths.sum()), np.int32), 0
+    del got
+    starts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    for a, n in zip(starts[order.to_numpy()].tolist(), lengths.tolist(), strict=True):
+        flat[at : at + n] = values[a : a + n]
+        at += n
+    return flat, lengths, grades
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, keep: list[str], text_col: str = "text") -> DataFrame:

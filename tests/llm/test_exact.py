@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -899,3 +900,18 @@ def test_shards_of_many_repeated_rows(spark):
         slots[r.shard].append(r.slot)
     assert len(got) == 3038 and all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) < 60
+
+
+def test_quality_fit_widens_a_chunk_at_a_time(monkeypatch):
+    """What the driver holds for the fit grows by some twenty bytes an occurrence, not by copies of eight."""
+    monkeypatch.setattr(quality, "CHUNK", 1 << 14, raising=False)
+    rng, rows, each = np.random.default_rng(5), 2000, 200
+    flat = np.sort(rng.zipf(1.2, (rows, each)) % 50_000, axis=1).astype(np.int32).ravel()
+    grades = rng.integers(0, 3, rows)
+    tracemalloc.start()
+    try:
+        model = quality.fit(flat, np.full(rows, each), grades, 3, steps=50)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.weights and peak < 28 * len(flat), peak / len(flat)
