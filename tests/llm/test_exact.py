@@ -915,3 +915,14 @@ def test_quality_fit_widens_a_chunk_at_a_time(monkeypatch):
     finally:
         tracemalloc.stop()
     assert model.weights and peak < 28 * len(flat), peak / len(flat)
+
+
+def test_lm_code_tables_are_small_and_words_are_found_by_column():
+    """A decision takes a few bytes of the broadcast code, and a word that is longer, shorter or not there at all has its place or the escape."""
+    words = [b"w%d" % i for i in range(5000)] + [b"", "é".encode()]
+    book = lm.Codebook.of_parts(lm.Codebook(words, list(range(6000, 6000 - len(words), -1)), 10).parts())
+    code = book.words
+    assert code.nodes.nbytes + code.bits.nbytes <= 3 * len(code.bits) and len(code.plain) == len(code.depth) == code.nodes.max() + 1
+    asked = [b"w7", b"", b"w", b"w77777", "é".encode(), b"w4999"]
+    assert book.leaves(asked, np.array([len(w) for w in asked])).tolist() == [7, 5000, book.escape, book.escape, 5001, 4999]
+    assert book.leaves([], np.zeros(0, np.int64)).tolist() == []
