@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.operators.tables import materialize
+from callscope.operators.tables import dealt, materialize
 
 #: A tag with its attributes; no part is read twice, however long.
 TAG = r"""</?[A-Za-z_][\w:.-]*+(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
@@ -106,7 +106,7 @@ def by_nearest_scope(calls: DataFrame, facts: DataFrame) -> DataFrame:
     lo, hi = F.min("value"), F.max("value")
     said = facts.filter("value is not null").select("name", "value", _scoped(facts).alias("s")).groupBy("name", "s.rank", "s.key").agg(lo.alias("lo"), hi.alias("hi"))
     asks = calls.select("call", "name", _scoped(calls).alias("s")).select("call", "name", "s.rank", "s.key")
-    met = asks.join(said, ["name", "rank", "key"]).groupBy("call").agg(F.min(F.struct("rank", "lo", "hi")).alias("_m"))
+    met = dealt(asks, "name", "rank", "key").join(said, ["name", "rank", "key"]).groupBy("call").agg(F.min(F.struct("rank", "lo", "hi")).alias("_m"))
     scope = F.get(F.array(*[F.lit(s) for s in SCOPES]), F.col("_m.rank"))
     return calls.select("call").join(met, "call", "left").select("call", scope.alias("scope"), F.when(F.col("_m.lo") == F.col("_m.hi"), F.col("_m.lo")).alias("value"))
 

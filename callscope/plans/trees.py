@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.operators import trees
+from callscope.operators.tables import dealt
 from callscope.plans.registry import query
 
 
@@ -81,7 +82,7 @@ def det10_nearest_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("folder"), F.col("c_nationkey").alias("repo"))
     lines = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("m"), F.col("l_partkey") % 50).alias("name"), F.col("l_returnflag").alias("value"), F.col("l_orderkey").alias("file"))
     calls = where.withColumns({"call": F.col("file"), "name": F.concat(F.lit("m"), F.col("file") % 50)})
-    return trees.by_nearest_scope(calls, lines.join(where, "file"))
+    return trees.by_nearest_scope(calls, dealt(lines, "file").join(where, "file"))
 
 
 @query(
