@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from callscope.operators import trees
+from callscope.operators import requests, trees
 
 
 @pytest.fixture
@@ -16,6 +16,13 @@ def dealt_tasks(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_hosts_are_ranked_in_all_partitions(spark, dealt_tasks):
+    calls = spark.createDataFrame([(i, 1, f"h{i % 3}") for i in range(50)] + [(1, 2, "h9")], "raw_id long, ord int, host string")
+    out = requests.candidates(calls)
+    assert dealt_tasks(out) == 24
+    assert {(r.host, r.candidate) for r in out.filter("raw_id = 1").collect()} == {("h1", True), ("h9", True)} and out.count() == 51
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
