@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callscope.functions import fixed
 from callscope.operators.components import components
 from callscope.operators.ordered import Running, range_placed, run_on
-from callscope.operators.tables import Scratch, materialize
+from callscope.operators.tables import Scratch, dealt, materialize
 
 
 def as_of(uses: DataFrame, assigns: DataFrame, by: list[str], at: str = "at", use_key: str = "use_id") -> DataFrame:
@@ -128,18 +128,24 @@ def expand_wrappers(calls: DataFrame, inner: DataFrame, hops: int = 4, keep: int
     """Requests that wrapper calls reach. ``calls``: (call, fn); ``inner``: (fn, ord, target, request), a function's own calls.
 
     A call of a function reaches the function's requests, and through its inner calls those of
-    others, up to ``hops`` away; a function is entered once on a path, and each level takes its
-    first ``keep`` inner calls. One join for each hop; what is not a wrapper drops out.
+    others, up to ``hops`` away; each level takes its first ``keep`` inner calls. What a function
+    reaches does not hang on the call, and no shortest way enters a function twice, so it is settled
+    backwards from the requests, with one join for each hop over functions alone; the calls meet it
+    once. A function that most others call is one function there. The joins are merges: as Parquet
+    these tables are so small that Spark would broadcast millions of rows to every task.
     """
-    first = inner.withColumn("_k", F.row_number().over(Window.partitionBy("fn").orderBy("ord"))).filter(F.col("_k") <= keep).drop("_k")
-    now = calls.select("call", "fn", F.array("fn").alias("path"))
-    out = None
-    for hop in range(1, hops + 1):
-        met = now.join(first, "fn")
-        reached = met.filter("request is not null").select("call", "request", F.lit(hop).alias("hops"))
-        out = reached if out is None else out.union(reached)
-        now = met.filter("target is not null and not array_contains(path, target)").select("call", F.col("target").alias("fn"), F.concat("path", F.array("target")).alias("path"))
-    return out.groupBy("call", "request").agg(F.min("hops").alias("hops"))
+    first = inner.withColumn("_k", F.row_number().over(Window.partitionBy("fn").orderBy("ord"))).filter(F.col("_k") <= keep)
+    with Scratch(inner.sparkSession) as hold:
+        first = hold(first.select("fn", "target", "request"), "wrappers-first")
+        own = first.filter("request is not null").select("fn", "request", F.lit(1).alias("hops"))
+        through = first.filter("target <> fn").select("fn", "target")
+        reach = own
+        for _ in range(hops - 1):
+            further = through.join(reach.withColumnRenamed("fn", "target").hint("merge"), "target").select("fn", "request", (F.col("hops") + 1).alias("hops"))
+            reach = dealt(own.union(further), "fn", "request").groupBy("fn", "request").agg(F.min("hops").alias("hops"))
+        reach = materialize(reach, "wrappers")
+    met = calls.select("call", "fn").join(reach.hint("merge"), "fn").select("call", "request", "hops")
+    return dealt(met, "call", "request").groupBy("call", "request").agg(F.min("hops").alias("hops"))
 
 
 def file_groups(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from callscope.operators import requests, trees
+from callscope.operators import joins, requests, trees
 
 
 @pytest.fixture
@@ -33,3 +33,12 @@ def test_scopes_are_asked_in_all_partitions(spark, dealt_tasks):
     out = trees.by_nearest_scope(calls, facts)
     assert "REPARTITION_BY_NUM" in plan(out)
     assert {tuple(r) for r in out.collect()} == {(1, "file", "A"), (2, "folder", None), (3, None, None)}
+
+
+def test_wrappers_are_settled_before_calls_meet_them(spark, dealt_tasks):
+    rows = [("f", 0, "g", None), ("f", 1, "h", None), ("g", 0, "h", None), ("g", 1, "f", None), ("h", 0, None, "GET /a"), ("h", 1, "g", None), ("h", 2, "i", None), ("h", 3, "j", None), ("i", 0, "f", "GET /b"), ("j", 0, None, "GET /late")]
+    inner = spark.createDataFrame(rows, "fn string, ord int, target string, request string")
+    out = joins.expand_wrappers(spark.createDataFrame([(1, "f"), (2, "g"), (2, "h"), (3, "i"), (4, "x")], "call long, fn string"), inner)
+    # Calls stand in one join, however many hops there are; what they reach is aggregated in all partitions.
+    assert plan(out).count("HashAggregate") == 2 and "REPARTITION_BY_NUM" in plan(out) and plan(out).count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan(out)
+    assert {tuple(r) for r in out.collect()} == {(1, "GET /a", 2), (1, "GET /b", 3), (2, "GET /a", 1), (2, "GET /b", 2), (3, "GET /b", 1), (3, "GET /a", 3)}
