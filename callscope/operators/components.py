@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table: tops are hung on a neighbour, alternating large-star and small-star steps settle the rest."""
 
 from __future__ import annotations
 
@@ -25,15 +25,37 @@ def _star(pairs: DataFrame, smaller_only: bool, keep: Scratch) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _without_tops(links: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, at) for every node, and the edges (a, b) left between the nodes that others are hung at.
+
+    A top, which no greater node is linked to, is hung at its least neighbour: its other neighbours
+    are linked to that one instead, and it has that one's root. ``links``: distinct (u, v), u >= v.
+    """
+    up = links.filter("u <> v").select(F.col("v").alias("node"), F.lit(None).cast(links.schema["v"].dataType).alias("v"), F.lit(True).alias("up"))
+    ends = links.select(F.col("u").alias("node"), F.when(F.col("u") != F.col("v"), F.col("v")).alias("v"), F.lit(False).alias("up")).union(up)
+    nodes = keep(ends.groupBy("node").agg(F.min("v").alias("least"), F.count("v").alias("down"), F.max("up").alias("up")), "cc-nodes")
+    # A node's only edge down is known from its row; edges move again where there are several.
+    one = nodes.filter("up and down = 1").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    several = keep(nodes.filter("down > 1").select(F.col("node").alias("u"), F.when(F.col("up"), F.col("node")).otherwise(F.col("least")).alias("a")), "cc-several")
+    left = one.union(links.join(several, "u").select("a", F.col("v").alias("b")).filter("a <> b"))
+    return nodes.select("node", F.when(F.col("up"), F.col("node")).otherwise(F.coalesce("least", "node")).alias("at")), left
+
+
+def components(edges: DataFrame, loops: bool = False) -> DataFrame:
     """(node, root) for every node that has an edge; root is the least node of its component.
 
-    ``edges``: (a, b), any order, repeats and loops allowed, of one ordered type, without nulls.
-    Each round halves path lengths at least; a node's edges are never gathered in one task (the
-    minimum is taken by partial aggregation). Rounds are written to the shared folder.
+    ``edges``: (a, b), any order, repeats and loops allowed, of one ordered type; null ends are no
+    edges. With ``loops`` a node whose only edges are loops is a component of its own, else it is left
+    out. Nodes above all their neighbours, often most of them, are hung at one and take no part in
+    the rounds. Each round halves path lengths at least; a node's edges are never gathered in one task (the minimum is
+    taken by partial aggregation). Rounds are written to the shared folder.
     """
     with Scratch(edges.sparkSession) as keep:
-        now = keep(edges.select("a", "b").filter("a <> b").distinct(), "cc-edges")
+        real = edges.filter("a = b or a <> b" if loops else "a <> b")
+        links = keep(real.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+        nodes, left = _without_tops(links, keep)
+        now = keep(left, "cc-left")
+        keep.drop(links)
         seen = None
         while (mark := _fingerprint(now)) != seen and mark[0]:
             seen = mark
@@ -43,5 +65,6 @@ def components(edges: DataFrame) -> DataFrame:
             down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             now = keep(_star(down, smaller_only=True, keep=keep), "cc-small")
             keep.drop(large)
-        nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")))
-        return materialize(nodes.distinct(), "cc-roots")
+        # Every node once, with the root of where it is hung: the end of its star, or that place itself.
+        roots = now.select(F.col("a").alias("at"), F.col("b").alias("root"))
+        return materialize(nodes.join(roots, "at", "left").select("node", F.coalesce("root", "at").alias("root")), "cc-roots")

@@ -150,7 +150,5 @@ def expand_wrappers(calls: DataFrame, inner: DataFrame, hops: int = 4, keep: int
 
 def file_groups(edges: DataFrame) -> DataFrame:
     """(file, group): files that see each other over imports, by the least file of the group. ``edges``: (src, dst); loops make a group of one."""
-    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    groups = components(pairs).select(F.col("node").alias("file"), F.col("root").alias("group"))
-    alone = pairs.filter("a = b").select(F.col("a").alias("file"), F.col("a").alias("group")).distinct().join(groups.select("file"), "file", "left_anti")
-    return groups.union(alone)
+    groups = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), loops=True)
+    return groups.select(F.col("node").alias("file"), F.col("root").alias("group"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from callscope.operators import joins, requests, trees
+from callscope.operators import components, joins, requests, trees
 
 
 @pytest.fixture
@@ -42,3 +44,35 @@ def test_wrappers_are_settled_before_calls_meet_them(spark, dealt_tasks):
     # Calls stand in one join, however many hops there are; what they reach is aggregated in all partitions.
     assert plan(out).count("HashAggregate") == 2 and "REPARTITION_BY_NUM" in plan(out) and plan(out).count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan(out)
     assert {tuple(r) for r in out.collect()} == {(1, "GET /a", 2), (1, "GET /b", 3), (2, "GET /a", 1), (2, "GET /b", 2), (3, "GET /b", 1), (3, "GET /a", 3)}
+
+
+def _groups(edges: list[tuple]) -> dict:
+    """The least file of each one's group, link by link."""
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    return {x: find(x) for x in root}
+
+
+def test_files_that_only_import_take_no_part_in_rounds(spark, monkeypatch):
+    seen, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda pairs, **how: seen.append(pairs.count()) or star(pairs, **how))
+    edges = [(f"o{i:03}", f"c{i % 5}") for i in range(300)] + [("c0", "c1"), ("c1", "c2"), ("c3", "c4"), ("o001", "c0"), ("o999", "o998"), ("z", "z"), ("c0", "c0")]
+    got = [(r.file, r.group) for r in joins.file_groups(spark.createDataFrame(edges, "src string, dst string")).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == _groups(edges)
+    assert max(seen) <= 12
+
+
+def test_groups_of_any_graph(spark):
+    rng = random.Random(7)
+    edges = [(base + rng.randrange(n), base + rng.randrange(n)) for base, n, m in ((0, 60, 40), (100, 40, 60), (200, 30, 15), (300, 9, 1)) for _ in range(m)]
+    edges += [(500 - i, 501 + i) for i in range(20)] + [(501 + i, 499 - i) for i in range(20)] + [(700, 600 + i) for i in range(30)]
+    got = [(r.file, r.group) for r in joins.file_groups(spark.createDataFrame(edges, "src long, dst long")).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == _groups(edges)
