@@ -103,6 +103,41 @@ def test_assembly_follows_single_uses_in_few_rounds(spark, monkeypatch):
     assert made.count("known") <= 10
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_assembly_moves_a_slice_of_the_roots_at_once(spark, seed, monkeypatch):
+    """What lies between stops is put in at the end, in slices of a few rows, so no round writes all that is known; circles of single uses, equal hashes apart, have a stop."""
+    rng = random.Random(seed)
+    uses = [(i, rng.randrange(5), rng.randrange(150)) for i in range(30) for _ in range(3)] + [(i, i % 3 - 1, i + 1 if i % 50 != 49 else i - rng.choice([4, 9, 17, 40])) for i in range(50, 200)]
+    uses = [(d, rng.randrange(-(1 << 40), 1 << 40) if d < 30 else o, u) for d, o, u in uses]
+    roots = [0, 1, 2, 3, 50, 77, 199, 999]
+    written: list = []
+
+    def call(self, df, label, *by, f=flows.Scratch.__call__):
+        out = f(self, df, label, *by)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(flows.Scratch, "__call__", call)
+    monkeypatch.setattr(flows, "SLICE", 100)
+    order = flows.assembly_order(spark.createDataFrame([(r,) for r in roots], "root long"), spark.createDataFrame(uses, "doc long, ord long, used long"))
+    assert "Exchange hashpartitioning" not in order._jdf.queryExecution().toString() and order.columns == ["root", "doc", "path", "place"]
+    found: dict = {}
+    for r in sorted(order.collect(), key=lambda r: (r.root, r.place)):
+        found.setdefault(r.root, []).append((r.place, r.doc, tuple(r.path)))
+
+    def walk(doc, path, seen):
+        seen[doc] = path
+        for o, u in sorted({(min(x for d, x, v in uses if (d, v) == (doc, u)), u) for d, x, u in uses if d == doc and u != doc}):
+            if u not in seen:
+                walk(u, (*path, o), seen)
+        return seen
+
+    want = {root: [(i, d, p) for i, (d, p) in enumerate(walk(root, (), {}).items())] for root in roots}
+    assert found == want
+    whole = sum(map(len, want.values()))
+    assert len([1 for label, _ in written if label == "assembled"]) > 3 and max(n for label, n in written if label == "known") < whole / 2
+
+
 def brute_innermost(points, blocks):
     out = {}
     for fn, point, at in points:
